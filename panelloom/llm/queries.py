@@ -6,7 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, common, fingerprints, mixing, sharding
+from . import archive, common, fingerprints, mixing, neardup, sharding, substrings
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(common.read(spark, sf_dir, "documents"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +37,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(docs).drop("mix_source")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op7_warc, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op4_sharding, op7_warc, op9_fingerprints, op10_mixing)}
 ORACLES: dict[str, str] = {}
