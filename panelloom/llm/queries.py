@@ -6,7 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, common, fingerprints, mixing, neardup, sharding, substrings
+from . import archive, common, fingerprints, langid, mixing, neardup, packing, sharding, substrings
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +23,19 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(common.read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/panelloom/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     archive.write_archive(common.read(spark, sf_dir, "pages"), path)
@@ -37,5 +52,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(docs).drop("mix_source")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op4_sharding, op7_warc, op9_fingerprints, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_language_id, op4_sharding, op5_packing, op7_warc, op9_fingerprints, op10_mixing)}
 ORACLES: dict[str, str] = {}
