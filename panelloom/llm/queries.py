@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, common, fingerprints, langid, mixing, neardup, packing, sharding, substrings
+from . import archive, common, fingerprints, langid, licenses, mixing, neardup, neighbours, packing, sharding, substrings
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,6 +36,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(common.read(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.shared_dir(spark)}/panelloom/{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     archive.write_archive(common.read(spark, sf_dir, "pages"), path)
@@ -43,6 +47,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(common.read(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(common.read(spark, sf_dir, "documents"))
 
@@ -52,5 +60,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(docs).drop("mix_source")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_near_dedup, op3_language_id, op4_sharding, op5_packing, op7_warc, op9_fingerprints, op10_mixing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_near_dedup, op3_language_id, op4_sharding, op5_packing, op6_nearest, op7_warc, op8_licenses, op9_fingerprints, op10_mixing,
+    )
+}
+ORACLES: dict[str, str] = {"op8_licenses": licenses.oracle()}
