@@ -215,7 +215,7 @@ def _label(model: Model, spans: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = batch.column("_text").cast(pa.binary()).to_pylist()
             pred, score, found = [], [], []
             at = 0
             while at < len(texts):  # about a megabyte at once
@@ -229,8 +229,8 @@ def _label(model: Model, spans: bool):
                 if spans:
                     found += [runs(best[f : f - (-len(t) // STEPS)], len(t)) if t else [] for f, t in zip(first, texts[at:to])]
                 at = to
-            letters = batch.column("letters").to_pylist()
-            keep = [c for c in batch.schema.names if c not in ("text", "letters")]
+            letters = batch.column("_letters").to_pylist()
+            keep = [c for c in batch.schema.names if c not in ("_text", "_letters")]
             out = [*(batch.column(c) for c in keep), pa.array([p if has else UNKNOWN for p, has in zip(pred, letters)]), pa.array([s if has else 0.0 for s, has in zip(score, letters)], pa.float64())]
             names = [*keep, "lang_pred", "score"]
             if spans:
@@ -241,8 +241,8 @@ def _label(model: Model, spans: bool):
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataFrame:
-    """Predict the language of every whole text: doc_id, held_out, lang_pred, score and, with spans, spans.
+def identify(docs: DataFrame, model: Model | None, spans: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Predict the language of every whole text: doc_id, columns to carry, held_out, lang_pred, score and, with spans, spans.
 
     Every byte position gets class probabilities from the states before and after it in its window; a document's are
     their mean, lang_pred the largest (ties: the smaller name) and score its probability. spans are the runs of
@@ -250,10 +250,10 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False) -> DataF
     all are if there was nothing to learn from. Rows are independent: repeated rows and null doc_ids stay rows, an
     empty table gives none, and columns other than doc_id and text are ignored.
     """
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_or_empty().alias("text"), text_or_empty().rlike(r"\p{L}").alias("letters"))
-    kind = dict(docs.select("doc_id").dtypes)["doc_id"]
-    more = ", spans array<struct<start: long, end: long, lang: string>>" if spans else ""
+    rows = docs.select("doc_id", *carry, held_out().alias("held_out"), text_or_empty().alias("_text"), text_or_empty().rlike(r"\p{L}").alias("_letters"))
     if model is None:
-        out = rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        out = rows.drop("_text", "_letters").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
         return out.withColumn("spans", F.expr("cast(array() as array<struct<start: long, end: long, lang: string>>)")) if spans else out
-    return rows.mapInArrow(_label(model, spans), f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}")
+    more = ", spans array<struct<start: long, end: long, lang: string>>" if spans else ""
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.drop("_text", "_letters").dtypes)
+    return rows.mapInArrow(_label(model, spans), f"{kinds}, lang_pred string, score double{more}")

@@ -66,7 +66,7 @@ def _pairs_in(doc: np.ndarray, h: np.ndarray, of: np.ndarray, values: np.ndarray
     return out
 
 
-def _results(least: int, keep_text: bool, with_marks: bool):
+def _results(least: int, keep_text: bool, with_marks: bool, carry: tuple[str, ...]):
     """The result rows: from whether the row is a copy (all its words go), or from the marked windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +94,8 @@ def _results(least: int, keep_text: bool, with_marks: bool):
                 removed.append(gone)
                 kept.append((b" ".join(rest) if gone or not keep_text else text, rest))
             sha = [hashlib.sha256(k if not keep_text or g else b" ".join(r)).hexdigest() for (k, r), g in zip(kept, removed)]
-            out = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            out = [*(batch.column(c) for c in ("doc_id", *carry)), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)]
+            names = ["doc_id", *carry, "n_words", "n_removed", "kept_sha256"]
             if keep_text:
                 out.append(pa.array([k for k, _ in kept], pa.binary()).cast(pa.string()))
                 names.append("kept")
@@ -107,7 +107,7 @@ def _results(least: int, keep_text: bool, with_marks: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 50, keep_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 50, keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove each word covered by a window of `min_words` words that also starts in a document with a smaller doc_id.
 
     Level-wise doubling. First length, half of min_words: of these windows those least among their neighbours are
@@ -119,14 +119,15 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, keep_text: bool = Fal
 
     Common passages are pre-aggregated (least and greatest doc_id of a hash), and the rows find them by a join whose
     large keys Spark splits. Returns doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space) and,
-    with keep_text, kept: the text as it was if nothing is removed, else the kept words joined by one space.
+    with keep_text, kept: the text as it was if nothing is removed, else the kept words joined by one space. Columns named
+    in `carry` go along with their rows.
 
     A null text has no words. A row with a null doc_id keeps all its words and removes none. Rows that repeat a
     doc_id are judged each by its own text. Other columns are ignored.
     """
     half = (min_words + 1) // 2
     text = text_or_empty()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
     known = rows.filter("doc_id is not null")
     firsts = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
 
@@ -138,16 +139,17 @@ def dedup_substrings(docs: DataFrame, min_words: int = 50, keep_text: bool = Fal
 
     # an unmatched row has the text of a smaller doc_id
     joined = rows.join(state.withColumn("first", F.lit(True)), ["doc_id", "d1", "d2"], "left")
-    joined = joined.select("doc_id", "text", "d1", "anchors", (F.col("first").isNull() & F.col("doc_id").isNotNull()).alias("copy"))
+    joined = joined.select("doc_id", *carry, "text", "d1", "anchors", (F.col("first").isNull() & F.col("doc_id").isNotNull()).alias("copy"))
     kept = ", kept string" if keep_text else ""
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + kept
-    ready = materialize(joined.mapInArrow(_results(min_words, keep_text, False), f"{schema}, d1 long, anchors array<long>, text string"), "ready-texts")
+    kinds = "".join(f"`{c}` {kind}, " for c, kind in docs.select(*carry).dtypes)
+    schema = f"doc_id long, {kinds}" + "n_words long, n_removed long, kept_sha256 string" + kept
+    ready = materialize(joined.mapInArrow(_results(min_words, keep_text, False, carry), f"{schema}, d1 long, anchors array<long>, text string"), "ready-texts")
 
-    open_ = ready.filter("anchors is not null").select("doc_id", "d1", "text", "anchors")
-    windows = open_.mapInArrow(_windows(half, min_words), "k1 long, k2 int, doc_id long, d1 long, pos int")
+    open_ = ready.filter("anchors is not null").select("doc_id", *carry, "d1", "text", "anchors")
+    windows = open_.select("doc_id", "d1", "text", "anchors").mapInArrow(_windows(half, min_words), "k1 long, k2 int, doc_id long, d1 long, pos int")
     repeated = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("k1", "k2", "least")
     repeated = materialize(repeated, "repeated-windows")
     found = windows.join(repeated, ["k1", "k2"]).filter("doc_id > least").groupBy("doc_id", "d1").agg(F.collect_set("pos").alias("marks"))
-    marked = open_.drop("anchors").join(found, ["doc_id", "d1"], "left").select("doc_id", "text", "marks")
-    done = marked.mapInArrow(_results(min_words, keep_text, True), schema)
+    marked = open_.drop("anchors").join(found, ["doc_id", "d1"], "left").select("doc_id", *carry, "text", "marks")
+    done = marked.mapInArrow(_results(min_words, keep_text, True, carry), schema)
     return ready.filter("anchors is null").drop("d1", "anchors", "text").unionByName(done)
