@@ -19,8 +19,8 @@ BANDS, ROWS = 32, 4
 LANES = BANDS * ROWS
 #: Pairs go on to their full sets if this share of the signature agrees: six standard deviations under 0.8.
 MARGIN = 0.8 - 6 * (0.8 * 0.2 / LANES) ** 0.5
-#: Members of a bucket that are compared with each other in one task, and partners each one has verified first.
-BLOCK_ROWS, FIRST_PARTNERS = 256, 4
+#: Documents of a block, two of which are compared with each other in one task, and shingles compared at once in it.
+BLOCK_ROWS, COLUMNS = 256, 4096
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,51 +101,103 @@ def _confirm(percent: int):
     return run
 
 
-def _across(limit: int | None):
-    """Pairs of one block pair of a bucket that are in different components and may be linked, best partners first."""
+def _rivals(x: pd.DataFrame) -> np.ndarray:
+    """Which pairs of a task's rows are in different components, are to meet here, and may be linked by their signatures."""
+    comp, own = x["component"].to_numpy(), x["own"].to_numpy()
+    sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, LANES)
+    open_ = comp[:, None] != comp[None, :]
+    if x["left"].iat[0] != x["right"].iat[0]:
+        open_ &= own[:, None] != own[None, :]
+    for i in np.flatnonzero(open_.any(axis=1)):
+        at = np.flatnonzero(open_[i])
+        open_[i, at] = (sig[at] == sig[i]).mean(axis=1) >= MARGIN
+    return open_
+
+
+def _needed(x: pd.DataFrame) -> pd.DataFrame:
+    return x.loc[_rivals(x).any(axis=1), ["lead", "left", "right", "doc_id", "component", "own", "sig"]]
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections. Shingles of one set alone are left out; the rest are columns of 0 and 1."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = times[column] > 1
+    row, column = row[kept], (np.cumsum(times > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def _across(percent: int):
+    """Links of a task's rows between different components: enough of them to join what belongs together."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("doc_id")
-        ids, comp, own = x["doc_id"].to_numpy(), x["component"].to_numpy(), x["own"].to_numpy()
-        sig = np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, LANES)
-        same_block = x["left"].iat[0] == x["right"].iat[0]
+        x = x.sort_values("doc_id", ignore_index=True)
+        sets = [np.frombuffer(b, np.uint64) for b in x["set"]]
+        sizes, common = np.array([len(s) for s in sets]), _common(sets)
+        linked = _rivals(x) & (100 * common >= percent * (sizes[:, None] + sizes[None, :] - common))
+        comp, ids = x["component"].to_numpy().copy(), x["doc_id"].to_numpy()
         a, b = [], []
-        for i in range(len(ids)):
-            open_ = (comp != comp[i]) & (ids != x["lead"].iat[0])
-            if not same_block:
-                open_ &= own != own[i]
-            if ids[i] == x["lead"].iat[0] or not open_.any():
-                continue
-            at = np.flatnonzero(open_)
-            alike = (sig[at] == sig[i]).mean(1)
-            best = np.argsort(-alike, kind="stable")[:limit]
-            best = at[best[alike[best] >= MARGIN]]
-            a += [ids[i]] * len(best)
-            b += ids[best].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)}).drop_duplicates()
+        for i, j in zip(*np.nonzero(np.triu(linked))):
+            if comp[i] != comp[j]:
+                a.append(ids[i])
+                b.append(ids[j])
+                comp[comp == comp[j]] = comp[i]
+        return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
 
     return run
 
 
-class _Links:
-    """Confirms pairs on signatures, then on full shingle sets of whole texts."""
+def _sets_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """Full shingle sets of the wanted doc_ids, from their whole texts; a doc_id of several texts gives a set for each."""
+    wanted = wanted.distinct().join(nodes.select("doc_id", "d1", "d2"), "doc_id")
+    found = texts.join(wanted, ["doc_id", "d1", "d2"]).select("doc_id", "text").mapInArrow(_sets(size), "doc_id long, set binary")
+    return materialize(found, "sets")
+
 
-    def __init__(self, texts: DataFrame, nodes: DataFrame, size: int, percent: int):
-        self.texts, self.nodes, self.size, self.percent = texts, nodes, size, percent
-        self.none = texts.sparkSession.createDataFrame([], "a long, b long")
+def _to_leads(texts: DataFrame, nodes: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between buckets' members and their smallest doc_id, confirmed on signatures, then on full sets."""
+    pairs = members.filter("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
+    sig = nodes.select("doc_id", "sig")
+    joined = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
+    likely = materialize(joined.mapInArrow(_agree, "a long, b long").distinct(), "likely-pairs")
+    sets = _sets_of(texts, nodes, likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))), size)
+    both = likely.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
+    return materialize(both.mapInArrow(_confirm(percent), "a long, b long").distinct(), "links")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        sig = self.nodes.select("doc_id", "sig")
-        joined = pairs.join(sig.withColumnsRenamed({"doc_id": "a", "sig": "sig_a"}), "a").join(sig.withColumnsRenamed({"doc_id": "b", "sig": "sig_b"}), "b")
-        likely = materialize(joined.mapInArrow(_agree, "a long, b long"), "likely-pairs")
-        if likely.isEmpty():
-            return self.none
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select(F.col("b").alias("doc_id"))).distinct()
-        # of rows with an equal text one is a node; a doc_id of several texts gives a set for each
-        wanted = wanted.join(self.nodes.select("doc_id", "d1", "d2"), "doc_id")
-        sets = materialize(self.texts.join(wanted, ["doc_id", "d1", "d2"]).select("doc_id", "text").mapInArrow(_sets(self.size), "doc_id long, set binary"), "sets")
-        both = likely.join(sets.withColumnsRenamed({"doc_id": "a", "set": "set_a"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "set_b"}), "b")
-        return materialize(both.mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "links")
+
+def _between_members(texts: DataFrame, nodes: DataFrame, members: DataFrame, components: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between buckets' members that the links to their leads leave in different components.
+
+    Buckets with the same lead are taken together, each document once. Documents outside the lead's component are dealt
+    to blocks, and these meet each other and the blocks of those inside, each pair of blocks in a task of its own: the
+    rows grow with the number inside times the blocks outside. Tasks return links, never pairs that are none.
+    """
+    labelled = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    leads = members.select("lead").distinct().join(components.withColumnRenamed("node", "lead"), "lead", "left").select("lead", F.coalesce("component", "lead").alias("home"))
+    labelled = materialize(labelled.join(materialize(leads, "homes"), "lead").withColumn("out", F.col("component") != F.col("home")), "labelled")
+    blocks_of = lambda n: F.ceil(F.sum(n) / BLOCK_ROWS).cast("int")
+    counts = labelled.groupBy("lead").agg(blocks_of(F.col("out").cast("int")).alias("outs"), blocks_of((~F.col("out")).cast("int")).alias("ins"))
+    # one document outside, and inside none but the lead: they have met
+    counts = counts.filter("outs > 0").join(labelled.groupBy("lead").agg(F.count("*").alias("n")).filter("n > 2"), "lead").drop("n")
+    block = labelled.join(materialize(counts, "blocks"), "lead")
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("doc_id"), F.col("outs"))).otherwise(F.col("outs") + F.pmod(F.xxhash64("doc_id"), F.greatest("ins", F.lit(1)))).cast("int")
+    others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outs") + F.col("ins") - 1)).otherwise(F.sequence(F.lit(0), F.col("outs") - 1))
+    block = block.withColumn("own", own).withColumn("other", F.explode(others))
+    block = block.select("lead", "doc_id", "component", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
+    block = block.join(nodes.dropDuplicates(["doc_id"]).select("doc_id", "sig"), "doc_id")
+    schema = "lead long, left int, right int, doc_id long, component long, own int, sig binary"
+    needed = materialize(block.groupBy("lead", "left", "right").applyInPandas(_needed, schema), "rivals")
+    sets = _sets_of(texts, nodes, needed.select("doc_id"), size)
+    met = needed.join(sets, "doc_id").groupBy("lead", "left", "right").applyInPandas(_across(percent), "a long, b long")
+    return materialize(met.distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -153,12 +205,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
     A-Z are lower-cased; words are `[^\\x20\\x09-\\x0D]+`. A text with fewer words than `size` is one shingle; one
     without words has none and is linked with nothing. Equal texts are one node. Each node's signature has LANES
-    universal hash minima; a band of them is a bucket's key. Links are sought in three steps, each confirmed on the
-    signatures and then on full sets: between a bucket's members and its smallest doc_id; then, in buckets that still
-    span several components, between each member and its likeliest partners in other components; then between all
-    pairs of such buckets that are still apart and whose signatures allow a link. So a bucket costs as many pairs as
-    it has members, and only pairs that are near the limit, and not joined through others, are compared one by one.
-    The buckets' members are compared in blocks of BLOCK_ROWS, many tasks for a large bucket.
+    universal hash minima; a band of them is a bucket's key. Links are sought between a bucket's members and its smallest
+    doc_id, confirmed on the signatures and then on full sets; then between all members that this leaves in different
+    components, in blocks of BLOCK_ROWS by BLOCK_ROWS, again on signatures and full sets. So a group that is joined
+    through its first document costs as many pairs as it has members, and no bucket meets in one task.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (doc_id = component_id). Rows
     that repeat a doc_id are one document to the components. A row with a null doc_id is linked with nothing: its
@@ -175,31 +225,15 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     nodes = materialize(table.join(firsts, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]), "nodes")
 
     banded = nodes.select("doc_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    buckets = materialize(buckets.filter("lead < most").select("key", "lead", "n"), "buckets")
-    members = materialize(banded.join(buckets, "key"), "members")
+    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("most"))
+    buckets = materialize(buckets.filter("lead < most").select("key", "lead"), "buckets")
+    members = materialize(banded.join(buckets, "key").select("lead", "doc_id").distinct(), "members")
 
-    links = _Links(rows, nodes, size, percent)
-    edges = links.confirmed(members.filter("doc_id != lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct())
+    edges = _to_leads(rows, nodes, members, size, percent)
     components = materialize(connected_components(edges), "components")
-    wide = members.filter("n > 2")
-    for limit in (FIRST_PARTNERS, None):
-        labelled = wide.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        apart = materialize(apart, "open-buckets")
-        if apart.isEmpty():
-            break
-        count = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-        block = labelled.join(apart, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), count).cast("int"))
-        block = block.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        block = block.select("key", "lead", "doc_id", "component", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-        block = block.join(nodes.dropDuplicates(["doc_id"]).select("doc_id", "sig"), "doc_id")
-        pairs = block.groupBy("key", "left", "right").applyInPandas(_across(limit), "a long, b long").distinct()
-        more = links.confirmed(pairs)
-        if more.isEmpty() and limit is None:
-            break
-        edges = edges.unionByName(more)
-        components = materialize(connected_components(edges), "components")
+    more = _between_members(rows, nodes, members, components, size, percent)
+    if not more.isEmpty():
+        components = materialize(connected_components(edges.unionByName(more)), "components")
 
     # copies take the component of the first of them; a doc_id of several texts brings their components together
     named = firsts.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component"))
