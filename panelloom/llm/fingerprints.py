@@ -9,8 +9,8 @@ from .common import materialize, range_index, splits_of, text_or_empty
 
 
 def canonical(text: Column) -> Column:
-    """Canonical composition (NFC), full case folding, and every run of white space as one space, none at the ends."""
-    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    """Canonical composition (NFC), full case folding, and every run of white space as one space, none at the ends; null: empty."""
+    composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False))
     folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
     return F.trim(F.regexp_replace(folded, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " "))
 
@@ -20,67 +20,88 @@ def wide_hash(text: Column, lanes: int = 2) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), text)), 16, "0") for i in range(lanes)]))
 
 
-def next_documents(docs: DataFrame, rows_per_range: int = 2000, most_ranges: int = 50_000, lanes: int = 2) -> DataFrame:
-    """Each row's text with the text of the next row by descending doc_id (after the last, the first).
+def _digests(told) -> list[Column]:
+    """The result columns of a row with text, hash, next_text and next_hash."""
+    text, n = F.col("text"), F.char_length("text")
+    kept = text.substr(F.lit(1), (n - F.floor(n / 3)).cast("int"))
+    edited = F.concat(kept, F.col("next_text").substr(F.lit(1), F.floor(n / 3).cast("int")))
+    canon = canonical(edited)
+    mine, theirs = told(F.col("hash"), text), told(wide_hash(canon), edited)
+    alike = F.when(mine == theirs, canonical(text) == canon).otherwise(False)
+    return [
+        n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), mine.alias("fingerprint"), theirs.alias("edited_fingerprint"),
+        alike.cast("double").alias("near_edited"), (mine == told(F.col("next_hash"), F.col("next_text"))).cast("double").alias("near_next"),
+    ]
 
-    Rows are exchanged once, into ranges of doc_id that grow in number with the table; only the first text of each
-    range goes to the range before it. Null doc_ids come last; equal ones are ordered by a hash of their text.
-    Columns: doc_id, text (null: empty), hash, next_text, next_hash; the hashes are of the canonical texts.
+
+def _with_next(rows: DataFrame, columns: list[Column], rows_per_range: int = 2000, most_ranges: int = 50_000) -> DataFrame:
+    """doc_id and `columns` of each row (doc_id, text, hash) and its next_text and next_hash.
+
+    The next row is that of the next smaller doc_id; after the last comes the first. Rows are exchanged once, into
+    ranges of doc_id that grow in number with the table; only the first text of each range goes to the range before.
+    Null doc_ids come last; equal ones are ordered by a hash of their text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     n = rows.select("doc_id").count()
     cuts = splits_of(rows, "doc_id", min(most_ranges, -(-n // rows_per_range)))
-    rows = rows.withColumn("hash", wide_hash(canonical(F.col("text")), lanes))
-    part = F.coalesce(range_index(F.col("doc_id"), cuts), F.lit(-1))
     within = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    lead = F.lead(F.struct("text", "hash")).over(within).alias("_lead")
-    rows = rows.withColumn("_part", part).select("*", lead, F.row_number().over(within).alias("_at"))
-    rows = materialize(rows, "next-docs")
-    heads = rows.filter("_at = 1").select("_part", F.struct("text", "hash").alias("_head"))
+    lead = F.lead(F.struct("text", "hash")).over(within)
+    rows = rows.withColumn("_part", F.coalesce(range_index(F.col("doc_id"), cuts), F.lit(-1)))
+    rows = rows.select("*", lead.alias("_lead"), (F.row_number().over(within) == 1).alias("_first"))
+    rows = rows.withColumns({"next_text": F.col("_lead.text"), "next_hash": F.col("_lead.hash"), "_last": F.col("_lead").isNull()})
+    # a range's first and last rows keep their texts, to be joined with their neighbours'
+    own = F.when(F.col("_first") | F.col("_last"), F.struct("text", "hash")).alias("_own")
+    done = materialize(rows.select("doc_id", *columns, "_part", "_first", "_last", own), "next-docs")
+    heads = done.filter("_first").select("_part", F.col("_own").alias("_head"))
     # which range follows which: one integer a range
     present = heads.select("_part").withColumn("_of", F.lead("_part").over(Window.orderBy(F.desc("_part"))))
     top = heads.agg(F.max("_part")).first()[0]
     follows = present.select("_part", F.coalesce("_of", F.lit(top)).alias("_of"))
     nexts = follows.join(heads.withColumnRenamed("_part", "_of"), "_of").select("_part", "_head")
-    last = rows.filter("_lead is null").drop("_lead").join(nexts.withColumnRenamed("_head", "_lead"), "_part")
-    return (
-        rows.filter("_lead is not null")
-        .unionByName(last)
-        .select("doc_id", "text", "hash", F.col("_lead.text").alias("next_text"), F.col("_lead.hash").alias("next_hash"))
-    )
+    ends = done.filter("_last").select("doc_id", "_own.text", "_own.hash", "_part").join(nexts, "_part")
+    ends = ends.withColumns({"next_text": F.col("_head.text"), "next_hash": F.col("_head.hash")}).select("doc_id", *columns)
+    return done.filter("not _last").drop("_part", "_first", "_last", "_own").unionByName(ends)
 
 
-def clashes(prints: DataFrame) -> DataFrame:
-    """Fingerprints whose equal bucket holds different canonical bytes. prints: fingerprint, canon.
+def clashes(rows: DataFrame, words: int = 1 << 17) -> DataFrame:
+    """Hashes whose bucket holds different canonical bytes. rows: text, hash.
 
-    The least and greatest text of each bucket are compared byte by byte; both are kept by partial aggregation, so a
-    bucket of copies costs one row a task.
+    Only texts whose hash occurs twice are compared. They are picked by 64 bits for each of `words` hash values, a
+    broadcast of at most that many rows; where these are too few they let more texts through, never less. The least and
+    greatest canonical text of a bucket are compared byte by byte; partial aggregation keeps both, so that a bucket of
+    copies costs two texts a task.
     """
-    bounds = prints.groupBy("fingerprint").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
-    return bounds.filter("least != most").select("fingerprint")
+    again = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    key = F.xxhash64("hash")
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(hash), 32), 64) as int))")
+    bits = again.groupBy(F.pmod(key, F.lit(words)).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    picked = rows.withColumn("_word", F.pmod(key, F.lit(words))).join(F.broadcast(bits), "_word").filter(bit.bitwiseAND(F.col("_bits")) != 0)
+    bounds = picked.select("hash", canonical(F.col("text")).alias("canon")).groupBy("hash").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    return bounds.filter("least != most").select("hash")
 
 
-def fingerprint(docs: DataFrame, lanes: int = 2) -> DataFrame:
-    """Each row's doc_id, canon and fingerprint; equal fingerprints have equal canonical bytes.
-
-    Texts that differ in canonical form and yet share the wide hash get 512 bits of SHA-2 after it.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), canonical(text_or_empty()).alias("canon"))
-    rows = rows.withColumn("fingerprint", wide_hash(F.col("canon"), lanes))
-    return rows.withColumn("fingerprint", _told_apart(rows.select("fingerprint", "canon"))(F.col("fingerprint"), F.col("canon")))
+def hashed(docs: DataFrame, lanes: int = 2) -> DataFrame:
+    """doc_id, text (null: empty) and the wide hash of its canonical form."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.withColumn("hash", wide_hash(canonical(F.col("text")), lanes))
 
 
-def _told_apart(prints: DataFrame):
-    """A function from (hash, canon) to fingerprint. Clashing 128-bit hashes are next to none: they are counted, then listed."""
-    clashing = [r[0] for r in clashes(prints).limit(10_001).collect()]
-    if len(clashing) > 10_000:
-        raise ValueError("more than 10,000 clashing hashes; use more lanes")
+def _told_apart(rows: DataFrame, most: int = 10_000):
+    """A function from (hash, text) to fingerprint: the hash, and 512 bits of SHA-2 where the hash stands for several texts."""
+    clashing = [r[0] for r in clashes(rows).limit(most + 1).collect()]
+    if len(clashing) > most:
+        raise ValueError(f"more than {most} clashing hashes; use more lanes")
     if not clashing:
-        return lambda h, canon: h
-    return lambda h, canon: F.when(h.isin(clashing), F.concat(h, F.sha2(canon, 512))).otherwise(h)
+        return lambda h, text: h
+    return lambda h, text: F.when(h.isin(clashing), F.concat(h, F.sha2(canonical(text), 512))).otherwise(h)
+
+
+def fingerprint(docs: DataFrame, lanes: int = 2) -> DataFrame:
+    """Each row's doc_id and fingerprint. Equal fingerprints have equal canonical bytes, and the other way round."""
+    rows = hashed(docs, lanes)
+    return rows.select("doc_id", _told_apart(rows)(F.col("hash"), F.col("text")).alias("fingerprint"))
 
 
-def fingerprint_with_edits(docs: DataFrame, lanes: int = 2) -> DataFrame:
+def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and how like they are.
 
     The edited text has the last floor(n_chars/3) code points replaced by the first as many of the next document. The
@@ -90,21 +111,5 @@ def fingerprint_with_edits(docs: DataFrame, lanes: int = 2) -> DataFrame:
     An empty table gives no rows; other columns are ignored. Texts that differ only in case, white space or the
     composition of accents share a fingerprint.
     """
-    rows = next_documents(docs, lanes=lanes)
-    n = F.char_length("text")
-    kept = F.col("text").substr(F.lit(1), (n - F.floor(n / 3)).cast("int"))
-    rows = rows.withColumns({"n_chars": n.cast("long"), "edited": F.concat(kept, F.col("next_text").substr(F.lit(1), F.floor(n / 3).cast("int")))})
-    rows = rows.withColumn("edited_canon", canonical(F.col("edited")))
-    rows = rows.withColumn("edited_hash", wide_hash(F.col("edited_canon"), lanes))
-    # equal hashes are equal bytes, or their texts get a longer digest
-    texts = docs.select(canonical(text_or_empty()).alias("canon")).select(wide_hash(F.col("canon"), lanes).alias("fingerprint"), "canon")
-    told = _told_apart(texts)
-    out = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), told(F.col("hash"), canonical(F.col("text"))).alias("fingerprint"),
-        told(F.col("edited_hash"), F.col("edited_canon")).alias("edited_fingerprint"), told(F.col("next_hash"), canonical(F.col("next_text"))).alias("_next"),
-        F.when(F.col("hash") == F.col("edited_hash"), canonical(F.col("text")) == F.col("edited_canon")).otherwise(False).alias("_same"),
-    )
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        F.col("_same").cast("double").alias("near_edited"), (F.col("fingerprint") == F.col("_next")).cast("double").alias("near_next"),
-    )
+    rows = hashed(docs)
+    return _with_next(rows, _digests(_told_apart(rows)))
