@@ -44,10 +44,8 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 0, date: str
     kept = rows.groupBy("digest").agg(F.max("page_id").alias("response_id"))
     kept.write.parquet(f"{path}/responses")
     kept = pages.sparkSession.read.schema(kept.schema).parquet(f"{path}/responses")
-    # a payload is stored from its response's row, found by the unique page_id, so no copies meet in one task
-    first = kept.withColumn("page_id", F.col("response_id")).join(rows, ["page_id", "digest"]).select("digest", "payload")
-    orphans = kept.filter("response_id is null").join(rows, "digest").select("digest", "payload")
-    stored = first.unionByName(orphans).dropDuplicates(["digest"])
+    # a payload is exchanged once: each task brings one copy of those it holds
+    stored = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
     stored.withColumn("length", F.octet_length("payload").cast("long")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     light = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"), base32_of_sha1(F.sha1("payload")).alias("sha1"))
