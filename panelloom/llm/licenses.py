@@ -137,7 +137,7 @@ tw as (select template_id, template, {words('t')} as w from templates),
 ts as (select distinct template_id, template, {run} as shingle from (select *, unnest(range(0, len(w) - {SHINGLE - 1})) as i from tw)),
 tn as (select *, count(*) over (partition by template_id) as n_shingles from ts),
 dw as (select doc_id, {words("coalesce(text, '')")} as w from documents where doc_id is not null),
-ds as (select doc_id, i as at, {run} as shingle from (select *, unnest(range(0, len(w) - {SHINGLE - 1})) as i from dw)),
-hits as (select doc_id, template_id, template, n_shingles, shingle, min(at) as at from ds join tn using (shingle) group by all)
-select doc_id, template_id, template, n_shingles, count(*) as n_found, min(at) as first_word, round(count(*) / n_shingles, 6) as containment
+ds as (select doc_id, i as pos, {run} as shingle from (select *, unnest(range(0, len(w) - {SHINGLE - 1})) as i from dw)),
+hits as (select doc_id, template_id, template, n_shingles, shingle, min(pos) as pos from ds join tn using (shingle) group by all)
+select doc_id, template_id, template, n_shingles, count(*) as n_found, min(pos) as first_word, round(count(*) / n_shingles, 6) as containment
 from hits group by doc_id, template_id, template, n_shingles having count(*) * 100 >= n_shingles * {PERCENT}"""
