@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelloom.operators.asof import keep_last
 
 #: The parts of a filings document that are read.
-FACTS = "struct<cik: long, facts: map<string, map<string, struct<units: map<string, array<struct<`end`: string, start: string, val: double, filed: string, form: string>>>>>>"
+FACTS = "struct<cik: long, facts: map<string, map<string, struct<units: map<string, array<struct<`end`: string, start: string, val: double, filed: string, form: string>>>>>>>"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -18,7 +18,8 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def wide_block(block: DataFrame, field: str, date: str = "date") -> DataFrame:
     """A date-by-instrument block in long form: date, instrument, and the field; negative numbers are missing."""
     names = [c for c in block.columns if c != date]
-    long = block.select(F.col(date).cast("date").alias("date"), *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot("date", names, "instrument", field)
+    quoted = [F.col(f"`{c}`") for c in names]
+    long = block.select(F.col(date).cast("date").alias("date"), *[q.cast("double").alias(c) for q, c in zip(quoted, names)]).unpivot("date", quoted, "instrument", field)
     return long.withColumn(field, F.when(F.col(field) >= 0, F.col(field))).dropna(subset=[field])
 
 
