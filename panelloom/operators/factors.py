@@ -169,6 +169,59 @@ def drawdowns(df: DataFrame) -> DataFrame:
     return df.withColumn("cand_drawdown_duration", F.sum(F.when(under, 1.0).otherwise(0.0)).over(run)).drop("_dd", "_island")
 
 
+def directions(df: DataFrame) -> DataFrame:
+    """Choppiness, directional movement, breaks of trend, time since highs, and slopes of averages."""
+    C, R, _, V = _columns()
+    h, lo, before = F.col("high"), F.col("low"), lag("close")
+    up, down = h - lag("high"), lag("low") - lo
+    df = df.withColumns({
+        "_tr": F.greatest(h - lo, F.abs(h - before), F.abs(lo - before)), "_up": F.when((up > down) & (up > 0), up).otherwise(0.0), "_down": F.when((down > up) & (down > 0), down).otherwise(0.0),
+        "_side": F.signum(mean(C, 10, 5) - mean(C, 50, 25)), "_ma": mean(C, 200, 100), "_lv": F.log(F.greatest(V, F.lit(1.0))), "_hi": high(C, 252, 126), "_dd": C / F.max(C).over(running()) - 1, "_k": kurt(R, 63, 21),
+    })
+    plus, minus = mean("_up", 14, 7) / (mean("_tr", 14, 7) + EPS), mean("_down", 14, 7) / (mean("_tr", 14, 7) + EPS)
+    spread = high(h, 14, 7) - low(lo, 14, 7)
+    df = df.withColumns({
+        "cand_choppiness_14d": 100 * F.log10(total("_tr", 14, 7) / (spread + EPS)) / F.log10(F.lit(14.0)), "_dx": F.abs(plus - minus) / (plus + minus + EPS), "_turn": flag(F.col("_side") != lag("_side")),
+        "_ma_t": F.when(F.count("_ma").over(last_rows(63)) >= 32, F.regr_slope(F.col("_ma"), F.col("t")).over(last_rows(63))), "_lvd": F.col("_lv") - mean("_lv", 63, 21), "cand_kurt_change_63d": F.col("_k") - lag("_k", 21),
+        "_fresh": F.sum(F.when(F.coalesce(C >= 0.995 * F.col("_hi"), F.lit(True)), 1).otherwise(0)).over(running()), "_isle": F.sum(F.when(F.col("_dd") < -0.005, 0).otherwise(1)).over(running()),
+    })
+    island = lambda c: Window.partitionBy("instrument", c).orderBy("date")
+    df = df.withColumns({
+        "cand_adx_proxy_14d": mean("_dx", 14, 7), "cand_trend_break_63d": total("_turn", 63, 21), "ma_200_slope": F.col("_ma_t") / (F.avg(F.abs("_ma")).over(last_rows(63)) + 1e-10), "volume_trend": mean("_lvd", 21, 10),
+        "cand_time_since_high_252d": F.when(F.col("_fresh") > 0, (F.row_number().over(island("_fresh")) - 1).cast("double")), "_dur": F.sum(F.when(F.col("_dd") < -0.005, 1.0).otherwise(0.0)).over(island("_isle")),
+    })
+    df = df.withColumn("cand_drawdown_depth_speed", low("_dd", 21, 10) / F.greatest(high("_dur", 21, 10), F.lit(1.0)))
+    return df.drop("_tr", "_up", "_down", "_side", "_ma", "_lv", "_hi", "_dd", "_k", "_dx", "_turn", "_ma_t", "_lvd", "_fresh", "_isle", "_dur")
+
+
+def shapes(df: DataFrame) -> DataFrame:
+    """Jumps, asymmetries, spreads, shortfalls and products of features."""
+    C, R, _, V = _columns()
+    o, h, lo, before = F.col("open"), F.col("high"), F.col("low"), lag("close")
+    up, down = F.when(R.isNotNull(), F.greatest(R, F.lit(0.0))), F.when(R.isNotNull(), F.greatest(-R, F.lit(0.0)))
+    gap = o / (before + EPS) - 1
+    wide = F.log(h / lo)
+    both = F.log(F.greatest(h, lag("high")) / F.least(lo, lag("low")))
+    df = df.withColumns({
+        "_jump": flag(F.abs(R) > 3 * std(R, 63, 21)), "_s21": std(R, 21, 7), "_s63": std(R, 63, 21), "_r21": change("close", 21), "_r252": change("close", 252), "_v21": mean(V, 21, 10), "_gs": F.signum(gap), "_r1": lag("r"),
+        "_cut": quantile(R, 0.1, 126, 42), "_w": F.collect_list("r").over(last_rows(126)), "_imp": F.abs(R) / F.sqrt(F.greatest(V, F.lit(1.0))), "_beta": wide * wide + F.pow(F.log(lag("high") / lag("low")), 2), "_gamma": both * both, "_dv": mean(C * V, 21, 10),
+    })
+    k = 3 - 2 * F.sqrt(F.lit(2.0))
+    alpha = F.greatest((F.sqrt(2 * F.col("_beta")) - F.sqrt("_beta")) / k - F.sqrt(F.col("_gamma") / k), F.lit(0.0))
+    df = df.withColumns({"_gs1": lag("_gs"), "_spread": 2 * (F.exp(alpha) - 1) / (1 + F.exp(alpha)), "_auto": corr("r", "_r1", 21, 10), "_dv21": F.col("_v21") - lag("_v21", 21)})
+    worst = F.filter("_w", lambda x: x <= F.col("_cut"))
+    falls, rises = F.when(R < 0, F.col("_imp")), F.when(R > 0, F.col("_imp"))
+    part = lambda x: F.when(F.count(x).over(last_rows(21)) >= 5, F.avg(x).over(last_rows(21)))
+    calm = flag(F.col("_s21") < 0.85 * F.col("_s63"))
+    same = F.signum("_r21") == F.signum("_dv21")
+    return df.withColumns({
+        "cand_jump_intensity_63d": total("_jump", 63, 21), "cand_vol_asymmetry_63d": (std(up, 63, 21) - std(down, 63, 21)) / (std(up, 63, 21) + std(down, 63, 21) + EPS), "cand_vol_price_divergence": F.when(same, 0.0).otherwise(1.0),
+        "cand_gap_persistence_21d": corr("_gs", "_gs1", 20, 10), "cand_expected_shortfall_mom": F.when(F.col("_cut").isNotNull(), F.aggregate(worst, F.lit(0.0), lambda a, x: a + x) / F.size(worst)), "cand_mom_vol_interaction": F.col("_r252") * calm,
+        "cand_corwin_schultz_21d": mean("_spread", 21, 10), "cand_roll_spread_21d": F.sqrt(F.greatest(-2 * F.coalesce("_auto", F.lit(0.0)) * F.coalesce(F.var_pop(R).over(last_rows(21)), F.lit(0.0)), F.lit(0.0))), "cand_price_impact_asym_21d": part(falls) / (part(rises) + EPS),
+        "reversal_size": -F.col("_r21") * F.log1p(F.greatest("_dv", F.lit(1e3))), "cand_mom_x_vol_regime": F.coalesce("_r252", F.lit(0.0)) * F.coalesce(F.col("_s21") / (F.col("_s63") + EPS), F.lit(0.0)), "cand_gap_x_volume": F.coalesce(gap, F.lit(0.0)) * F.coalesce(V / (F.col("_v21") + EPS), F.lit(0.0)),
+    }).drop("_jump", "_s21", "_s63", "_r21", "_r252", "_v21", "_gs", "_r1", "_cut", "_w", "_imp", "_beta", "_gamma", "_dv", "_gs1", "_spread", "_auto", "_dv21")
+
+
 def seasonality(month_end: DataFrame) -> DataFrame:
     """Same-calendar-month returns of earlier years, by a join on the year, and calendar flags of month-end rows."""
     C, _, _, _ = _columns()
@@ -184,4 +237,4 @@ def seasonality(month_end: DataFrame) -> DataFrame:
     return keyed.withColumns({"ret_same_month_avg": average} | flags).drop("y", "mo")
 
 
-FAMILIES = {f.__name__: f for f in (momentum, volatility, tails, trend, liquidity, market_beta, co_skewness, microstructure, time_signals, paths, volume_price, drawdowns)}
+FAMILIES = {f.__name__: f for f in (momentum, volatility, tails, trend, liquidity, market_beta, co_skewness, microstructure, time_signals, paths, volume_price, drawdowns, directions, shapes)}

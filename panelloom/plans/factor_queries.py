@@ -144,6 +144,43 @@ ORACLES = {
             "cand_pain_index_63d": q.avg("_dd", 63, 21), "cand_drawdown_duration": "sum(case when _u then 1.0 else 0.0 end) over (partition by instrument, _i order by date)::double",
         },
     ),
+    "factor_directions": q.staged(
+        {
+            "_tr": f"case when t > 1 then greatest(high - low, abs(high - {q.lag('close')}), abs(low - {q.lag('close')})) else high - low end", "_u0": f"high - {q.lag('high')}", "_d0": f"{q.lag('low')} - low", "_side": f"sign({q.avg('close', 10, 5)} - {q.avg('close', 50, 25)})", "_ma": q.avg("close", 200, 100),
+            "_lv": "ln(greatest(volume, 1))", "_hi": q.roll("max", "close", 252, 126), "_dd": f"close / max(close) over {q.RUN} - 1", "_k": q.moment("kurtosis", "r", 63, 21),
+        },
+        {"_up": "case when _u0 > _d0 and _u0 > 0 then _u0 else 0.0 end", "_down": "case when _d0 > _u0 and _d0 > 0 then _d0 else 0.0 end"},
+        {"_p": f"{q.avg('_up', 14, 7)} / ({q.avg('_tr', 14, 7)} + {E})", "_m": f"{q.avg('_down', 14, 7)} / ({q.avg('_tr', 14, 7)} + {E})"},
+        {
+            "cand_choppiness_14d": f"100 * log10({q.tot('_tr', 14, 7)} / ({q.roll('max', 'high', 14, 7)} - {q.roll('min', 'low', 14, 7)} + {E})) / log10(14)", "_dx": f"abs(_p - _m) / (_p + _m + {E})", "_turn": q.flag(f"_side <> {q.lag('_side')}"),
+            "_mt": f"case when count(_ma) over {sp(63)} >= 32 then regr_slope(_ma, t) over {sp(63)} end", "_lvd": f"_lv - {q.avg('_lv', 63, 21)}", "cand_kurt_change_63d": f"_k - {q.lag('_k', 21)}",
+            "_fresh": f"sum(case when coalesce(close >= 0.995 * _hi, true) then 1 else 0 end) over {q.RUN}", "_isle": f"sum(case when _dd < -0.005 then 0 else 1 end) over {q.RUN}",
+        },
+        {
+            "cand_adx_proxy_14d": q.avg("_dx", 14, 7), "cand_trend_break_63d": q.tot("_turn", 63, 21), "ma_200_slope": f"_mt / (avg(abs(_ma)) over {sp(63)} + 1e-10)", "volume_trend": q.avg("_lvd", 21, 10),
+            "cand_time_since_high_252d": "case when _fresh > 0 then (row_number() over (partition by instrument, _fresh order by date) - 1)::double end", "_dur": "sum(case when _dd < -0.005 then 1.0 else 0.0 end) over (partition by instrument, _isle order by date)::double",
+        },
+        {"cand_drawdown_depth_speed": f"{q.roll('min', '_dd', 21, 10)} / greatest({q.roll('max', '_dur', 21, 10)}, 1)"},
+    ),
+    "factor_shapes": q.staged(
+        {
+            "_s21": q.std("r", 21, 7), "_s63": q.std("r", 63, 21), "_r21": q.change(21), "_r252": q.change(252), "_v21": q.avg("volume", 21, 10), "_gap": f"open / ({q.lag('close')} + {E}) - 1", "_r1": q.lag("r"), "_cut": q.roll("quantile_cont(X, 0.1)", "r", 126, 42),
+            "_w": f"list(r) filter (where r is not null) over {sp(126)}", "_imp": "abs(r) / sqrt(greatest(volume, 1))", "_beta": f"pow(ln(high / low), 2) + pow(ln({q.lag('high')} / {q.lag('low')}), 2)",
+            "_gamma": f"pow(ln(greatest(high, {q.lag('high')}) / least(low, {q.lag('low')})), 2)", "_dv": q.avg("close * volume", 21, 10), "_vp": f"var_pop(r) over {sp(21)}",
+        },
+        {
+            "_jump": q.flag("abs(r) > 3 * _s63"), "_gs": "sign(_gap)", "_alpha": "greatest((sqrt(2 * _beta) - sqrt(_beta)) / (3 - 2 * sqrt(2)) - sqrt(_gamma / (3 - 2 * sqrt(2))), case when _beta is not null then 0 end)", "_auto": q.corr("r", "_r1", 21, 10),
+            "_dv21": f"_v21 - {q.lag('_v21', 21)}", "_fall": "case when r < 0 then _imp end", "_rise": "case when r > 0 then _imp end",
+        },
+        {"_gs1": q.lag("_gs"), "_spread": "case when _alpha is null then 0.0 else 2 * (exp(_alpha) - 1) / (1 + exp(_alpha)) end"},
+        {
+            "cand_jump_intensity_63d": q.tot("_jump", 63, 21), "cand_vol_asymmetry_63d": f"({q.std(up, 63, 21)} - {q.std(dn, 63, 21)}) / ({q.std(up, 63, 21)} + {q.std(dn, 63, 21)} + {E})", "cand_vol_price_divergence": "case when sign(_r21) = sign(_dv21) then 0.0 else 1.0 end::double",
+            "cand_gap_persistence_21d": q.corr("_gs", "_gs1", 20, 10), "cand_expected_shortfall_mom": "case when _cut is not null then list_avg(list_filter(_w, lambda x: x <= _cut)) end", "cand_mom_vol_interaction": f"_r252 * {q.flag('_s21 < 0.85 * _s63')}",
+            "cand_corwin_schultz_21d": q.avg("_spread", 21, 10), "cand_roll_spread_21d": "sqrt(greatest(-2 * coalesce(_auto, 0) * coalesce(_vp, 0), 0))",
+            "cand_price_impact_asym_21d": f"case when count(_fall) over {sp(21)} >= 5 then avg(_fall) over {sp(21)} end / (case when count(_rise) over {sp(21)} >= 5 then avg(_rise) over {sp(21)} end + {E})", "reversal_size": "-_r21 * ln(1 + greatest(_dv, 1e3))",
+            "cand_mom_x_vol_regime": f"coalesce(_r252, 0) * coalesce(_s21 / (_s63 + {E}), 0)", "cand_gap_x_volume": f"coalesce(_gap, 0) * coalesce(volume / (_v21 + {E}), 0)",
+        },
+    ),
     "factor_seasonality": f"""with {q.BARS}, {q.MONTH_ENDS},
 rets as (select instrument, date, month, close / lag(close) over (partition by instrument order by month) - 1 as ret_1m from ends)
 select a.instrument, a.date, a.month, round(a.ret_1m, 6) as ret_1m, round(b.ret_1m, 6) as ret_same_month_1y, round(c.ret_1m, 6) as ret_same_month_2y,
