@@ -115,3 +115,41 @@ def block_bootstrap(series: DataFrame, x: str, sims: int, block: int, a: int = 7
     draws = series.sparkSession.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     at = (F.col("sim") * a + F.floor(F.col("i") / block) * b + F.col("i") % block) % n
     return draws.withColumn("at", at).join(F.broadcast(numbered), "at").groupBy("sim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+
+
+def overlay(book: DataFrame, picks: DataFrame, extra: float = 0.01) -> DataFrame:
+    """Adds pitch_w: the picks' weights raised by `extra` each, all others scaled down to make room."""
+    rows = book.join(picks.select("month", "instrument", F.lit(True).alias("_pick")), ["month", "instrument"], "left").withColumn("_pick", F.coalesce("_pick", F.lit(False)))
+    raised = F.col("bench_w") + F.when(F.col("_pick"), extra).otherwise(0.0)
+    room = 1 - F.sum(F.when(F.col("_pick"), raised).otherwise(0.0)).over(_month())
+    rest = F.sum(F.when(F.col("_pick"), 0.0).otherwise(F.col("bench_w"))).over(_month())
+    return rows.withColumn("pitch_w", F.when(F.col("_pick"), raised).otherwise(F.when(rest > 0, F.col("bench_w") * F.greatest(room, F.lit(0.0)) / rest).otherwise(0.0))).drop("_pick")
+
+
+def against_benchmark(bt: DataFrame) -> DataFrame:
+    """beta, alpha (monthly), corr and months of portfolio returns on the benchmark's."""
+    spread = F.var_samp("bench_ret")
+    beta = F.when(spread > 0, F.covar_samp("port_ret", "bench_ret") / spread)
+    both = F.stddev_pop("port_ret") * F.stddev_pop("bench_ret")
+    out = bt.agg(F.count("*").alias("months"), beta.alias("beta"), F.avg("port_ret").alias("_p"), F.avg("bench_ret").alias("_b"), F.when(both > 1e-15, F.covar_pop("port_ret", "bench_ret") / both).alias("corr"))
+    return out.withColumn("alpha", F.col("_p") - F.col("beta") * F.col("_b")).drop("_p", "_b")
+
+
+def paired_difference(a: DataFrame, b: DataFrame, x: str = "active_ret") -> DataFrame:
+    """n, mean, t of the differences of two strategies' months."""
+    d = a.select("month", F.col(x).alias("a")).join(b.select("month", F.col(x).alias("b")), "month").select((F.col("a") - F.col("b")).alias("d"))
+    out = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("_s"))
+    return out.withColumn("t", F.when(F.col("_s") > 1e-15, F.col("mean") / F.col("_s") * F.sqrt("n"))).drop("_s")
+
+
+def regime_of(series: DataFrame, x: str, until: str, low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
+    """month, x, stress (share of the training months at or under it) and regime calm, normal or stress.
+
+    One row a month: the training months, up to `until`, are compared with every month through a join on a range.
+    """
+    train = series.filter(F.col("month") <= F.lit(until).cast("date")).select(F.col(x).alias("_t")).dropna()
+    n = train.agg(F.count("*").alias("_n"))
+    counts = series.select("month", x).join(F.broadcast(train), F.col("_t") <= F.col(x), "left").groupBy("month", x).agg(F.count("_t").alias("_c"))
+    share = F.col("_c") / F.col("_n")
+    out = counts.join(F.broadcast(n), F.col("_n") > 0).withColumn("stress", F.when(F.col(x).isNotNull(), share))
+    return out.select("month", x, "stress", F.when(F.col("stress") < low, "calm").when(F.col("stress") > high, "stress").when(F.col("stress").isNotNull(), "normal").alias("regime"))

@@ -128,3 +128,32 @@ def step_up(tests: DataFrame, level: float, any_dependence: bool = True) -> Data
     above = Window.orderBy("rank").rowsBetween(0, Window.unboundedFollowing)
     adjusted = F.least(F.min(F.col("p") * F.col("_m") * F.col("_c") / F.col("rank")).over(above), F.lit(1.0))
     return ranked.withColumns({"adjusted": adjusted, "rejected": F.coalesce(F.col("rank") <= F.col("_last"), F.lit(False))}).drop("_m", "_c", "_last")
+
+
+def rank_persistence(long: DataFrame, lags: list[int], least: int = 20) -> DataFrame:
+    """factor, lag, rho, n_months: mean rank correlation of a factor with itself `lag` months on."""
+    numbered = month_number(long.filter("value is not null")).select("factor", "instrument", "k", "month", "value")
+    later = numbered.select("factor", "instrument", "k", F.col("value").alias("later"))
+    pairs = numbered.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("k", F.col("k") + F.col("lag")).join(later, ["factor", "instrument", "k"])
+    ranked = pairs.withColumns({"value": average_rank(F.col("value"), "factor", "lag", "month"), "later": average_rank(F.col("later"), "factor", "lag", "month")})
+    rho = ranked.groupBy("factor", "lag", "month").agg(_corr("value", "later", least).alias("rho")).filter("rho is not null")
+    return rho.groupBy("factor", "lag").agg(F.avg("rho").alias("rho"), F.count("*").alias("n_months"))
+
+
+def permutation_test(long: DataFrame, sims: int = 100, least: int = 20) -> DataFrame:
+    """factor, ic_mean, p: two-sided share of shuffles, within months, whose mean IC is at least as large.
+
+    A shuffle gives each row the return of the row at its place in an order by hash. Ranks are made once; a shuffle is
+    one window over (factor, month, simulation), so all run at once in tasks of a month's rows each.
+    """
+    rows = _complete(long).withColumns({"a": average_rank(F.col("value"), "factor", "month"), "b": average_rank(F.col("fwd_ret_1m"), "factor", "month")})
+    place = F.row_number().over(Window.partitionBy("factor", "month").orderBy("instrument"))
+    rows = rows.select("factor", "month", "instrument", "a", "b", place.alias("place"))
+    drawn = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims))))
+    order = Window.partitionBy("factor", "month", "sim").orderBy(F.xxhash64("sim", "month", "instrument"), "instrument")
+    moved = drawn.withColumn("to", F.when(F.col("sim") == 0, F.col("place")).otherwise(F.row_number().over(order)))
+    pairs = moved.select("factor", "month", "sim", "a", F.col("to").alias("place")).join(rows.select("factor", "month", "place", "b"), ["factor", "month", "place"])
+    ic = pairs.groupBy("factor", "month", "sim").agg(_corr("a", "b", least).alias("ic")).filter("ic is not null")
+    means = ic.groupBy("factor", "sim").agg(F.avg("ic").alias("m"))
+    real = means.filter("sim = 0").select("factor", F.col("m").alias("ic_mean"))
+    return means.filter("sim > 0").join(real, "factor").groupBy("factor", "ic_mean").agg(F.avg((F.abs("m") >= F.abs("ic_mean")).cast("double")).alias("p"))
