@@ -70,11 +70,15 @@ def backtest(book: DataFrame, cost: float = 0.001) -> DataFrame:
 
 
 def performance(bt: DataFrame, *keys: str) -> DataFrame:
-    """Yearly return, benchmark, alpha, tracking error, information ratio, hit rate, drawdowns and Sharpe ratio."""
+    """Yearly return, benchmark, alpha, tracking error, information ratio, hit rate, drawdowns and Sharpe ratio.
+
+    A compound return is null where the months lose everything or more.
+    """
     run = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
     bt = bt.withColumns({"_a": F.product(1 + F.col("active_ret")).over(run), "_p": F.product(1 + F.col("port_ret")).over(run)})
     bt = bt.withColumns({"_da": F.col("_a") / F.max("_a").over(run) - 1, "_dp": F.col("_p") / F.max("_p").over(run) - 1})
-    yearly = lambda c: F.pow(F.product(1 + F.col(c)), 12 / F.count("*")) - 1
+    grown = lambda c: F.product(1 + F.col(c))
+    yearly = lambda c: F.when(grown(c) > 0, F.pow(grown(c), 12 / F.count("*")) - 1)
     out = bt.groupBy(*keys).agg(
         F.count("*").alias("months"), yearly("port_ret").alias("ann_port"), yearly("bench_ret").alias("ann_bench"), yearly("active_ret").alias("ann_alpha"), (F.stddev_samp("active_ret") * F.sqrt(F.lit(12.0))).alias("track_err"),
         F.avg((F.col("active_ret") > 0).cast("double")).alias("hit_rate"), F.min("_da").alias("max_active_dd"), F.min("_dp").alias("maxdd"), (F.stddev_samp("port_ret") * F.sqrt(F.lit(12.0))).alias("_vol"),

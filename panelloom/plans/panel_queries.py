@@ -324,7 +324,7 @@ def _bt(name: str, book: str) -> str:
 
 def _perf(bt: str) -> str:
     return f"""(select months, ann_port, ann_bench, ann_alpha, track_err, hit_rate, max_active_dd, maxdd, case when track_err > 0 then ann_alpha / track_err end as info_ratio, case when vol > 0 then ann_port / vol end as sharpe from (
-  select count(*) as months, pow(product(1 + port_ret), 12 / count(*)) - 1 as ann_port, pow(product(1 + bench_ret), 12 / count(*)) - 1 as ann_bench, pow(product(1 + active_ret), 12 / count(*)) - 1 as ann_alpha,
+  select count(*) as months, case when product(1 + port_ret) > 0 then pow(product(1 + port_ret), 12 / count(*)) - 1 end as ann_port, case when product(1 + bench_ret) > 0 then pow(product(1 + bench_ret), 12 / count(*)) - 1 end as ann_bench, case when product(1 + active_ret) > 0 then pow(product(1 + active_ret), 12 / count(*)) - 1 end as ann_alpha,
     stddev_samp(active_ret) * sqrt(12) as track_err, stddev_samp(port_ret) * sqrt(12) as vol, avg(case when active_ret > 0 then 1.0 else 0.0 end) as hit_rate, min(da) as max_active_dd, min(dp) as maxdd
   from (select *, a / max(a) over (order by month) - 1 as da, p / max(p) over (order by month) - 1 as dp from (select *, product(1 + active_ret) over (order by month) as a, product(1 + port_ret) over (order by month) as p from {bt}))) where months >= 6)"""
 
