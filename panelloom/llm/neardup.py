@@ -200,7 +200,7 @@ def _between_members(texts: DataFrame, nodes: DataFrame, members: DataFrame, com
     return materialize(met.distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Group documents whose sets of `size`-word shingles have 100 * intersection >= percent * union.
 
     A-Z are lower-cased; words are `[^\\x20\\x09-\\x0D]+`. A text with fewer words than `size` is one shingle; one

@@ -20,7 +20,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(common.read(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(common.read(spark, sf_dir, "documents"), size=4)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

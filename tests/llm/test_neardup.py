@@ -11,13 +11,13 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, component_id string, sig string"
 
 
-def shingles(text, size=4):
+def shingles(text, size):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in WORD.findall(text or "")]
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
 
 
-def brute(rows):
-    sets = [(d, shingles(t)) for d, t in rows]
+def brute(rows, size):
+    sets = [(d, shingles(t, size)) for d, t in rows]
     root = {d: d for d, _ in sets if d is not None}
 
     def find(x):
@@ -56,11 +56,11 @@ def corpus(seed):
     return [(7 * i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (7, texts[1]), (7, texts[1])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "size"), [(1, 4), (2, 5)])
+def test_against_all_pairs(spark, seed, size):
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, "clash", None) for d, t in rows], SCHEMA)
-    assert sorted((tuple(r) for r in near_duplicates(df).collect()), key=str) == brute(rows)
+    assert sorted((tuple(r) for r in near_duplicates(df, size=size).collect()), key=str) == brute(rows, size)
 
 
 def test_copies_that_only_the_original_joins(spark, monkeypatch):
@@ -70,8 +70,8 @@ def test_copies_that_only_the_original_joins(spark, monkeypatch):
     vocabulary = [f"v{i}" for i in range(1000)]
     base = [rng.choice(vocabulary) for _ in range(200)]
     rows = [(i, " ".join(edited(rng, base, 8, vocabulary))) for i in range(60)] + [(99, " ".join(base))]
-    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
-    assert got == brute(rows)
+    got = sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()), key=str)
+    assert got == brute(rows, 4)
 
 
 def test_empty_table(spark):
