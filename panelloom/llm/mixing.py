@@ -50,7 +50,7 @@ def pfair_period(units: dict[str, int]) -> list[tuple[str, int, int, int, int, i
 
 
 def mix_order(
-    docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_rows: int = 16, period: int = 10_000, rows_per_part: int = 100_000
+    docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_rows: int = 16, period: int = 10_000, rows_per_part: int = 1000, most_parts: int = 4096
 ) -> DataFrame:
     """Interleave the sources' blocks: every row of `docs` with mix_source, block, slot, release, deadline, in_mix.
 
@@ -68,11 +68,11 @@ def mix_order(
     docs = docs.drop(*added)
     parts = F.col("_part")
     rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64(F.col("doc_id"), F.lit(10)))
-    # a source, however large, is numbered in parts of about rows_per_part rows
+    # a source, however large, is numbered in parts: tasks of about rows_per_part rows, or most_parts of them
     sizes = {r["mix_source"]: r["n"] for r in rows.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(added, ("string", "long", "int", "long", "long", "long", "boolean"))]).limit(0)
-    spread = max(1, -(-sum(sizes.values()) // rows_per_part))
+    spread = min(most_parts, max(1, -(-sum(sizes.values()) // rows_per_part)))
     rows = rows.withColumn("_part", F.shiftrightunsigned("_key", 40) % F.lit(spread))
     counts = materialize(rows.groupBy("mix_source", "_part").agg(F.count("*").alias("_n")), "mix-counts")
     before = Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
