@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize, range_index, splits_of, text_or_empty
 
 
+#: The result columns beside doc_id.
+RESULTS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
 def canonical(text: Column) -> Column:
     """Canonical composition (NFC), full case folding, and every run of white space as one space, none at the ends; null: empty."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False))
@@ -20,22 +24,29 @@ def wide_hash(text: Column, lanes: int = 2) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), text)), 16, "0") for i in range(lanes)]))
 
 
-def _digests(told) -> list[Column]:
-    """The result columns of a row with text, hash, next_text and next_hash."""
-    text, n = F.col("text"), F.char_length("text")
-    kept = text.substr(F.lit(1), (n - F.floor(n / 3)).cast("int"))
-    edited = F.concat(kept, F.col("next_text").substr(F.lit(1), F.floor(n / 3).cast("int")))
-    canon = canonical(edited)
-    mine, theirs = told(F.col("hash"), text), told(wide_hash(canon), edited)
-    alike = F.when(mine == theirs, canonical(text) == canon).otherwise(False)
-    return [
-        n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), mine.alias("fingerprint"), theirs.alias("edited_fingerprint"),
-        alike.cast("double").alias("near_edited"), (mine == told(F.col("next_hash"), F.col("next_text"))).cast("double").alias("near_next"),
-    ]
+def _digests(told):
+    """Adds the result columns to rows with text, hash, next_text and next_hash.
+
+    A canonical form is a column before it is hashed, so that it is made once, not once for each lane.
+    """
+
+    def add(rows: DataFrame) -> DataFrame:
+        n = F.char_length("text")
+        kept = F.col("text").substr(F.lit(1), (n - F.floor(n / 3)).cast("int"))
+        rows = rows.withColumn("_edited", F.concat(kept, F.col("next_text").substr(F.lit(1), F.floor(n / 3).cast("int"))))
+        rows = rows.withColumn("_canon", canonical(F.col("_edited")))
+        rows = rows.withColumns({
+            "n_chars": n.cast("long"), "edited_sha256": F.sha2("_edited", 256), "fingerprint": told(F.col("hash"), F.col("text")),
+            "edited_fingerprint": told(wide_hash(F.col("_canon")), F.col("_edited")), "_next": told(F.col("next_hash"), F.col("next_text")),
+        })
+        same = F.when(F.col("fingerprint") == F.col("edited_fingerprint"), canonical(F.col("text")) == F.col("_canon")).otherwise(False)
+        return rows.withColumns({"near_edited": same.cast("double"), "near_next": (F.col("fingerprint") == F.col("_next")).cast("double")})
+
+    return add
 
 
-def _with_next(rows: DataFrame, columns: list[Column], rows_per_range: int = 2000, most_ranges: int = 50_000) -> DataFrame:
-    """doc_id and `columns` of each row (doc_id, text, hash) and its next_text and next_hash.
+def _with_next(rows: DataFrame, add, columns: list[str], rows_per_range: int = 2000, most_ranges: int = 50_000) -> DataFrame:
+    """doc_id and `columns` of each row, which `add` makes of doc_id, text, hash, next_text and next_hash.
 
     The next row is that of the next smaller doc_id; after the last comes the first. Rows are exchanged once, into
     ranges of doc_id that grow in number with the table; only the first text of each range goes to the range before.
@@ -50,7 +61,7 @@ def _with_next(rows: DataFrame, columns: list[Column], rows_per_range: int = 200
     rows = rows.withColumns({"next_text": F.col("_lead.text"), "next_hash": F.col("_lead.hash"), "_last": F.col("_lead").isNull()})
     # a range's first and last rows keep their texts, to be joined with their neighbours'
     own = F.when(F.col("_first") | F.col("_last"), F.struct("text", "hash")).alias("_own")
-    done = materialize(rows.select("doc_id", *columns, "_part", "_first", "_last", own), "next-docs")
+    done = materialize(add(rows).select("doc_id", *columns, "_part", "_first", "_last", own), "next-docs")
     heads = done.filter("_first").select("_part", F.col("_own").alias("_head"))
     # which range follows which: one integer a range
     present = heads.select("_part").withColumn("_of", F.lead("_part").over(Window.orderBy(F.desc("_part"))))
@@ -58,7 +69,7 @@ def _with_next(rows: DataFrame, columns: list[Column], rows_per_range: int = 200
     follows = present.select("_part", F.coalesce("_of", F.lit(top)).alias("_of"))
     nexts = follows.join(heads.withColumnRenamed("_part", "_of"), "_of").select("_part", "_head")
     ends = done.filter("_last").select("doc_id", "_own.text", "_own.hash", "_part").join(nexts, "_part")
-    ends = ends.withColumns({"next_text": F.col("_head.text"), "next_hash": F.col("_head.hash")}).select("doc_id", *columns)
+    ends = add(ends.withColumns({"next_text": F.col("_head.text"), "next_hash": F.col("_head.hash")})).select("doc_id", *columns)
     return done.filter("not _last").drop("_part", "_first", "_last", "_own").unionByName(ends)
 
 
@@ -82,7 +93,7 @@ def clashes(rows: DataFrame, words: int = 1 << 17) -> DataFrame:
 def hashed(docs: DataFrame, lanes: int = 2) -> DataFrame:
     """doc_id, text (null: empty) and the wide hash of its canonical form."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.withColumn("hash", wide_hash(canonical(F.col("text")), lanes))
+    return rows.withColumn("_own", canonical(F.col("text"))).withColumn("hash", wide_hash(F.col("_own"), lanes)).drop("_own")
 
 
 def _told_apart(rows: DataFrame, most: int = 10_000):
@@ -112,4 +123,4 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     composition of accents share a fingerprint.
     """
     rows = hashed(docs)
-    return _with_next(rows, _digests(_told_apart(rows)))
+    return _with_next(rows, _digests(_told_apart(rows)), RESULTS)
