@@ -50,7 +50,7 @@ def splits_of(df: DataFrame, column: str, parts: int) -> list[int]:
 
 
 def range_index(column: Column, splits: list[int]) -> Column:
-    """How many splits are at most the column's value, by two short scans of a literal list of lists."""
+    """How many splits are at most the column's value, by two short scans of a literal list of lists; null for null if there are splits."""
     if not splits:
         return F.lit(0)
     step = max(1, int(len(splits) ** 0.5))
@@ -58,4 +58,5 @@ def range_index(column: Column, splits: list[int]) -> Column:
     nested = F.array(*[F.array(*map(F.lit, r)) for r in runs])
     run = F.size(F.filter(F.array(*[F.lit(r[0]) for r in runs]), lambda s: s <= column))
     inside = F.size(F.filter(F.element_at(nested, run), lambda s: s <= column))
-    return F.when(column < F.lit(splits[0]), 0).otherwise((run - 1) * step + inside)
+    # no split is at most null, and element_at has no element 0
+    return F.when(column.isNull(), None).when(column < F.lit(splits[0]), 0).otherwise((run - 1) * step + inside)

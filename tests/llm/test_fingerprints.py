@@ -48,6 +48,20 @@ def test_next_across_ranges(spark):
     assert {r.doc_id: (r.next_text, r.text) for r in out.collect()} == {d: (v[2], v[3]) for d, v in want.items()}
 
 
+def test_null_ids_across_ranges(spark):
+    rows = [(i * i if i % 10 else None, f"text {i} " * 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprints._with_next(fingerprints.hashed(df), lambda rows: rows, ["next_text", "text"], rows_per_range=7).collect()
+    known, nulls = [r for r in rows if r[0] is not None], [t for d, t in rows if d is None]
+    assert {(r.doc_id, r.text) for r in out} == set(rows) and len(out) == len(rows)
+    want, following = brute(known), {r.text: r.next_text for r in out}
+    for d, v in want.items():
+        assert following[v[3]] == v[2] if d != 1 else following[v[3]] in nulls
+    # the nulls come last, one after another, and then the greatest doc_id again
+    assert sorted(following) == sorted(t for _, t in rows) and sorted(following.values()) == sorted(following)
+    assert sum(following[t] in nulls for t in nulls) == len(nulls) - 1
+
+
 def test_clashing_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "wide_hash", lambda text, lanes=2: F.substring(F.sha1(text), 1, 1))
     df = spark.createDataFrame([(i, f"t{i % 30}") for i in range(60)], "doc_id long, text string")
