@@ -47,8 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences with the sources' shares in every window."""
-    return packing.pack(docs, queries.tokenizer_path(), with_ids=True)
+    """Token sequences with the mix's targets as the sources' shares of every window; sources that end drop out."""
+    return packing.pack(docs, queries.tokenizer_path(), weights=mixing.tempered(mixing.rows_of(docs)), with_ids=True)
 
 
 STAGES = [

@@ -49,6 +49,18 @@ def pfair_period(units: dict[str, int]) -> list[tuple[str, int, int, int, int, i
     return out
 
 
+def tempered(sizes: dict[str, int], temper: float = 0.5) -> dict[str, float]:
+    """Target weights: each source's share of the rows to the power `temper`."""
+    total = sum(sizes.values())
+    return {s: (n / total) ** temper for s, n in sizes.items()}
+
+
+def rows_of(docs: DataFrame) -> dict[str, int]:
+    """Rows of each source; a null source is the source ''."""
+    counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source")).agg(F.count("*").alias("n"))
+    return {r["mix_source"]: r["n"] for r in counts.collect()}
+
+
 def mix_order(
     docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_rows: int = 16, period: int = 10_000, rows_per_part: int = 1000, most_parts: int = 4096
 ) -> DataFrame:
@@ -69,7 +81,7 @@ def mix_order(
     parts = F.col("_part")
     rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64(F.col("doc_id"), F.lit(10)))
     # a source, however large, is numbered in parts: tasks of about rows_per_part rows, or most_parts of them
-    sizes = {r["mix_source"]: r["n"] for r in rows.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
+    sizes = rows_of(docs)
     if not sizes:
         return docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(added, ("string", "long", "int", "long", "long", "long", "boolean"))]).limit(0)
     spread = min(most_parts, max(1, -(-sum(sizes.values()) // rows_per_part)))
@@ -77,8 +89,7 @@ def mix_order(
     counts = materialize(rows.groupBy("mix_source", "_part").agg(F.count("*").alias("_n")), "mix-counts")
     before = Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("mix_source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    total = sum(sizes.values())
-    wanted = {s: (weights or {}).get(s, 0.0) for s in sizes} if weights else {s: (n / total) ** temper for s, n in sizes.items()}
+    wanted = {s: (weights or {}).get(s, 0.0) for s in sizes} if weights else tempered(sizes, temper)
     if not all(w > 0 for w in wanted.values()):
         raise ValueError("every source present needs a weight above 0")
     units = quantise(wanted, max(period, 4 * len(sizes)))

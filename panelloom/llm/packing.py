@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -19,6 +20,8 @@ _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _ODD = re.compile("[\x1c-\x1f]")
 #: A worker forgets its pieces when it has so many; pieces longer than LONGEST aren't kept.
 MOST_PIECES, LONGEST = 400_000, 40
+#: Weights are kept to until the plan has so many lanes, which grow with the square of the number of queues.
+MOST_LANES = 200_000
 
 
 class _Pieces(dict):
@@ -128,28 +131,59 @@ class Lane:
             a, w = max(a, end), w + 1
 
 
+def _dealt(tokens: int, units: dict[str, int]) -> dict[str, int]:
+    """Whole tokens in proportion to the units, by largest remainders; ties to the smaller name."""
+    whole = sum(units.values())
+    out = {q: tokens * u // whole for q, u in units.items()}
+    order = sorted(units, key=lambda q: (-(tokens * units[q] % whole), q))
+    for q in order[: tokens - sum(out.values())]:
+        out[q] += 1
+    return out
+
+
+def _phases(left: dict[str, int], units: dict[str, int], size: int) -> Iterator[tuple[int, dict[str, int]]]:
+    """(windows, tokens of each queue): shares by the units of the queues that have tokens left, to the last whole window.
+
+    A phase ends where a queue can't fill its quantum; in the next window it gives what it has, and then drops out.
+    """
+    left = dict(left)
+    while sum(left.values()) >= size:
+        whole = sum(units[q] for q in left)
+        n = min(left[q] * whole // (units[q] * size) for q in left)
+        given, room, open_ = {}, max(1, n) * size, dict.fromkeys(left)
+        while short := [q for q in open_ if left[q] * whole < room * units[q]]:
+            for q in short:
+                given[q] = left[q]
+                del open_[q]
+            room, whole = max(1, n) * size - sum(given.values()), sum(units[q] for q in open_)
+        given |= _dealt(room, {q: units[q] for q in open_})
+        yield max(1, n), given
+        left = {q: x - given[q] for q, x in left.items() if x > given[q]}
+
+
 def plan(totals: dict[str, int], size: int, weights: dict[str, float] | None = None) -> tuple[dict[str, list[Lane]], int]:
     """Lanes of each queue, and how many windows there are.
 
-    With weights, a first phase of whole windows has exactly these shares, until a queue can't fill its quantum any
-    more; then, or from the start without weights, the shares are those of what is left, so that all queues end
-    together. A queue that is left with less than a token in a window joins the largest one's lane.
+    With weights, phases of whole windows have these shares among the queues that aren't at their end; each time that
+    one is, the others go on in their proportions (for MOST_LANES lanes at most). Then, or from the start without
+    weights, the shares are those of what is left, so that all queues end together. A queue that is left with less than
+    a token in a window joins the largest one's lane.
     """
     lanes: dict[str, list[Lane]] = {q: [] for q in totals}
     done = dict.fromkeys(totals, 0)
-    windows = 0
+    windows = made = 0
     if weights:
-        unit = {q: round(1_000_000 * weights[q] / sum(weights.values())) for q in sorted(weights) if totals.get(q)}
-        whole = sum(unit.values())
-        if any(u * size < whole for u in unit.values()):
-            raise ValueError("a weight is under one token in a window")
-        n = min(max(0, (totals[q] - 2) * whole // (u * size)) for q, u in unit.items())
-        low = 0
-        for q, u in unit.items() if n else ():
-            taken = n * size * (low + u) // whole - n * size * low // whole
-            lanes[q].append(Lane(0, taken, 0, low, low + u, whole, n * size, 0))
-            done[q], low = taken, low + u
-        windows = n
+        known = {q: weights[q] for q in sorted(weights) if totals.get(q)}
+        unit = {q: max(1, round(10**9 * w / sum(known.values()))) for q, w in known.items()}
+        for n, given in _phases({q: totals[q] for q in unit}, unit, size):
+            if made > MOST_LANES:
+                break
+            low = 0
+            for q in sorted(given):
+                if given[q]:
+                    lanes[q].append(Lane(done[q], done[q] + given[q], 0, low, low + given[q], n * size, n * size, windows))
+                    done[q], low, made = done[q] + given[q], low + given[q], made + 1
+            windows += n
     left = {q: totals[q] - done[q] for q in totals if totals[q] > done[q]}
     whole = sum(left.values())
     if whole:
@@ -185,16 +219,17 @@ def _cutter(lanes: dict[str, list[Lane]], size: int, kind: str, last_window: int
             begin = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane_starts = {q: [lane.start for lane in own] for q, own in lanes.items()}
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"] + ["ids"] * with_ids
         for batch in batches:
             out: list[list] = [[] for _ in names]
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "pos", "n", "ids")]
             for doc_id, source, queue, pos, n, raw in zip(*columns):
                 ids = np.frombuffer(raw, kind).astype("<u4")
-                for lane in lanes[queue]:
+                for lane in lanes[queue][max(0, bisect_right(lane_starts[queue], pos) - 1) :]:
                     a, b = max(pos, lane.start), min(pos + n, lane.end)
                     if a >= b:
-                        continue
+                        break
                     move = lane.shift - lane.start
                     for token, length, window, offset in lane.cut(a + move, b + move, size):
                         start = token - move - pos
@@ -217,8 +252,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, wei
 
     A document is its ids and end_id. Each source is a queue (small ones that would have less than a token in a window
     are one queue together). Deficit round-robin: every window takes from each queue in turn its quantum, its target
-    share of the window and the deficit carried on. Targets are `weights`, or the queues' shares of all tokens, with
-    which every window mirrors the corpus; see `plan` for the end of a queue. The tokens before a row in its queue are
+    share of the window and the deficit carried on. Targets are `weights` (of sources; small weights are one queue
+    together, sources without one come last), or the queues' shares of all tokens, with which every window mirrors the
+    corpus; see `plan` for the end of a queue. The tokens before a row in its queue are
     summed by blocks (input partitions), so every task finds its rows' windows and deficits by arithmetic alone: the
     texts and ids are never shuffled for it, and no queue passes through one task. Only counts of the queues, at most
     size + 1, come to the driver. The last window is split at powers of two, so that nothing is padded.
@@ -234,12 +270,20 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, wei
     sums = materialize(tokens.groupBy("source", "block").agg(F.sum("n").alias("n")), "block-tokens")
     whole = sums.agg(F.sum("n")).first()[0] or 0
     large = sums.groupBy("source").agg(F.sum("n").alias("all")).filter(F.col("all") * size >= whole).select("source", F.lit(True).alias("large"))
-    # queue names: '=' and the source, or '' for all small sources together
-    queued = sums.join(large, "source", "left").withColumn("queue", F.when(F.col("large"), F.concat(F.lit("="), "source")).otherwise(F.lit("")))
+    # queue names: '=' and the source, or '' for all small sources together, '+' for those of small weights
+    queue = F.when(F.col("large"), F.concat(F.lit("="), "source")).otherwise(F.lit(""))
+    queued, named = sums.join(large, "source", "left"), None
+    if weights:
+        given = tokens.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "source string, weight double")
+        own = F.col("weight") * size >= sum(w for w in weights.values() if w > 0)
+        queue = F.when(own, F.concat(F.lit("="), "source")).when(~own, "+").otherwise(queue)
+        queued = queued.join(given, "source", "left")
+        present = queued.filter("weight is not null").select(queue.alias("queue"), "source", "weight").distinct()
+        named = {r["queue"]: r["w"] for r in present.groupBy("queue").agg(F.sum("weight").alias("w")).collect()}
+    queued = queued.withColumn("queue", queue)
     before = Window.partitionBy("queue").orderBy("source", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(queued.select("source", "block", "queue", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "queue-starts")
     totals = {r["queue"]: r["n"] for r in starts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    named = {f"={s}": w for s, w in weights.items()} if weights else None
     lanes, windows = plan(totals, size, named)
     kind = _pieces(tokenizer).kind
     placed = tokens.join(starts.drop("n"), ["source", "block"]).select("doc_id", "source", "queue", (F.col("base") + F.col("at")).alias("pos"), "n", "ids")

@@ -82,6 +82,32 @@ def test_weights_hold_until_a_queue_runs_short(spark):
         assert abs(taken["a"] - 96 * (s + 1)) < 1
 
 
+def test_weights_go_on_without_the_queues_that_end():
+    totals, size = {"a": 50_000, "b": 20_000, "c": 700, "d": 3}, 64
+    lanes, windows = plan(totals, size, {"a": 2, "b": 1, "c": 1, "d": 0.001})
+    per, seen = defaultdict(lambda: defaultdict(int)), set()
+    for q, own in lanes.items():
+        assert [lane.start for lane in own] == [0, *[lane.end for lane in own[:-1]]] and own[-1].end == totals[q]
+        for lane in own:
+            for token, n, w, offset in lane.cut(lane.shift, lane.shift + lane.end - lane.start, size):
+                per[q][lane.first_window + w] += n
+                places = {(lane.first_window + w, offset + i) for i in range(n)}
+                assert not places & seen
+                seen |= places
+    assert len(seen) == sum(totals.values()) and windows == -(-len(seen) // size)
+    assert all(abs(sum(per["c"][w] for w in range(k)) - 16 * k) < 2 for k in range(1, 40))
+    # c has ended, a and b go on two to one, and not by what is left
+    assert all(abs(sum(per["b"][w] for w in range(60, 60 + k)) - 64 / 3 * k) < 2 for k in range(1, 700))
+
+
+def test_small_weights_have_their_share(spark):
+    rows = [(i, "one two three four " * 20, "ab"[i % 2]) for i in range(60)] + [(100 + i, "five " * 9, f"s{i}") for i in range(20)]
+    sequences, _ = packed(spark, rows, 128, weights={"a": 3, "b": 1} | {f"s{i}": 0.01 for i in range(20)})
+    for n in (5, 15, 20):
+        small = sum(m for s in range(n) for _, m, x in sequences[s] if x[0] == "s")
+        assert abs(small - 128 * n * 0.2 / 4.2) < 2
+
+
 def test_lanes_cover_every_token_once():
     rng = random.Random(4)
     for _ in range(200):

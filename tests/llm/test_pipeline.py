@@ -50,6 +50,16 @@ def test_stages_and_run(spark, tmp_path):
     assert {d: sum((x for _, x in sorted(p)), []) for d, p in pieces.items()} == {d: whole.encode(r.text, add_special_tokens=False).ids + [2] for d, r in cut.items()}
 
 
+def test_leading_sequences_have_the_mixs_shares(spark):
+    rows = [(i, "one two three four five six " * 40, "aa", "hot" if i % 10 else "rare", 0) for i in range(1500)]
+    docs = pipeline.mix_sources(spark, spark.createDataFrame(rows, COLUMNS), "")
+    out = pipeline.pack_sequences(spark, docs, "").select("source", "sequence_id", "length").collect()
+    for n in (1, 4, 20):
+        taken = {s: sum(r.length for r in out if r.source == s and r.sequence_id < n) for s in ("hot", "rare")}
+        # a tenth of the rows, to the power 0.5: 1 to 3; rows alone would give 1 to 9
+        assert abs(taken["rare"] - 4096 * n / 4) < 2 and sum(taken.values()) == 4096 * n, (n, taken)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
