@@ -121,6 +121,32 @@ def block_bootstrap(series: DataFrame, x: str, sims: int, block: int, a: int = 7
     return draws.withColumn("at", at).join(F.broadcast(numbered), "at").groupBy("sim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
 
 
+def mixed(x: Column) -> Column:
+    """A permutation of the integers mod 2**31 - 1 without a pattern: two rounds of a fifth power; products stay under 2**62."""
+    p = 2_147_483_647
+    for a, b in ((48_271, 11), (69_621, 977)):
+        x = (x * F.lit(a).cast("long") + b) % p
+        square = x * x % p
+        x = square * square % p * x % p
+    return x
+
+
+def block_bootstrap_mixed(series: DataFrame, x: str, sims: int, block: int) -> DataFrame:
+    """sim, mean, std of circular block resamples of a monthly series (month, x), each block's start drawn on its own.
+
+    Block j of simulation s starts at mixed(mixed(s) + j) mod n, which SQL can compute too.
+    """
+    numbered = series.select(F.col(x).alias("x"), (F.row_number().over(Window.orderBy("month")) - 1).cast("long").alias("at"))
+    n = numbered.count()
+    if not n:
+        return numbered.select(F.lit(0).cast("long").alias("sim"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("std")).limit(0)
+    starts = series.sparkSession.range(sims).select(F.col("id").alias("sim"), mixed(F.col("id")).alias("_s"))
+    starts = starts.select("sim", "_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n - 1) // block).cast("long"))).alias("j"))
+    starts = starts.select("sim", "j", (mixed(F.col("_s") + F.col("j")) % n).alias("start"))
+    draws = starts.select("sim", "j", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(block - 1).cast("long"))).alias("k")).filter(F.col("j") * block + F.col("k") < n)
+    return draws.withColumn("at", (F.col("start") + F.col("k")) % n).join(F.broadcast(numbered), "at").groupBy("sim").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+
+
 def overlay(book: DataFrame, picks: DataFrame, extra: float = 0.01) -> DataFrame:
     """Adds pitch_w: the picks' weights raised by `extra` each, all others scaled down to make room."""
     rows = book.join(picks.select("month", "instrument", F.lit(True).alias("_pick")), ["month", "instrument"], "left").withColumn("_pick", F.coalesce("_pick", F.lit(False)))

@@ -204,6 +204,12 @@ def block_bootstrap(s, d):
     return _r(pf.block_bootstrap(ic, "ic", 200, 6))
 
 
+def block_bootstrap_mixed(s, d):
+    """As block_bootstrap, with starts drawn by an integer mixer and the reference's 10,000 simulations."""
+    ic = st.monthly_ic(long(s, d).filter("factor = 'mom_accel'"), LEAST).select("month", F.round("ic", 9).alias("ic"))
+    return _r(pf.block_bootstrap_mixed(ic, "ic", 10_000, 6))
+
+
 def _side(s, d):
     n = src.table(s, d, "supplier").count()
     return src.side(src.table(s, d, "orders"), n)
@@ -273,7 +279,7 @@ def event_counts(s, d):
 QUERIES = {f.__name__: f for f in (
     base_panel, monthly_ic_momentum, ic_monthly, ic_pearson, ic_summary, ic_decay, ic_pooled, quantile_spread, factor_turnover, regime_stability, factor_health, factor_correlations, factor_weights, combo_score, bhy_stepup,
     fdr_grid, cs_rank, cs_zscore, tail_flags, ts_zscore, winsorise, clean_universe, dead_columns, coverage, index_weights, index_concentration, tilt_zscore, tilt_block, tilt_backtest, tilt_performance, alpha_sweep, long_short,
-    capacity_curve, block_bootstrap, asof_tolerance, asof_no_tolerance, trading_days_ahead, ffill_side, semi_universe, anti_missing, outer_blocks, snapshot_dedup, market_series, sector_panel, pivot_returns, event_counts,
+    capacity_curve, block_bootstrap, block_bootstrap_mixed, asof_tolerance, asof_no_tolerance, trading_days_ahead, ffill_side, semi_universe, anti_missing, outer_blocks, snapshot_dedup, market_series, sector_panel, pivot_returns, event_counts,
 )}
 
 _P = f"""{q.RETURNS},
@@ -345,6 +351,7 @@ def _step(level: float, dependent: bool) -> str:
 _BUCKET = _L + f""",
 q1 as (select *, {', '.join(f"quantile_cont(value, {i / 5}) over w as e{i}" for i in range(6))}, count(*) over w as n from lf where value is not null and fwd_ret_1m is not null window w as (partition by factor, month)),
 qb as (select *, greatest({' + '.join(f"(e{i} < value)::int" for i in range(6))}, 1) as bucket from q1 where n >= 20 and {' and '.join(f"e{i} <> e{i + 1}" for i in range(5))})"""
+_fifth = lambda x: f"(({x}) * ({x}) % 2147483647 * (({x}) * ({x}) % 2147483647) % 2147483647 * ({x}) % 2147483647)"
 _z = lambda c, f: f"case when {f}({c}) over (partition by month) > 1e-12 then ({c} - avg({c}) over (partition by month)) / {f}({c}) over (partition by month) end"
 _prank = lambda c: f"case when {c} is not null then {_rank(c, 'month')} / count({c}) over (partition by month) end"
 
@@ -408,6 +415,12 @@ z as (select *, traded * fund / (adv * 3) as part from tr cross join (select unn
 select fund, round(avg(cost) * 12, 5) + 0 as impact_cost, round(avg(part), 5) + 0 as mean_participation from (select fund, month, sum(traded * daily_vol * sqrt(part)) as cost, avg(part) as part from z group by all) group by fund""",
     "block_bootstrap": f"""with {_IC}, s as (select round(ic, 9) as x, row_number() over (order by month) - 1 as pos from ic where factor = 'mom_accel'), n as (select count(*) as n from s),
 dr as (select sim, (sim * 7919 + (i // 6) * 104729 + i % 6) % n as pos from (select unnest(range(200)) as sim) cross join n cross join lateral (select unnest(range(n)) as i))
+select sim, round(avg(x), 6) + 0 as mean, round(stddev_samp(x), 6) + 0 as std from dr join s using (pos) group by sim""",
+    "block_bootstrap_mixed": f"""with {_IC}, s as (select round(ic, 9) as x, row_number() over (order by month) - 1 as pos from ic where factor = 'mom_accel'), n as (select count(*)::bigint as n from s),
+m0 as (select sim::bigint as sim, (sim::bigint * 48271 + 11) % 2147483647 as x from (select unnest(range(10000)) as sim)), m1 as (select sim, ({_fifth('x')} * 69621 + 977) % 2147483647 as x from m0), m2 as (select sim, {_fifth('x')} as x from m1),
+b0 as (select sim, j, ((x + j) * 48271 + 11) % 2147483647 as x from m2 cross join n cross join lateral (select unnest(range((n - 1) // 6 + 1)) as j)),
+b1 as (select sim, j, ({_fifth('x')} * 69621 + 977) % 2147483647 as x from b0), b2 as (select sim, j, {_fifth('x')} % n as first from b1 cross join n),
+dr as (select sim, (first + k) % n as pos from b2 cross join n cross join (select unnest(range(6)) as k) where j * 6 + k < n)
 select sim, round(avg(x), 6) + 0 as mean, round(stddev_samp(x), 6) + 0 as std from dr join s using (pos) group by sim""",
     "asof_tolerance": f"""with {q.BARS}, {_SIDE}, j as (select b.instrument, b.date, close, s.side_value, date_diff('day', s.date, b.date) as age from bars b asof left join sd s on b.instrument = s.instrument and b.date >= s.date)
 select instrument, date, round(close, 6) + 0 as close, case when age <= 10 then round(side_value, 6) + 0 end as side_value, (case when age <= 10 then age end)::int as age from j""",

@@ -175,3 +175,13 @@ def test_streams_give_the_batch_result(spark, tmp_path):
     batch = events.windowed_counts(events.with_time(spark.read.parquet(f"{tmp_path}/in")))
     stream = events.run_available(events.windowed_counts(events.read_stream(spark, f"{tmp_path}/in", 1)), "counts", f"{tmp_path}/ck")
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
+
+
+def test_bootstrap_draws_differ_between_simulations(spark):
+    from panelloom.operators import portfolio as pf
+
+    series = spark.createDataFrame([(i, float(i * i)) for i in range(81)], "month int, x double")
+    means = lambda f, n: [r["mean"] for r in f(series, "x", n, 6).collect()]
+    found = means(pf.block_bootstrap_mixed, 1000)
+    assert len(found) == 1000 and len({round(m, 6) for m in found}) > 900  # rotations of one pattern give 81 at most
+    assert abs(sum(found) / 1000 - sum(i * i for i in range(81)) / 81) < 100
