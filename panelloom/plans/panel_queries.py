@@ -268,6 +268,13 @@ def pivot_returns(s, d):
     return _r(panel(s, d).filter("instrument <= 5").groupBy("month").pivot("instrument", [1, 2, 3, 4, 5]).agg(F.max("ret_1m")).withColumnsRenamed({str(i): f"i{i}" for i in range(1, 6)}))
 
 
+def month_returns(s, d):
+    """A row a month with all its instruments, rising, and their returns in the same order."""
+    rows = panel(s, d).select("month", F.struct("instrument", (F.round("ret_1m", 6) + 0).alias("ret_1m")).alias("x"))
+    rows = rows.groupBy("month").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    return rows.select("month", F.col("x.instrument").alias("instruments"), F.col("x.ret_1m").alias("ret_1m"))
+
+
 def event_counts(s, d):
     """Events of the 7 and 30 days up to each event day of a user: trailing range windows by day number."""
     day = F.unix_date(F.col("ts").cast("date"))
@@ -279,7 +286,7 @@ def event_counts(s, d):
 QUERIES = {f.__name__: f for f in (
     base_panel, monthly_ic_momentum, ic_monthly, ic_pearson, ic_summary, ic_decay, ic_pooled, quantile_spread, factor_turnover, regime_stability, factor_health, factor_correlations, factor_weights, combo_score, bhy_stepup,
     fdr_grid, cs_rank, cs_zscore, tail_flags, ts_zscore, winsorise, clean_universe, dead_columns, coverage, index_weights, index_concentration, tilt_zscore, tilt_block, tilt_backtest, tilt_performance, alpha_sweep, long_short,
-    capacity_curve, block_bootstrap, block_bootstrap_mixed, asof_tolerance, asof_no_tolerance, trading_days_ahead, ffill_side, semi_universe, anti_missing, outer_blocks, snapshot_dedup, market_series, sector_panel, pivot_returns, event_counts,
+    capacity_curve, block_bootstrap, block_bootstrap_mixed, asof_tolerance, asof_no_tolerance, trading_days_ahead, ffill_side, semi_universe, anti_missing, outer_blocks, snapshot_dedup, market_series, sector_panel, pivot_returns, month_returns, event_counts,
 )}
 
 _P = f"""{q.RETURNS},
@@ -434,6 +441,7 @@ select instrument, date, round(close, 6) + 0 as close, case when age <= 10 then
     "market_series": f"with {q.BARS}, {q.MARKET} select date, {q.rounded(['level', 'm'])} from market",
     "sector_panel": f"with {_P} select r_name as sector, month, round(avg(ret_1m), 6) + 0 as ret_1m, count(*) as names from panel join supplier on s_suppkey = instrument join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all",
     "pivot_returns": f"with {_P} select month, {', '.join(f'round(max(ret_1m) filter (where instrument = {i}), 6) + 0 as i{i}' for i in range(1, 6))} from panel where instrument <= 5 group by month",
+    "month_returns": f"with {_P} select month, list(instrument order by instrument) as instruments, list(round(ret_1m, 6) + 0 order by instrument) as ret_1m from panel group by month",
     "event_counts": """with d as (select user_id, date_diff('day', date '1970-01-01', ts::date)::int as day, count(*) as n from events group by all)
 select user_id, day, (sum(n) over a)::bigint as n7, (sum(n) over b)::bigint as n30, round(ln(1 + sum(n) over b), 6) + 0 as activity_30d from d
 window a as (partition by user_id order by day range between 6 preceding and current row), b as (partition by user_id order by day range between 29 preceding and current row)""",

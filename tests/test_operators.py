@@ -185,3 +185,11 @@ def test_bootstrap_draws_differ_between_simulations(spark):
     found = means(pf.block_bootstrap_mixed, 1000)
     assert len(found) == 1000 and len({round(m, 6) for m in found}) > 900  # rotations of one pattern give 81 at most
     assert abs(sum(found) / 1000 - sum(i * i for i in range(81)) / 81) < 100
+
+
+def test_month_returns_hold_every_instrument(spark):
+    from panelloom.plans import panel_queries as pq
+
+    sf = "/root/testdata/sf0.001"
+    out = pq.month_returns(spark, sf)
+    assert out.selectExpr("sum(size(instruments))", "sum(size(ret_1m))").first() == (pq.panel(spark, sf).count(),) * 2
