@@ -7,11 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-
 #: Bytes of a window (states start at zero at both ends of each), units a direction, windows run side by side.
 STEPS, UNITS, WIDTH = 64, 8, 4096
 UNKNOWN = "und"
@@ -166,30 +164,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, docs_per_lang: int = 200, chars: int = 4096, most_langs: int = 500) -> Model | None:
+def train(docs: DataFrame, docs_per_lang: int = 200, chars: int = 4096) -> Model | None:
     """Fit a model on a bounded sample of the labelled documents that are not held out.
 
-    The bounds are parameters: about docs_per_lang documents of each language, by a hash of doc_id, and a run of `chars`
-    code points of each, from a place given by that hash. Only text and lang are used.
+    The bounds are parameters: docs_per_lang documents of each language, those with the smallest hash of doc_id and text,
+    and a run of `chars` code points of each, from a place given by that hash. Every language with a labelled text is
+    learned, so the model and the counts by language are all that grows with their number. A hash below a threshold from
+    the language's count picks about three times the rows wanted in each task, so a hot language brings no more rows than others;
+    repeated rows count once. Only text and lang are used.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    key = F.xxhash64("doc_id", F.lit(33))
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(33), F.col("text"))
     part = F.shiftrightunsigned(key, 33) / float(1 << 31)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * docs_per_lang / n))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * docs_per_lang / n))]), F.col("lang"))
     span = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
     piece = F.col("text").substr((F.pmod(key, span) + 1).cast("int"), F.lit(chars))
     rows = known.filter(part < share).select("lang", key.alias("key"), piece.alias("text")).filter(F.col("text").rlike(r"\p{L}"))
-    taken: dict[str, list] = {}
-    for r in sorted(rows.limit(4 * docs_per_lang * len(counts)).collect(), key=lambda r: (r["key"], r["text"])):
-        taken.setdefault(r["lang"], []).append(r["text"].encode())
-    pairs = [(t, lang) for lang in sorted(taken) for t in taken[lang][:docs_per_lang]]
-    return fit([t for t, _ in pairs], [lang for _, lang in pairs]) if pairs else None
+    rows = rows.groupBy("lang", "key").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    taken = rows.withColumn("place", place).filter(F.col("place") <= docs_per_lang).collect()
+    pairs = sorted((r["lang"], r["place"], r["text"].encode()) for r in taken)
+    return fit([t for _, _, t in pairs], [lang for lang, _, _ in pairs]) if pairs else None
 
 
-def _label(model: Model, spans: bool):
+def _label(model: Model, spans: bool, kept: list[str]):
     langs = np.array(model.langs)
 
     def scored(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list]]:
@@ -215,10 +216,10 @@ def _label(model: Model, spans: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").cast(pa.binary()).to_pylist()
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             pred, score, found = [], [], []
             at = 0
-            while at < len(texts):  # about a megabyte at once
+            while at < len(texts):  # some megabytes of arrays at once
                 to, size = at, 0
                 while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
                     size += len(texts[to])
@@ -230,7 +231,7 @@ def _label(model: Model, spans: bool):
                     found += [runs(best[f : f - (-len(t) // STEPS)], len(t)) if t else [] for f, t in zip(first, texts[at:to])]
                 at = to
             letters = batch.column("_letters").to_pylist()
-            keep = [c for c in batch.schema.names if c not in ("_text", "_letters")]
+            keep = [c for c in batch.schema.names if c in kept]
             out = [*(batch.column(c) for c in keep), pa.array([p if has else UNKNOWN for p, has in zip(pred, letters)]), pa.array([s if has else 0.0 for s, has in zip(score, letters)], pa.float64())]
             names = [*keep, "lang_pred", "score"]
             if spans:
@@ -248,12 +249,15 @@ def identify(docs: DataFrame, model: Model | None, spans: bool = False, carry: t
     their mean, lang_pred the largest (ties: the smaller name) and score its probability. spans are the runs of
     byte positions with the same most likely language. A null text or one without letters is `und` with score 0, as
     all are if there was nothing to learn from. Rows are independent: repeated rows and null doc_ids stay rows, an
-    empty table gives none, and columns other than doc_id and text are ignored.
+    empty table gives none, and columns other than doc_id and text are ignored; `carry` names columns that go along. A very
+    long text is cut into windows like any other, a megabyte of texts or one text at once.
     """
-    rows = docs.select("doc_id", *carry, held_out().alias("held_out"), text_or_empty().alias("_text"), text_or_empty().rlike(r"\p{L}").alias("_letters"))
+    kept = ["doc_id", *carry, "held_out"]
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+    rows = docs.select("doc_id", *carry, held_out().alias("held_out"), *(["text"] if "text" not in carry else []), letters)
     if model is None:
-        out = rows.drop("_text", "_letters").withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        out = rows.select(*kept).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
         return out.withColumn("spans", F.expr("cast(array() as array<struct<start: long, end: long, lang: string>>)")) if spans else out
     more = ", spans array<struct<start: long, end: long, lang: string>>" if spans else ""
-    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.drop("_text", "_letters").dtypes)
-    return rows.mapInArrow(_label(model, spans), f"{kinds}, lang_pred string, score double{more}")
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.select(*kept).dtypes)
+    return rows.mapInArrow(_label(model, spans, kept), f"{kinds}, lang_pred string, score double{more}")

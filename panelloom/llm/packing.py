@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,39 +20,64 @@ from .common import materialize, text_or_empty
 
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 _ODD = re.compile("[\x1c-\x1f]")
-#: A worker forgets its pieces when it has so many; pieces longer than LONGEST aren't kept.
-MOST_PIECES, LONGEST = 400_000, 40
+#: A worker keeps two generations of so many pieces, about 20 MB; pieces longer than LONGEST aren't kept.
+GENERATION, LONGEST = 60_000, 40
 #: Weights are kept to until the plan has so many lanes, which grow with the square of the number of queues.
 MOST_LANES = 200_000
+#: Normalisers and splits, as a tokenizer's file names them, under which words can be encoded one by one, lower-cased.
+WORDWISE = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 ones for themselves, the rest from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def _is_wordwise(about: dict) -> bool:
+    steps = [(about[part] or {}).get(many, []) for part, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    splits = [x["pattern"].get("Regex") for x in steps[1] if x["type"] == "Split"]
+    found = [x["type"] for x in steps[0]], [x["type"] for x in steps[1]], "".join(s or "" for s in splits)
+    return found == WORDWISE and about["model"]["type"] == "BPE" and not any(re.search(r"\s", t["content"]) for t in about["added_tokens"])
 
 
 class _Pieces(dict):
-    """Ids of white-space-free pieces of text, as bytes, from a tokenizer that drops white space between them."""
+    """Ids of white-space-free pieces of text, as bytes: the newer generation of a cache; `old` is the one before."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = "<u2" if self.code == "H" else "<u4"
+        self.letters = _byte_letters()
+        #: Whether equal pieces always have equal ids, lower-cased; else texts are encoded whole.
+        self.wordwise = _is_wordwise(json.loads(self.tokenizer.to_str()))
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        # a word and the marks after it are pieces of their own to the tokenizer, so their ids are found apart
-        m = _SIMPLE.fullmatch(piece)
-        if m and m[2]:
-            ids = self[m[1]] + self[m[2]]
-        elif m and not piece.islower():
-            ids = self[piece.lower()]
-        elif m and piece.isascii():
-            ids = np.array([t.id for t in self.model.tokenize(piece)], self.kind).tobytes()
-        else:
-            ids = self.whole(piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            # a word and the marks after it are pieces of their own to the tokenizer, so their ids are found apart
+            m = _SIMPLE.fullmatch(piece)
+            if m and m[2]:
+                ids = self[m[1]] + self[m[2]]
+            elif m and not piece.islower():
+                ids = self[piece.lower()]
+            elif m:
+                coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+                ids = array(self.code, [t.id for t in self.model.tokenize(coded)]).tobytes()
+            else:
+                ids = self.whole(piece)
         if len(piece) <= LONGEST:
-            if len(self) >= MOST_PIECES:
+            if len(self) >= GENERATION:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -62,9 +89,9 @@ def _pieces(path: str) -> _Pieces:
 
 
 def encode(path: str, text: str) -> bytes:
-    """The tokenizer's ids for a whole text, without special tokens; equal pieces are encoded once."""
+    """The tokenizer's ids for a whole text, without special tokens; equal pieces are encoded once where its file allows that."""
     pieces = _pieces(path)
-    if _ODD.search(text):  # white space to str.split(), not to the tokenizer
+    if not pieces.wordwise or _ODD.search(text):  # _ODD: white space to str.split(), not to the tokenizer
         return pieces.whole(text)
     return b"".join(map(pieces.__getitem__, text.split()))
 

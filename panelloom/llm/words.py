@@ -24,7 +24,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-BLOCK = 1 << 20  # bytes of text hashed at once
+#: Bytes of text hashed at once, and how many powers of a base a worker keeps (2 tables of 8 bytes each).
+BLOCK, KEPT_POWERS = 1 << 18, 1 << 19
 
 
 @cache
@@ -35,8 +36,8 @@ def _table(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and of its inverse; tables up to 2 * BLOCK are kept."""
-    up, down = _table(base, 1 << max(10, (n - 1).bit_length())) if n <= 2 * BLOCK else _table.__wrapped__(base, n)
+    """The first n powers of an odd base modulo 2**64, and of its inverse; one table of KEPT_POWERS is kept for each base."""
+    up, down = _table(base, KEPT_POWERS) if n <= KEPT_POWERS else _table.__wrapped__(base, n)
     return up[:n], down[:n]
 
 
