@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,27 +10,43 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one JVM may do without."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "/tmp/checkpoints/panelloom"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="panelloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
     return found
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder that nothing else uses, under this application's own folder."""
+    return f"{shared_dir(spark)}/panelloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: lost executors cost only the tasks that read the table, and statistics of the files let
-    Spark choose the join strategy by measured size. The tables stay until the folder is cleared.
+    Spark choose the join strategy by measured size. `discard` deletes tables that no later plan reads; what results still
+    read stays in the folder named after the application, to be deleted with it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` returned and that no plan still to be run reads."""
+    for table in tables:
+        where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        where.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
