@@ -25,23 +25,33 @@ def rotation(dim: int, seed: int = 6) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:, :dim]
 
 
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one and the lengths; squares neither overflow nor vanish, as the largest component is taken out first."""
+    largest = np.abs(x).max(axis=1, keepdims=True)
+    x = x / largest
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    with np.errstate(over="ignore"):
+        return x / length, (largest * length)[:, 0]
+
+
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits (n, words), correction factors and norms of vectors x (n, dim).
 
     The factor is the inner product of a rotated unit vector with its code, a vector of +-1/sqrt(D).
     """
-    norm = np.linalg.norm(x, axis=1)
-    z = (x / norm[:, None]) @ rotation(x.shape[1]).T
+    unit, norm = _unit(x)
+    z = unit @ rotation(x.shape[1]).T
     code = np.packbits(z > 0, axis=1, bitorder="little").view(np.uint64)
     return code, np.abs(z).sum(axis=1) / np.sqrt(z.shape[1]), norm
 
 
 class Query:
-    """A query, rotated and rounded to QUERY_BITS a component, as one bit plane for each bit."""
+    """A query of length one, rotated and rounded to QUERY_BITS a component, as one bit plane for each bit, and its norm."""
 
     def __init__(self, q: np.ndarray):
-        v = rotation(len(q)) @ q
-        self.dim, self.norm = len(v), float(np.linalg.norm(q))
+        unit, norm = _unit(q[None, :])
+        v = rotation(len(q)) @ unit[0]
+        self.dim, self.norm = len(v), float(norm[0])
         self.low = float(v.min())
         self.step = float(v.max() - self.low) / ((1 << QUERY_BITS) - 1) or 1.0
         level = np.rint((v - self.low) / self.step).astype(np.uint8)
@@ -51,13 +61,20 @@ class Query:
         self.planes = [np.packbits(level >> b & 1, bitorder="little").view(np.uint64) for b in range(QUERY_BITS)]
 
     def bounds(self, code: np.ndarray, factor: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the inner products with the coded vectors, from their bits, factors and norms."""
+        """Lower and upper bounds of the inner products with the coded vectors, from their bits, factors and norms.
+
+        Where a product of norms is out of range the bounds are infinite, so such a vector is always reranked.
+        """
         count = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
         with_bit = sum((1 << b) * count(code & plane) for b, plane in enumerate(self.planes))
         signed = 2 * (self.step * with_bit + self.low * count(code)) - self.total
         estimate = signed / np.sqrt(self.dim) / factor
-        off = self.norm * np.sqrt(np.maximum(1 / factor**2 - 1, 0)) * CODE_SIGMAS / np.sqrt(max(self.dim - 1, 1)) + self.rounding / factor
-        return norm * (estimate - off), norm * (estimate + off)
+        off = np.sqrt(np.maximum(1 / factor**2 - 1, 0)) * CODE_SIGMAS / np.sqrt(max(self.dim - 1, 1)) + self.rounding / factor
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = norm * self.norm
+            low, high = size * (estimate - off), size * (estimate + off)
+        usable = np.isfinite(low) & np.isfinite(high) & (size > np.finfo(float).tiny)
+        return np.where(usable, low, -np.inf), np.where(usable, high, np.inf)
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +106,9 @@ def _search(k: int):
                 # the k-th best lower bound: what can't reach it is not among the best k
                 least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
                 at = np.flatnonzero((high >= least) & other)
-                score = np.einsum("ij,j->i", x[at], q)
-                best = np.lexsort((ids[at], -score))[:k]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.einsum("ij,j->i", x[at], q)
+                best = np.lexsort((ids[at], -score))[:k]  # no number: last
                 out["query_id"] += [query_id] * len(best)
                 out["vec_id"] += ids[at[best]].tolist()
                 out["score"] += score[best].tolist()
@@ -123,7 +141,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     bound, and reranks those by the original vectors in double precision. The bounds are of CODE_SIGMAS standard
     deviations, so a neighbour is missed with small probability. Each pair of blocks brings k rows a query on.
 
-    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. A row is no neighbour of a query
+    Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id, and scores that are no number (infinities
+    that cancel) come last. Vectors of any finite size take part: where bounds overflow, a candidate is reranked. A row is no neighbour of a query
     with its own vec_id; if a vec_id repeats as a query, each of its vectors counts once among that query's rows. See
     `index` for what takes part; an empty table gives no rows, and other columns are ignored.
     """
@@ -136,5 +155,6 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     queries = coded.filter(F.col("vec_id") % every == 0).select("vec_id", "vector", spread(q_blocks).alias("q")).withColumn("c", every_block(n_blocks))
     pairs = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c"))
     found = pairs.applyInPandas(_search(k), "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    number = F.when(~F.isnan("score"), F.col("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(number.desc_nulls_last(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -57,3 +57,17 @@ def test_odd_vectors(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(table(spark, rows)).collect())
     assert got == [(0, 1, 8, 15.0), (0, 2, 1, 5.0), (0, 3, 20, 1.0), (20, 1, 8, 10.0), (20, 2, 0, 1.0), (20, 3, 1, 1.0)]
     assert nearest(table(spark, rows).limit(0)).count() == 0
+
+
+def test_sizes_out_of_range_lose_nothing(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(300)]
+    rows += [(1001 + i, (rng.normal(size=64) * 10.0 ** rng.choice([-200, 200, 300])).tolist()) for i in range(25)]
+    wide = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in nearest(wide).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    with np.errstate(over="ignore"):
+        want = brute(rows, 20, 20)
+    assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
+    assert sum(len(got[q] & {j for _, j in best}) for q, best in want.items()) / (20 * len(want)) >= 0.99
