@@ -62,34 +62,33 @@ def rows_of(docs: DataFrame) -> dict[str, int]:
 
 
 def mix_order(
-    docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_rows: int = 16, period: int = 10_000, rows_per_part: int = 1000, most_parts: int = 4096
+    docs: DataFrame, weights: dict[str, float] | None = None, temper: float = 0.5, block_rows: int = 16, period: int = 10_000, rows_per_part: int = 1000, most_sources: int = 100_000
 ) -> DataFrame:
-    """Interleave the sources' blocks: every row of `docs` with mix_source, block, slot, release, deadline, in_mix.
+    """Interleave the sources' blocks: every row of `docs` with mix_source, block, in_block, slot, release, deadline, in_mix.
 
     A source's rows, in an order of hashes, form blocks of `block_rows`; a block takes one slot. Targets are `weights`
     (of the sources present), or the shares of rows to the power `temper`. The schedule of one period of slots is made
-    on the driver, whose size depends on `period` and the number of sources alone; rows find theirs by arithmetic and
-    a join with it. Up to the slot where the first source runs out (in_mix) each source has had its weight to within
-    one block in every prefix; the others then go on in their own slots, so no row is dropped. `slot` orders blocks,
-    `in_block` the rows of one.
+    on the driver, whose size depends on `period` and the number of sources alone (more than most_sources are refused);
+    rows find theirs by arithmetic and a join with it. Up to the slot where the first source runs out (in_mix) each source
+    has had its weight to within one block in every prefix; the others then go on in their own slots, so no row is dropped.
+    `slot` orders blocks, `in_block` the rows of one.
 
-    A null source is the source ''. Null doc_ids and repeated rows are kept as rows of their own. An empty table gives
-    no rows. Input columns stay, clashing names of the added columns are replaced.
+    A source, however large, is numbered in parts of about rows_per_part rows (of a millionth of the table, where that is
+    more), by a hash of the whole row; equal rows, which share their hash, are dealt on by row number, from a written table.
+
+    A null source is the source ''. Null or repeated doc_ids and equal rows are kept as rows of their own; texts of any
+    length go along unread but for the hash. An empty table gives no rows. Input columns stay, whatever their names; only
+    those called like an added column are replaced.
     """
     added = ["mix_source", "block", "in_block", "slot", "release", "deadline", "in_mix"]
-    docs = docs.drop(*added)
-    parts = F.col("_part")
-    rows = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_key", F.xxhash64(F.col("doc_id"), F.lit(10)))
-    # a source, however large, is numbered in parts: tasks of about rows_per_part rows, or most_parts of them
+    own = [c for c in docs.columns if c not in added]
     sizes = rows_of(docs)
     if not sizes:
-        return docs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in zip(added, ("string", "long", "int", "long", "long", "long", "boolean"))]).limit(0)
-    spread = min(most_parts, max(1, -(-sum(sizes.values()) // rows_per_part)))
-    rows = rows.withColumn("_part", F.shiftrightunsigned("_key", 40) % F.lit(spread))
-    counts = materialize(rows.groupBy("mix_source", "_part").agg(F.count("*").alias("_n")), "mix-counts")
-    before = Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("mix_source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    wanted = {s: (weights or {}).get(s, 0.0) for s in sizes} if weights else tempered(sizes, temper)
+        empty = [F.lit(None).cast(t).alias(c) for c, t in zip(added, ("string", "long", "int", "long", "long", "long", "boolean"))]
+        return docs.select(*[F.col(f"`{c}`") for c in own], *empty).limit(0)
+    if len(sizes) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
+    wanted = {s: weights.get(s, 0.0) for s in sizes} if weights else tempered(sizes, temper)
     if not all(w > 0 for w in wanted.values()):
         raise ValueError("every source present needs a weight above 0")
     units = quantise(wanted, max(period, 4 * len(sizes)))
@@ -100,19 +99,32 @@ def mix_order(
         slots.setdefault(s, []).append(t)
     # the slot in which a source with that many blocks would have its next one: no mix past the first of these
     ends = [(nb // units[s]) * length + slots[s][nb % units[s]] for s, n in sizes.items() for nb in [-(-n // block_rows)]]
-    plan = rows.sparkSession.createDataFrame(schedule, SCHEMA)
-    plan = plan.withColumnsRenamed({"release": "_release", "deadline": "_deadline"})
-    at = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_key", "doc_id")) - 1
-    placed = rows.withColumn("_at", at).join(starts, ["mix_source", "_part"]).withColumn("_index", (F.col("_start") + F.col("_at")).cast("long"))
-    per = F.create_map(*[F.lit(x) for s, u in units.items() for x in (s, u)]) if len(units) <= 1000 else None
-    if per is None:
-        placed = placed.join(plan.groupBy("mix_source").agg(F.first("units").alias("_units")), "mix_source")
-    else:
-        placed = placed.withColumn("_units", F.element_at(per, F.col("mix_source")))
-    placed = placed.withColumn("block", F.floor(F.col("_index") / block_rows)).withColumn("in_block", (F.col("_index") % block_rows).cast("int"))
-    placed = placed.withColumn("nth", (F.col("block") % F.col("_units")).cast("int"))
-    turn = F.floor(F.col("block") / F.col("_units")) * length
-    return placed.join(F.broadcast(plan.drop("units")), ["mix_source", "nth"]).select(
-        *docs.columns, "mix_source", "block", "in_block", (turn + F.col("slot_in_period")).alias("slot"), (turn + F.col("_release")).alias("release"),
-        (turn + F.col("_deadline")).alias("deadline"), (turn + F.col("slot_in_period") < min(ends)).alias("in_mix"),
+    plan = docs.sparkSession.createDataFrame(schedule, SCHEMA)
+
+    # the input is one column, so no name of its can clash with those below
+    total, kinds = sum(sizes.values()), dict(docs.dtypes)
+    spread = min(1_000_000, max(1, -(-total // rows_per_part)))
+    key = F.xxhash64(F.lit(10), *[F.col(f"`{c}`") for c in own if "map<" not in kinds[c]])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("mix_source"), key.alias("key"))
+    rows = rows.withColumns({"part": F.shiftrightunsigned("key", 40) % F.lit(spread), "more": F.lit(0)})
+    counts = materialize(rows.groupBy("mix_source", "part", "more").agg(F.count("*").alias("n")), "mix-counts")
+    hot = counts.filter(F.col("n") > 16 * -(-total // spread)).select("mix_source", "part", F.ceil(F.col("n") / (total / spread)).alias("pieces"))
+    if not hot.isEmpty():
+        numbered = materialize(rows.drop("more").withColumn("number", F.monotonically_increasing_id()), "mix-rows")
+        # at most spread / 16 rows
+        rows = numbered.join(F.broadcast(hot), ["mix_source", "part"], "left")
+        rows = rows.withColumn("more", F.coalesce(F.pmod(F.xxhash64("number"), F.col("pieces")), F.lit(0)).cast("int")).drop("pieces", "number")
+        counts = materialize(rows.groupBy("mix_source", "part", "more").agg(F.count("*").alias("n")), "mix-counts")
+
+    before = Window.partitionBy("mix_source").orderBy("part", "more").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("mix_source", "part", "more", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    at = F.row_number().over(Window.partitionBy("mix_source", "part", "more").orderBy("key")) - 1
+    placed = rows.withColumn("at", at).join(starts, ["mix_source", "part", "more"]).withColumn("index", (F.col("start") + F.col("at")).cast("long"))
+    placed = placed.join(F.broadcast(docs.sparkSession.createDataFrame(list(units.items()), "mix_source string, units int")), "mix_source")
+    placed = placed.withColumn("block", F.floor(F.col("index") / block_rows)).withColumn("in_block", (F.col("index") % block_rows).cast("int"))
+    placed = placed.withColumn("nth", (F.col("block") % F.col("units")).cast("int")).withColumn("turn", F.floor(F.col("block") / F.col("units")) * length)
+    placed = placed.join(F.broadcast(plan.drop("units")), ["mix_source", "nth"])
+    slot = F.col("turn") + F.col("slot_in_period")
+    return placed.select(
+        "row.*", "mix_source", "block", "in_block", slot.alias("slot"), (F.col("turn") + F.col("release")).alias("release"), (F.col("turn") + F.col("deadline")).alias("deadline"), (slot < min(ends)).alias("in_mix"),
     )

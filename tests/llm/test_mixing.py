@@ -58,3 +58,20 @@ def test_empty_table_and_missing_weight(spark):
     assert mix_order(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         mix_order(spark.createDataFrame([(1, "x", "a", None)], SCHEMA), {"b": 1.0})
+
+
+def test_input_columns_stay_whatever_their_names(spark):
+    names = ["nth", "slot_in_period", "_key", "_part", "row", "key", "part", "more", "units", "turn", "index", "at", "start", "n", "a.b"]
+    rows = [(i, f"s{i % 3}", *[1000 * i + k for k in range(len(names))]) for i in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, " + ", ".join(f"`{n}` long" for n in names))
+    out = mix_order(table, block_rows=4, rows_per_part=20)
+    assert out.columns[: len(names) + 2] == table.columns
+    assert sorted(tuple(r)[: len(names) + 2] for r in out.collect()) == sorted(rows)
+
+
+def test_equal_rows_and_null_ids_are_numbered_in_pieces(spark):
+    rows = [(7, "same", "hot")] * 900 + [(None, f"t{i}", "hot") for i in range(300)] + [(i, "x", "cold") for i in range(200)]
+    out = mix_order(spark.createDataFrame([(d, t, s, "") for d, t, s in rows], SCHEMA).repartition(3), block_rows=4, rows_per_part=20).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((d, t) for d, t, _ in rows)
+    for source, n in (("hot", 1200), ("cold", 200)):
+        assert sorted((r.block, r.in_block) for r in out if r.mix_source == source) == [(i // 4, i % 4) for i in range(n)]
