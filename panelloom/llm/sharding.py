@@ -87,11 +87,12 @@ def tail_bits(depth: int) -> int:
     return max(depth - 64, 0)
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int]]:
+def splitters(keys: DataFrame, parts: int, tolerance: float, whole_groups: float = 0.0) -> list[tuple[int, int]]:
     """Keys that cut all bytes into `parts` ranges, each cut within `tolerance` bytes of its target if rows allow.
 
     Every round counts the bytes below the candidate boundaries of all unsettled intervals, then goes on inside the
-    bin that holds a target. A round brings at most parts * 2**NEXT_BITS counters to the driver, whatever the input.
+    bin that holds a target. A bin of equal texts is not cut if one of its ends is within `whole_groups` bytes of the
+    target. A round brings at most parts * 2**NEXT_BITS counters to the driver, whatever the input.
     """
     total = keys.agg(F.sum("size")).first()[0] or 0
     if not total or parts < 2:
@@ -112,9 +113,11 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
                         break
                     low = high
                 near_low = target - low <= high - target
-                if min(target - low, high - target) <= tolerance or r["n"] == 1 or depth + width == 128:
+                of_one_text = depth < 64 and r["least"] == r["most"]
+                allowed = max(tolerance, whole_groups) if of_one_text else tolerance
+                if min(target - low, high - target) <= allowed or r["n"] == 1 or depth + width == 128:
                     chosen[i] = _edge(depth, x.head, x.tail, r["digit"] + (not near_low))
-                elif depth < 64 and r["least"] == r["most"]:
+                elif of_one_text:
                     later[i] = _Open(64, r["least"] - _SIGN, 0, low)
                 elif depth < 64:
                     later[i] = _Open(depth + width, (x.head << width) | r["digit"], 0, low)
@@ -124,37 +127,31 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     return sorted(k for k in chosen.values() if k is not None)
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, pieces: int = 8, tolerance: float = 0.001) -> DataFrame:
-    """Put rows into shards of near-equal bytes; equal texts stand together save where a boundary cuts a group.
+def shard_by_bytes(docs: DataFrame, shards: int = 24, tolerance: float = 0.001, whole_groups: float = 0.02, piece_rows: int = 100_000) -> DataFrame:
+    """Put rows into shards of near-equal bytes; equal texts stand together.
 
-    Histogram sort: `splitters` finds the boundaries of shards * pieces key ranges by exact counts, then the rows are
-    exchanged once, by range, and numbered in key order. tolerance is a share of a shard's bytes. Numbering runs in
-    shards * pieces tasks, so no shard passes through one task whole.
+    Histogram sort: `splitters` finds the boundaries of the shards by exact counts, then the rows are exchanged once. Both
+    tolerances are shares of a shard's bytes: a boundary is within `tolerance` of its target, or, where it would cut a group
+    of equal texts, at the group's edge if that is within `whole_groups`; only groups too large for that are cut, so they
+    stand in a run of shards. A shard's rows are numbered in pieces of about piece_rows rows by a hash of the whole key, so
+    pieces grow in number with the table and are even, whatever groups it has.
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard. Null texts are empty ones of size 8; null doc_ids
-    are placed like others; an empty table gives no rows. Other columns are ignored.
+    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard. Null texts are empty ones of size 8; null or repeated
+    doc_ids and equal rows are placed like others; a text of any length is one row of its size; an empty table gives no
+    rows. Other columns are ignored.
     """
     keys = materialize(sort_keys(docs), "shard-keys")
-    total = keys.agg(F.sum("size")).first()[0] or 0
-    cuts = splitters(keys, shards * pieces, tolerance * total / shards)
-    placed = keys.withColumn("piece", F.lit(0))
-    if cuts:
-        # one target may fall on the same key as the next, so a cut stands once for each piece it ends
-        bounds = F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2")) for a, b in cuts])
-        placed = keys.withColumn("piece", F.size(F.filter(bounds, lambda s: s <= F.struct("k1", "k2"))))
-    in_piece = Window.partitionBy("piece").orderBy("k1", "k2")
-    counts = materialize(placed.groupBy("piece").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")), "shard-counts")
-    # at most shards * pieces rows: their shard is that of the bytes' middle, then slots go on from piece to piece
-    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.coalesce(F.sum("bytes").over(before), F.lit(0)) + F.col("bytes") / 2
-    starts = counts.withColumn("shard", F.least(F.floor(middle * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int"))
-    start = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.select("piece", "shard", start.alias("start"))
-    return (
-        placed.withColumn("at", F.row_number().over(in_piece) - 1)
-        .join(F.broadcast(starts), "piece")
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("start") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        )
-    )
+    told = keys.agg(F.sum("size"), F.count("*")).first()
+    mean = (told[0] or 0) / shards
+    cuts = splitters(keys, shards, tolerance * mean, whole_groups * mean)
+    # cuts in rising order; two may be the same key, which leaves a shard between them empty
+    bounds = F.array(*[F.struct(F.lit(a).alias("k1"), F.lit(b).alias("k2")) for a, b in cuts])
+    shard = F.size(F.filter(bounds, lambda s: s <= F.struct("k1", "k2"))) if cuts else F.lit(0)
+    pieces = max(1, -(-(told[1] or 0) // (shards * piece_rows)))
+    placed = keys.withColumns({"shard": shard.cast("int"), "piece": F.pmod(F.xxhash64("k1", "k2"), F.lit(pieces)).cast("int")})
+    counts = materialize(placed.groupBy("shard", "piece").agg(F.count("*").alias("n")), "shard-counts")
+    before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    at = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("k1", "k2")) - 1
+    slots = placed.withColumn("at", at).join(starts, ["shard", "piece"])
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
