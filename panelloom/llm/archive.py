@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,15 +32,23 @@ def digest_of(payload: Column) -> Column:
     return F.concat(F.sha2(payload, 256), F.lit("-"), F.octet_length(payload))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads as zlib streams, so that exchanges and files carry less."""
+    for batch in batches:
+        packed = pa.array([zlib.compress(x, 1) for x in batch.column("payload").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), packed], ["digest", "packed"])
+
+
 def write_archive(pages: DataFrame, path: str, revisit_from: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write `pages` (page_id, url, html) as two tables under `path`: payloads and headers.
 
-    payloads has the bytes of each distinct payload once, under its digest. headers has each record's exact WARC header
-    block and the digest. Of records with equal payloads of at least `revisit_from` bytes, that with the largest
+    payloads has the bytes of each distinct payload once, as a zlib stream, under its digest. headers has each record's exact
+    WARC header block and the digest. Of records with equal payloads of at least `revisit_from` bytes, that with the largest
     page_id is a response and the others are revisits; all smaller ones are responses.
 
     A null html is an empty payload, a null url an empty target. Rows with a null page_id are records too: a revisit if
-    their payload has a response with an id. Repeated rows of the largest page_id are all responses.
+    their payload has a response with an id. Repeated rows of the largest page_id are all responses. Payloads of any length
+    are one value each; an empty table gives empty tables, and other columns are ignored.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
@@ -44,9 +57,9 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = 0, date: str
     kept = rows.groupBy("digest").agg(F.max("page_id").alias("response_id"))
     kept.write.parquet(f"{path}/responses")
     kept = pages.sparkSession.read.schema(kept.schema).parquet(f"{path}/responses")
-    # a payload is exchanged once: each task brings one copy of those it holds
-    stored = rows.groupBy("digest").agg(F.first("payload").alias("payload"))
-    stored.withColumn("length", F.octet_length("payload").cast("long")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # a payload is exchanged once, packed: each task brings one copy of those it holds
+    stored = rows.select("digest", "payload").mapInArrow(_packed, "digest string, packed binary").groupBy("digest").agg(F.first("packed").alias("packed"))
+    stored.write.option("compression", "none").parquet(f"{path}/payloads")
 
     light = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("length"), base32_of_sha1(F.sha1("payload")).alias("sha1"))
     told = light.join(kept, "digest")
@@ -73,23 +86,55 @@ def _field(name: str) -> Column:
     return F.nullif(F.regexp_extract("_header", rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
 
 
+def _rebuilt(payload: bool):
+    """Unpack each record's payload, and say whether it has its address, its header's digest and its header's length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, good, bodies = [], [], []
+            for packed, digest, sha1, kind, length in zip(*(batch.column(c).to_pylist() for c in ("packed", "digest", "_sha1", "record_type", "content_length"))):
+                try:
+                    body = None if packed is None else zlib.decompress(packed)
+                except zlib.error:
+                    body = None
+                bodies.append(body)
+                sizes.append(None if body is None else len(body))
+                intact = body is not None and f"{hashlib.sha256(body).hexdigest()}-{len(body)}" == digest
+                good.append(intact and hashlib.sha1(body).hexdigest() == sha1 and (kind == "revisit" or length == len(body)))
+            keep = [c for c in batch.schema.names if c not in ("packed", "_sha1")]
+            out, names = [batch.column(c) for c in keep], [*keep, "payload_bytes", "verified"]
+            out += [pa.array(sizes, pa.int64()), pa.array(good, pa.bool_())]
+            if payload:
+                out.append(pa.array(bodies, pa.binary()))
+                names.append("payload")
+            yield pa.RecordBatch.from_arrays(out, names)
+
+    return run
+
+
+def sha1_of_base32(letters: Column) -> Column:
+    """32 base-32 letters as 40 hex digits, by way of their bits."""
+    bits = F.transform(F.split(letters, ""), lambda c: F.lpad(F.conv((F.instr(F.lit(BASE32), c) - 1).cast("string"), 10, 2), 5, "0"))
+    whole = F.array_join(bits, "")
+    return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.lpad(F.conv(F.substring(whole, i * 16 + 1, F.lit(16)), 2, 16), 4, "0")), ""))
+
+
 def read_archive(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Reconstruct the records: header fields parsed from the stored blocks, joined with the payloads by digest.
 
-    Every stored payload is hashed again and must have its address and its record's payload digest; a record whose
-    payload is missing or altered has verified = false. With payload=False the join brings lengths and digests only.
+    Every record's payload is unpacked and hashed again, and must have its address, its header's payload digest and, for a
+    response, its header's length; a record whose payload is missing or altered has verified = false. With payload=False all
+    that is done, but the result doesn't carry the bytes on.
     """
-    bodies = spark.read.parquet(f"{path}/payloads")
-    bodies = bodies.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_sha1(F.sha1("payload")).alias("_sha1"), (digest_of(F.col("payload")) == F.col("digest")).alias("_intact"), *(["payload"] if payload else []))
     heads = spark.read.parquet(f"{path}/headers").withColumn("_header", F.decode("header", "UTF-8"))
     ids = {n: F.regexp_extract(_field(f), r"<urn:page:(\d+|-\d+)>", 1) for n, f in (("page_id", "WARC-Record-ID"), ("refers_to", "WARC-Refers-To"))}
     heads = heads.select(
         "digest", "header", *[F.nullif(v, F.lit("")).cast("long").alias(k) for k, v in ids.items()], _field("WARC-Type").alias("record_type"), _field("WARC-Target-URI").alias("url"),
         F.regexp_extract(_field("WARC-Payload-Digest"), r"sha1:(\w+)", 1).alias("payload_digest"), _field("Content-Length").cast("long").alias("content_length"),
     )
-    whole = (F.col("record_type") == "revisit") | (F.col("content_length") == F.col("payload_bytes"))
-    verified = F.coalesce(F.col("_intact") & (F.col("_sha1") == F.col("payload_digest")) & whole, F.lit(False))
-    return heads.join(bodies, "digest", "left").withColumn("verified", verified).drop("_sha1", "_intact")
+    whole = heads.join(spark.read.parquet(f"{path}/payloads"), "digest", "left").withColumn("_sha1", sha1_of_base32(F.col("payload_digest")))
+    kinds = ", ".join(f"{c} {kind}" for c, kind in whole.drop("packed", "_sha1").dtypes)
+    return whole.mapInArrow(_rebuilt(payload), f"{kinds}, payload_bytes long, verified boolean" + ", payload binary" * payload)
 
 
 def write_warc_files(spark: SparkSession, path: str, out: str) -> None:

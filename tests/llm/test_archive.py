@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import re
+import zlib
 
 from panelloom.llm.archive import read_archive, write_archive, write_warc_files
 
@@ -44,10 +45,11 @@ def test_round_trip(spark, tmp_path):
 def test_altered_payload_is_noticed(spark, tmp_path):
     write_archive(table(spark, pages()), f"{tmp_path}/a")
     payloads = spark.read.parquet(f"{tmp_path}/a/payloads").collect()
-    broken = [(r.digest, bytearray(b"other") if i == 0 else r.payload, r.length) for i, r in enumerate(payloads) if i != 1]
-    spark.createDataFrame(broken, "digest string, payload binary, length long").coalesce(1).write.parquet(f"{tmp_path}/b/payloads")
+    # one altered, one no stream at all, one missing
+    broken = [(r.digest, bytearray(zlib.compress(b"other")) if i == 0 else bytearray(b"??") if i == 2 else r.packed) for i, r in enumerate(payloads) if i != 1]
+    spark.createDataFrame(broken, "digest string, packed binary").coalesce(1).write.parquet(f"{tmp_path}/b/payloads")
     spark.read.parquet(f"{tmp_path}/a/headers").write.parquet(f"{tmp_path}/b/headers")
-    lost = {payloads[0].digest, payloads[1].digest}
+    lost = {p.digest for p in payloads[:3]}
     assert {r.digest for r in read_archive(spark, f"{tmp_path}/b").filter("not verified").collect()} == lost
 
 
