@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from panelloom.llm.substrings import dedup_substrings
+from panelloom.llm.substrings import dedup_substrings, lengths
 from panelloom.llm.words import Words, local_minima
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,3 +85,12 @@ def test_local_minima_meet_every_run():
     for i in range(len(x) - 25):
         run = slice(i, i + 26)
         assert (at[run] & (x[run] == x[run].min())).any()
+
+
+@pytest.mark.parametrize("least,shortest", [(50, 12), (50, 30), (7, 2), (40, 5)])
+def test_any_length_and_number_of_levels(spark, least, shortest):
+    levels = lengths(least, shortest)
+    assert levels[-1] == least and all(a == (b + 1) // 2 for a, b in zip(levels, levels[1:]))
+    rows = corpus(3)
+    got = sorted((tuple(r) for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), least, shortest=shortest).collect()), key=str)
+    assert got == brute(rows, least)
