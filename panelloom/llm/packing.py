@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-_ODD = re.compile("[\x1c-\x1f]")
-#: A worker keeps two generations of so many pieces, about 20 MB; pieces longer than LONGEST aren't kept.
-GENERATION, LONGEST = 60_000, 40
+#: Letters of Latin-1 but for the ordinals and the micro sign, lower-cased; characters with which a text is encoded whole.
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_ODD = re.compile("[\x1c-\x1f\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\u0100-\U0010ffff]")
+#: What the tokenizer splits such a text into: runs of letters, digits, runs of other marks; whatever holds an apostrophe stays whole.
+_PARTS = re.compile(rf"[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
+_QUOTED_PARTS = re.compile(rf"\S*'\S*|{_PARTS.pattern}")
+#: A worker keeps two generations of so many parts, about 30 MB; parts longer than LONGEST aren't kept.
+GENERATION, LONGEST = 120_000, 40
 #: Weights are kept to until the plan has so many lanes, which grow with the square of the number of queues.
 MOST_LANES = 200_000
 #: Normalisers and splits, as a tokenizer's file names them, under which words can be encoded one by one, lower-cased.
@@ -39,11 +43,11 @@ def _is_wordwise(about: dict) -> bool:
     steps = [(about[part] or {}).get(many, []) for part, many in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
     splits = [x["pattern"].get("Regex") for x in steps[1] if x["type"] == "Split"]
     found = [x["type"] for x in steps[0]], [x["type"] for x in steps[1]], "".join(s or "" for s in splits)
-    return found == WORDWISE and about["model"]["type"] == "BPE" and not any(re.search(r"\s", t["content"]) for t in about["added_tokens"])
+    return found == WORDWISE and about["model"]["type"] == "BPE"
 
 
 class _Pieces(dict):
-    """Ids of white-space-free pieces of text, as bytes: the newer generation of a cache; `old` is the one before."""
+    """Ids of the parts of texts, as bytes: the newer generation of a cache; `old` is the one before."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,31 +59,27 @@ class _Pieces(dict):
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = "<u2" if self.code == "H" else "<u4"
         self.letters = _byte_letters()
-        #: Whether equal pieces always have equal ids, lower-cased; else texts are encoded whole.
-        self.wordwise = _is_wordwise(json.loads(self.tokenizer.to_str()))
+        about = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in about["added_tokens"]]
+        #: Whether equal parts always have equal ids, lower-cased; else texts are encoded whole.
+        self.wordwise = _is_wordwise(about)
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
         if ids is None:
-            # a word and the marks after it are pieces of their own to the tokenizer, so their ids are found apart
-            m = _SIMPLE.fullmatch(piece)
-            if m and m[2]:
-                ids = self[m[1]] + self[m[2]]
-            elif m and not piece.islower():
-                ids = self[piece.lower()]
-            elif m:
-                coded = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            if part.isalpha():
+                coded = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
                 ids = array(self.code, [t.id for t in self.model.tokenize(coded)]).tobytes()
             else:
-                ids = self.whole(piece)
-        if len(piece) <= LONGEST:
+                ids = self.whole(part)
+        if len(part) <= LONGEST:
             if len(self) >= GENERATION:
                 self.old = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[part] = ids
         return ids
 
 
@@ -89,27 +89,28 @@ def _pieces(path: str) -> _Pieces:
 
 
 def encode(path: str, text: str) -> bytes:
-    """The tokenizer's ids for a whole text, without special tokens; equal pieces are encoded once where its file allows that."""
+    """The tokenizer's ids for a whole text, without special tokens; equal words are encoded once where its file and the text allow that."""
     pieces = _pieces(path)
-    if not pieces.wordwise or _ODD.search(text):  # _ODD: white space to str.split(), not to the tokenizer
+    if not pieces.wordwise or _ODD.search(text) or any(x in text for x in pieces.added):
         return pieces.whole(text)
-    return b"".join(map(pieces.__getitem__, text.split()))
+    parts = _QUOTED_PARTS if "'" in text else _PARTS
+    return b"".join(map(pieces.__getitem__, parts.findall(text.lower())))
 
 
 def _tokens(path: str, end_id: int):
-    """Ids of each row, and where they start among those of its source in its block (the task's partition)."""
+    """Ids of each row, and where they start among those of its source in its block: what a task reads of one file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _pieces(path).kind
         end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
-        seen: dict[str, int] = {}
+        seen: dict[tuple[str, str], int] = {}
         for batch in batches:
             at, counts, ids = [], [], []
-            for source, text in zip(batch.column("source").to_pylist(), batch.column("text").to_pylist()):
+            for source, block, text in zip(*(batch.column(c).to_pylist() for c in ("source", "block", "text"))):
                 x = encode(path, text) + end
                 n = len(x) // width
-                at.append(seen.get(source, 0))
-                seen[source] = at[-1] + n
+                at.append(seen.get((source, block), 0))
+                seen[source, block] = at[-1] + n
                 counts.append(n)
                 ids.append(x)
             own = [batch.column(c) for c in ("doc_id", "source", "block")]
@@ -282,17 +283,19 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, wei
     share of the window and the deficit carried on. Targets are `weights` (of sources; small weights are one queue
     together, sources without one come last), or the queues' shares of all tokens, with which every window mirrors the
     corpus; see `plan` for the end of a queue. The tokens before a row in its queue are
-    summed by blocks (input partitions), so every task finds its rows' windows and deficits by arithmetic alone: the
+    summed by blocks (what a task reads of a file, in the files' order), so every task finds its rows' windows and deficits by arithmetic alone: the
     texts and ids are never shuffled for it, and no queue passes through one task. Only counts of the queues, at most
     size + 1, come to the driver. The last window is split at powers of two, so that nothing is padded.
 
     Returns a row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and, with_ids,
     ids. Null texts are empty, null sources are the source ''; null or repeated doc_ids are rows like others. An
-    empty table gives no rows. Other columns are ignored.
+    empty table gives no rows. A text of any length is one document, cut wherever its windows end. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text_or_empty().alias("text"))
-    rows = rows.withColumn("block", F.spark_partition_id())
-    tokens = materialize(rows.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, source string, block int, at long, n long, ids binary"), "tokens")
+    # part files are named in the order of their rows, so a table that was written in an order is packed in it
+    block = F.concat(F.input_file_name(), F.lit("|"), F.lpad(F.input_file_block_start().cast("string"), 16, "0"), F.lit("|"), F.lpad(F.spark_partition_id().cast("string"), 10, "0"))
+    rows = rows.withColumn("block", block)
+    tokens = materialize(rows.mapInArrow(_tokens(tokenizer, end_id), "doc_id long, source string, block string, at long, n long, ids binary"), "tokens")
 
     sums = materialize(tokens.groupBy("source", "block").agg(F.sum("n").alias("n")), "block-tokens")
     whole = sums.agg(F.sum("n")).first()[0] or 0

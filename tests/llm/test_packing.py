@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from panelloom.llm.packing import encode, pack, plan
@@ -17,12 +18,14 @@ WEIRD = [
 ]
 
 
-def test_ids_are_the_tokenizers():
-    whole = Tokenizer.from_file(PATH)
+@pytest.mark.parametrize("path", [PATH, public_tokenizers.path("byte_bpe_50k.json")])
+def test_ids_are_the_tokenizers(path):
+    whole = Tokenizer.from_file(path)
     rng = random.Random(1)
     texts = WEIRD + [" ".join(rng.choice(WEIRD).strip() for _ in range(6)) for _ in range(200)]
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(97, 123), rng.randrange(160, 256), 32, 39])) for _ in range(60)) for _ in range(400)]
     for text in texts * 2:
-        assert np.frombuffer(encode(PATH, text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(encode(path, text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def packed(spark, rows, size, **more):
@@ -128,3 +131,13 @@ def test_lanes_cover_every_token_once():
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_a_table_written_in_an_order_is_packed_in_it(spark, tmp_path):
+    rows = [(i, f"word{i} " * 30, "a") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(7, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")).write.parquet(f"{tmp_path}/docs")
+    out = pack(spark.read.parquet(f"{tmp_path}/docs"), PATH, size=64).collect()
+    first = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        first.setdefault(r.doc_id, len(first))
+    assert [d for d, _ in sorted(first.items(), key=lambda x: x[1])] == list(range(399, -1, -1))
