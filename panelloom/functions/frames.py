@@ -6,7 +6,7 @@ Missing values are nulls; a window's value is null until it has `least` values t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -120,3 +120,42 @@ def flag(condition: Column) -> Column:
 
 def safe_div(a, b, eps: float = 1e-10) -> Column:
     return F.when(F.abs(col(b)) > eps, col(a) / col(b))
+
+
+class Sums:
+    """Frames by running sums: a window's sum is the difference of two of them, so a row costs the same for any window.
+
+    The sums are decimals of 18 places, so differences of long ones lose nothing: for values of the size of returns and
+    their products. `add` gives the columns of the running sums, which have to be there before anything else is used.
+    """
+
+    def __init__(self, **values: Column):
+        self.values = values
+
+    def add(self, df: DataFrame) -> DataFrame:
+        sums = {f"_s_{k}": F.sum(F.coalesce(v, F.lit(0.0)).cast("decimal(38,18)")).over(running()) for k, v in self.values.items()}
+        counts = {f"_n_{k}": F.count(v).over(running()) for k, v in self.values.items()}
+        return df.withColumns(sums | counts)
+
+    def names(self) -> list[str]:
+        return [f"{a}_{k}" for a in ("_s", "_n") for k in self.values]
+
+    def _within(self, column: str, n: int) -> Column:
+        return F.col(column) - F.coalesce(lag(column, n), F.lit(0))
+
+    def sum(self, k: str, n: int) -> Column:
+        return self._within(f"_s_{k}", n).cast("double")
+
+    def count(self, k: str, n: int) -> Column:
+        return self._within(f"_n_{k}", n)
+
+    def mean(self, k: str, n: int, least: int) -> Column:
+        return F.when(self.count(k, n) >= F.greatest(F.lit(least), F.lit(1)), self.sum(k, n) / self.count(k, n))
+
+    def cross(self, xy: str, x: str, y: str, n: int) -> Column:
+        """Summed products of the deviations of x and y; all three must be null together."""
+        return self.sum(xy, n) - self.sum(x, n) * self.sum(y, n) / F.greatest(self.count(xy, n), F.lit(1))
+
+    def std(self, xx: str, x: str, n: int, least: int) -> Column:
+        k = self.count(x, n)
+        return F.when(k >= F.greatest(F.lit(least), F.lit(2)), F.sqrt(F.greatest(self.cross(xx, x, x, n), F.lit(0.0)) / (k - 1)))

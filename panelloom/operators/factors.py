@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import (
-    beta, change, corr, fit_r2, flag, high, kurt, lag, last_rows, low, mean, quantile, rolling, running, safe_div, skew, slope, std, total,
+    Sums, change, corr, fit_r2, flag, high, kurt, lag, last_rows, low, mean, quantile, running, safe_div, skew, slope, std, total,
 )
+from panelloom.operators import series
 
 EPS = 1e-9
 
@@ -30,11 +31,14 @@ def momentum(df: DataFrame) -> DataFrame:
 
 def volatility(df: DataFrame) -> DataFrame:
     _, R, _, _ = _columns()
-    df = df.withColumns({f"vol_{n}d": std(R, n, max(3, n // 3)) for n in (5, 21, 63, 126)})
-    return df.withColumns({
-        "vol_ratio_st": _near(F.col("vol_5d"), F.col("vol_21d")), "vol_trend": _near(F.col("vol_21d"), F.col("vol_63d")), "downvol_21d": std(F.when(R.isNotNull(), F.least(R, F.lit(0.0))), 21, 10),
-        "vol_of_vol_63d": std("vol_21d", 63, 30), "vol_contraction_signal": flag(F.col("vol_21d") < 0.85 * F.col("vol_63d")), "cand_vol_term_slope": _near(F.col("vol_5d"), F.col("vol_126d")),
-    })
+    down = F.when(R.isNotNull(), F.least(R, F.lit(0.0)))
+    sums = Sums(r=R, rr=R * R, d=down, dd=down * down)
+    df = sums.add(df).withColumns({f"vol_{n}d": sums.std("rr", "r", n, max(3, n // 3)) for n in (5, 21, 63, 126)} | {"downvol_21d": sums.std("dd", "d", 21, 10)}).drop(*sums.names())
+    of_vol = Sums(v=F.col("vol_21d"), vv=F.col("vol_21d") * F.col("vol_21d"))
+    return of_vol.add(df).withColumns({
+        "vol_ratio_st": _near(F.col("vol_5d"), F.col("vol_21d")), "vol_trend": _near(F.col("vol_21d"), F.col("vol_63d")), "vol_of_vol_63d": of_vol.std("vv", "v", 63, 30),
+        "vol_contraction_signal": flag(F.col("vol_21d") < 0.85 * F.col("vol_63d")), "cand_vol_term_slope": _near(F.col("vol_5d"), F.col("vol_126d")),
+    }).drop(*of_vol.names())
 
 
 def tails(df: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def trend(df: DataFrame) -> DataFrame:
             "ma_cross_10_50": ma[10] / (ma[50] + EPS) - 1, "ma_cross_50_200": ma[50] / (ma[200] + EPS) - 1, "nearness_52w_low": C / (F.col("_lo") + EPS) - 1,
             "nearness_52w_high": safe_div(C, F.col("_hi")), "drawdown_pct_252d": C / (F.col("_hi") + EPS) - 1, "bollinger_pct": (C - (F.col("_mu20") - 2 * F.col("_sd20"))) / (4 * F.col("_sd20") + EPS),
             "trend_slope_21d": slope(C, 21) / (mean(C, 21) + EPS), "trend_slope_63d": slope(C, 63) / (mean(C, 63) + EPS), "trend_r2_21d": fit_r2(C, 21), "trend_r2_126d": fit_r2(C, 126),
-            "price_range_ratio": (F.col("_hi") - F.col("_lo")) / C, "ret_since_52w_low": (C - F.col("_lo")) / (F.col("_lo") + 1e-10), "above_ma_200": flag(C > ma[200]), "above_ma_50": flag(C > ma[50]),
+            "price_range_ratio": (F.col("_hi") - F.col("_lo")) / C, "ret_since_52w_low": (C - F.col("_lo")) / (F.col("_lo") + 1e-10), "above_ma_200": flag(C > ma[200]), "above_ma_50": flag(C > ma[50]), "price_pct_above_ma200": (C - ma[200]) / ma[200],
             "new_52w_high": flag(C >= 0.98 * F.col("_hi")), "new_52w_low": flag(C <= 1.02 * F.col("_lo")),
         }
     )
@@ -84,17 +88,41 @@ def liquidity(df: DataFrame) -> DataFrame:
 
 
 def market_beta(df: DataFrame) -> DataFrame:
+    """Betas, correlations and what returns have beside the market, from running sums of returns and their products."""
     _, R, M, _ = _columns()
+    both = R.isNotNull() & M.isNotNull()
+    x, y = F.when(both, M), F.when(both, R)
     up, off = F.when(R.isNotNull(), F.when(M > 0, R).otherwise(0.0)), F.when(R.isNotNull(), F.when(M < 0, R).otherwise(0.0))
     m_up, m_off = F.when(M.isNotNull(), F.greatest(M, F.lit(0.0))), F.when(M.isNotNull(), F.least(M, F.lit(0.0)))
-    df = df.withColumns({
-        "beta_21d": beta(R, M, 21, 10), "beta_63d": beta(R, M, 63, 31), "beta_252d": beta(R, M, 252, 126), "corr_spx_21d": corr(R, M, 21, 10), "corr_spx_63d": corr(R, M, 63, 31),
-        "up_beta_63d": beta(up, m_up, 63, 21), "down_beta_63d": beta(off, m_off, 63, 21), "_r126": change("close", 126), "_r252": change("close", 252), "_m126": total(M, 126, 60), "_m252": total(M, 252, 120),
-    })
+    pair = lambda a, b: (F.when(b.isNotNull(), a), F.when(a.isNotNull(), b), a * b)
+    (uy, ux, uxy), (oy, ox, oxy) = pair(up, m_up), pair(off, m_off)
+    sums = Sums(
+        x=x, y=y, xx=x * x, yy=y * y, xy=x * y, m=M, mm=M * M, ux=ux, uy=uy, uxy=uxy, um=m_up, umm=m_up * m_up, ox=ox, oy=oy, oxy=oxy, om=m_off, omm=m_off * m_off,
+    )
+
+    def slope_of(xy: str, x: str, y: str, m: str, mm: str, n: int, least: int) -> Column:
+        """Covariance of the rows that have both over the variance of all of the market's."""
+        k, all_ = sums.count(xy, n), sums.count(m, n)
+        spread = F.when(all_ >= 2, sums.cross(mm, m, m, n) / (all_ - 1))
+        return F.when(k >= max(least, 2), sums.cross(xy, x, y, n) / (k - 1)) / (spread + 1e-12)
+
+    def alike(n: int, least: int) -> Column:
+        k, over = sums.count("xy", n), F.sqrt(F.greatest(sums.cross("xx", "x", "x", n), F.lit(0.0)) * F.greatest(sums.cross("yy", "y", "y", n), F.lit(0.0)))
+        return F.when((k >= least) & (over / k > 1e-15), sums.cross("xy", "x", "y", n) / over)
+
+    df = sums.add(df).withColumns(
+        {f"beta_{n}d": slope_of("xy", "x", "y", "m", "mm", n, least) for n, least in ((21, 10), (63, 31), (252, 126))}
+        | {
+            "corr_spx_21d": alike(21, 10), "corr_spx_63d": alike(63, 31), "up_beta_63d": slope_of("uxy", "ux", "uy", "um", "umm", 63, 21), "down_beta_63d": slope_of("oxy", "ox", "oy", "om", "omm", 63, 21),
+            "_r126": change("close", 126), "_r252": change("close", 252), "_m126": F.when(sums.count("m", 126) >= 60, sums.sum("m", 126)), "_m252": F.when(sums.count("m", 252) >= 120, sums.sum("m", 252)),
+        }
+    ).drop(*sums.names())
+    rest = R - F.col("beta_252d") * M
+    later = Sums(b=F.col("beta_21d"), bb=F.col("beta_21d") * F.col("beta_21d"), e=rest, ee=rest * rest)
     whole = F.coalesce(F.col("beta_63d"), F.lit(1.0))
-    return df.withColumns({
-        "beta_stability_63d": std("beta_21d", 63, 30), "idio_vol_252d": std(R - F.col("beta_252d") * M, 252, 126), "residual_mom_6m": F.col("_r126") - whole * F.col("_m126"), "residual_mom_12m": F.col("_r252") - whole * F.col("_m252"),
-    }).drop("_r126", "_r252", "_m126", "_m252")
+    return later.add(df).withColumns({
+        "beta_stability_63d": later.std("bb", "b", 63, 30), "idio_vol_252d": later.std("ee", "e", 252, 126), "residual_mom_6m": F.col("_r126") - whole * F.col("_m126"), "residual_mom_12m": F.col("_r252") - whole * F.col("_m252"),
+    }).drop("_r126", "_r252", "_m126", "_m252", *later.names())
 
 
 def co_skewness(df: DataFrame) -> DataFrame:
@@ -136,7 +164,7 @@ def paths(df: DataFrame) -> DataFrame:
     names = {"cand_path_efficiency": lambda n: F.abs(total(R, n, n // 2)) / (total(size, n, n // 2) + EPS), "cand_kaufman_er": lambda n: F.abs(C - lag("close", n)) / (total("_d", n, n // 2) + EPS)}
     return df.withColumns({f"{name}_{n}d": f(n) for name, f in names.items() for n in (21, 63)} | {
         "cand_up_path_ratio_21d": total(up, 21, 10) / (total(size, 21, 10) + EPS), "cand_signed_path_21d": total(size, 21, 10) * F.signum(total(R, 21, 10)), "cand_return_dispersion_21d": std(R, 21, 10) / (mean(size, 21, 10) + EPS),
-        "cand_path_skew_21d": skew(R, 21, 10), "cand_realized_skew_63d": skew(R, 63, 21), "cand_directional_persist": mean(flag(F.signum(R) == F.signum("_r1")), 63, 21), "cand_mom_breadth_63d": mean(flag(R > 0), 63, 21),
+        "cand_path_skew_21d": skew(R, 21, 10), "cand_realized_skew_21d": skew(R, 21, 10), "cand_realized_skew_63d": skew(R, 63, 21), "cand_directional_persist": mean(flag(F.signum(R) == F.signum("_r1")), 63, 21), "cand_mom_breadth_63d": mean(flag(R > 0), 63, 21),
         "cand_realized_var_ratio": mean(R * R, 21, 10) / (std(R, 21, 10) * std(R, 21, 10) + EPS), "cand_frog_in_pan_6m": F.signum(change("close", 126)) * mean(flag(R > 0), 126, 63),
     }).drop("_d", "_r1")
 
@@ -218,10 +246,43 @@ def shapes(df: DataFrame) -> DataFrame:
         "cand_jump_intensity_63d": total("_jump", 63, 21), "cand_vol_asymmetry_63d": (std(up, 63, 21) - std(down, 63, 21)) / (std(up, 63, 21) + std(down, 63, 21) + EPS), "cand_vol_price_divergence": F.when(same, 0.0).otherwise(1.0),
         "cand_gap_persistence_21d": corr("_gs", "_gs1", 20, 10), "cand_expected_shortfall_mom": F.when(F.col("_cut").isNotNull(), F.aggregate(worst, F.lit(0.0), lambda a, x: a + x) / F.size(worst)), "cand_mom_vol_interaction": F.col("_r252") * calm,
         "cand_corwin_schultz_21d": mean("_spread", 21, 10), "cand_roll_spread_21d": F.sqrt(F.greatest(-2 * F.coalesce("_auto", F.lit(0.0)) * F.coalesce(F.var_pop(R).over(last_rows(21)), F.lit(0.0)), F.lit(0.0))), "cand_price_impact_asym_21d": part(falls) / (part(rises) + EPS),
-        "reversal_size": -F.col("_r21") * F.log1p(F.greatest("_dv", F.lit(1e3))), "cand_mom_x_vol_regime": F.coalesce("_r252", F.lit(0.0)) * F.coalesce(F.col("_s21") / (F.col("_s63") + EPS), F.lit(0.0)), "cand_gap_x_volume": F.coalesce(gap, F.lit(0.0)) * F.coalesce(V / (F.col("_v21") + EPS), F.lit(0.0)),
+        "reversal_size": -F.col("_r21") * F.log1p(F.greatest("_dv", F.lit(1e3))),
     }).drop("_jump", "_s21", "_s63", "_r21", "_r252", "_v21", "_gs", "_r1", "_cut", "_w", "_imp", "_beta", "_gamma", "_dv", "_gs1", "_spread", "_auto", "_dv21")
 
 
+def interactions(df: DataFrame) -> DataFrame:
+    """Products of features of other families, which are made here on the same rows and dropped again."""
+    names = ["cand_path_efficiency_63d", "beta_63d", "corr_spx_63d", "vol_21d", "vol_ratio_st", "vol_of_vol_63d", "vol_momentum_21d", "avg_gap_21d", "skew_60d", "maxdd_21d", "cand_recovery_speed_63d", "hurst_63d"]
+    wide = series.hurst(drawdowns(tails(microstructure(liquidity(volatility(market_beta(paths(df))))))))
+    wide = wide.select(*df.columns, *names).withColumns({f"_r{k}": change("close", k) for k in (21, 126, 252)})
+    x = {n: F.col(n) for n in names}
+    step = lambda n: x[n] - lag(n, 21)
+    wide = wide.withColumns({
+        "cand_mom_x_vol_regime": F.col("_r252") * flag(x["vol_ratio_st"] > 1.5), "cand_reversal_x_vol_spike": -F.col("_r21") * flag(x["vol_momentum_21d"] > 1.0), "cand_trend_eff_x_mom_sign": x["cand_path_efficiency_63d"] * F.signum("_r126"),
+        "cand_beta_change_x_vol": step("beta_63d") * x["vol_21d"], "cand_hurst_x_mom": x["hurst_63d"] * F.col("_r252"), "cand_gap_x_volume": x["avg_gap_21d"] * x["vol_momentum_21d"], "cand_skew_x_mom": x["skew_60d"] * F.col("_r126"),
+        "cand_drawdown_x_recovery": x["maxdd_21d"] * x["cand_recovery_speed_63d"], "cand_vol_of_vol_x_mom": x["vol_of_vol_63d"] * F.abs("_r252"), "cand_corr_change_x_ret": step("corr_spx_63d") * F.col("_r21"),
+    })
+    return wide.drop(*names, "_r21", "_r126", "_r252")
+
+
+def entropy_regimes(df: DataFrame, until: str, percentile: float = 0.25, least: int = 50) -> DataFrame:
+    """Where the entropy of returns is under the instrument's own percentile up to a date, its onset, and its z over 126 rows.
+
+    An instrument with fewer than `least` values up to that date has 0 in all three.
+    """
+    df = series.entropy(df)
+    h = F.col("cand_return_entropy_21d")
+    past = F.when(F.col("date") <= F.lit(until).cast("date"), h)
+    own = Window.partitionBy("instrument")
+    df = df.withColumns({"_cut": F.percentile(past, percentile).over(own), "_known": F.count(past).over(own)})
+    enough = F.col("_known") >= least
+    df = df.withColumn("cand_low_entropy_regime", F.when(enough, flag(h < F.col("_cut"))).otherwise(0.0))
+    low = F.col("cand_low_entropy_regime")
+    z = (h - mean(h, 126, 30)) / (std(h, 126, 30) + EPS)
+    df = df.withColumns({"cand_entropy_transition": flag((low == 1) & (F.coalesce(lag("cand_low_entropy_regime"), F.lit(0.0)) == 0)), "cand_entropy_zscore": F.when(enough, z).otherwise(0.0)})
+    return df.drop("_cut", "_known")
+
+
 def seasonality(month_end: DataFrame) -> DataFrame:
     """Same-calendar-month returns of earlier years, by a join on the year, and calendar flags of month-end rows."""
     C, _, _, _ = _columns()
@@ -237,4 +298,4 @@ def seasonality(month_end: DataFrame) -> DataFrame:
     return keyed.withColumns({"ret_same_month_avg": average} | flags).drop("y", "mo")
 
 
-FAMILIES = {f.__name__: f for f in (momentum, volatility, tails, trend, liquidity, market_beta, co_skewness, microstructure, time_signals, paths, volume_price, drawdowns, directions, shapes)}
+FAMILIES = {f.__name__: f for f in (momentum, volatility, tails, trend, liquidity, market_beta, co_skewness, microstructure, time_signals, paths, volume_price, drawdowns, directions, shapes, interactions)}

@@ -29,7 +29,7 @@ def monthly_ic(long: DataFrame, least: int = 20, rank: bool = True) -> DataFrame
 
 def ic_summary(ic: DataFrame) -> DataFrame:
     """factor, n_months, ic_mean, ic_std, icir, t_stat, pct_positive; of at least three months."""
-    out = ic.groupBy("factor").agg(F.count("ic").alias("n_months"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("pct_positive"))
+    out = ic.groupBy("factor").agg(F.count("ic").alias("n_months"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"), F.avg((F.round("ic", 12) > 0).cast("double")).alias("pct_positive"))
     spread = F.col("ic_std") > 1e-8
     out = out.withColumns({"icir": F.when(spread, F.col("ic_mean") / F.col("ic_std")), "t_stat": F.when(spread, F.col("ic_mean") / F.col("ic_std") * F.sqrt("n_months"))})
     return out.filter("n_months >= 3")
@@ -50,10 +50,27 @@ def ic_decay(long: DataFrame, lags: list[int], least: int = 20) -> DataFrame:
     return ic.groupBy("factor", "lag").agg(F.avg("ic").alias("ic_mean"), F.count("*").alias("n_months"))
 
 
+def pooled_rank(df: DataFrame, x: str, key: str, parts: int = 64) -> DataFrame:
+    """df with column x replaced by its average-tie rank among the key's rows, however many: no window sees them all.
+
+    Values are counted, cut into ranges at `parts` sampled quantiles of each key, and numbered in their range; rows below a
+    range are a sum over the ranges' totals, and ranks come back to the rows by their value.
+    """
+    cuts = df.filter(F.col(x).isNotNull()).groupBy(key).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    counts = df.filter(F.col(x).isNotNull()).groupBy(key, x).agg(F.count("*").alias("_n")).join(F.broadcast(cuts), key)
+    counts = counts.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    inside = Window.partitionBy(key, "_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(key, "_part").agg(F.sum("_n").alias("_t")).withColumn("_below", F.coalesce(F.sum("_t").over(below), F.lit(0)))
+    ranked = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(totals.drop("_t")), [key, "_part"])
+    ranks = ranked.select(key, x, (F.col("_below") + F.col("_in") + (F.col("_n") + 1) / 2).alias("_rank"))
+    return df.join(ranks, [key, x], "left").withColumn(x, F.col("_rank")).drop("_rank")
+
+
 def pooled_ic(long: DataFrame) -> DataFrame:
     """factor, n, ic: one rank correlation over all months' rows."""
-    rows = _complete(long)
-    ranked = rows.withColumns({"value": average_rank(F.col("value"), "factor"), "fwd_ret_1m": average_rank(F.col("fwd_ret_1m"), "factor")})
+    rows = _complete(long).select("factor", "value", "fwd_ret_1m")
+    ranked = pooled_rank(pooled_rank(rows, "value", "factor"), "fwd_ret_1m", "factor")
     return ranked.groupBy("factor").agg(F.count("*").alias("n"), _corr("value", "fwd_ret_1m", 3).alias("ic"))
 
 
@@ -91,13 +108,13 @@ def regime_stability(ic: DataFrame, regimes: list[tuple[str, str, str]], least_m
     table = table.select("regime", F.to_date("first").alias("first"), F.to_date("final").alias("final"))
     inside = ic.join(F.broadcast(table), (F.col("month") >= F.col("first")) & (F.col("month") <= F.col("final")))
     means = inside.groupBy("factor", "regime").agg(F.avg("ic").alias("ic"), F.count("*").alias("n")).filter(F.col("n") >= least_months)
-    out = means.groupBy("factor").agg(F.count("*").alias("regimes"), F.sum((F.col("ic") > 0).cast("long")).alias("positive"))
+    out = means.groupBy("factor").agg(F.count("*").alias("regimes"), F.sum((F.round("ic", 12) > 0).cast("long")).alias("positive"))
     return out.withColumn("stable", F.greatest("positive", F.col("regimes") - F.col("positive")) >= share * F.col("regimes"))
 
 
 def health(inside: DataFrame, outside: DataFrame) -> DataFrame:
     """factor, ic_is, ic_oos, decay_ratio, health: GREEN, AMBER, RED or GREY by how the later mean IC holds up."""
-    both = inside.select("factor", F.col("ic_mean").alias("ic_is")).join(outside.select("factor", F.col("ic_mean").alias("ic_oos")), "factor", "left")
+    both = inside.select("factor", F.round("ic_mean", 12).alias("ic_is")).join(outside.select("factor", F.round("ic_mean", 12).alias("ic_oos")), "factor", "left")
     both = both.withColumn("decay_ratio", F.when(F.abs("ic_is") > 1e-10, F.col("ic_oos") / F.col("ic_is")))
     ratio = F.abs("decay_ratio")
     label = F.when(F.col("decay_ratio").isNull(), "GREY").when(F.col("decay_ratio") < 0, "RED").when(ratio >= 0.7, "GREEN").when(ratio >= 0.3, "AMBER").otherwise("RED")
@@ -106,8 +123,9 @@ def health(inside: DataFrame, outside: DataFrame) -> DataFrame:
 
 def rank_correlations(panel: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, rho for each pair of columns: Pearson of pooled average ranks of rows that have all columns."""
-    rows = panel.dropna(subset=columns)
-    rows = rows.select(*[average_rank(F.col(c)).alias(c) for c in columns])
+    rows = panel.dropna(subset=columns).select("month", "instrument", *columns)
+    ranked = pooled_rank(rows.unpivot(["month", "instrument"], columns, "factor", "value"), "value", "factor")
+    rows = ranked.groupBy("month", "instrument").pivot("factor", columns).agg(F.max("value"))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     wide = rows.agg(*[_corr(a, b, 3).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.unpivot([], wide.columns, "pair", "rho")
@@ -138,22 +156,3 @@ def rank_persistence(long: DataFrame, lags: list[int], least: int = 20) -> DataF
     ranked = pairs.withColumns({"value": average_rank(F.col("value"), "factor", "lag", "month"), "later": average_rank(F.col("later"), "factor", "lag", "month")})
     rho = ranked.groupBy("factor", "lag", "month").agg(_corr("value", "later", least).alias("rho")).filter("rho is not null")
     return rho.groupBy("factor", "lag").agg(F.avg("rho").alias("rho"), F.count("*").alias("n_months"))
-
-
-def permutation_test(long: DataFrame, sims: int = 100, least: int = 20) -> DataFrame:
-    """factor, ic_mean, p: two-sided share of shuffles, within months, whose mean IC is at least as large.
-
-    A shuffle gives each row the return of the row at its place in an order by hash. Ranks are made once; a shuffle is
-    one window over (factor, month, simulation), so all run at once in tasks of a month's rows each.
-    """
-    rows = _complete(long).withColumns({"a": average_rank(F.col("value"), "factor", "month"), "b": average_rank(F.col("fwd_ret_1m"), "factor", "month")})
-    place = F.row_number().over(Window.partitionBy("factor", "month").orderBy("instrument"))
-    rows = rows.select("factor", "month", "instrument", "a", "b", place.alias("place"))
-    drawn = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims))))
-    order = Window.partitionBy("factor", "month", "sim").orderBy(F.xxhash64("sim", "month", "instrument"), "instrument")
-    moved = drawn.withColumn("to", F.when(F.col("sim") == 0, F.col("place")).otherwise(F.row_number().over(order)))
-    pairs = moved.select("factor", "month", "sim", "a", F.col("to").alias("place")).join(rows.select("factor", "month", "place", "b"), ["factor", "month", "place"])
-    ic = pairs.groupBy("factor", "month", "sim").agg(_corr("a", "b", least).alias("ic")).filter("ic is not null")
-    means = ic.groupBy("factor", "sim").agg(F.avg("ic").alias("m"))
-    real = means.filter("sim = 0").select("factor", F.col("m").alias("ic_mean"))
-    return means.filter("sim > 0").join(real, "factor").groupBy("factor", "ic_mean").agg(F.avg((F.abs("m") >= F.abs("ic_mean")).cast("double")).alias("p"))

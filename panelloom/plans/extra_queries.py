@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import beta, safe_div, std
-from panelloom.operators import panel as pan, portfolio as pf, statistics as st
+from panelloom.operators import evaluation as ev, panel as pan, portfolio as pf, statistics as st
 from panelloom.plans import oracle as q
 from panelloom.plans import panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
@@ -85,7 +85,7 @@ def rank_persistence(s, d):
 
 
 def permutation_test(s, d):
-    return rounded(st.permutation_test(p.long(s, d), 50, p.LEAST))
+    return rounded(ev.shuffle_tests(p.long(s, d), 100, p.LEAST).select("factor", "ic_mean", "p"))
 
 
 QUERIES = {f.__name__: f for f in (market_months, residual_features, ttm_sums, log_size, ensemble_score, pitch_overlay, benchmark_regression, strategy_difference, stress_regimes, rank_persistence, permutation_test)}

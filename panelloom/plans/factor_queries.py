@@ -73,7 +73,7 @@ ORACLES = {
         | {
             "ma_cross_10_50": f"_ma10 / (_ma50 + {E}) - 1", "ma_cross_50_200": f"_ma50 / (_ma200 + {E}) - 1", "nearness_52w_low": f"close / (_lo + {E}) - 1", "nearness_52w_high": "close / _hi",
             "drawdown_pct_252d": f"close / (_hi + {E}) - 1", "bollinger_pct": f"(close - (_mu - 2 * _sd)) / (4 * _sd + {E})", "trend_slope_21d": _slope(21), "trend_slope_63d": _slope(63), "trend_r2_21d": _r2(21), "trend_r2_126d": _r2(126),
-            "price_range_ratio": "(_hi - _lo) / close", "ret_since_52w_low": "(close - _lo) / (_lo + 1e-10)", "above_ma_200": q.flag("close > _ma200"), "above_ma_50": q.flag("close > _ma50"),
+            "price_range_ratio": "(_hi - _lo) / close", "ret_since_52w_low": "(close - _lo) / (_lo + 1e-10)", "above_ma_200": q.flag("close > _ma200"), "above_ma_50": q.flag("close > _ma50"), "price_pct_above_ma200": "(close - _ma200) / _ma200",
             "new_52w_high": q.flag("close >= 0.98 * _hi"), "new_52w_low": q.flag("close <= 1.02 * _lo"),
         },
         {"cand_trend_acceleration": f"trend_slope_21d - {q.lag('trend_slope_21d', 21)}"},
@@ -123,7 +123,7 @@ ORACLES = {
         | {f"cand_kaufman_er_{n}d": f"abs(close - {q.lag('close', n)}) / ({q.tot('_d', n, n // 2)} + {E})" for n in (21, 63)}
         | {
             "cand_up_path_ratio_21d": f"{q.tot(up, 21, 10)} / ({q.tot('abs(r)', 21, 10)} + {E})", "cand_signed_path_21d": f"{q.tot('abs(r)', 21, 10)} * sign({q.tot('r', 21, 10)})", "cand_return_dispersion_21d": f"{q.std('r', 21, 10)} / ({q.avg('abs(r)', 21, 10)} + {E})",
-            "cand_path_skew_21d": q.moment("skewness", "r", 21, 10), "cand_realized_skew_63d": q.moment("skewness", "r", 63, 21), "cand_directional_persist": q.avg(q.flag("sign(r) = sign(_r1)"), 63, 21), "cand_mom_breadth_63d": q.avg(q.flag("r > 0"), 63, 21),
+            "cand_path_skew_21d": q.moment("skewness", "r", 21, 10), "cand_realized_skew_21d": q.moment("skewness", "r", 21, 10), "cand_realized_skew_63d": q.moment("skewness", "r", 63, 21), "cand_directional_persist": q.avg(q.flag("sign(r) = sign(_r1)"), 63, 21), "cand_mom_breadth_63d": q.avg(q.flag("r > 0"), 63, 21),
             "cand_realized_var_ratio": f"{q.avg('r * r', 21, 10)} / (pow({q.std('r', 21, 10)}, 2) + {E})", "cand_frog_in_pan_6m": f"sign({q.change(126)}) * {q.avg(q.flag('r > 0'), 126, 63)}",
         },
     ),
@@ -178,7 +178,26 @@ ORACLES = {
             "cand_gap_persistence_21d": q.corr("_gs", "_gs1", 20, 10), "cand_expected_shortfall_mom": "case when _cut is not null then list_avg(list_filter(_w, lambda x: x <= _cut)) end", "cand_mom_vol_interaction": f"_r252 * {q.flag('_s21 < 0.85 * _s63')}",
             "cand_corwin_schultz_21d": q.avg("_spread", 21, 10), "cand_roll_spread_21d": "sqrt(greatest(-2 * coalesce(_auto, 0) * coalesce(_vp, 0), 0))",
             "cand_price_impact_asym_21d": f"case when count(_fall) over {sp(21)} >= 5 then avg(_fall) over {sp(21)} end / (case when count(_rise) over {sp(21)} >= 5 then avg(_rise) over {sp(21)} end + {E})", "reversal_size": "-_r21 * ln(1 + greatest(_dv, 1e3))",
-            "cand_mom_x_vol_regime": f"coalesce(_r252, 0) * coalesce(_s21 / (_s63 + {E}), 0)", "cand_gap_x_volume": f"coalesce(_gap, 0) * coalesce(volume / (_v21 + {E}), 0)",
+        },
+    ),
+    "factor_interactions": q.staged(
+        {
+            "_r21": q.change(21), "_r126": q.change(126), "_r252": q.change(252), "_v5": q.std("r", 5, 3), "_v21": q.std("r", 21, 7), "_pe": f"abs({q.tot('r', 63, 31)}) / ({q.tot('abs(r)', 63, 31)} + {E})", "_b": q.beta("r", "m", 63, 31), "_c": q.corr("r", "m", 63, 31),
+            "_vm": f"volume / ({q.avg('volume', 21, 10)} + {E}) - 1", "_gap": f"open / ({q.lag('close')} + {E}) - 1", "_sk": q.moment("skewness", "r", 60, 20), "_nav": f"product(1 + coalesce(r, 0)) over {q.RUN}", "_dd": f"close / max(close) over {q.RUN} - 1",
+            "_hl": f"case when count(r) over {sp(63)} >= 20 then list(r) filter (where r is not null) over {sp(63)} end",
+        },
+        {
+            "_vr": f"_v5 / (_v21 + {E})", "_vov": q.std("_v21", 63, 30), "_ag": q.avg("abs(_gap)", 21, 10), "_ndd": f"_nav / {q.roll('max', '_nav', 21, 7)} - 1", "_u": "_dd < -0.005",
+            "_hd": "list_transform(_hl, lambda x: x - list_sum(_hl) / len(_hl))",
+        },
+        {
+            "_mdd": q.roll("min", "_ndd", 21, 7), "_rs": f"case when count(case when _u and r > 0 then 1 end) over {sp(63)} >= 10 then avg(case when _u and r > 0 then r end) over {sp(63)} end",
+            "_cum": "list_transform(range(1, len(_hd) + 1), lambda i: list_sum(_hd[1:i]))", "_sd": "sqrt(list_sum(list_transform(_hd, lambda x: x * x)) / len(_hd))",
+        },
+        {"_h": "case when _sd > 1e-12 and (list_max(_cum) - list_min(_cum)) / _sd > 0 then ln((list_max(_cum) - list_min(_cum)) / _sd) / ln(len(_hd)) end"},
+        {
+            "cand_mom_x_vol_regime": f"_r252 * {q.flag('_vr > 1.5')}", "cand_reversal_x_vol_spike": f"-_r21 * {q.flag('_vm > 1.0')}", "cand_trend_eff_x_mom_sign": "_pe * sign(_r126)", "cand_beta_change_x_vol": f"(_b - {q.lag('_b', 21)}) * _v21", "cand_hurst_x_mom": "_h * _r252",
+            "cand_gap_x_volume": "_ag * _vm", "cand_skew_x_mom": "_sk * _r126", "cand_drawdown_x_recovery": "_mdd * _rs", "cand_vol_of_vol_x_mom": "_vov * abs(_r252)", "cand_corr_change_x_ret": f"(_c - {q.lag('_c', 21)}) * _r21",
         },
     ),
     "factor_seasonality": f"""with {q.BARS}, {q.MONTH_ENDS},

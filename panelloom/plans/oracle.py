@@ -69,6 +69,14 @@ def rounded(names: list[str], digits: int = 6) -> str:
     return ", ".join(f"round({n}, {digits}) + 0 as {n}" for n in names)
 
 
+def student_p(t: str, v: str) -> str:
+    """Two-sided p-value of Student's t with whole degrees of freedom, by gamma functions."""
+    angle = f"atan(abs({t}) / sqrt({v}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, {v} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * pow(cos({angle}), 2 * k)))"
+    odd = f"2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, ({v} - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * pow(cos({angle}), 2 * k + 1))), 0))"
+    return f"(case when {t} is not null and {v} >= 1 then 1 - case when {v} % 2 = 0 then {even} else {odd} end end)"
+
+
 def staged(*stages: dict[str, str], start: str = RETURNS, source: str = "base") -> str:
     """A chain of common tables, each adding its columns; columns that don't begin with _ come out."""
     out, names = start, []

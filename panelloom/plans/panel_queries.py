@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelloom.operators import asof, panel as pan, portfolio as pf, statistics as st
+from panelloom.operators import asof, evaluation as ev, panel as pan, portfolio as pf, statistics as st
 from panelloom.plans import oracle as q
 from panelloom.plans.factor_queries import prepared, rounded
 from panelloom.sources import bars as src
@@ -102,20 +102,12 @@ def combo_score(s, d):
 
 
 def bhy_stepup(s, d):
-    """Step-up over all factors' p-values, here of a normal approximation by a logistic curve that both engines have."""
-    ic = st.ic_summary(st.monthly_ic(long(s, d), LEAST))
-    tests = ic.select("factor", F.round(2 / (1 + F.exp(1.702 * F.abs("t_stat"))), 9).alias("p"))
-    return _r(st.step_up(tests, 0.3))
+    """Step-up over all factors' p-values of Student's t."""
+    return _r(st.step_up(ev.tests_of(st.ic_summary(st.monthly_ic(long(s, d), LEAST))), 0.3))
 
 
 def fdr_grid(s, d):
-    ic = st.ic_summary(st.monthly_ic(long(s, d), LEAST))
-    tests = ic.select("factor", F.round(2 / (1 + F.exp(1.702 * F.abs("t_stat"))), 9).alias("p"))
-    parts = [st.step_up(tests, level, dep).agg(F.lit(level).alias("level"), F.lit(name).alias("test"), F.sum(F.col("rejected").cast("long")).alias("rejected")) for level in (0.05, 0.2, 0.5) for name, dep in (("bh", False), ("bhy", True))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return ev.step_up_grid(ev.tests_of(st.ic_summary(st.monthly_ic(long(s, d), LEAST))), [0.05, 0.2, 0.5])
 
 
 def cs_rank(s, d):
@@ -315,7 +307,7 @@ rk as (select factor, month, {_rank('value', 'factor, month')} as a, {_rank('fwd
 ic as (select * from (select factor, month, count(*) as n, {_c('a', 'b')} as ic from rk group by factor, month) where ic is not null)"""
 _SUM = _IC + """,
 su as (select *, case when ic_std > 1e-8 then ic_mean / ic_std end as icir, case when ic_std > 1e-8 then ic_mean / ic_std * sqrt(n_months) end as t_stat
-  from (select factor, count(ic) as n_months, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, avg(case when ic > 0 then 1.0 else 0.0 end) as pct_positive from ic group by factor) where n_months >= 3)"""
+  from (select factor, count(ic) as n_months, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, avg(case when round(ic, 12) > 0 then 1.0 else 0.0 end) as pct_positive from ic group by factor) where n_months >= 3)"""
 _W = "wt as (select *, value / sum(value) over (partition by month) as weight from (select date_trunc('month', date)::date as month, instrument, sum(dollar_vol::decimal(18,2))::double as value from bars group by all))"
 _S = _P + f""", {_W},
 sc as (select month, instrument, mom_accel as score, fwd_ret_1m, vol_60d as daily_vol, value, weight, value / 21 as adv from panel join wt using (month, instrument) where fwd_ret_1m is not null)"""
@@ -345,7 +337,7 @@ def _perf(bt: str) -> str:
 _PERF = ["ann_port", "ann_bench", "ann_alpha", "track_err", "hit_rate", "max_active_dd", "maxdd", "info_ratio", "sharpe"]
 _BACK = _S + f", bk as {_tilt('0.004')}, {_bt('bt', 'bk')}"
 _SIDE = "sd as (select o_custkey % (select count(*) from supplier) + 1 as instrument, o_orderdate::date as date, arg_max(o_totalprice, {'k': o_orderkey, 'p': o_totalprice}) as side_value from orders group by all)"
-_TESTS = _SUM + ", te as (select factor, round(2 / (1 + exp(1.702 * abs(t_stat))), 9) as p from su)"
+_TESTS = _SUM + f", te as (select factor, round({q.student_p('t_stat', '(n_months - 1)')}, 9) as p from su)"
 
 
 def _step(level: float, dependent: bool) -> str:
@@ -378,8 +370,8 @@ select factor, month, {q.rounded(['bottom', 'top'])}, round(top - bottom, 6) + 0
     "factor_turnover": f"with {_BUCKET}, l as (select *, lag(bucket) over (partition by factor, instrument order by month) as prior from qb) select factor, round(avg(case when bucket <> prior then 1.0 else 0.0 end), 6) + 0 as turnover, count(*) as n from l where prior is not null group by factor",
     "regime_stability": f"""with {_IC}, rg as (select regime, f::date as first, l::date as final from (values {', '.join(str(r) for r in REGIMES)}) t(regime, f, l)),
 mm as (select factor, regime, avg(ic) as ic, count(*) as n from ic join rg on month between first and final group by all having count(*) >= 6)
-select *, greatest(positive, regimes - positive) >= 0.75 * regimes as stable from (select factor, count(*) as regimes, count(*) filter (where ic > 0) as positive from mm group by factor)""",
-    "factor_health": f"""with {_IC}, two as (select factor, month < date '1999-01-01' as early, avg(ic) as ic_mean, count(*) as n from ic group by all having count(*) >= 3),
+select *, greatest(positive, regimes - positive) >= 0.75 * regimes as stable from (select factor, count(*) as regimes, count(*) filter (where round(ic, 12) > 0) as positive from mm group by factor)""",
+    "factor_health": f"""with {_IC}, two as (select factor, month < date '1999-01-01' as early, round(avg(ic), 12) as ic_mean, count(*) as n from ic group by all having count(*) >= 3),
 h as (select a.factor, a.ic_mean as ic_is, b.ic_mean as ic_oos, case when abs(a.ic_mean) > 1e-10 then b.ic_mean / a.ic_mean end as decay_ratio from two a left join two b on a.factor = b.factor and not b.early where a.early)
 select factor, {q.rounded(['ic_is', 'ic_oos', 'decay_ratio'])}, case when decay_ratio is null then 'GREY' when decay_ratio < 0 then 'RED' when abs(decay_ratio) >= 0.7 then 'GREEN' when abs(decay_ratio) >= 0.3 then 'AMBER' else 'RED' end as health from h""",
     "factor_correlations": f"""with {_P}, r as (select {', '.join(f"{_rank(c, '')} as {c}" for c in FACTORS)} from panel where {' and '.join(f'{c} is not null' for c in FACTORS)})
