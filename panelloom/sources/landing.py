@@ -59,6 +59,14 @@ def facts(documents: DataFrame, tags: list[str], units: tuple[str, ...] = ("USD"
     return keep_last(rows, ["cik", "tag", "end"], ["filed", "val"]).select("cik", "tag", "end", "filed", "val")
 
 
+def filing_index(landed: DataFrame, forms: list[str], since: str) -> DataFrame:
+    """instrument, form, filed of an index landed as JSON with parallel arrays (form, filingDate), of some forms since a day."""
+    parsed = landed.select("instrument", F.from_json("json", "form array<string>, filingDate array<string>").alias("j"))
+    rows = parsed.select("instrument", F.explode(F.arrays_zip("j.form", "j.filingDate")).alias("x"))
+    rows = rows.select("instrument", F.col("x.form").alias("form"), F.to_date("x.filingDate").alias("filed"))
+    return rows.filter(F.col("form").isin(*forms) & (F.col("filed") >= F.lit(since).cast("date")))
+
+
 def write_panel(panel: DataFrame, path: str) -> None:
     """Parquet by year, so that date ranges prune files."""
     panel.withColumn("year", F.year("month")).write.mode("overwrite").partitionBy("year").parquet(path)
