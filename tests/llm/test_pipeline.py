@@ -18,7 +18,7 @@ def corpus():
     rows += [(300, "12 34 !!", None, "s1", 0), (301, None, None, "s1", 0), (302, "", "aa", None, 0)]
     rows += [(400 + i, rows[i][1], rows[i][2], "s1", 0) for i in range(10)]  # exact copies
     rows += [(420, rows[0][1] + " " + "zz", rows[0][2], "s2", 0)] if len(rows[0][1].split()) > 50 else []
-    rows += [(500 + i, f"{rows[20 + i][1]}\n{passage}", rows[20 + i][2], "s0", 0) for i in range(0)]
+    rows += [(500 + i, " ".join(rng.choice(words["bb"]) for _ in range(200)) + "\n" + passage, "bb", "s0", 0) for i in range(3)]
     rows += [(600 + i, " ".join(rng.choice(words["aa"]) for _ in range(90)) + "\n" + passage, "aa", "s2", 0) for i in range(3)]
     return rows, passage
 
@@ -40,7 +40,7 @@ def test_stages_and_run(spark, tmp_path):
     assert set(seen["language_id"]) - set(near) >= set(range(400, 410)) and all(i in near for i in range(240)) and all(near[i].text == before[i][1] for i in near)
     cut = seen["substring_dedup"]
     assert set(cut) == set(near)
-    assert passage in cut[600].text and all(passage not in cut[i].text for i in (601, 602))
+    assert passage in cut[500].text and all(passage not in cut[i].text for i in (501, 502, 600, 601, 602))
     assert all(cut[i].text == before[i][1] for i in range(240)) and all(len(r.text) == r.n_chars for r in cut.values())
     assert seen["mix_sources"] == cut
     whole = Tokenizer.from_file(pipeline.queries.tokenizer_path())
@@ -63,3 +63,24 @@ def test_leading_sequences_have_the_mixs_shares(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_tells_rows_by_id_and_text(spark):
+    rng = random.Random(9)
+    text = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(80)) for _ in range(4)]
+    rows = [(1, text[0], "aa", "s", 0), (2, text[0], "aa", "s", 0), (2, text[1], "aa", "s", 0), (3, text[2], "bb", "s", 0), (3, text[2], "aa", None, 0), (None, text[0], "aa", "s", 0), (4, "", "aa", "s", 0), (5, None, "aa", "s", 0)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], COLUMNS + ", d1 int")
+    out = [tuple(r) for r in pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(map(str, out)) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5], rows[6], rows[7]]))
+
+
+def test_mixed_order_is_the_packed_one(spark, tmp_path):
+    rows = [(i, f"text number {i} " * 30, "aa", "hot" if i % 5 else "rare", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    place = {r.doc_id: r.slot * 100 + r.in_block for r in pipeline.mixing.mix_order(docs).collect()}
+    pipeline.mix_sources(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    out = pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    for source in ("hot", "rare"):
+        mine = [r.doc_id for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)) if r.source == source]
+        order = list(dict.fromkeys(mine))
+        assert order == sorted(order, key=place.get)
