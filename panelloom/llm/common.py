@@ -55,25 +55,3 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
-
-
-def splits_of(df: DataFrame, column: str, parts: int) -> list[int]:
-    """Rising values of an integer column that cut its rows into about `parts` equal ranges."""
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    found = df.agg(F.percentile_approx(column, at, max(10_000, 20 * parts)).alias("s")).first()["s"]
-    return sorted(set(found or []))
-
-
-def range_index(column: Column, splits: list[int]) -> Column:
-    """How many splits are at most the column's value, by two short scans of a literal list of lists; null for null if there are splits."""
-    if not splits:
-        return F.lit(0)
-    step = max(1, int(len(splits) ** 0.5))
-    runs = [splits[i : i + step] for i in range(0, len(splits), step)]
-    nested = F.array(*[F.array(*map(F.lit, r)) for r in runs])
-    run = F.size(F.filter(F.array(*[F.lit(r[0]) for r in runs]), lambda s: s <= column))
-    inside = F.size(F.filter(F.element_at(nested, run), lambda s: s <= column))
-    # no split is at most null, and element_at has no element 0
-    return F.when(column.isNull(), None).when(column < F.lit(splits[0]), 0).otherwise((run - 1) * step + inside)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, range_index, splits_of, text_or_empty
+from .common import materialize, text_or_empty
 
 
 #: The result columns beside doc_id.
@@ -34,59 +34,89 @@ def _digests(told):
         n = F.char_length("text")
         kept = F.col("text").substr(F.lit(1), (n - F.floor(n / 3)).cast("int"))
         rows = rows.withColumn("_edited", F.concat(kept, F.col("next_text").substr(F.lit(1), F.floor(n / 3).cast("int"))))
-        rows = rows.withColumn("_canon", canonical(F.col("_edited")))
-        rows = rows.withColumns({
-            "n_chars": n.cast("long"), "edited_sha256": F.sha2("_edited", 256), "fingerprint": told(F.col("hash"), F.col("text")),
-            "edited_fingerprint": told(wide_hash(F.col("_canon")), F.col("_edited")), "_next": told(F.col("next_hash"), F.col("next_text")),
-        })
+        rows = rows.withColumn("_canon", canonical(F.col("_edited"))).withColumn("_edited_hash", wide_hash(F.col("_canon")))
+        rows = rows.withColumns({"n_chars": n.cast("long"), "edited_sha256": F.sha2("_edited", 256)})
+        for name, hash_, text in (("fingerprint", "hash", "text"), ("edited_fingerprint", "_edited_hash", "_edited"), ("_next", "next_hash", "next_text")):
+            rows = told(rows, name, hash_, text)
         same = F.when(F.col("fingerprint") == F.col("edited_fingerprint"), canonical(F.col("text")) == F.col("_canon")).otherwise(False)
         return rows.withColumns({"near_edited": same.cast("double"), "near_next": (F.col("fingerprint") == F.col("_next")).cast("double")})
 
     return add
 
 
-def _with_next(rows: DataFrame, add, columns: list[str], rows_per_range: int = 2000, most_ranges: int = 50_000) -> DataFrame:
+def in_ranges(rows: DataFrame, rows_per_range: int = 2000, most_ranges: int = 200_000) -> DataFrame:
+    """Adds _part, whose order is that of the rows: by falling doc_id, nulls last, equal ones by a hash of their text.
+
+    Ids are cut into ranges of equal width, by arithmetic. Ranges of more than four times their share (clustered, repeated
+    and null ids) are cut again, by their own width, and if they hold one id only, by the hash: these few ranges, a quarter of
+    all at most, are joined. Past most_ranges ranges they grow with the table, to 50,000 rows at 10**10.
+    """
+    tie = F.xxhash64("text")
+    told = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
+    share = max(rows_per_range, -(-told["n"] // most_ranges))
+    ranges = max(1, -(-told["n"] // share))
+    low, high = float(told["a"] or 0), float(told["b"] or 0)
+    place = lambda least, most, parts: F.floor((most - F.col("doc_id").cast("double")) / (most - least + 1) * parts)
+    rows = rows.withColumn("_b", F.coalesce(place(F.lit(low), F.lit(high), F.lit(ranges)), F.lit(ranges + 1)).cast("long"))
+
+    def large(*keys: str) -> DataFrame:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("doc_id").cast("double").alias("_lo"), F.max("doc_id").cast("double").alias("_hi"))
+        return materialize(sizes.filter(F.col("_n") > 4 * share).withColumn("_pieces", F.ceil(F.col("_n") / share)), "large-ranges")
+
+    wide = large("_b")
+    if wide.isEmpty():
+        return rows.withColumn("_part", F.struct("_b", F.lit(0).cast("long").alias("_s"), F.lit(0).cast("long").alias("_t"))).drop("_b")
+    rows = rows.join(F.broadcast(wide), "_b", "left")
+    inner = F.when(F.col("_hi") > F.col("_lo"), place(F.col("_lo"), F.col("_hi"), F.col("_pieces"))).otherwise(0)
+    rows = rows.withColumn("_s", F.coalesce(inner, F.lit(0)).cast("long")).drop("_n", "_lo", "_hi", "_pieces")
+    alike = large("_b", "_s").filter("_lo is null or _lo = _hi").select("_b", "_s", "_pieces")
+    rows = rows.join(F.broadcast(alike), ["_b", "_s"], "left")
+    by_hash = F.coalesce(F.floor((tie / float(1 << 64) + 0.5) * F.col("_pieces")), F.lit(0)).cast("long")
+    return rows.withColumn("_part", F.struct("_b", "_s", by_hash.alias("_t"))).drop("_b", "_s", "_pieces")
+
+
+def _with_next(rows: DataFrame, add, columns: list[str], rows_per_range: int = 2000) -> DataFrame:
     """doc_id and `columns` of each row, which `add` makes of doc_id, text, hash, next_text and next_hash.
 
     The next row is that of the next smaller doc_id; after the last comes the first. Rows are exchanged once, into
     ranges of doc_id that grow in number with the table; only the first text of each range goes to the range before.
     Null doc_ids come last; equal ones are ordered by a hash of their text.
     """
-    n = rows.select("doc_id").count()
-    cuts = splits_of(rows, "doc_id", min(most_ranges, -(-n // rows_per_range)))
     within = Window.partitionBy("_part").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
     lead = F.lead(F.struct("text", "hash")).over(within)
-    rows = rows.withColumn("_part", F.coalesce(range_index(F.col("doc_id"), cuts), F.lit(-1)))
+    rows = in_ranges(rows, rows_per_range)
     rows = rows.select("*", lead.alias("_lead"), (F.row_number().over(within) == 1).alias("_first"))
     rows = rows.withColumns({"next_text": F.col("_lead.text"), "next_hash": F.col("_lead.hash"), "_last": F.col("_lead").isNull()})
     # a range's first and last rows keep their texts, to be joined with their neighbours'
     own = F.when(F.col("_first") | F.col("_last"), F.struct("text", "hash")).alias("_own")
     done = materialize(add(rows).select("doc_id", *columns, "_part", "_first", "_last", own), "next-docs")
     heads = done.filter("_first").select("_part", F.col("_own").alias("_head"))
-    # which range follows which: one integer a range
-    present = heads.select("_part").withColumn("_of", F.lead("_part").over(Window.orderBy(F.desc("_part"))))
-    top = heads.agg(F.max("_part")).first()[0]
-    follows = present.select("_part", F.coalesce("_of", F.lit(top)).alias("_of"))
+    # which range follows which: three integers a range
+    present = heads.select("_part").withColumn("_of", F.lead("_part").over(Window.orderBy("_part")))
+    start = heads.agg(F.min("_part").alias("_start"))
+    follows = present.withColumn("_one", F.lit(1)).join(F.broadcast(start.withColumn("_one", F.lit(1))), "_one").select("_part", F.coalesce("_of", "_start").alias("_of"))
     nexts = follows.join(heads.withColumnRenamed("_part", "_of"), "_of").select("_part", "_head")
     ends = done.filter("_last").select("doc_id", "_own.text", "_own.hash", "_part").join(nexts, "_part")
     ends = add(ends.withColumns({"next_text": F.col("_head.text"), "next_hash": F.col("_head.hash")})).select("doc_id", *columns)
     return done.filter("not _last").drop("_part", "_first", "_last", "_own").unionByName(ends)
 
 
-def clashes(rows: DataFrame, words: int = 1 << 17) -> DataFrame:
+def clashes(rows: DataFrame, lanes: int = 2, words: int = 1 << 17) -> DataFrame:
     """Hashes whose bucket holds different canonical bytes. rows: text, hash.
 
-    Only texts whose hash occurs twice are compared. They are picked by 64 bits for each of `words` hash values, a
-    broadcast of at most that many rows; where these are too few they let more texts through, never less. The least and
-    greatest canonical text of a bucket are compared byte by byte; partial aggregation keeps both, so that a bucket of
-    copies costs two texts a task.
+    Only texts whose hash occurs twice are compared. They are picked by 64 bits for each of `words` values of a hash of the
+    raw text, a broadcast of at most that many rows, so no other canonical form is made for it; where these are too few they
+    let more texts through, never less. The least and greatest canonical text of a bucket are compared byte by byte; partial
+    aggregation keeps both, so that a bucket of copies costs two texts a task.
     """
-    again = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    key = F.xxhash64("hash")
-    bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(hash), 32), 64) as int))")
-    bits = again.groupBy(F.pmod(key, F.lit(words)).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
-    picked = rows.withColumn("_word", F.pmod(key, F.lit(words))).join(F.broadcast(bits), "_word").filter(bit.bitwiseAND(F.col("_bits")) != 0)
-    bounds = picked.select("hash", canonical(F.col("text")).alias("canon")).groupBy("hash").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
+    raw = F.xxhash64("text")
+    bit_of = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({c}, 32), 64) as int))")
+    told = materialize(rows.select("hash", raw.alias("_raw")), "canonical-hashes")
+    again = told.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    bits = told.join(again, "hash").groupBy(F.pmod("_raw", F.lit(words)).alias("_word")).agg(F.bit_or(bit_of("_raw")).alias("_bits"))
+    picked = rows.select("text", raw.alias("_raw")).withColumn("_word", F.pmod("_raw", F.lit(words))).join(F.broadcast(bits), "_word").filter(bit_of("_raw").bitwiseAND(F.col("_bits")) != 0)
+    picked = picked.withColumn("canon", canonical(F.col("text"))).select("canon", wide_hash(F.col("canon"), lanes).alias("hash"))
+    bounds = picked.groupBy("hash").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
     return bounds.filter("least != most").select("hash")
 
 
@@ -96,20 +126,24 @@ def hashed(docs: DataFrame, lanes: int = 2) -> DataFrame:
     return rows.withColumn("_own", canonical(F.col("text"))).withColumn("hash", wide_hash(F.col("_own"), lanes)).drop("_own")
 
 
-def _told_apart(rows: DataFrame, most: int = 10_000):
-    """A function from (hash, text) to fingerprint: the hash, and 512 bits of SHA-2 where the hash stands for several texts."""
-    clashing = [r[0] for r in clashes(rows).limit(most + 1).collect()]
-    if len(clashing) > most:
-        raise ValueError(f"more than {most} clashing hashes; use more lanes")
-    if not clashing:
-        return lambda h, text: h
-    return lambda h, text: F.when(h.isin(clashing), F.concat(h, F.sha2(canonical(text), 512))).otherwise(h)
+def _told_apart(rows: DataFrame, lanes: int = 2):
+    """A function that adds a fingerprint to rows: the hash, and 512 bits of SHA-2 where the hash stands for several texts."""
+    found = materialize(clashes(rows, lanes), "clashes")
+    if found.isEmpty():
+        return lambda df, name, hash_, text: df.withColumn(name, F.col(hash_))
+    marked = found.select(F.col("hash").alias("_hash"), F.lit(True).alias("_clash"))
+
+    def add(df: DataFrame, name: str, hash_: str, text: str) -> DataFrame:
+        both = df.join(marked, F.col(hash_) == F.col("_hash"), "left")
+        return both.withColumn(name, F.when(F.col("_clash"), F.concat(hash_, F.sha2(canonical(F.col(text)), 512))).otherwise(F.col(hash_))).drop("_hash", "_clash")
+
+    return add
 
 
 def fingerprint(docs: DataFrame, lanes: int = 2) -> DataFrame:
     """Each row's doc_id and fingerprint. Equal fingerprints have equal canonical bytes, and the other way round."""
     rows = hashed(docs, lanes)
-    return rows.select("doc_id", _told_apart(rows)(F.col("hash"), F.col("text")).alias("fingerprint"))
+    return _told_apart(rows, lanes)(rows, "fingerprint", "hash", "text").select("doc_id", "fingerprint")
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
@@ -120,7 +154,7 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty. Rows with equal or null doc_id are kept as rows. A single row is its own next one.
     An empty table gives no rows; other columns are ignored. Texts that differ only in case, white space or the
-    composition of accents share a fingerprint.
+    composition of accents share a fingerprint. A very long text is one value, hashed whole.
     """
     rows = hashed(docs)
     return _with_next(rows, _digests(_told_apart(rows)), RESULTS)

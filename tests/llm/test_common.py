@@ -1,27 +1,17 @@
-import bisect
-import random
+import os
 
-from pyspark.sql import functions as F
-
-from panelloom.llm.common import materialize, range_index, splits_of
-
-
-def test_range_index_counts_splits(spark):
-    rng = random.Random(1)
-    values = [rng.randrange(-50, 200) for _ in range(300)]
-    df = spark.createDataFrame([(v,) for v in values], "v long")
-    for splits in ([], [3], [0, 10, 20, 50], sorted(rng.sample(range(150), 60))):
-        got = {r.v: r.i for r in df.select("v", range_index(F.col("v"), splits).alias("i")).collect()}
-        assert got == {v: bisect.bisect_right(splits, v) for v in values}
-
-
-def test_splits_cut_evenly(spark):
-    cuts = splits_of(spark.range(10_000), "id", 8)
-    assert len(cuts) == 7 and all(abs(c - 1250 * (i + 1)) <= 20 for i, c in enumerate(cuts))
-    assert splits_of(spark.range(0), "id", 8) == [] and splits_of(spark.range(5), "id", 1) == []
+from panelloom.llm.common import discard, materialize
 
 
 def test_materialized_table_keeps_schema_and_rows(spark):
     df = spark.createDataFrame([(1, [1.5], None)], "a long, b array<double>, c string")
     out = materialize(df, "t")
     assert out.dtypes == df.dtypes and [tuple(r) for r in out.collect()] == [(1, [1.5], None)]
+
+
+def test_discarded_tables_are_deleted(spark):
+    out = materialize(spark.range(10).toDF("a"), "t")
+    path = out._written_at.removeprefix("file:")
+    assert os.path.isdir(path)
+    discard(out)
+    assert not os.path.exists(path)

@@ -84,3 +84,15 @@ def test_nulls_repeats_single_and_empty(spark):
     out = fingerprint_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == 5 and len({r.fingerprint for r in out}) == 3
     assert fingerprint_with_edits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_ranges_keep_the_order_and_split_what_is_large(spark):
+    ids = [*range(500), *[10**15 + i for i in range(500)], *[7] * 400, *[None] * 400, -(2**62), 2**62]
+    rows = spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    out = fingerprints.in_ranges(rows, rows_per_range=20).withColumn("tie", F.xxhash64("text")).collect()
+    by_part = sorted(out, key=lambda r: (tuple(r._part), r.doc_id is None, -(r.doc_id or 0), r.tie))
+    assert by_part == sorted(out, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    sizes: dict = {}
+    for r in out:
+        sizes[tuple(r._part)] = sizes.get(tuple(r._part), 0) + 1
+    assert max(n for (b, s, t), n in sizes.items() if t) <= 80 and len(sizes) > 20
