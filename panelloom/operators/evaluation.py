@@ -32,6 +32,17 @@ def student_p(t: Column, freedom: Column) -> Column:
     return F.when((freedom >= 1) & t.isNotNull(), 1 - F.when(even, F.sin(angle) * series).otherwise(odd))
 
 
+def student_quantile(freedom: Column, p: float = 0.05, steps: int = 40) -> Column:
+    """The t whose two-sided p-value is p, by halving an interval; for a few rows, as each step sums the series."""
+
+    def half(a, _):
+        middle = (a["lo"] + a["hi"]) / 2
+        small = student_p(middle, freedom) <= p
+        return F.struct(F.when(small, a["lo"]).otherwise(middle).alias("lo"), F.when(small, middle).otherwise(a["hi"]).alias("hi"))
+
+    return F.when(freedom >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), F.lit(64.0).alias("hi")), half)["hi"])
+
+
 def tests_of(summary: DataFrame) -> DataFrame:
     """factor, p: of the mean IC's t statistic with one degree of freedom less than there are months."""
     return summary.select("factor", F.round(student_p(F.col("t_stat"), F.col("n_months") - 1), 9).alias("p"))

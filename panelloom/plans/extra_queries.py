@@ -111,7 +111,6 @@ select o_custkey, quarter, round(value, 4) + 0 as value, round(ttm, 4) + 0 as tt
     "pitch_overlay": f"""with {p._S}, bk as {p._tilt('0.004')}, x as (select *, instrument % 10 = 3 as pick, bench_w + case when instrument % 10 = 3 then 0.002 else 0 end as up from bk)
 select month, instrument, round(case when pick then up else bench_w * greatest(1 - coalesce(sum(up) filter (where pick) over w, 0), 0) / sum(bench_w) filter (where not pick) over w end, 8) + 0 as pitch_w from x window w as (partition by month)""",
     "benchmark_regression": f"with {p._BACK} select count(*) as months, round(covar_samp(port_ret, bench_ret) / var_samp(bench_ret), 5) + 0 as beta, round(corr(port_ret, bench_ret), 5) + 0 as corr, round(avg(port_ret) - covar_samp(port_ret, bench_ret) / var_samp(bench_ret) * avg(bench_ret), 5) + 0 as alpha from bt",
-    "strategy_difference": f"with {p._BACK}, {_BLOCKS}, {p._bt('c2', 'b2')}, df as (select bt.active_ret - c2.active_ret as d from bt join c2 using (month)) select count(*) as n, round(avg(d), 5) + 0 as mean, round(avg(d) / stddev_samp(d) * sqrt(count(*)), 5) + 0 as t from df",
     "stress_regimes": f"""with {p._P}, m as (select month, round(avg(vol_20d), 9) as vol from panel group by month), tr as (select vol as t from m where month <= date '1998-12-31' and vol is not null),
 x as (select month, vol, case when vol is not null then (select count(*) from tr where t <= vol) / (select count(*) from tr) end as stress from m)
 select month, round(vol, 6) + 0 as vol, round(stress, 6) + 0 as stress, case when stress < 1/3 then 'calm' when stress > 2/3 then 'stress' when stress is not null then 'normal' end as regime from x""",

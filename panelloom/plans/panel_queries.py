@@ -173,15 +173,6 @@ def tilt_performance(s, d):
     return _r(pf.performance(pf.backtest(pf.tilt_by_score(scored(s, d), 0.004, LEAST))), 5)
 
 
-def alpha_sweep(s, d):
-    out = None
-    base = scored(s, d)
-    for alpha in (0.001, 0.002, 0.004, 0.008):
-        one = pf.performance(pf.backtest(pf.tilt_by_score(base, alpha, LEAST))).withColumn("alpha", F.lit(alpha)).select("alpha", "ann_alpha", "track_err", "info_ratio")
-        out = one if out is None else out.unionByName(one)
-    return _r(out, 5)
-
-
 def long_short(s, d):
     return _r(pf.long_short(scored(s, d), 0.2, LEAST))
 
@@ -277,7 +268,7 @@ def event_counts(s, d):
 
 QUERIES = {f.__name__: f for f in (
     base_panel, monthly_ic_momentum, ic_monthly, ic_pearson, ic_summary, ic_decay, ic_pooled, quantile_spread, factor_turnover, regime_stability, factor_health, factor_correlations, factor_weights, combo_score, bhy_stepup,
-    fdr_grid, cs_rank, cs_zscore, tail_flags, ts_zscore, winsorise, clean_universe, dead_columns, coverage, index_weights, index_concentration, tilt_zscore, tilt_block, tilt_backtest, tilt_performance, alpha_sweep, long_short,
+    fdr_grid, cs_rank, cs_zscore, tail_flags, ts_zscore, winsorise, clean_universe, dead_columns, coverage, index_weights, index_concentration, tilt_zscore, tilt_block, tilt_backtest, tilt_performance, long_short,
     capacity_curve, block_bootstrap, block_bootstrap_mixed, asof_tolerance, asof_no_tolerance, trading_days_ahead, ffill_side, semi_universe, anti_missing, outer_blocks, snapshot_dedup, market_series, sector_panel, pivot_returns, month_returns, event_counts,
 )}
 
