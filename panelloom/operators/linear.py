@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.operators.panel import cs_rank
+from panelloom.operators.panel import cs_rank, percent_rank
+from panelloom.operators.statistics import _corr
 
 
 def _vectors(panel: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,20 +98,105 @@ def pca_residuals(panel: DataFrame, columns: list[str], variance: float = 0.8, f
     return cs_rank(ranked.withColumns(dict(zip(columns, residual))), columns)
 
 
+def mean_ic(scored: DataFrame, least: int = 3) -> float | None:
+    """Mean over months of the Pearson correlation of score and fwd_ret_1m: one number."""
+    by_month = scored.groupBy("month").agg(_corr("score", "fwd_ret_1m", least).alias("ic"))
+    return by_month.filter("ic is not null").agg(F.avg("ic")).first()[0]
+
+
+def _scores(model, rows: DataFrame, target: str) -> DataFrame:
+    return model.transform(rows).select("month", "instrument", F.col("prediction").alias("score"), F.col(target).alias("fwd_ret_1m"))
+
+
+def _boosted_by_ic(past: DataFrame, target: str, seed: int, rounds: tuple[int, ...] = (5, 10, 20), months: int = 12):
+    """Boosted trees on the month's rank of the target, with as many rounds as give the best mean IC in the last months of the past."""
+    last = past.select("month").distinct().orderBy(F.desc("month")).limit(months).agg(F.min("month")).first()[0]
+    ranked = past.withColumn("_rank", percent_rank(F.col(target), "month") - 0.5)
+    fit, held = ranked.filter(F.col("month") < F.lit(last)), ranked.filter(F.col("month") >= F.lit(last))
+    best = (None, None)
+    for n in rounds:
+        model = GBTRegressor(labelCol="_rank", maxIter=n, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(ranked if fit.isEmpty() else fit)
+        ic = mean_ic(_scores(model, held, target))
+        if best[0] is None or (ic is not None and ic > best[0]):
+            best = (ic if ic is not None else float("-inf"), model)
+        else:
+            break
+    return best[1]
+
+
 def walk_forward(panel: DataFrame, columns: list[str], target: str, folds: list[tuple[str, str, str]], model: str = "linear", seed: int = 7) -> DataFrame:
-    """month, instrument, score, fwd_ret_1m of each fold (train until, test from, test to), models fitted on earlier months only."""
+    """month, instrument, score, fwd_ret_1m of each fold (train until, test from, test to), models fitted on earlier months only.
+
+    boosted_ic learns the month's ranks and stops where the IC of the last training months does.
+    """
     makers = {
-        "linear": lambda: LinearRegression(labelCol=target, regParam=0.01, elasticNetParam=0.5),
-        "forest": lambda: RandomForestRegressor(labelCol=target, numTrees=20, maxDepth=5, seed=seed),
-        "boosted": lambda: GBTRegressor(labelCol=target, maxIter=15, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed),
+        "linear": lambda past: LinearRegression(labelCol=target, regParam=0.01, elasticNetParam=0.5).fit(past),
+        "forest": lambda past: RandomForestRegressor(labelCol=target, numTrees=20, maxDepth=5, seed=seed).fit(past),
+        "boosted": lambda past: GBTRegressor(labelCol=target, maxIter=15, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(past),
+        "boosted_ic": lambda past: _boosted_by_ic(past, target, seed),
     }
-    # iterative fits read the vectors again and again
+    # iterative fits read the vectors again and again; what is returned reads the panel
     rows, out = _vectors(panel.dropna(subset=[target]), columns).select("month", "instrument", target, "features").persist(), None
     for until, first, final in folds:
         past = rows.filter(F.col("month") <= F.lit(until).cast("date"))
         now = rows.filter(F.col("month").between(F.lit(first).cast("date"), F.lit(final).cast("date")))
         if past.isEmpty():
             continue
-        scored = makers[model]().fit(past).transform(now).select("month", "instrument", F.col("prediction").alias("score"), F.col(target).alias("fwd_ret_1m"))
+        scored = _scores(makers[model](past), now, target)
         out = scored if out is None else out.unionByName(scored)
+    rows.unpersist()
     return out if out is not None else rows.select("month", "instrument", F.lit(0.0).alias("score"), F.col(target).alias("fwd_ret_1m")).limit(0)
+
+
+def purged_folds(months: list, folds: int, purge: int) -> list[tuple[list, list]]:
+    """(training, held-out) months: each fold holds out a run of months, and drops `purge` months on either side from training."""
+    out = []
+    for i in range(folds):
+        a, b = len(months) * i // folds, len(months) * (i + 1) // folds
+        if b > a:
+            out.append(([m for k, m in enumerate(months) if k < a - purge or k >= b + purge], months[a:b]))
+    return out
+
+
+def purged_search(panel: DataFrame, columns: list[str], target: str, grid: list[tuple[float, float]], folds: int = 5, purge: int = 1) -> DataFrame:
+    """penalty, mix, fold, ic of elastic nets over a grid, on purged folds of months. Months are a short list on the driver."""
+    spark = panel.sparkSession
+    rows = _vectors(panel.dropna(subset=[target]), columns).select("month", "instrument", target, "features").persist()
+    months = [r["month"] for r in rows.select("month").distinct().orderBy("month").collect()]
+    out = []
+    for k, (train, held) in enumerate(purged_folds(months, folds, purge)):
+        if not train:
+            continue
+        fit, test = rows.filter(F.col("month").isin(train)), rows.filter(F.col("month").isin(held))
+        for penalty, mix in grid:
+            model = LinearRegression(labelCol=target, regParam=penalty, elasticNetParam=mix).fit(fit)
+            out.append((float(penalty), float(mix), k, mean_ic(_scores(model, test, target))))
+    rows.unpersist()
+    return spark.createDataFrame(out, "penalty double, mix double, fold int, ic double")
+
+
+def permuted(panel: DataFrame, column: str) -> DataFrame:
+    """panel with one column's values passed on within each month, to the next row in an order by hash."""
+    order = Window.partitionBy("month").orderBy(F.xxhash64(F.lit(column), "instrument"), "instrument")
+    whole = Window.partitionBy("month").orderBy(F.xxhash64(F.lit(column), "instrument"), "instrument").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return panel.withColumn(column, F.when(F.lead(F.lit(True)).over(order), F.lead(column).over(order)).otherwise(F.first(column).over(whole)))
+
+
+def permutation_importance(panel: DataFrame, columns: list[str], target: str, until: str, seed: int = 7) -> DataFrame:
+    """factor, base_ic, ic, importance: how much a forest's mean IC after a date falls if a column's values are passed around."""
+    spark, rows = panel.sparkSession, panel.dropna(subset=[*columns, target]).select("month", "instrument", target, *columns)
+    cut = F.lit(until).cast("date")
+    model = RandomForestRegressor(labelCol=target, numTrees=20, maxDepth=5, seed=seed).fit(_vectors(rows.filter(F.col("month") <= cut), columns))
+    test = rows.filter(F.col("month") > cut)
+    ic = lambda df: mean_ic(_scores(model, _vectors(df, columns), target))
+    base = ic(test)
+    found = [(c, base, ic(permuted(test, c))) for c in columns]
+    return spark.createDataFrame([(c, b, x, None if b is None or x is None else b - x) for c, b, x in found], "factor string, base_ic double, ic double, importance double")
+
+
+def components(panel: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """month, instrument and pc1 .. pck: the leading components of the columns' ranks in the month; signs so that loadings sum above zero."""
+    model = PCA(k=k, inputCol="features", outputCol="pcs").fit(_vectors(cs_rank(panel, columns), columns))
+    signs = [1.0 if x >= 0 else -1.0 for x in model.pc.toArray().sum(axis=0)]
+    out = model.transform(_vectors(cs_rank(panel, columns), columns)).withColumn("_a", vector_to_array("pcs"))
+    return out.select("month", "instrument", *[(F.col("_a")[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])

@@ -360,7 +360,7 @@ def tilt_adaptation(bt: DataFrame, alpha: str = "alpha_used") -> DataFrame:
     rows = rows.withColumn("_cut", F.percentile("_x", 0.5).over(Window.partitionBy()))
     hi, lo = F.when(F.col("_x") > F.col("_cut"), F.col("_y")), F.when(F.col("_x") <= F.col("_cut"), F.col("_y"))
     both = F.stddev_pop("_x") * F.stddev_pop("_y")
-    gap = (F.avg(hi) - F.avg(lo)) / F.sqrt(F.var_samp(hi) / F.count(hi) + F.var_samp(lo) / F.count(lo))
+    gap = F.try_divide(F.avg(hi) - F.avg(lo), F.sqrt(F.try_divide(F.var_samp(hi), F.count(hi)) + F.try_divide(F.var_samp(lo), F.count(lo))))
     return rows.agg(F.count("*").alias("n"), F.when(both > 1e-15, F.covar_pop("_x", "_y") / both).alias("r"), F.regr_slope("_y", "_x").alias("slope"), F.regr_intercept("_y", "_x").alias("intercept"), gap.alias("welch_t"))
 
 

@@ -18,21 +18,19 @@ def denoised_covariance(cov: np.ndarray, share: float = 0.95) -> np.ndarray:
     return out
 
 
-def equal_risk(cov: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Long-only weights whose contributions to the variance are equal: scaled by their shortfall, half way in each round."""
-    w = 1 / np.sqrt(np.clip(np.diag(cov), 1e-12, None))
-    w /= w.sum()
+def equal_risk(cov: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """Long-only weights whose contributions to the variance are equal, by turns: each name's weight solves its own quadratic."""
+    n = len(cov)
+    own = np.clip(np.diag(cov), 1e-12, None)
+    w = 1 / np.sqrt(own)
     for _ in range(rounds):
-        part = w * (cov @ w)
-        whole = part.sum()
-        if whole <= 0:
+        before = w.copy()
+        for i in range(n):
+            rest = cov[i] @ w - cov[i, i] * w[i]
+            w[i] = (-rest + np.sqrt(rest * rest + 4 * own[i] / n)) / (2 * own[i])
+        if np.abs(w - before).max() <= 1e-13 * w.max():
             break
-        step = w * np.sqrt(1 / len(w) / np.clip(part / whole, 1e-12, None))
-        step /= step.sum()
-        if np.abs(step - w).max() < 1e-12:
-            return step
-        w = step
-    return w
+    return w / w.sum()
 
 
 def risk_parity(scored: DataFrame, daily: DataFrame, names: int = 20, days: int = 378, least: int = 60) -> DataFrame:

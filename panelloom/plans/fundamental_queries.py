@@ -62,7 +62,7 @@ def vendor_ratios(s, d):
 
 def _macro(s, d) -> DataFrame:
     o = src.table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("date"))
-    return o.agg((_money() / F.count("*") / 10000).alias("vix"), (F.count("*") / 2).alias("y10"), (F.count(F.when(F.col("o_orderstatus") == "F", 1)) / 2).alias("y3m"), (F.max("o_totalprice") / 1000).alias("dollar"), F.min("o_totalprice").alias("hyg"))
+    return o.agg((_money() / F.count("*") / 9973).alias("vix"), (F.count("*") / 2).alias("y10"), (F.count(F.when(F.col("o_orderstatus") == "F", 1)) / 2).alias("y3m"), (F.max("o_totalprice") / 1000).alias("dollar"), F.min("o_totalprice").alias("hyg"))
 
 
 MACRO = ["vix_level", "vix_change_21d", "market_vol_regime", "yield_10y", "yield_change_21d", "yield_spread_10y2y", "dollar_index", "credit_proxy_change", "market_trend_spx"]
@@ -177,7 +177,7 @@ ra as (select instrument, month, date, {_over('mktcap', 'net_income')} as pe_rat
 rc as (select instrument, month, date, {_clip('ra', fu.RATIOS)} from ra)"""
 _vote = lambda c, up, dn: f"case when {c} is not null then case when {c} > {up} then 1.0 when {c} < {dn} then -1.0 else 0.0 end end"
 _mean = lambda *v: f"coalesce(list_avg(list_filter([{', '.join(v)}], lambda x: x is not null)), 0)"
-_MAC = """ma as (select o_orderdate::date as date, sum(o_totalprice::decimal(18,2))::double / count(*) / 10000 as vix, count(*) / 2 as y10, count(*) filter (where o_orderstatus = 'F') / 2 as y3m, max(o_totalprice) / 1000 as dollar, min(o_totalprice) as hyg from orders group by 1)"""
+_MAC = """ma as (select o_orderdate::date as date, sum(o_totalprice::decimal(18,2))::double / count(*) / 9973 as vix, count(*) / 2 as y10, count(*) filter (where o_orderstatus = 'F') / 2 as y3m, max(o_totalprice) / 1000 as dollar, min(o_totalprice) as hyg from orders group by 1)"""
 _MF = f"""{q.BARS}, {q.MARKET}, {_MAC}, tr as (select date, case when count(level) over w >= 100 then level / (avg(level) over w + 1e-9) - 1 end as market_trend_spx from market window w as (order by date rows between 199 preceding and current row)),
 mf as (select date, vix as vix_level, vix / lag(vix, 21) over o - 1 as vix_change_21d, vix / 20 as market_vol_regime, y10 / 100 as yield_10y, (y10 - lag(y10, 21) over o) / 100 as yield_change_21d, (y10 - y3m) / 100 as yield_spread_10y2y, dollar as dollar_index, hyg / lag(hyg, 21) over o - 1 as credit_proxy_change, market_trend_spx
   from ma left join tr using (date) window o as (order by date))"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -74,7 +75,13 @@ def event_sessions(s, d):
 
 
 def _folder(s: SparkSession) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    """Where streams keep their state: under spark.checkpoint.dir. Only a session in one JVM may do without."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        master = s.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="panelloom-")
     return f"{root}/panelloom-streams"
 
 
@@ -113,13 +120,36 @@ def walk_forward_backtest(s, d):
     return rounded(pf.backtest(pf.tilt_by_score(scores, 0.004, p.LEAST)))
 
 
-QUERIES = {f.__name__: f for f in (oscillators, audit_report, refetch_gate, survivorship, lexicon_sentiment, json_props, event_windows, event_sessions, factor_noise, pca_residuals, walk_forward_backtest)} | {
+def purged_search(s, d):
+    """Elastic nets over a small grid, on five folds of months with a month left out on either side."""
+    return rounded(linear.purged_search(_complete(s, d), FACTORS, "fwd_ret_1m", [(0.001, 0.5), (0.1, 0.5), (0.1, 1.0)]))
+
+
+def permutation_importance(s, d):
+    return rounded(linear.permutation_importance(_complete(s, d), FACTORS, "fwd_ret_1m", "1998-12-31"))
+
+
+def panel_components(s, d):
+    return rounded(linear.components(_complete(s, d), FACTORS, 2))
+
+
+def residual_noise(s, d):
+    """The noise-cleaned correlations of the factors, a row a pair."""
+    rows = _complete(s, d)
+    n = rows.count()
+    if n < 3:
+        return s.createDataFrame([], "a string, b string, rho double")
+    m = linear.denoised(linear.correlation_matrix(rows, FACTORS), n)
+    return s.createDataFrame([(a, b, float(round(m[i, j], 6))) for i, a in enumerate(FACTORS) for j, b in enumerate(FACTORS) if i < j], "a string, b string, rho double")
+
+
+QUERIES = {f.__name__: f for f in (purged_search, permutation_importance, panel_components, residual_noise, oscillators, audit_report, refetch_gate, survivorship, lexicon_sentiment, json_props, event_windows, event_sessions, factor_noise, pca_residuals, walk_forward_backtest)} | {
     "factor_runs": _series(series.longest_runs, ["cand_max_consec_up_63d", "cand_max_consec_down_63d"]),
     "factor_entropy": _series(series.entropy, "cand_return_entropy_21d"),
     "factor_hurst": _series(series.hurst, "hurst_63d"),
     "factor_volume_rank": _series(series.volume_rank_momentum, "cand_volume_return_mom_21d"),
     "factor_fractal": _series(series.fractal_dimension, "cand_fractal_dim_63d"),
-    "walk_forward_linear": _walk("linear"), "walk_forward_forest": _walk("forest"), "walk_forward_boosted": _walk("boosted"),
+    "walk_forward_linear": _walk("linear"), "walk_forward_forest": _walk("forest"), "walk_forward_boosted": _walk("boosted"), "walk_forward_boosted_ic": _walk("boosted_ic"),
 }
 
 

@@ -25,8 +25,7 @@ def rows_of(names, rows):
 
 
 def same(x, y):
-    if isinstance(x, float) and isinstance(y, float):
-        return x == y or abs(x - y) <= 1e-9 * max(abs(x), abs(y))
+    """Equal to the last bit: results are rounded, and are compared by their hashes elsewhere."""
     return x == y
 
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.functions import frames as fr
-from panelloom.operators import asof, linear, panel, portfolio, series, statistics
+from panelloom.operators import asof, factors, linear, panel, portfolio, series, statistics
 from panelloom.sources import landing
 from panelloom.streaming import events
 
@@ -193,3 +193,21 @@ def test_month_returns_hold_every_instrument(spark):
     sf = "/root/testdata/sf0.001"
     out = pq.month_returns(spark, sf)
     assert out.selectExpr("sum(size(instruments))", "sum(size(ret_1m))").first() == (pq.panel(spark, sf).count(),) * 2
+
+
+def test_long_returns_have_values_after_three_years_of_bars(spark):
+    closes = [100.0 * 1.001**i for i in range(800)]
+    rows = [(1, DAY + dt.timedelta(days=i), c) for i, c in enumerate(closes)]
+    df = factors.momentum(spark.createDataFrame(rows, "instrument long, date date, close double")).orderBy("date").collect()
+    assert df[755].ret_36m is None and df[756].ret_36m == pytest.approx(1.001**756 - 1) and df[799].ret_24m == pytest.approx(1.001**504 - 1)
+
+
+def test_sums_agree_with_frames(spark):
+    rng = np.random.default_rng(11)
+    values = [None if rng.random() < 0.1 else float(rng.normal() * 0.02) for _ in range(300)]
+    df = daily(spark, values)
+    sums = fr.Sums(x=F.col("x"), xx=F.col("x") * F.col("x"))
+    got = sums.add(df).withColumns({"s": sums.std("xx", "x", 63, 21), "m": sums.mean("x", 63, 21)}).orderBy("date").collect()
+    roll = pd.Series(values, dtype=float).rolling(63, min_periods=21)
+    assert [r.s if r.s is not None else np.nan for r in got] == pytest.approx(roll.std().tolist(), nan_ok=True, abs=1e-12)
+    assert [r.m if r.m is not None else np.nan for r in got] == pytest.approx(roll.mean().tolist(), nan_ok=True, abs=1e-12)
