@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import (
-    Sums, change, corr, fit_r2, flag, high, kurt, lag, last_rows, low, mean, quantile, running, safe_div, skew, slope, std, total,
+    Sums, change, corr, flag, high, kurt, lag, last_rows, low, mean, quantile, running, safe_div, skew, std, total,
 )
 from panelloom.operators import series
 
@@ -61,19 +61,35 @@ def tails(df: DataFrame) -> DataFrame:
 
 def trend(df: DataFrame) -> DataFrame:
     C, _, _, _ = _columns()
-    df = df.withColumns({f"_ma{n}": mean(C, n, max(5, n // 2)) for n in (10, 20, 50, 100, 200)} | {"_hi": high(C, 252, 126), "_lo": low(C, 252, 120), "_sd20": std(C, 20, 20), "_mu20": mean(C, 20, 20)})
+    T = F.col("t")
+    sums = Sums(c=C, cc=C * C, tc=F.when(C.isNotNull(), T * C))
+
+    def line(n: int) -> tuple[Column, Column, Column]:
+        """Summed products of the row number with the price, and of each with itself, about their means over a full window."""
+        whole = sums.count("c", n) >= n
+        return F.when(whole, sums.sum("tc", n) - (T - (n - 1) / 2) * sums.sum("c", n)), F.lit(n * (n * n - 1) / 12), F.when(whole, sums.cross("cc", "c", "c", n))
+
+    def slope_of(n: int) -> Column:
+        tc, tt, _ = line(n)
+        return tc / tt / (sums.mean("c", n, n) + EPS)
+
+    def fit_of(n: int) -> Column:
+        tc, tt, cc = line(n)
+        return F.when(cc <= 1e-13 * sums.sum("cc", n), 1.0).otherwise(F.try_divide(tc * tc, tt * cc))
+
+    df = sums.add(df).withColumns({f"_ma{n}": sums.mean("c", n, max(5, n // 2)) for n in (10, 20, 50, 100, 200)} | {"_hi": high(C, 252, 126), "_lo": low(C, 252, 120), "_sd20": sums.std("cc", "c", 20, 20), "_mu20": sums.mean("c", 20, 20)})
     ma = {n: F.col(f"_ma{n}") for n in (10, 20, 50, 100, 200)}
     df = df.withColumns(
         {f"price_to_ma{n}": C / (ma[n] + EPS) - 1 for n in ma}
         | {
             "ma_cross_10_50": ma[10] / (ma[50] + EPS) - 1, "ma_cross_50_200": ma[50] / (ma[200] + EPS) - 1, "nearness_52w_low": C / (F.col("_lo") + EPS) - 1,
             "nearness_52w_high": safe_div(C, F.col("_hi")), "drawdown_pct_252d": C / (F.col("_hi") + EPS) - 1, "bollinger_pct": (C - (F.col("_mu20") - 2 * F.col("_sd20"))) / (4 * F.col("_sd20") + EPS),
-            "trend_slope_21d": slope(C, 21) / (mean(C, 21) + EPS), "trend_slope_63d": slope(C, 63) / (mean(C, 63) + EPS), "trend_r2_21d": fit_r2(C, 21), "trend_r2_126d": fit_r2(C, 126),
+            "trend_slope_21d": slope_of(21), "trend_slope_63d": slope_of(63), "trend_r2_21d": fit_of(21), "trend_r2_126d": fit_of(126),
             "price_range_ratio": (F.col("_hi") - F.col("_lo")) / C, "ret_since_52w_low": (C - F.col("_lo")) / (F.col("_lo") + 1e-10), "above_ma_200": flag(C > ma[200]), "above_ma_50": flag(C > ma[50]), "price_pct_above_ma200": (C - ma[200]) / ma[200],
             "new_52w_high": flag(C >= 0.98 * F.col("_hi")), "new_52w_low": flag(C <= 1.02 * F.col("_lo")),
         }
     )
-    return df.withColumn("cand_trend_acceleration", F.col("trend_slope_21d") - lag("trend_slope_21d", 21)).drop(*[f"_ma{n}" for n in ma], "_hi", "_lo", "_sd20", "_mu20")
+    return df.withColumn("cand_trend_acceleration", F.col("trend_slope_21d") - lag("trend_slope_21d", 21)).drop(*[f"_ma{n}" for n in ma], "_hi", "_lo", "_sd20", "_mu20", *sums.names())
 
 
 def liquidity(df: DataFrame) -> DataFrame:

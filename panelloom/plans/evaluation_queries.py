@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.operators import evaluation as ev, factors, statistics as st
-from panelloom.plans import oracle as q, panel_queries as p
+from panelloom.plans import factor_queries, oracle as q, panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
 from panelloom.sources import bars as src
 
 HORIZONS = [1, 2, 3, 5, 7, 10, 15, 21, 30, 42, 63, 90]
 FLOORS = [0.0, 0.005, 0.01, 0.015]
 CUT, UNTIL, SIMS = "1999-01-01", "1998-12-31", 100
+FEATURES = ["momentum", "volatility", "trend", "liquidity", "time_signals", "paths"]
 BASES = ["ret_12m", "ret_6m", "ret_1m", "vol_20d", "hl_range"]
 
 
@@ -138,8 +139,27 @@ def student_p(s, d):
     return grid.select("freedom", "t", F.round(ev.student_p(F.col("t"), F.col("freedom")), 9).alias("p"))
 
 
+def _features(s, d) -> DataFrame:
+    """month, instrument, factor, value, fwd_ret_1m of all columns of the families, as their queries round them, at month ends."""
+    ends = p.panel(s, d).select("instrument", "month", "date", "fwd_ret_1m")
+    out = None
+    for family in FEATURES:
+        wide = factor_queries.QUERIES[f"factor_{family}"](s, d)
+        names = [c for c in wide.columns if c not in ("instrument", "date")]
+        one = ends.join(wide, ["instrument", "date"]).unpivot(["month", "instrument", "fwd_ret_1m"], names, "factor", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def feature_ic(s, d):
+    """The IC summary of every column of the daily families, with p-values and the step-up test over all of them."""
+    found = st.ic_summary(st.monthly_ic(_features(s, d), p.LEAST))
+    tests = st.step_up(ev.tests_of(found).filter("p is not null"), 0.2)
+    return rounded(found.join(tests, "factor"), 5)
+
+
 QUERIES = {f.__name__: f for f in (
-    ic_decay_daily, shuffle_tests, oos_diagnostic, quantile_shape, decay_weights, optimal_weights, correlation_pairs, weight_floors, factor_pairs, factor_duplicates, ic_persistence, screening_funnel, score_loadings,
+    feature_ic, ic_decay_daily, shuffle_tests, oos_diagnostic, quantile_shape, decay_weights, optimal_weights, correlation_pairs, weight_floors, factor_pairs, factor_duplicates, ic_persistence, screening_funnel, score_loadings,
     rolling_ic, ic_by_regime, direction_audit, entropy_regimes, entropy_interactions, entropy_validation, score_losses, student_p,
 )}
 
@@ -188,7 +208,18 @@ er as (select instrument, date, low as cand_low_entropy_regime, {q.flag(f"low =
 _WITH = f"""{_ENT}, em as (select instrument, date_trunc('month', date)::date as month, arg_max(cand_low_entropy_regime, date) as cand_low_entropy_regime from er group by all),
 pw as (select panel.*, cand_low_entropy_regime from panel join em using (instrument, month))"""
 
+def _families() -> str:
+    """Tables f0 .. of the families' own oracles, and fe: factor, month, instrument, value, fwd_ret_1m at month ends."""
+    tables = ", ".join(f"f{i} as ({factor_queries.ORACLES[f'factor_{name}']})" for i, name in enumerate(FEATURES))
+    rows = " union all ".join(f"select month, instrument, fwd_ret_1m, factor, value from (select month, panel.fwd_ret_1m, f{i}.* exclude (date) from panel join f{i} on panel.instrument = f{i}.instrument and panel.date = f{i}.date) unpivot (value for factor in (columns(* exclude (month, instrument, fwd_ret_1m))))" for i in range(len(FEATURES)))
+    return f"{tables}, fe as ({rows})"
+
+
 ORACLES = {
+    "feature_ic": f"""with {p._P}, {_families()}, rk as (select factor, month, {p._rank('value', 'factor, month')} as a, {p._rank('fwd_ret_1m', 'factor, month')} as b from fe where fwd_ret_1m is not null),
+ic as (select factor, month, {p._c('a', 'b')} as ic from rk group by factor, month), s0 as (select factor, count(ic) as n_months, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, avg(case when round(ic, 12) > 0 then 1.0 else 0.0 end) as pct_positive from ic where ic is not null group by factor having count(ic) >= 3),
+su as (select *, case when ic_std > 1e-8 then ic_mean / ic_std end as icir, case when ic_std > 1e-8 then ic_mean / ic_std * sqrt(n_months) end as t_stat from s0), te as (select * from (select factor, round({q.student_p('t_stat', '(n_months - 1)')}, 9) as p from su) where p is not null)
+select su.factor, n_months, rank, rejected, {q.rounded(['ic_mean', 'ic_std', 'pct_positive', 'icir', 't_stat', 'p', 'threshold', 'adjusted'], 5)} from su join {p._step(0.2, True)} using (factor)""",
     "ic_decay_daily": f"""with {p._P}, dy as (select date, row_number() over (order by date) as day from (select distinct date from bars)), nb as (select instrument, date, close, day from bars join dy using (date)),
 lf as (select * from (select month, instrument, date, {', '.join(p.FACTORS)} from panel) unpivot (value for factor in ({', '.join(p.FACTORS)}))),
 j as (select lf.factor, lf.month, horizon, lf.value, b.close / a.close - 1 as ahead from lf join nb a using (instrument, date) cross join (select unnest({HORIZONS})::int as horizon) join nb b on b.instrument = lf.instrument and b.day = a.day + horizon),

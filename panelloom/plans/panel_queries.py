@@ -11,6 +11,8 @@ from panelloom.plans.factor_queries import prepared, rounded
 from panelloom.sources import bars as src
 
 LEAST = 5
+#: Nine sizes of a fund, in the tables' money.
+FUNDS = [1e4, 3e4, 1e5, 3e5, 1e6, 3e6, 1e7, 3e7, 1e8]
 FACTORS = ["ret_1m", "ret_3m", "vol_20d", "hl_range", "mom_accel"]
 REGIMES = [("early", "1995-01-01", "1996-12-31"), ("mid", "1997-01-01", "1998-12-31"), ("late", "1999-01-01", "2001-12-31")]
 
@@ -58,7 +60,7 @@ def ic_summary(s, d):
 
 
 def ic_decay(s, d):
-    return _r(st.ic_decay(long(s, d), [0, 1, 2, 3, 6, 12], LEAST))
+    return _r(st.ic_decay(long(s, d), list(range(61)), LEAST))
 
 
 def ic_pooled(s, d):
@@ -179,7 +181,7 @@ def long_short(s, d):
 
 def capacity_curve(s, d):
     book = pf.tilt_by_score(scored(s, d), 0.004, LEAST)
-    return _r(pf.capacity(book.filter("daily_vol is not null"), [1e5, 1e6, 1e7]), 5)
+    return _r(pf.capacity(book.filter("daily_vol is not null"), FUNDS), 5)
 
 
 def block_bootstrap(s, d):
@@ -351,7 +353,7 @@ ORACLES = {
     "ic_monthly": f"with {_IC} select factor, month, n, {q.rounded(['ic'])} from ic",
     "ic_pearson": f"with {_L} select factor, month, n, {q.rounded(['ic'])} from (select factor, month, count(*) as n, {_c('value', 'fwd_ret_1m')} as ic from lf where value is not null and fwd_ret_1m is not null group by all) where ic is not null",
     "ic_summary": f"with {_SUM} select factor, n_months, {q.rounded(['ic_mean', 'ic_std', 'pct_positive', 'icir', 't_stat'])} from su",
-    "ic_decay": f"""with {_L}, nb as (select *, year(month) * 12 + month(month) as k from lf), la as (select unnest([0, 1, 2, 3, 6, 12])::int as lag),
+    "ic_decay": f"""with {_L}, nb as (select *, year(month) * 12 + month(month) as k from lf), la as (select unnest(range(61))::int as lag),
 j as (select a.factor, lag, a.month, a.value, b.later from nb a cross join la join (select distinct instrument, k, fwd_ret_1m as later from nb) b on b.instrument = a.instrument and b.k = a.k + lag where value is not null and later is not null),
 r as (select factor, lag, month, {_rank('value', 'factor, lag, month')} as a, {_rank('later', 'factor, lag, month')} as b from j)
 select factor, lag, round(avg(ic), 6) + 0 as ic_mean, count(*) as n_months from (select factor, lag, month, {_c('a', 'b')} as ic from r group by all) where ic is not null group by factor, lag""",
@@ -401,7 +403,7 @@ select month, instrument, round(bench_w, 8) + 0 as bench_w, round(raw / sum(raw)
 select month, {q.rounded(['long_ret', 'short_ret'])}, round(long_ret - short_ret, 6) + 0 as spread from (select month, avg(fwd_ret_1m) filter (where best <= greatest(floor(cnt * 0.2), 1)) as long_ret, avg(fwd_ret_1m) filter (where worst <= greatest(floor(cnt * 0.2), 1)) as short_ret from k where cnt >= {LEAST} group by month)""",
     "capacity_curve": f"""with {_S}, bk as (select * from {_tilt('0.004')} where daily_vol is not null), m as (select month, lag(month) over (order by month) as before from (select distinct month from bk)),
 tr as (select b.*, abs(b.port_w - coalesce(o.port_w, 0)) as traded from bk b join m using (month) left join bk o on o.month = m.before and o.instrument = b.instrument),
-z as (select *, traded * fund / (adv * 3) as part from tr cross join (select unnest([1e5, 1e6, 1e7])::double as fund))
+z as (select *, traded * fund / (adv * 3) as part from tr cross join (select unnest([{', '.join(map(str, FUNDS))}])::double as fund))
 select fund, round(avg(cost) * 12, 5) + 0 as impact_cost, round(avg(part), 5) + 0 as mean_participation from (select fund, month, sum(traded * daily_vol * sqrt(part)) as cost, avg(part) as part from z group by all) group by fund""",
     "block_bootstrap": f"""with {_IC}, s as (select round(ic, 9) as x, row_number() over (order by month) - 1 as pos from ic where factor = 'mom_accel'), n as (select count(*) as n from s),
 dr as (select sim, (sim * 7919 + (i // 6) * 104729 + i % 6) % n as pos from (select unnest(range(200)) as sim) cross join n cross join lateral (select unnest(range(n)) as i))
