@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import beta, safe_div, std
-from panelloom.operators import evaluation as ev, panel as pan, portfolio as pf, statistics as st
+from panelloom.operators import evaluation as ev, factors, panel as pan, portfolio as pf, statistics as st
 from panelloom.plans import oracle as q
 from panelloom.plans import panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
@@ -37,6 +37,13 @@ def residual_features(s, d):
     return rounded(rows.select("instrument", "month", (F.col("ret_1m") - b * F.col("spx_ret_1m")).alias("residual_ret_1m"), (F.col("ret_12m") - b * F.col("spx_ret_12m")).alias("residual_ret_12m"), (F.col("vol_21d") / (implied + 1e-9) - 1).alias("vol_excess")), 4)
 
 
+def beta_interactions(s, d):
+    """Month-end products and differences of betas: risk of both kinds, and beta in rising against falling markets."""
+    daily = factors.market_beta(prepared(s, d)).select("instrument", "date", "close", "beta_252d", "idio_vol_252d", "up_beta_63d", "down_beta_63d")
+    ends = src.month_ends(daily)
+    return rounded(ends.select("instrument", "month", (F.abs("beta_252d") * F.col("idio_vol_252d")).alias("beta_x_idiovol"), (F.col("up_beta_63d") - F.col("down_beta_63d")).alias("up_down_beta_spread")), 4)
+
+
 def ttm_sums(s, d):
     """Trailing four quarters of order value per customer, of four at least, and growth over four quarters before."""
     quarter = F.trunc("o_orderdate", "quarter")
@@ -88,7 +95,7 @@ def permutation_test(s, d):
     return rounded(ev.shuffle_tests(p.long(s, d), 100, p.LEAST).select("factor", "ic_mean", "p"))
 
 
-QUERIES = {f.__name__: f for f in (market_months, residual_features, ttm_sums, log_size, ensemble_score, pitch_overlay, benchmark_regression, strategy_difference, stress_regimes, rank_persistence, permutation_test)}
+QUERIES = {f.__name__: f for f in (market_months, residual_features, beta_interactions, ttm_sums, log_size, ensemble_score, pitch_overlay, benchmark_regression, strategy_difference, stress_regimes, rank_persistence, permutation_test)}
 
 _MM = f"""mk as (select *, case when count(m) over w >= 21 then stddev_samp(m) over w * sqrt(252) end as v from market window w as (order by date rows between 62 preceding and current row)),
 me as (select date_trunc('month', date)::date as month, arg_max(level, date) as level, arg_max_null(v, date) as spx_vol_63d from mk group by 1),
@@ -103,6 +110,9 @@ ORACLES = {
 be as (select * from bd qualify row_number() over (partition by instrument, month order by date desc) = 1)
 select instrument, month, round(ret_1m - coalesce(b, 1) * spx_ret_1m, 4) + 0 as residual_ret_1m, round(ret_12m - coalesce(b, 1) * spx_ret_12m, 4) + 0 as residual_ret_12m, round(vol_21d / (abs(b) * spx_vol_63d + 1e-9) - 1, 4) + 0 as vol_excess
 from panel join be using (instrument, month) join mm using (month)""",
+    "beta_interactions": f"""with {q.RETURNS}, a as (select instrument, date, r, m, {q.beta('r', 'm', 252, 126)} as b, {q.beta('case when r is not null then case when m > 0 then r else 0 end end', 'case when m is not null then greatest(m, 0) end', 63, 21)} as ub, {q.beta('case when r is not null then case when m < 0 then r else 0 end end', 'case when m is not null then least(m, 0) end', 63, 21)} as db from base),
+c as (select *, {q.std('r - b * m', 252, 126)} as iv from a)
+select instrument, date_trunc('month', date)::date as month, round(abs(b) * iv, 4) + 0 as beta_x_idiovol, round(ub - db, 4) + 0 as up_down_beta_spread from c qualify row_number() over (partition by instrument, date_trunc('month', date) order by date desc) = 1""",
     "ttm_sums": """with o as (select o_custkey, date_trunc('quarter', o_orderdate)::date as quarter, sum(o_totalprice::decimal(18,2))::double as value from orders group by all),
 t as (select *, case when count(value) over w >= 4 then sum(value) over w end as ttm from o window w as (partition by o_custkey order by quarter rows between 3 preceding and current row))
 select o_custkey, quarter, round(value, 4) + 0 as value, round(ttm, 4) + 0 as ttm, round(ttm / lag(ttm, 4) over (partition by o_custkey order by quarter) - 1, 4) + 0 as growth from t""",

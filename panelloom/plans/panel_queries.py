@@ -11,6 +11,7 @@ from panelloom.plans.factor_queries import prepared, rounded
 from panelloom.sources import bars as src
 
 LEAST = 5
+TAILS = ["ret_1m", "ret_3m", "ret_6m", "ret_12m", "vol_20d", "vol_60d", "vol_252d", "hl_range", "mom_2_12", "mom_accel", "mom_decel", "ir_3m", "ir_12m"]
 #: Nine sizes of a fund, in the tables' money.
 FUNDS = [1e4, 3e4, 1e5, 3e5, 1e6, 3e6, 1e7, 3e7, 1e8]
 FACTORS = ["ret_1m", "ret_3m", "vol_20d", "hl_range", "mom_accel"]
@@ -122,8 +123,18 @@ def cs_zscore(s, d):
 
 
 def tail_flags(s, d):
-    p = pan.tail_flags(panel(s, d), ["ret_3m", "vol_20d"])
-    return p.select("month", "instrument", *[f"{c}_{k}" for c in ("ret_3m", "vol_20d") for k in ("top", "bot", "tail")])
+    p = pan.tail_flags(panel(s, d), TAILS)
+    return p.select("month", "instrument", *[f"{c}_{k}" for c in TAILS for k in ("top", "bot", "tail")])
+
+
+def group_moments(s, d):
+    """Skewness, kurtosis and quartiles of a month's returns, of months with five rows at least that differ."""
+    x = F.col("ret_1m")
+    n, g, k = F.count(x), F.skewness(x), F.kurtosis(x)
+    out = panel(s, d).groupBy("month").agg(
+        n.alias("n"), (g * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"), ((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6)).alias("kurt"), *[F.percentile(x, q / 100).alias(f"q{q}") for q in (25, 50, 75)], F.stddev_pop(x).alias("_s"),
+    )
+    return _r(out.filter((F.col("n") >= 5) & (F.col("_s") > 0)).drop("_s"), 5)
 
 
 def ts_zscore(s, d):
@@ -270,7 +281,7 @@ def event_counts(s, d):
 
 QUERIES = {f.__name__: f for f in (
     base_panel, monthly_ic_momentum, ic_monthly, ic_pearson, ic_summary, ic_decay, ic_pooled, quantile_spread, factor_turnover, regime_stability, factor_health, factor_correlations, factor_weights, combo_score, bhy_stepup,
-    fdr_grid, cs_rank, cs_zscore, tail_flags, ts_zscore, winsorise, clean_universe, dead_columns, coverage, index_weights, index_concentration, tilt_zscore, tilt_block, tilt_backtest, tilt_performance, long_short,
+    fdr_grid, cs_rank, cs_zscore, tail_flags, group_moments, ts_zscore, winsorise, clean_universe, dead_columns, coverage, index_weights, index_concentration, tilt_zscore, tilt_block, tilt_backtest, tilt_performance, long_short,
     capacity_curve, block_bootstrap, block_bootstrap_mixed, asof_tolerance, asof_no_tolerance, trading_days_ahead, ffill_side, semi_universe, anti_missing, outer_blocks, snapshot_dedup, market_series, sector_panel, pivot_returns, month_returns, event_counts,
 )}
 
@@ -377,8 +388,9 @@ select month, instrument, round(sum(z * weight), 6) + 0 as score from zl join (s
     "fdr_grid": f"with {_TESTS} " + " union all ".join(f"select {level}::double as level, '{name}' as test, count(*) filter (where rejected) as rejected from {_step(level, dep)}" for level in (0.05, 0.2, 0.5) for name, dep in (("bh", False), ("bhy", True))),
     "cs_rank": f"with {_P} select month, instrument, {', '.join(f'round(coalesce({_prank(c)} - 0.5, 0), 6) + 0 as {c}' for c in FACTORS)} from panel",
     "cs_zscore": f"with {_P} select month, instrument, {', '.join(f'round({_z(c, f)}, 6) + 0 as {c}_{n}' for c in FACTORS for n, f in (('z0', 'stddev_pop'), ('z1', 'stddev_samp')))} from panel",
-    "tail_flags": f"with {_P}, r as (select month, instrument, {', '.join(f'{_prank(c)} as {c}' for c in ('ret_3m', 'vol_20d'))} from panel) select month, instrument, "
-    + ", ".join(f"{q.flag(f'{c} >= 0.9')} as {c}_top, {q.flag(f'{c} <= 0.1')} as {c}_bot, {q.flag(f'{c} >= 0.9')} - {q.flag(f'{c} <= 0.1')} as {c}_tail" for c in ("ret_3m", "vol_20d")) + " from r",
+    "tail_flags": f"with {_P}, r as (select month, instrument, {', '.join(f'{_prank(c)} as {c}' for c in TAILS)} from panel) select month, instrument, "
+    + ", ".join(f"{q.flag(f'{c} >= 0.9')} as {c}_top, {q.flag(f'{c} <= 0.1')} as {c}_bot, {q.flag(f'{c} >= 0.9')} - {q.flag(f'{c} <= 0.1')} as {c}_tail" for c in TAILS) + " from r",
+    "group_moments": f"""with {_P} select month, count(ret_1m) as n, round(skewness(ret_1m), 5) + 0 as skew, round(kurtosis(ret_1m), 5) + 0 as kurt, {', '.join(f'round(quantile_cont(ret_1m, {k / 100}), 5) + 0 as q{k}' for k in (25, 50, 75))} from panel group by month having count(ret_1m) >= 5 and stddev_pop(ret_1m) > 0""",
     "ts_zscore": f"""with {_P}, m as (select month, avg(vol_20d) as macro from panel group by month)
 select month, round(macro, 6) + 0 as macro, round(case when count(macro) over w >= 9 then (macro - avg(macro) over w) / (stddev_samp(macro) over w + 1e-9) end, 6) + 0 as macro_z from m window w as (order by month rows between 35 preceding and current row)""",
     "winsorise": f"with {_P} select month, instrument, round(case when ret_1m is null then quantile_cont(ret_1m, 0.95) over w else greatest(least(ret_1m, quantile_cont(ret_1m, 0.95) over w), quantile_cont(ret_1m, 0.05) over w) end, 6) + 0 as ret_1m from panel window w as (partition by month)",

@@ -72,6 +72,16 @@ def write_panel(panel: DataFrame, path: str) -> None:
     panel.withColumn("year", F.year("month")).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def write_report(table: DataFrame, path: str) -> None:
+    """A small table as one CSV file with a header, for people and spreadsheets."""
+    table.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_fold(scores: DataFrame, path: str, fold: str) -> None:
+    """One fold's scores, in a partition of its own, so that a run that stops keeps what it has done and repeats replace it."""
+    scores.withColumn("fold", F.lit(fold)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold").parquet(path)
+
+
 def merge_snapshot(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[str], out: str) -> None:
     """The table at `path` with new rows, the last of each key, written to `out`: readers of the old one aren't disturbed."""
     keep_last(spark.read.parquet(path).unionByName(new, allowMissingColumns=True), keys, order).write.parquet(out)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelloom.operators import evaluation as ev, fundamentals as fu, linear, riskparity, statistics as st
+from panelloom.sources import landing
 
 COLUMNS = ["a", "b", "c"]
 
@@ -151,3 +152,13 @@ def test_vendor_ratios_and_holdings(spark):
     held = fu.holdings(spark.createDataFrame([(1, quarters[0], 7, 3.0), (1, quarters[0], 8, 1.0), (2, quarters[0], 7, 4.0)], "instrument long, end date, holder long, amount double"))
     one = held.filter("instrument = 1").first()
     assert (one.inst_own_pct, one.num_institutions, one.inst_concentration, one.inst_own_change) == (0.5, 2, 10 / 16, None)
+
+
+def test_reports_and_folds(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1.5), ("b", None)], "factor string, ic double")
+    landing.write_report(table, f"{tmp_path}/r")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/r").collect()
+    assert [(r.factor, r.ic) for r in back] == [("a", "1.5"), ("b", None)]
+    for fold, n in (("x", 3), ("y", 2), ("x", 4)):
+        landing.write_fold(spark.range(n), f"{tmp_path}/f", fold)
+    assert {r.fold: r["count"] for r in spark.read.parquet(f"{tmp_path}/f").groupBy("fold").count().collect()} == {"x": 4, "y": 2}
