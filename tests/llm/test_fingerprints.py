@@ -95,4 +95,4 @@ def test_ranges_keep_the_order_and_split_what_is_large(spark):
     sizes: dict = {}
     for r in out:
         sizes[tuple(r._part)] = sizes.get(tuple(r._part), 0) + 1
-    assert max(n for (b, s, t), n in sizes.items() if t) <= 80 and len(sizes) > 20
+    assert max(n for (b, s, t), n in sizes.items() if t) <= 60 and len(sizes) > 20

@@ -75,3 +75,30 @@ def test_equal_rows_and_null_ids_are_numbered_in_pieces(spark):
     assert Counter((r.doc_id, r.text) for r in out) == Counter((d, t) for d, t, _ in rows)
     for source, n in (("hot", 1200), ("cold", 200)):
         assert sorted((r.block, r.in_block) for r in out if r.mix_source == source) == [(i // 4, i % 4) for i in range(n)]
+
+
+def plain_schedule(units, blocks):
+    """Slot of every block, by looking at all released blocks of all sources in each slot; no period, no heap."""
+    period, done, slots, t = sum(units.values()), dict.fromkeys(units, 0), {}, 0
+    while len(slots) < sum(blocks.values()):
+        ready = []
+        for s, u in units.items():
+            i = done[s]
+            if i * period // u <= t:
+                ready.append((-(-(i + 1) * period // u), s))
+        if ready:
+            s = min(ready)[1]
+            if done[s] < blocks[s]:
+                slots[s, done[s]] = t
+            done[s] += 1
+        t += 1
+    return slots
+
+
+def test_slots_are_those_of_a_plain_scheduler(spark):
+    rows = corpus(900, seed=5)
+    weights = {"hot": 5.0, "a": 3.0, "b": 2.0, "c": 1.5, "": 0.5}
+    out = mix_order(spark.createDataFrame([(d, t, s, "") for d, t, s in rows], SCHEMA), weights, block_rows=4, period=240).collect()
+    units = quantise(weights, 240)
+    want = plain_schedule(units, {s: -(-sum((x or "") == s for _, _, x in rows) // 4) for s in units})
+    assert {((r.mix_source, r.block), r.slot) for r in out} == set(want.items())
