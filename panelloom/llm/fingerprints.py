@@ -47,8 +47,8 @@ def _digests(told):
 def in_ranges(rows: DataFrame, rows_per_range: int = 2000, most_ranges: int = 200_000) -> DataFrame:
     """Adds _part, whose order is that of the rows: by falling doc_id, nulls last, equal ones by a hash of their text.
 
-    Ids are cut into ranges of equal width, by arithmetic. Ranges of more than four times their share (clustered, repeated
-    and null ids) are cut again, by their own width, and if they hold one id only, by the hash: these few ranges, a quarter of
+    Ids are cut into ranges of equal width, by arithmetic. Ranges of more than twice their share (clustered, repeated
+    and null ids) are cut again, by their own width, and if they hold one id only, by the hash: these ranges, half of
     all at most, are joined. Past most_ranges ranges they grow with the table, to 50,000 rows at 10**10.
     """
     tie = F.xxhash64("text")
@@ -61,7 +61,7 @@ def in_ranges(rows: DataFrame, rows_per_range: int = 2000, most_ranges: int = 20
 
     def large(*keys: str) -> DataFrame:
         sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("doc_id").cast("double").alias("_lo"), F.max("doc_id").cast("double").alias("_hi"))
-        return materialize(sizes.filter(F.col("_n") > 4 * share).withColumn("_pieces", F.ceil(F.col("_n") / share)), "large-ranges")
+        return materialize(sizes.filter(F.col("_n") > 2 * share).withColumn("_pieces", F.ceil(F.col("_n") / share)), "large-ranges")
 
     wide = large("_b")
     if wide.isEmpty():
@@ -93,28 +93,38 @@ def _with_next(rows: DataFrame, add, columns: list[str], rows_per_range: int = 2
     heads = done.filter("_first").select("_part", F.col("_own").alias("_head"))
     # which range follows which: three integers a range
     present = heads.select("_part").withColumn("_of", F.lead("_part").over(Window.orderBy("_part")))
-    start = heads.agg(F.min("_part").alias("_start"))
-    follows = present.withColumn("_one", F.lit(1)).join(F.broadcast(start.withColumn("_one", F.lit(1))), "_one").select("_part", F.coalesce("_of", "_start").alias("_of"))
+    start = heads.agg(F.min("_part")).first()[0] or (0, 0, 0)
+    start = F.struct(*[F.lit(x).cast("long").alias(c) for x, c in zip(start, ("_b", "_s", "_t"))])
+    follows = present.select("_part", F.coalesce("_of", start).alias("_of"))
     nexts = follows.join(heads.withColumnRenamed("_part", "_of"), "_of").select("_part", "_head")
     ends = done.filter("_last").select("doc_id", "_own.text", "_own.hash", "_part").join(nexts, "_part")
     ends = add(ends.withColumns({"next_text": F.col("_head.text"), "next_hash": F.col("_head.hash")})).select("doc_id", *columns)
     return done.filter("not _last").drop("_part", "_first", "_last", "_own").unionByName(ends)
 
 
+def _picked(rows: DataFrame, by: str, keys: DataFrame, words: int) -> DataFrame:
+    """rows whose column `by`, a hash of 64 bits, is among the keys' (or shares its bit with one of them).
+
+    The keys are 64 bits for each of `words` values: a broadcast of at most that many rows, whatever their number, and no key
+    meets its rows in one task.
+    """
+    word, bit = F.pmod(F.col(by), F.lit(words)), F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({by}, 32), 64) as int))")
+    bits = keys.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    return rows.withColumn("_word", word).join(F.broadcast(bits), "_word").filter(bit.bitwiseAND(F.col("_bits")) != 0).drop("_word", "_bits")
+
+
 def clashes(rows: DataFrame, lanes: int = 2, words: int = 1 << 17) -> DataFrame:
     """Hashes whose bucket holds different canonical bytes. rows: text, hash.
 
-    Only texts whose hash occurs twice are compared. They are picked by 64 bits for each of `words` values of a hash of the
-    raw text, a broadcast of at most that many rows, so no other canonical form is made for it; where these are too few they
-    let more texts through, never less. The least and greatest canonical text of a bucket are compared byte by byte; partial
-    aggregation keeps both, so that a bucket of copies costs two texts a task.
+    Only texts whose hash occurs twice are compared. They are picked by their hashes, and then by hashes of the raw text, so no
+    other canonical form is made for it; both picks let a few more texts through, never less. The least and greatest canonical
+    text of a bucket are compared byte by byte; partial aggregation keeps both, so that a bucket of copies costs two texts a
+    task.
     """
-    raw = F.xxhash64("text")
-    bit_of = lambda c: F.expr(f"shiftleft(1L, cast(pmod(shiftrightunsigned({c}, 32), 64) as int))")
-    told = materialize(rows.select("hash", raw.alias("_raw")), "canonical-hashes")
-    again = told.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    bits = told.join(again, "hash").groupBy(F.pmod("_raw", F.lit(words)).alias("_word")).agg(F.bit_or(bit_of("_raw")).alias("_bits"))
-    picked = rows.select("text", raw.alias("_raw")).withColumn("_word", F.pmod("_raw", F.lit(words))).join(F.broadcast(bits), "_word").filter(bit_of("_raw").bitwiseAND(F.col("_bits")) != 0)
+    told = materialize(rows.select(F.xxhash64("hash").alias("_key"), "hash", F.xxhash64("text").alias("_raw")), "canonical-hashes")
+    again = told.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select(F.xxhash64("hash").alias("_key"))
+    raw = _picked(told, "_key", again, words).select("_raw")
+    picked = _picked(rows.select("text", F.xxhash64("text").alias("_raw")), "_raw", raw, words)
     picked = picked.withColumn("canon", canonical(F.col("text"))).select("canon", wide_hash(F.col("canon"), lanes).alias("hash"))
     bounds = picked.groupBy("hash").agg(F.min("canon").alias("least"), F.max("canon").alias("most"))
     return bounds.filter("least != most").select("hash")
