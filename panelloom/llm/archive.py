@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import slices
+
 CRLF = "\r\n"
 #: The alphabet of base 32 (RFC 4648) and the revisit profile of WARC 1.1.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -34,7 +36,7 @@ def digest_of(payload: Column) -> Column:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Payloads as zlib streams, so that exchanges and files carry less."""
-    for batch in batches:
+    for batch in slices(batches, "payload", 1 << 20):
         packed = pa.array([zlib.compress(x, 1) for x in batch.column("payload").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("digest"), packed], ["digest", "packed"])
 
@@ -90,7 +92,7 @@ def _rebuilt(payload: bool):
     """Unpack each record's payload, and say whether it has its address, its header's digest and its header's length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "packed", 1 << 20):
             sizes, good, bodies = [], [], []
             for packed, digest, sha1, kind, length in zip(*(batch.column(c).to_pylist() for c in ("packed", "digest", "_sha1", "record_type", "content_length"))):
                 try:

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that goes to a Python worker.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a session in one JVM may do without."""
     sc = spark.sparkContext
@@ -28,6 +34,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/panelloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of a few megabytes for what runs meanwhile: whole texts go to Python, and ten thousand may be very long."""
+    before = spark.conf.get(ARROW_BYTES[0], None)
+    spark.conf.set(*ARROW_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(ARROW_BYTES[0])
+        else:
+            spark.conf.set(ARROW_BYTES[0], before)
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
@@ -36,7 +56,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     read stays in the folder named after the application, to be deleted with it.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

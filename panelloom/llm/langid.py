@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .words import blocks
+
 #: Bytes of a window (states start at zero at both ends of each), units a direction, windows run side by side.
 STEPS, UNITS, WIDTH = 64, 8, 4096
 UNKNOWN = "und"
@@ -215,27 +217,16 @@ def _label(model: Model, spans: bool, kept: list[str]):
         return [{"start": int(a), "end": int(b), "lang": model.langs[labels[a]]} for a, b in zip(turn, turn[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            pred, score, found = [], [], []
-            at = 0
-            while at < len(texts):  # some megabytes of arrays at once
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
-                    size += len(texts[to])
-                    to += 1
-                pooled, best, first = scored(texts[at:to])
-                pred += langs[pooled.argmax(axis=1)].tolist()
-                score += pooled.max(axis=1).tolist()
-                if spans:
-                    found += [runs(best[f : f - (-len(t) // STEPS)], len(t)) if t else [] for f, t in zip(first, texts[at:to])]
-                at = to
+        for batch, texts in blocks(batches, size=1 << 20):
+            pooled, best, first = scored(texts)
+            pred, score = langs[pooled.argmax(axis=1)].tolist(), pooled.max(axis=1).tolist()
             letters = batch.column("_letters").to_pylist()
             keep = [c for c in batch.schema.names if c in kept]
             out = [*(batch.column(c) for c in keep), pa.array([p if has else UNKNOWN for p, has in zip(pred, letters)]), pa.array([s if has else 0.0 for s, has in zip(score, letters)], pa.float64())]
             names = [*keep, "lang_pred", "score"]
             if spans:
-                out.append(pa.array([f if has else [] for f, has in zip(found, letters)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
+                found = [runs(best[f : f - (-len(t) // STEPS)], len(t)) if t and has else [] for f, t, has in zip(first, texts, letters)]
+                out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(out, names)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 from .components import connected_components
-from .words import Words, blocks, mix
+from .words import Words, blocks, mix, slices
 
 #: 32 bands of 4 minima: a pair at 0.8 shares no band with probability (1 - 0.8**4)**32 = 5e-8.
 BANDS, ROWS = 32, 4
@@ -91,7 +91,7 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "set_a", 1 << 20):
             good = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

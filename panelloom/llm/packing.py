@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
+from .words import slices
 
 #: Letters of Latin-1 but for the ordinals and the micro sign, lower-cased; characters with which a text is encoded whole.
 _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
@@ -104,7 +105,7 @@ def _tokens(path: str, end_id: int):
         kind = _pieces(path).kind
         end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
         seen: dict[tuple[str, str], int] = {}
-        for batch in batches:
+        for batch in slices(batches, "text", 1 << 20):
             at, counts, ids = [], [], []
             for source, block, text in zip(*(batch.column(c).to_pylist() for c in ("source", "block", "text"))):
                 x = encode(path, text) + end
@@ -248,9 +249,10 @@ def _cutter(lanes: dict[str, list[Lane]], size: int, kind: str, last_window: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane_starts = {q: [lane.start for lane in own] for q, own in lanes.items()}
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"] + ["ids"] * with_ids
-        for batch in batches:
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"]
+        for batch in slices(batches, "ids", 1 << 20):
             out: list[list] = [[] for _ in names]
+            parts: list[np.ndarray] = []
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "pos", "n", "ids")]
             for doc_id, source, queue, pos, n, raw in zip(*columns):
                 ids = np.frombuffer(raw, kind).astype("<u4")
@@ -263,14 +265,17 @@ def _cutter(lanes: dict[str, list[Lane]], size: int, kind: str, last_window: int
                         start = token - move - pos
                         for m, sequence, place in split(length, lane.first_window + window, offset):
                             piece = ids[start : start + m]
-                            row = [doc_id, start, m, zlib.crc32(piece.tobytes()), n, sequence, place, source] + [piece.tolist()] * with_ids
-                            for column, value in zip(out, row):
+                            for column, value in zip(out, (doc_id, start, m, zlib.crc32(piece.tobytes()), n, sequence, place, source)):
                                 column.append(value)
+                            if with_ids:
+                                parts.append(piece)
                             start += m
-            types = [pa.int64()] * 7 + [pa.string()] + [pa.list_(pa.int32())] * with_ids
-            whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
-            for i in range(0, whole.num_rows, 10_000):
-                yield whole.slice(i, 10_000)
+            arrays = [pa.array(c, t) for c, t in zip(out, [pa.int64()] * 7 + [pa.string()])]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum(out[2]))).astype(np.int32)
+                values = np.concatenate(parts) if parts else np.empty(0, "<u4")
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
     return run
 

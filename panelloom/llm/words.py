@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _U = np.uint64
 _LAST = _U(0xFFFFFFFFFFFFFFFF)
@@ -41,19 +42,21 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of Arrow batches with about BLOCK bytes of text, or one row, and their texts; null: empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches, without a copy, with about `size` bytes in a column of strings or bytes, or one row."""
     for batch in batches:
-        texts = batch.column(column).cast(pa.binary()).to_pylist()
-        at = size = 0
-        for i, text in enumerate(texts):
-            n = len(text or b"")
-            if size and size + n > BLOCK:
-                yield batch.slice(at, i - at), [x or b"" for x in texts[at:i]]
-                at, size = i, 0
-            size += n
-        if at < len(texts):
-            yield batch.slice(at), [x or b"" for x in texts[at:]]
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of Arrow batches with about `size` bytes of text, and their texts; null: empty."""
+    for part in slices(batches, column, size):
+        yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
 
 
 class Words:
