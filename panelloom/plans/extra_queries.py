@@ -69,7 +69,8 @@ def ensemble_score(s, d):
 
 def pitch_overlay(s, d):
     book = pf.tilt_by_score(p.scored(s, d), 0.004, p.LEAST)
-    picks = book.filter("instrument % 10 = 3").select("month", "instrument")
+    best = F.row_number().over(Window.partitionBy("month").orderBy(F.desc("score"), "instrument"))
+    picks = book.withColumn("_k", best).filter(F.col("_k") <= 5).select("month", "instrument")
     return rounded(pf.overlay(book, picks, 0.002).select("month", "instrument", "pitch_w"), 8)
 
 
@@ -118,7 +119,7 @@ t as (select *, case when count(value) over w >= 4 then sum(value) over w end as
 select o_custkey, quarter, round(value, 4) + 0 as value, round(ttm, 4) + 0 as ttm, round(ttm / lag(ttm, 4) over (partition by o_custkey order by quarter) - 1, 4) + 0 as growth from t""",
     "log_size": f"with {q.BARS}, {p._W} select month, instrument, round(ln(value), 6) + 0 as log_mktcap, round(ln(value) - max(ln(value)) over (partition by month), 6) + 0 as rel_size from wt",
     "ensemble_score": f"with {p._P} select month, instrument, round(0.6 * {_zz('mom_accel')} + 0.2 * {_zz('vol_20d')} + 0.2 * {_zz('hl_range')}, 6) + 0 as score from panel",
-    "pitch_overlay": f"""with {p._S}, bk as {p._tilt('0.004')}, x as (select *, instrument % 10 = 3 as pick, bench_w + case when instrument % 10 = 3 then 0.002 else 0 end as up from bk)
+    "pitch_overlay": f"""with {p._S}, bk as {p._tilt('0.004')}, y as (select *, row_number() over (partition by month order by score desc, instrument) <= 5 as pick from bk), x as (select *, bench_w + case when pick then 0.002 else 0 end as up from y)
 select month, instrument, round(case when pick then up else bench_w * greatest(1 - coalesce(sum(up) filter (where pick) over w, 0), 0) / sum(bench_w) filter (where not pick) over w end, 8) + 0 as pitch_w from x window w as (partition by month)""",
     "benchmark_regression": f"with {p._BACK} select count(*) as months, round(covar_samp(port_ret, bench_ret) / var_samp(bench_ret), 5) + 0 as beta, round(corr(port_ret, bench_ret), 5) + 0 as corr, round(avg(port_ret) - covar_samp(port_ret, bench_ret) / var_samp(bench_ret) * avg(bench_ret), 5) + 0 as alpha from bt",
     "stress_regimes": f"""with {p._P}, m as (select month, round(avg(vol_20d), 9) as vol from panel group by month), tr as (select vol as t from m where month <= date '1998-12-31' and vol is not null),

@@ -253,15 +253,23 @@ def market_series(s, d):
     return _r(src.market(src.daily_bars(src.table(s, d, "lineitem"))))
 
 
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+
+
+def _in_sectors(s, d):
+    """month, instrument, ret_1m, sector of all rows; the sector is the region of the supplier's nation."""
+    geo = src.table(s, d, "supplier").join(F.broadcast(src.table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(src.table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("instrument"), F.col("r_name").alias("sector"))
+    return panel(s, d).select("month", "instrument", "ret_1m").join(geo, "instrument")
+
+
 def sector_panel(s, d):
     """Mean returns and names of each region and month, through supplier and nation."""
-    geo = src.table(s, d, "supplier").join(F.broadcast(src.table(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(src.table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("s_suppkey").alias("instrument"), F.col("r_name").alias("sector"))
-    return _r(panel(s, d).select("month", "instrument", "ret_1m").join(geo, "instrument").groupBy("sector", "month").agg(F.avg("ret_1m").alias("ret_1m"), F.count("*").alias("names")))
+    return _r(_in_sectors(s, d).groupBy("sector", "month").agg(F.avg("ret_1m").alias("ret_1m"), F.count("*").alias("names")))
 
 
 def pivot_returns(s, d):
-    """A row a month and a column for each of five instruments."""
-    return _r(panel(s, d).filter("instrument <= 5").groupBy("month").pivot("instrument", [1, 2, 3, 4, 5]).agg(F.max("ret_1m")).withColumnsRenamed({str(i): f"i{i}" for i in range(1, 6)}))
+    """A row a month and a column for the mean return of each sector."""
+    return _r(_in_sectors(s, d).groupBy("month").pivot("sector", REGIONS).agg(F.avg("ret_1m")).withColumnsRenamed({c: c.lower().replace(" ", "_") for c in REGIONS}))
 
 
 def month_returns(s, d):
@@ -437,7 +445,7 @@ select instrument, date, round(close, 6) + 0 as close, case when age <= 10 then
     "snapshot_dedup": "select o_custkey, month, o_orderkey, round(o_totalprice, 6) + 0 as o_totalprice from (select *, date_trunc('month', o_orderdate)::date as month from orders) qualify row_number() over (partition by o_custkey, month order by o_orderdate desc, o_orderkey desc, o_totalprice desc) = 1",
     "market_series": f"with {q.BARS}, {q.MARKET} select date, {q.rounded(['level', 'm'])} from market",
     "sector_panel": f"with {_P} select r_name as sector, month, round(avg(ret_1m), 6) + 0 as ret_1m, count(*) as names from panel join supplier on s_suppkey = instrument join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by all",
-    "pivot_returns": f"with {_P} select month, {', '.join(f'round(max(ret_1m) filter (where instrument = {i}), 6) + 0 as i{i}' for i in range(1, 6))} from panel where instrument <= 5 group by month",
+    "pivot_returns": f"with {_P} select month, {', '.join(f"round(avg(ret_1m) filter (where r_name = '{c}'), 6) + 0 as {c.lower().replace(' ', '_')}" for c in REGIONS)} from panel join supplier on s_suppkey = instrument join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by month",
     "month_returns": f"with {_P} select month, list(instrument order by instrument) as instruments, list(round(ret_1m, 6) + 0 order by instrument) as ret_1m from panel group by month",
     "event_counts": """with d as (select user_id, date_diff('day', date '1970-01-01', ts::date)::int as day, count(*) as n from events group by all)
 select user_id, day, (sum(n) over a)::bigint as n7, (sum(n) over b)::bigint as n30, round(ln(1 + sum(n) over b), 6) + 0 as activity_30d from d
