@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, common, fingerprints, langid, licenses, mixing, neardup, neighbours, packing, sharding, substrings
+from . import archive, common, fingerprints, langid, licenses, lines, mixing, neardup, neighbours, packing, sharding, spelling, substrings
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -60,10 +60,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(docs).drop("mix_source")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(common.read(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(common.read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_near_dedup, op3_language_id, op4_sharding, op5_packing, op6_nearest, op7_warc, op8_licenses, op9_fingerprints, op10_mixing,
+        op11_spelling, op12_line_dedup,
     )
 }
 _UPPER = "".join(map(chr, range(65, 91)))
@@ -71,6 +80,8 @@ _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 ORACLES: dict[str, str] = {
     "op8_licenses": licenses.oracle(),
+    "op11_spelling": spelling.oracle(),
+    "op12_line_dedup": lines.oracle(),
     # every window of every document against the first document that has it
     "op1_substring_dedup": f"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w from documents),
