@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, common, fingerprints, langid, licenses, lines, mixing, neardup, neighbours, packing, sharding, spelling, substrings
+from . import archive, common, fingerprints, langid, licenses, lines, mixing, neardup, negatives, neighbours, packing, sharding, spelling, substrings
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,11 +68,15 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(common.read(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(common.read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_near_dedup, op3_language_id, op4_sharding, op5_packing, op6_nearest, op7_warc, op8_licenses, op9_fingerprints, op10_mixing,
-        op11_spelling, op12_line_dedup,
+        op11_spelling, op12_line_dedup, op13_hard_negatives,
     )
 }
 _UPPER = "".join(map(chr, range(65, 91)))
@@ -82,6 +86,7 @@ ORACLES: dict[str, str] = {
     "op8_licenses": licenses.oracle(),
     "op11_spelling": spelling.oracle(),
     "op12_line_dedup": lines.oracle(),
+    "op13_hard_negatives": negatives.oracle(),
     # every window of every document against the first document that has it
     "op1_substring_dedup": f"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) as w from documents),
