@@ -44,35 +44,37 @@ def _digests(told):
     return add
 
 
-def in_ranges(rows: DataFrame, rows_per_range: int = 2000, most_ranges: int = 200_000) -> DataFrame:
+def in_ranges(rows: DataFrame, rows_per_range: int = 2000, most_ranges: int = 200_000, ways: int = 64) -> DataFrame:
     """Adds _part, whose order is that of the rows: by falling doc_id, nulls last, equal ones by a hash of their text.
 
-    Ids are cut into ranges of equal width, by arithmetic. Ranges of more than twice their share (clustered, repeated
-    and null ids) are cut again, by their own width, and if they hold one id only, by the hash: these ranges, half of
-    all at most, are joined. Past most_ranges ranges they grow with the table, to 50,000 rows at 10**10.
+    Ids are cut at their quantiles, by at most `ways` at a time: the table's into coarse ranges, each of these by its own, and so
+    on, in as many rounds as give a range about its share of rows, wherever the ids lie. The cuts are a table of a row for each range
+    of the round before (4,096 rows at 200,000 ranges). What still has over twice its share holds a null or repeated id, and is cut
+    before and after such an id, whose own rows are cut by the hash. Past most_ranges ranges they grow with the table, to 50,000 rows at 10**10.
     """
-    tie = F.xxhash64("text")
-    told = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    share = max(rows_per_range, -(-told["n"] // most_ranges))
-    ranges = max(1, -(-told["n"] // share))
-    low, high = float(told["a"] or 0), float(told["b"] or 0)
-    place = lambda least, most, parts: F.floor((most - F.col("doc_id").cast("double")) / (most - least + 1) * parts)
-    rows = rows.withColumn("_b", F.coalesce(place(F.lit(low), F.lit(high), F.lit(ranges)), F.lit(ranges + 1)).cast("long"))
-
-    def large(*keys: str) -> DataFrame:
-        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("doc_id").cast("double").alias("_lo"), F.max("doc_id").cast("double").alias("_hi"))
-        return materialize(sizes.filter(F.col("_n") > 2 * share).withColumn("_pieces", F.ceil(F.col("_n") / share)), "large-ranges")
-
-    wide = large("_b")
-    if wide.isEmpty():
-        return rows.withColumn("_part", F.struct("_b", F.lit(0).cast("long").alias("_s"), F.lit(0).cast("long").alias("_t"))).drop("_b")
-    rows = rows.join(F.broadcast(wide), "_b", "left")
-    inner = F.when(F.col("_hi") > F.col("_lo"), place(F.col("_lo"), F.col("_hi"), F.col("_pieces"))).otherwise(0)
-    rows = rows.withColumn("_s", F.coalesce(inner, F.lit(0)).cast("long")).drop("_n", "_lo", "_hi", "_pieces")
-    alike = large("_b", "_s").filter("_lo is null or _lo = _hi").select("_b", "_s", "_pieces")
-    rows = rows.join(F.broadcast(alike), ["_b", "_s"], "left")
-    by_hash = F.coalesce(F.floor((tie / float(1 << 64) + 0.5) * F.col("_pieces")), F.lit(0)).cast("long")
-    return rows.withColumn("_part", F.struct("_b", "_s", by_hash.alias("_t"))).drop("_b", "_s", "_pieces")
+    n = rows.count()
+    share = max(rows_per_range, -(-n // most_ranges))
+    left = max(1, -(-n // share))
+    rows = rows.withColumn("_b", F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long")))
+    while left > 1:
+        k = min(ways, left)
+        left = -(-left // k)
+        cuts = rows.filter("doc_id is not null").groupBy("_b").agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(1000, 16 * ways)).alias("_cuts"))
+        # at most one row for each range so far
+        rows = rows.join(F.broadcast(materialize(cuts, "range-cuts")), "_b", "left")
+        rows = rows.withColumn("_b", F.col("_b") * k + F.size(F.filter("_cuts", lambda c: c > F.col("doc_id")))).drop("_cuts")
+    rows = rows.withColumn("_b", F.coalesce("_b", F.lit(1 << 40)))
+    large = materialize(rows.groupBy("_b").agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * share).select("_b"), "large-ranges")
+    # ids of more rows than a share: no more of them than ranges
+    hot = rows.join(F.broadcast(large), "_b", "left_semi").groupBy("_b", "doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
+    hot = hot.groupBy("_b").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.ceil(F.col("_n") / share).alias("pieces"))).alias("_hot"))
+    rows = rows.join(F.broadcast(materialize(hot, "repeated-ids")), "_b", "left")
+    own = F.filter("_hot", lambda h: h["id"].eqNullSafe(F.col("doc_id")))
+    above = F.size(F.filter("_hot", lambda h: h["id"] > F.col("doc_id")))
+    pieces = F.try_element_at(own, F.lit(1))["pieces"]
+    by_hash = F.floor((F.xxhash64("text") / float(1 << 64) + 0.5) * pieces)
+    side = F.when(F.col("_hot").isNull(), 0).otherwise(2 * above + pieces.isNotNull().cast("int"))
+    return rows.withColumn("_part", F.struct("_b", side.cast("long").alias("_s"), F.coalesce(by_hash, F.lit(0)).cast("long").alias("_t"))).drop("_b", "_hot")
 
 
 def _with_next(rows: DataFrame, add, columns: list[str], rows_per_range: int = 2000) -> DataFrame:

@@ -172,19 +172,24 @@ def train(docs: DataFrame, docs_per_lang: int = 200, chars: int = 4096) -> Model
     The bounds are parameters: docs_per_lang documents of each language, those with the smallest hash of doc_id and text,
     and a run of `chars` code points of each, from a place given by that hash. Every language with a labelled text is
     learned, so the model and the counts by language are all that grows with their number. A hash below a threshold from
-    the language's count picks about three times the rows wanted in each task, so a hot language brings no more rows than others;
-    repeated rows count once. Only text and lang are used.
+    the language's count of different rows with letters picks about three times those wanted (all, where there are fewer), so a
+    hot language brings no more rows than others; repeated rows count once, and texts without letters not at all. Only text and
+    lang are used.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    letter = r"\p{L}"
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & F.col("text").rlike(letter))
+    known = known.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit(33), F.col("text")))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.approx_count_distinct("_key").alias("n")).collect()}
     if not counts:
         return None
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(33), F.col("text"))
+    key = F.col("_key")
     part = F.shiftrightunsigned(key, 33) / float(1 << 31)
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * docs_per_lang / n))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * docs_per_lang / max(n, 1)))]), F.col("lang"))
     span = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
     piece = F.col("text").substr((F.pmod(key, span) + 1).cast("int"), F.lit(chars))
-    rows = known.filter(part < share).select("lang", key.alias("key"), piece.alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    # where the run has no letter, that from the text's first letter
+    piece = F.when(piece.rlike(letter), piece).otherwise(F.col("text").substr(F.regexp_instr("text", F.lit(letter)), F.lit(chars)))
+    rows = known.filter(part < share).select("lang", key.alias("key"), piece.alias("text"))
     rows = rows.groupBy("lang", "key").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     taken = rows.withColumn("place", place).filter(F.col("place") <= docs_per_lang).collect()

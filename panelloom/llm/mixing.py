@@ -21,8 +21,15 @@ def quantise(weights: dict[str, float], period: int) -> dict[str, int]:
     order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
     for s in order[: max(short, 0)]:
         units[s] += 1
-    for _ in range(max(-short, 0)):
-        units[max(units, key=lambda s: (units[s], s))] -= 1
+    if short < 0:
+        # from the largest, ties from the greater name
+        rank = {s: i for i, s in enumerate(sorted(units, reverse=True))}
+        largest = [(-n, rank[s], s) for s, n in units.items()]
+        heapq.heapify(largest)
+        for _ in range(-short):
+            n, i, s = largest[0]
+            units[s] -= 1
+            heapq.heapreplace(largest, (n + 1, i, s))
     return units
 
 

@@ -1,6 +1,8 @@
 import hashlib
+from collections import Counter
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelloom.llm import fingerprints
@@ -86,13 +88,18 @@ def test_nulls_repeats_single_and_empty(spark):
     assert fingerprint_with_edits(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_ranges_keep_the_order_and_split_what_is_large(spark):
-    ids = [*range(500), *[10**15 + i for i in range(500)], *[7] * 400, *[None] * 400, -(2**62), 2**62]
+@pytest.mark.parametrize("ways", [4, 64])
+def test_ranges_keep_the_order_and_split_what_is_large(spark, ways):
+    ids = [*range(500), *[10**15 + i for i in range(500)], *[7] * 400, *[None] * 400, -(2**62), 2**62, 10**12, 10**16, 10**18]
     rows = spark.createDataFrame([(d, f"t{i}") for i, d in enumerate(ids)], "doc_id long, text string")
-    out = fingerprints.in_ranges(rows, rows_per_range=20).withColumn("tie", F.xxhash64("text")).collect()
+    out = fingerprints.in_ranges(rows, rows_per_range=20, ways=ways).withColumn("tie", F.xxhash64("text")).collect()
     by_part = sorted(out, key=lambda r: (tuple(r._part), r.doc_id is None, -(r.doc_id or 0), r.tie))
     assert by_part == sorted(out, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
-    sizes: dict = {}
-    for r in out:
-        sizes[tuple(r._part)] = sizes.get(tuple(r._part), 0) + 1
-    assert max(n for (b, s, t), n in sizes.items() if t) <= 60 and len(sizes) > 20
+    sizes = Counter(tuple(r._part) for r in out)
+    assert max(n for (_, _, t), n in sizes.items() if not t) <= 40 and max(sizes.values()) <= 60 and len(sizes) > 60
+
+
+def test_far_ids_leave_no_range_whole(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [*range(20_000), 10**12, 10**18]], "doc_id long, text string")
+    sizes = fingerprints.in_ranges(rows).groupBy("_part").count().agg({"count": "max"}).first()[0]
+    assert sizes <= 4000

@@ -94,3 +94,13 @@ def test_nothing_to_learn_from(spark):
     assert [tuple(r) for r in identify(df, None).collect()] == [(1, zlib.crc32(b"1") % 4 == 2, "und", 0.0)]
     empty = df.limit(0)
     assert train(empty) is None and identify(empty, None, spans=True).count() == 0
+
+
+def test_repeated_and_letterless_rows_hide_no_language(spark):
+    """A language of one row repeated, and one of few texts among many rows of digits, are learned; a run without letters is moved."""
+    rng = random.Random(3)
+    learn = [i for i in range(60_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, sentence(rng, "xa", 30), "xa") for i in learn[:300]] + [(learn[300], sentence(rng, "yb", 40), "yb")] * 5000
+    rows += [(i, f"{i} 12 {i % 97}", "zc") for i in learn[400:20_400]] + [(i, "7 " * 9000 + sentence(rng, "zc", 30), "zc") for i in learn[21_000:21_010]]
+    model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8))
+    assert list(model.langs) == ["xa", "yb", "zc"]

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -102,3 +103,12 @@ def test_slots_are_those_of_a_plain_scheduler(spark):
     units = quantise(weights, 240)
     want = plain_schedule(units, {s: -(-sum((x or "") == s for _, _, x in rows) // 4) for s in units})
     assert {((r.mix_source, r.block), r.slot) for r in out} == set(want.items())
+
+
+def test_many_sources_are_quantised_at_once():
+    weights = {f"s{i:06}": 1.0 if i else 1e6 for i in range(100_000)}
+    began = time.time()
+    units = quantise(weights, 400_000)
+    assert time.time() - began < 10 and sum(units.values()) == 400_000 and min(units.values()) == 1
+    # ties give from the greater name
+    assert quantise({"a": 1.0, "b": 1.0, "c": 1e-9, "d": 1e-9}, 5) == {"a": 2, "b": 1, "c": 1, "d": 1}
