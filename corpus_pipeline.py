@@ -14,7 +14,7 @@ from panelloom.llm import common, langid, mixing, neardup, packing, queries, sub
 #: SQL has no recurrent network, graph components or tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bytes of text that a range of mixed rows has about. Past MOST_RANGES ranges they grow instead (2 GB each at 100 TB, sorted with spilling).
+#: Bytes of text that a range of mixed rows has about. Past MOST_RANGES ranges (800 GB) they grow instead: 2 GB each at 100 TB, sorted with spilling.
 RANGE_BYTES, MOST_RANGES = 16 << 20, 50_000
 
 
@@ -61,6 +61,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix, which packing keeps within each source: ranges of slots, sorted within.
 
+    A range has about RANGE_BYTES of text, up to MOST_RANGES ranges, as each range's bound is held by every task; beyond 800 GB
+    the ranges grow instead, to 2 GB each at 100 TB, and are sorted with spilling. No row is dropped.
+
     A null source is the source ''. Null and repeated doc_ids and equal rows are rows of their own, long texts too. Columns
     that documents don't have go; an empty table gives an empty one.
     """
