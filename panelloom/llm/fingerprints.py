@@ -49,32 +49,34 @@ def in_ranges(rows: DataFrame, rows_per_range: int = 2000, most_ranges: int = 20
 
     Ids are cut at their quantiles, by at most `ways` at a time: the table's into coarse ranges, each of these by its own, and so
     on, in as many rounds as give a range about its share of rows, wherever the ids lie. The cuts are a table of a row for each range
-    of the round before (4,096 rows at 200,000 ranges). What still has over twice its share holds a null or repeated id, and is cut
-    before and after such an id, whose own rows are cut by the hash. Past most_ranges ranges they grow with the table, to 50,000 rows at 10**10.
+    of the round before (4,096 rows at 200,000 ranges). An id, or null, with more rows than a share is left out of the quantiles; a
+    range is cut before and after it, and its own rows are cut by the hash. Past most_ranges ranges they grow with the table, to 50,000 rows at 10**10.
     """
     n = rows.count()
     share = max(rows_per_range, -(-n // most_ranges))
     left = max(1, -(-n // share))
+    # ids of more rows than a share: no more of them than ranges
+    hot = rows.groupBy("doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > share).select(F.col("doc_id").alias("_id"), F.ceil(F.col("_n") / share).alias("_pieces"))
+    hot = materialize(hot, "repeated-ids")
+    rows = rows.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
     rows = rows.withColumn("_b", F.when(F.col("doc_id").isNotNull(), F.lit(0).cast("long")))
     while left > 1:
         k = min(ways, left)
         left = -(-left // k)
-        cuts = rows.filter("doc_id is not null").groupBy("_b").agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(1000, 16 * ways)).alias("_cuts"))
+        cuts = rows.filter("doc_id is not null and _pieces is null").groupBy("_b").agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(1000, 16 * ways)).alias("_cuts"))
         # at most one row for each range so far
         rows = rows.join(F.broadcast(materialize(cuts, "range-cuts")), "_b", "left")
-        rows = rows.withColumn("_b", F.col("_b") * k + F.size(F.filter("_cuts", lambda c: c > F.col("doc_id")))).drop("_cuts")
+        above = F.when(F.col("_cuts").isNotNull(), F.size(F.filter("_cuts", lambda c: c > F.col("doc_id")))).otherwise(0)
+        rows = rows.withColumn("_b", F.col("_b") * k + above).drop("_cuts")
     rows = rows.withColumn("_b", F.coalesce("_b", F.lit(1 << 40)))
-    large = materialize(rows.groupBy("_b").agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * share).select("_b"), "large-ranges")
-    # ids of more rows than a share: no more of them than ranges
-    hot = rows.join(F.broadcast(large), "_b", "left_semi").groupBy("_b", "doc_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > share)
-    hot = hot.groupBy("_b").agg(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.ceil(F.col("_n") / share).alias("pieces"))).alias("_hot"))
-    rows = rows.join(F.broadcast(materialize(hot, "repeated-ids")), "_b", "left")
-    own = F.filter("_hot", lambda h: h["id"].eqNullSafe(F.col("doc_id")))
-    above = F.size(F.filter("_hot", lambda h: h["id"] > F.col("doc_id")))
-    pieces = F.try_element_at(own, F.lit(1))["pieces"]
-    by_hash = F.floor((F.xxhash64("text") / float(1 << 64) + 0.5) * pieces)
-    side = F.when(F.col("_hot").isNull(), 0).otherwise(2 * above + pieces.isNotNull().cast("int"))
-    return rows.withColumn("_part", F.struct("_b", side.cast("long").alias("_s"), F.coalesce(by_hash, F.lit(0)).cast("long").alias("_t"))).drop("_b", "_hot")
+    if hot.isEmpty():
+        return rows.withColumn("_part", F.struct("_b", F.lit(0).cast("long").alias("_s"), F.lit(0).cast("long").alias("_t"))).drop("_b", "_pieces")
+    within = materialize(rows.filter("_pieces is not null").groupBy("_b").agg(F.collect_set("doc_id").alias("_hot")), "repeated-ids")
+    rows = rows.join(F.broadcast(within), "_b", "left")
+    # before, at and after each repeated id
+    side = F.when(F.col("_hot").isNull(), 0).otherwise(2 * F.size(F.filter("_hot", lambda h: h > F.col("doc_id"))) + F.col("_pieces").isNotNull().cast("int"))
+    by_hash = F.coalesce(F.floor((F.xxhash64("text") / float(1 << 64) + 0.5) * F.col("_pieces")), F.lit(0))
+    return rows.withColumn("_part", F.struct("_b", side.cast("long").alias("_s"), by_hash.cast("long").alias("_t"))).drop("_b", "_hot", "_pieces")
 
 
 def _with_next(rows: DataFrame, add, columns: list[str], rows_per_range: int = 2000) -> DataFrame:
