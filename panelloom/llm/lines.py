@@ -12,8 +12,8 @@ from .common import discard, materialize, new_path, text_or_empty
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "".join(map(chr, range(65, 91)))
 HASH = ("h1", "h2")
-#: Lines of a batch for each bucket of a run, and the fewest buckets.
-LINES_PER_BUCKET, LEAST_BUCKETS = 1_000_000, 32
+#: Lines of a batch for each bucket of a run.
+LINES_PER_BUCKET = 1_000_000
 #: A key with this share of all lines or more is joined by broadcast: as many keys at most as one over it.
 HOT_SHARE = 1 / 4096
 
@@ -33,7 +33,7 @@ class LineRuns:
     as there are levels. With common=1, every line seen before is taken out of the batch: `add` returns the new ones.
     """
 
-    def __init__(self, spark: SparkSession, common: int = 10, fanout: int = 4, buckets: int = LEAST_BUCKETS):
+    def __init__(self, spark: SparkSession, common: int = 10, fanout: int = 2, buckets: int = 32):
         self.spark, self.common, self.fanout, self.buckets = spark, common, fanout, buckets
         self.levels: list[list[DataFrame]] = []
 
@@ -113,7 +113,7 @@ def _dropped(lines: DataFrame, totals: DataFrame, n: int, min_docs: int) -> Data
     return rows.filter("hot").select(*own).unionByName(rest.select(*own))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batches: int = 8, fanout: int = 4, keep_text: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batches: int = 4, fanout: int = 2, keep_text: bool = False) -> DataFrame:
     """Drop the lines that stand in min_docs documents or more, in all of them: doc_id, n_lines, n_dropped, kept_sha256 and, with keep_text, kept.
 
     A line ends at \\n; a null or empty text is one empty line. A line's key is the line without `[\\x20\\x09-\\x0D]` at its
@@ -132,7 +132,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batches: in
     _occurrences(rows, batches, least).write.partitionBy("batch").option("compression", "zstd").parquet(staged)
     lines = spark.read.schema("doc_id long, d1 long, d2 long, pos int, h1 long, h2 long, first boolean, batch int").parquet(staged)
     n = lines.count()
-    runs = LineRuns(spark, min_docs, fanout, max(LEAST_BUCKETS, -(-n // (batches * LINES_PER_BUCKET))))
+    # with as many buckets as a shuffle has partitions, a batch is exchanged once for its counts and its run
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (batches * LINES_PER_BUCKET)))
+    runs = LineRuns(spark, min_docs, fanout, buckets)
     for b in range(batches):
         runs.add(lines.filter((F.col("batch") == b) & F.col("first")).select(*HASH))
     gone = _dropped(lines.drop("batch", "first"), runs.totals(), n, min_docs)
