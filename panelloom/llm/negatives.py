@@ -15,8 +15,12 @@ from .common import materialize
 CANDIDATES, ANCHORS = 8192, 4096
 #: Points of a node that is not divided any more.
 LEAF = 16
+#: Points whose distances to a node's other points are made at once.
+SIDE_BY_SIDE = 256
 #: Share of a bound's size that rounding may take (a distance near zero has half the digits): bounds are wider by it.
-SLACK = 1e-6
+SLACK = 1e-5
+#: Children of a node that are put in order at first.
+AHEAD = 64
 
 
 class CoverTree:
@@ -33,11 +37,10 @@ class CoverTree:
         self.top = float(norms.max())
         if not np.isfinite(self.top):
             raise ArithmeticError("a vector's squared length does not fit into a double")
-        added = np.sqrt(np.maximum(self.top - norms, 0))
-        away = lambda at, c: np.sqrt(((x[at] - x[c]) ** 2).sum(axis=1) + (added[at] - added[c]) ** 2)
+        whole = np.column_stack([x, np.sqrt(np.maximum(self.top - norms, 0))])
         self.order = np.arange(len(x))
         centre, radius, first, last, child, childs = [0], [], [0], [len(x)], [], []
-        far = [away(self.order, 0)]
+        far = [np.sqrt(self._apart(whole[:1], whole)[0])]
         cover = [float(far[0].max())]
         k = 0
         while k < len(centre):
@@ -46,17 +49,8 @@ class CoverTree:
             radius.append(float(d.max()))
             child.append(len(centre))
             if j - i > LEAF and radius[k] > 0:
-                r, left, groups = min(cover[k], radius[k]) / 2, np.arange(i, j), []
-                # the own centre first, then the first point that is not covered yet
-                at = left[np.argmin(d)]
-                while len(left):
-                    own = away(self.order[left], self.order[at])
-                    near = own <= r
-                    groups.append((self.order[at], self.order[left[near]], own[near], r))
-                    left = left[~near]
-                    at = left[0] if len(left) else at
-                place = i
-                for c, points, own, r in groups:
+                r, place = min(cover[k], radius[k]) / 2, i
+                for c, points, own in self._covers(whole, self.order[i:j].copy(), int(d.argmin()), r):
                     self.order[place : place + len(points)] = points
                     centre.append(int(c))
                     first.append(place)
@@ -71,6 +65,26 @@ class CoverTree:
         self.child, self.childs = np.array(child), np.array(childs)
         self.leaf = self.child == self.childs
 
+    def _apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Squared distances of augmented vectors; what rounding leaves of none is none."""
+        d = 2 * (self.top - a @ b.T)
+        return np.where(d <= 1e-12 * self.top, 0, d)
+
+    def _covers(self, whole: np.ndarray, at: np.ndarray, own: int, r: float):
+        """(centre, points, distances) of centres over r apart that cover the points `at` within r: the node's own, then the first not covered yet."""
+        rows, left = whole[at], np.ones(len(at), bool)
+        todo = np.concatenate(([own], np.delete(np.arange(len(at)), own)))
+        while len(todo):
+            some = todo[:SIDE_BY_SIDE]
+            apart = self._apart(rows[some], rows)
+            for c, d in zip(some, apart):
+                if left[c]:
+                    near = left & (d <= r * r)
+                    near[c] = True
+                    left &= ~near
+                    yield at[c], at[near], np.sqrt(d[near])
+            todo = todo[left[todo]]
+
     def bounds(self, q: np.ndarray, size: float, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest inner product of q, of squared length `size`, with any point below the nodes from a to b."""
         inner, both = self.centres[a:b] @ q, size + self.top
@@ -111,17 +125,39 @@ class Block:
         least = -np.inf if low is None else float(low)
         most = np.inf if high is None else float(high)
 
+        # the nodes of a run fall by upper bound; the heap has the next node of each run
+        heap: list[tuple[float, int]] = []
+        runs: list[list[np.ndarray]] = []
+
         def worth(a: int, b: int) -> None:
             below, above = tree.bounds(q, size, a, b)
-            for n in np.flatnonzero((above >= max(least, -found[k - 1][0] if len(found) >= k else -np.inf)) & (below <= most)):
-                heappush(heap, (-min(float(above[n]), most), a + int(n)))
+            at = np.flatnonzero((above >= max(least, -found[k - 1][0] if len(found) >= k else -np.inf)) & (below <= most))
+            if len(at):
+                runs.append([at + a, np.minimum(above[at], most)])
+                onward(len(runs) - 1)
+
+        def onward(run: int) -> None:
+            """Put the first AHEAD of what is left of a run in order, the largest last, and its next node on the heap."""
+            if len(runs[run]) == 2:
+                nodes, above = runs[run]
+                cut = max(len(nodes) - AHEAD, 0)
+                part = np.argpartition(above, cut) if cut else np.arange(len(nodes))
+                ahead = part[cut:][np.argsort(above[part[cut:]], kind="stable")]
+                runs[run] = [nodes[part[:cut]], above[part[:cut]], nodes[ahead].tolist(), above[ahead].tolist()]
+            heappush(heap, (-runs[run][3][-1], run))
 
-        heap: list[tuple[float, int]] = []
         worth(0, 1)
         while heap:
-            above, n = heappop(heap)
+            above, run = heappop(heap)
             if len(found) >= k and -above < -found[k - 1][0]:
                 break
+            n = runs[run][2].pop()
+            runs[run][3].pop()
+            if runs[run][2]:
+                onward(run)
+            elif len(runs[run][0]):
+                runs[run] = runs[run][:2]
+                onward(run)
             if not tree.leaf[n]:
                 worth(tree.child[n], tree.childs[n])
                 continue
