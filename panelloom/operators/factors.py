@@ -267,10 +267,11 @@ def shapes(df: DataFrame) -> DataFrame:
 
 
 def interactions(df: DataFrame) -> DataFrame:
-    """Products of features of other families, which are made here on the same rows and dropped again."""
+    """Products of features of other families, which are made here on the same rows and dropped again unless the rows have them all."""
     names = ["cand_path_efficiency_63d", "beta_63d", "corr_spx_63d", "vol_21d", "vol_ratio_st", "vol_of_vol_63d", "vol_momentum_21d", "avg_gap_21d", "skew_60d", "maxdd_21d", "cand_recovery_speed_63d", "hurst_63d"]
-    wide = series.hurst(drawdowns(tails(microstructure(liquidity(volatility(market_beta(paths(df))))))))
-    wide = wide.select(*df.columns, *names).withColumns({f"_r{k}": change("close", k) for k in (21, 126, 252)})
+    made = set(names) <= set(df.columns)
+    wide = df if made else series.hurst(drawdowns(tails(microstructure(liquidity(volatility(market_beta(paths(df)))))))).select(*df.columns, *names)
+    wide = wide.withColumns({f"_r{k}": change("close", k) for k in (21, 126, 252)})
     x = {n: F.col(n) for n in names}
     step = lambda n: x[n] - lag(n, 21)
     wide = wide.withColumns({
@@ -278,7 +279,7 @@ def interactions(df: DataFrame) -> DataFrame:
         "cand_beta_change_x_vol": step("beta_63d") * x["vol_21d"], "cand_hurst_x_mom": x["hurst_63d"] * F.col("_r252"), "cand_gap_x_volume": x["avg_gap_21d"] * x["vol_momentum_21d"], "cand_skew_x_mom": x["skew_60d"] * F.col("_r126"),
         "cand_drawdown_x_recovery": x["maxdd_21d"] * x["cand_recovery_speed_63d"], "cand_vol_of_vol_x_mom": x["vol_of_vol_63d"] * F.abs("_r252"), "cand_corr_change_x_ret": step("corr_spx_63d") * F.col("_r21"),
     })
-    return wide.drop(*names, "_r21", "_r126", "_r252")
+    return wide.drop(*([] if made else names), "_r21", "_r126", "_r252")
 
 
 def entropy_regimes(df: DataFrame, until: str, percentile: float = 0.25, least: int = 50) -> DataFrame:
@@ -315,3 +316,11 @@ def seasonality(month_end: DataFrame) -> DataFrame:
 
 
 FAMILIES = {f.__name__: f for f in (momentum, volatility, tails, trend, liquidity, market_beta, co_skewness, microstructure, time_signals, paths, volume_price, drawdowns, directions, shapes, interactions)}
+
+
+def all_families(df: DataFrame) -> DataFrame:
+    """The columns of every daily family side by side, each made once: one exchange and one sort of the rows for all of them."""
+    out = series.hurst(df)
+    for family in FAMILIES.values():
+        out = family(out)
+    return out.drop("nav", *[c for c in ("hurst_63d",) if c not in df.columns])

@@ -236,27 +236,29 @@ def normals(seed: Column) -> Column:
     return F.sqrt(-2 * F.log(F.least(u, F.lit(1.0)))) * F.cos(2 * 3.141592653589793 * v)
 
 
-def fan(spark, ir: float, te: float, months: int = 36, sims: int = 1000) -> DataFrame:
-    """month and the 5th to 95th percentiles of compound paths of normal monthly returns, in per cent."""
-    rows = spark.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(1), F.lit(months))).alias("month"))
-    rows = rows.withColumn("x", ir * te / 12 + te / 12**0.5 * normals(F.col("sim") * 1000 + F.col("month")))
-    path = F.product(1 + F.col("x")).over(Window.partitionBy("sim").orderBy("month").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("month", ((path - 1) * 100).alias("p"))
+def fan(series: DataFrame, x: str, months: int = 36, sims: int = 1000) -> DataFrame:
+    """month and the 5th to 95th percentiles, in per cent, of compound paths whose months are drawn from a monthly series (month, x).
+
+    Step k of simulation s takes the month at mixed(mixed(s) + k) modulo the series' months.
+    """
+    # one row a month
+    numbered = series.select(F.col(x).alias("x"), (F.row_number().over(Window.orderBy("month")) - 1).cast("long").alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
+    steps = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    drawn = numbered.select("n").distinct().withColumn("sim", steps(sims)).withColumn("_s", mixed(F.col("sim"))).withColumn("step", steps(months))
+    drawn = drawn.withColumn("at", mixed(F.col("_s") + F.col("step")) % F.col("n")).join(F.broadcast(numbered.drop("n")), "at")
+    path = F.product(1 + F.col("x")).over(Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    rows = drawn.select((F.col("step") + 1).cast("int").alias("month"), ((path - 1) * 100).alias("p"))
     return rows.groupBy("month").agg(*[F.percentile("p", k / 100).alias(f"p{k}") for k in (5, 25, 50, 75, 95)])
 
 
-def volatility_surface(spark, alphas: list[float], ir: float, te: float, bench_vol: float, base_alpha: float, horizon: int = 24, sims: int = 500, switch: float = 0.1, stress: float = 2.0) -> DataFrame:
-    """alpha, horizon, vol: yearly spread of summed returns of paths whose regime switches by chance, with more risk in the second."""
-    rows = spark.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon"))
-    turn = (mixed(F.col("sim") * 5000 + F.col("horizon")) / 2_147_483_647.0 < switch).cast("int")
-    run = Window.partitionBy("sim").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("turn", turn).withColumn("scale", F.when(F.sum("turn").over(run) % 2 == 1, stress).otherwise(1.0)).withColumn("z", normals(F.col("sim") * 1000 + F.col("horizon")))
-    rows = rows.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    own = te * F.col("alpha") / base_alpha
-    ret = ir * own / 12 + F.sqrt((bench_vol / 12**0.5 * F.col("scale")) ** 2 + (own / 12**0.5 * F.col("scale")) ** 2) * F.col("z")
-    path = F.sum("ret").over(Window.partitionBy("alpha", "sim").orderBy("horizon").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("ret", ret).withColumn("path", path)
-    return rows.groupBy("alpha", "horizon").agg((F.stddev_pop("path") * F.sqrt(12 / F.col("horizon"))).alias("vol"))
+def volatility_surface(bt: DataFrame, x: str = "port_ret", horizon: int = 24) -> DataFrame:
+    """alpha, horizon, n, vol: yearly spread of the summed returns over all runs of up to `horizon` months of each alpha's back-test."""
+    order = Window.partitionBy("alpha").orderBy("month")
+    rows = bt.select("alpha", "month", F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"), F.row_number().over(order).alias("_t"))
+    runs = {str(h): F.when(F.col("_t") >= h, F.col("_c") - F.lag("_c", h, 0.0).over(order)) for h in range(1, horizon + 1)}
+    long = rows.select("alpha", *[c.alias(h) for h, c in runs.items()]).unpivot("alpha", list(runs), "horizon", "ret").filter("ret is not null")
+    out = long.groupBy("alpha", F.col("horizon").cast("int").alias("horizon")).agg(F.count("*").alias("n"), F.stddev_samp("ret").alias("vol"))
+    return out.withColumn("vol", F.col("vol") * F.sqrt(12 / F.col("horizon")))
 
 
 def regime_attribution(bt: DataFrame, ranges: list[tuple[str, str, str]], sims: int = 1000, block: int = 6) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,13 +39,14 @@ def refetch_gate(old: DataFrame, new: DataFrame, least_corr: float = 0.98) -> Da
     return out.withColumn("ok", F.coalesce((F.col("mean_corr") > least_corr) & (F.col("share_low") < 0.05), F.lit(False)))
 
 
-def survivorship(panel: DataFrame, last_month: str | None = None, months: int = 6) -> DataFrame:
-    """leavers, stayers, leaver_ret, stayer_ret: mean returns of the last months, before the final one, of instruments that end early and of the others."""
-    from pyspark.sql import Window
+def survivorship(panel: DataFrame, months: int = 6, tail: int = 1) -> DataFrame:
+    """leavers, stayers, leaver_ret, stayer_ret: mean returns of the last months, before the final one, of instruments that end early and of the others.
 
-    end = F.max("month").over(Window.partitionBy("instrument"))
-    final = F.lit(last_month).cast("date") if last_month else F.max("month").over(Window.partitionBy())
+    An instrument leaves if its last row is over `tail` months before the panel's last month, which is one row, broadcast.
+    """
     back = F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("month")))
-    rows = panel.select("instrument", "month", "ret_1m", end.alias("end"), final.alias("final"), back.alias("back")).filter(F.col("back").between(2, months + 1))
-    left = F.col("end") < F.add_months("final", -1)
+    rows = panel.select("instrument", "month", "ret_1m", F.max("month").over(Window.partitionBy("instrument")).alias("end"), back.alias("back")).filter(F.col("back").between(2, months + 1))
+    final = panel.agg(F.add_months(F.max("month"), -tail).alias("cut"))
+    rows = rows.join(F.broadcast(final), F.lit(True))
+    left = F.col("end") < F.col("cut")
     return rows.agg(F.countDistinct(F.when(left, F.col("instrument"))).alias("leavers"), F.countDistinct(F.when(~left, F.col("instrument"))).alias("stayers"), F.avg(F.when(left, F.col("ret_1m"))).alias("leaver_ret"), F.avg(F.when(~left, F.col("ret_1m"))).alias("stayer_ret"))

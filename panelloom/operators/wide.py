@@ -78,7 +78,7 @@ def _added(width: int, fan_in: int):
     return run
 
 
-def _pairs(columns: list[str], least: int):
+def _pairs(columns: list[str], least: int, flat: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for _, row in part.iterrows():
@@ -87,8 +87,8 @@ def _pairs(columns: list[str], least: int):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     vx, vy, c = xx - x * x / n, yy - y * y / n, xy - x * y / n
                     # what rounding leaves of a constant's spread is none
-                    flat = (vx <= 1e-14 * xx) | (vy <= 1e-14 * yy)
-                    rho = np.where((n >= max(least, 2)) & ~flat, np.clip(c / np.sqrt(vx * vy), -1, 1), np.nan)
+                    even = (vx <= 1e-14 * xx) | (vy <= 1e-14 * yy) | (vx <= n * flat * flat) | (vy <= n * flat * flat)
+                    rho = np.where((n >= max(least, 2)) & ~even, np.clip(c / np.sqrt(vx * vy), -1, 1), np.nan)
                 at = [(p, q) for p in range(n.shape[0]) for q in range(n.shape[1]) if i + p < j + q]
                 p, q = (np.array(v, int) for v in (zip(*at) if at else ((), ())))
                 yield pd.DataFrame({"a": [columns[i + k] for k in p], "b": [columns[j + k] for k in q], "n": n[p, q].astype(np.int64), "rho": rho[p, q]})
@@ -96,11 +96,11 @@ def _pairs(columns: list[str], least: int):
     return run
 
 
-def pairwise_correlations(rows: DataFrame, columns: list[str], least: int = 3) -> DataFrame:
+def pairwise_correlations(rows: DataFrame, columns: list[str], least: int = 3, flat: float = 0.0) -> DataFrame:
     """a, b (in the order of `columns`), n, rho of every pair: Pearson's correlation over the rows that have both values.
 
     A null or NaN is missing for its own column's pairs alone. rho is null where fewer than `least` rows have both, or one side
-    is constant on them. Each task multiplies its rows' masks and values once, whatever their number, and brings one partial sum
+    is constant on them (its standard deviation is at most `flat`). Each task multiplies its rows' masks and values once, whatever their number, and brings one partial sum
     for each tile of TILE by TILE columns; tiles are added FAN_IN at a time, so neither the rows nor the tasks gather anywhere.
     """
     width = len(columns)
@@ -108,7 +108,7 @@ def pairwise_correlations(rows: DataFrame, columns: list[str], least: int = 3) -
     # three rounds add up 262,144 tasks; one of them is the last in any case
     for key in (F.floor(F.col("part") / FAN_IN), F.floor(F.col("part") / FAN_IN), F.lit(0).cast("long")):
         told = told.groupBy("i", "j", key.alias("to")).applyInPandas(_added(width, FAN_IN), _TILE)
-    out = told.mapInPandas(_pairs(columns, least), "a string, b string, n long, rho double")
+    out = told.mapInPandas(_pairs(columns, least, flat), "a string, b string, n long, rho double")
     return out.withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelloom.functions import frames
 from panelloom.operators import evaluation as ev, factors, statistics as st
 from panelloom.plans import factor_queries, oracle as q, panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
@@ -13,7 +14,7 @@ from panelloom.sources import bars as src
 HORIZONS = [1, 2, 3, 5, 7, 10, 15, 21, 30, 42, 63, 90]
 FLOORS = [0.0, 0.005, 0.01, 0.015]
 CUT, UNTIL, SIMS = "1999-01-01", "1998-12-31", 100
-FEATURES = ["momentum", "volatility", "trend", "liquidity", "time_signals", "paths"]
+FEATURES = list(factors.FAMILIES)
 BASES = ["ret_12m", "ret_6m", "ret_1m", "vol_20d", "hl_range"]
 
 
@@ -134,25 +135,36 @@ def score_losses(s, d):
 
 
 def student_p(s, d):
-    """Two-sided p-values over a grid of t and degrees of freedom."""
-    grid = s.range(1, 61).select(F.col("id").cast("int").alias("freedom"), F.explode(F.array(*[F.lit(x / 4) for x in range(0, 25)])).alias("t"))
-    return grid.select("freedom", "t", F.round(ev.student_p(F.col("t"), F.col("freedom")), 9).alias("p"))
+    """Each factor's mean IC within a year as a t statistic, and its two-sided p-value."""
+    years = _ic(s, d).groupBy("factor", F.year("month").alias("year")).agg(F.count("*").cast("int").alias("n"), F.avg("ic").alias("m"), F.stddev_samp("ic").alias("sd")).filter("n >= 3 and sd > 1e-8")
+    years = years.select("factor", "year", (F.col("n") - 1).alias("freedom"), (F.col("m") / F.col("sd") * F.sqrt("n")).alias("t"))
+    return rounded(years.withColumn("p", ev.student_p(F.col("t"), F.col("freedom"))))
+
+
+KEYS = ["month", "instrument", "fwd_ret_1m"]
+
+
+def month_end_features(s, d) -> DataFrame:
+    """month, instrument, fwd_ret_1m and the columns of all daily families, rounded as their queries do, at month ends.
+
+    The families are made side by side on the daily rows, whose last row of each month stays: no family is joined to another.
+    """
+    base = prepared(s, d)
+    wide = factors.all_families(base)
+    names = [c for c in wide.columns if c not in base.columns]
+    after = F.lead("date").over(frames.by_date())
+    wide = wide.withColumn("_after", after).filter(F.col("_after").isNull() | (F.trunc("_after", "month") != F.trunc("date", "month")))
+    return p.panel(s, d).select(*KEYS, "date").join(rounded(wide.select("instrument", "date", *names)), ["instrument", "date"]).select(*KEYS, *names)
 
 
 def _features(s, d) -> DataFrame:
-    """month, instrument, factor, value, fwd_ret_1m of all columns of the families, as their queries round them, at month ends."""
-    ends = p.panel(s, d).select("instrument", "month", "date", "fwd_ret_1m")
-    out = None
-    for family in FEATURES:
-        wide = factor_queries.QUERIES[f"factor_{family}"](s, d)
-        names = [c for c in wide.columns if c not in ("instrument", "date")]
-        one = ends.join(wide, ["instrument", "date"]).unpivot(["month", "instrument", "fwd_ret_1m"], names, "factor", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """month, instrument, factor, value, fwd_ret_1m of all columns of the families at month ends."""
+    wide = month_end_features(s, d)
+    return wide.unpivot(KEYS, [c for c in wide.columns if c not in KEYS], "factor", "value")
 
 
 def feature_ic(s, d):
-    """The IC summary of every column of the daily families, with p-values and the step-up test over all of them."""
+    """The IC summary of every column of all daily families, with p-values and the step-up test over all of them."""
     found = st.ic_summary(st.monthly_ic(_features(s, d), p.LEAST))
     tests = st.step_up(ev.tests_of(found).filter("p is not null"), 0.2)
     return rounded(found.join(tests, "factor"), 5)
@@ -272,5 +284,6 @@ y as (select avg(abs(fwd_ret_1m)) filter (where cand_low_entropy_regime = 1) as
 select {q.rounded(['mean_abs_low', 'mean_abs_high', 'up_low', 'up_high'])}, n_low, n_high, round(mean_abs_low / (mean_abs_high + 1e-9), 6) + 0 as ratio from y""",
     "score_losses": f"""with {p._P}, x as (select *, row_number() over (partition by month order by mom_accel desc, instrument) as k, mom_accel - max(mom_accel) over (partition by month) as z from panel where mom_accel is not null and fwd_ret_1m is not null)
 select month, round(avg(pow(mom_accel - fwd_ret_1m, 2)), 6) + 0 as mse, round(-({p._c('mom_accel', 'fwd_ret_1m', 3)}), 6) + 0 as neg_ic, round(sum(exp(z) * fwd_ret_1m) filter (where k <= 20) / sum(exp(z)) filter (where k <= 20), 6) + 0 as top_reward from x group by month""",
-    "student_p": f"select freedom, t, round({q.student_p('t', 'freedom')}, 9) as p from (select unnest(range(1, 61))::int as freedom) cross join (select unnest(range(0, 25)) / 4 as t)",
+    "student_p": f"""with {p._IC}, y as (select factor, year(month)::int as year, (count(*) - 1)::int as freedom, avg(ic) / stddev_samp(ic) * sqrt(count(*)) as t from ic group by 1, 2 having count(*) >= 3 and stddev_samp(ic) > 1e-8)
+select factor, year, freedom, round(t, 6) + 0 as t, round({q.student_p('t', 'freedom')}, 6) + 0 as p from y""",
 }

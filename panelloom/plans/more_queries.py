@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.operators import linear, portfolio as pf, quality, series
+from panelloom.operators import linear, panel as pan, portfolio as pf, quality, series
 from panelloom.plans import oracle as q
 from panelloom.plans import panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
@@ -38,14 +38,18 @@ def audit_report(s, d):
 
 
 def refetch_gate(s, d):
-    old = p.panel(s, d)
-    new = old.withColumn("ret_1m", F.when(F.col("instrument") % 7 == 0, -F.col("ret_1m")).otherwise(F.col("ret_1m") * 1.001))
-    return rounded(quality.refetch_gate(old, new))
+    """The panel's returns, of closes weighted by quantity, against those of closes that are plain means of the same lines."""
+    lines = src.table(s, d, "lineitem").filter("l_quantity > 0")
+    plain = lines.groupBy(F.col("l_suppkey").alias("instrument"), F.col("l_shipdate").cast("date").alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
+    ends = src.month_ends(plain)
+    new = ends.withColumn("ret_1m", F.col("close") / F.lag("close").over(pan.by_month()) - 1)
+    return rounded(quality.refetch_gate(p.panel(s, d), new))
 
 
 def survivorship(s, d):
-    rows = p.panel(s, d).filter((F.col("instrument") % 5 != 0) | (F.col("month") < F.lit("2000-01-01").cast("date")))
-    return rounded(quality.survivorship(rows))
+    """Instruments are in the index in months in which their weight is four fifths of a mean one; they leave with the last of these."""
+    index = p.weights(s, d).withColumn("n", F.count("*").over(pan.cross_section())).filter(F.col("weight") * F.col("n") >= 0.8)
+    return rounded(quality.survivorship(p.panel(s, d).join(index.select("month", "instrument"), ["month", "instrument"])))
 
 
 def lexicon_sentiment(s, d):
@@ -66,7 +70,7 @@ def event_windows(s, d):
     """Daily counts and sums, by running the file stream over what is there."""
     stream = events.windowed_counts(events.read_stream(s, f"{d}/events.parquet*"))
     name = f"event_windows_{uuid.uuid4().hex}"
-    return rounded(events.run_available(stream, name, f"{_folder(s)}/{name}"), 3).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rounded(events.run_available(stream, name, f"{shared_folder(s)}/{name}"), 3).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def event_sessions(s, d):
@@ -74,8 +78,8 @@ def event_sessions(s, d):
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-def _folder(s: SparkSession) -> str:
-    """Where streams keep their state: under spark.checkpoint.dir. Only a session in one JVM may do without."""
+def shared_folder(s: SparkSession) -> str:
+    """Where streams keep their state, and fitted folds their rows: under spark.checkpoint.dir. Only a session in one JVM may do without."""
     root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         master = s.sparkContext.master
@@ -202,9 +206,11 @@ union all select 'largest error of a month''s weights', max(round(abs(s - 1), 9)
 union all select 'largest weight', max(round(w, 9)), max(w) <= 0.0801 from m
 union all select 'fewest names in a month', min(n)::double, min(n) >= 5 from m
 union all select 'missing targets', avg(case when fwd_ret_1m is null then 1.0 else 0.0 end), avg(case when fwd_ret_1m is null then 1.0 else 0.0 end) < 0.1 from panel)""",
-    "refetch_gate": f"""with {p._P}, e as (select instrument, case when count(*) >= 6 then corr(ret_1m, case when instrument % 7 = 0 then -ret_1m else ret_1m * 1.001 end) end as c from panel where ret_1m is not null group by instrument)
+    "refetch_gate": f"""with {p._P}, d0 as (select l_suppkey as instrument, l_shipdate::date as date, avg(l_extendedprice / l_quantity) as close from lineitem where l_quantity > 0 group by all),
+d1 as (select instrument, date_trunc('month', date)::date as month, arg_max(close, date) as close from d0 group by all), d2 as (select *, close / lag(close) over (partition by instrument order by month) - 1 as b from d1),
+e as (select instrument, case when count(*) >= 6 and stddev_pop(ret_1m) * stddev_pop(b) > 1e-15 then corr(ret_1m, b) end as c from panel join d2 using (instrument, month) where ret_1m is not null and b is not null group by instrument)
 select count(*) as instruments, round(avg(c), 6) + 0 as mean_corr, round(avg(case when c < 0.95 then 1.0 else 0.0 end), 6) + 0 as share_low, avg(c) > 0.98 and avg(case when c < 0.95 then 1.0 else 0.0 end) < 0.05 as ok from e where c is not null""",
-    "survivorship": f"""with {p._P}, f as (select instrument, month, ret_1m from panel where instrument % 5 <> 0 or month < date '2000-01-01'),
+    "survivorship": f"""with {p._P}, {p._W}, ix as (select month, instrument from wt qualify weight * count(*) over (partition by month) >= 0.8), f as (select instrument, month, ret_1m from panel join ix using (instrument, month)),
 r as (select *, max(month) over (partition by instrument) as e, max(month) over () as final, row_number() over (partition by instrument order by month desc) as back from f)
 select count(distinct instrument) filter (where e < final - interval 1 month) as leavers, count(distinct instrument) filter (where e >= final - interval 1 month) as stayers, round(avg(ret_1m) filter (where e < final - interval 1 month), 6) + 0 as leaver_ret, round(avg(ret_1m) filter (where e >= final - interval 1 month), 6) + 0 as stayer_ret from r where back between 2 and 7""",
     "lexicon_sentiment": f"""with w as (select source, unnest(regexp_split_to_array(lower(text), '\\s+')) as word from documents), l as (select * from (values {', '.join(f"('{k}', {v}::decimal(9,4))" for k, v in LEXICON.items())}) t(word, tone))

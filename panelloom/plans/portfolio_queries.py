@@ -70,11 +70,13 @@ def regime_attribution(s, d):
 
 
 def return_fan(s, d):
-    return rounded(pf.fan(s, 0.5, 0.04), 5)
+    """Three years ahead, by drawing the book's own months."""
+    return rounded(pf.fan(_bt(s, d), "active_ret"), 5)
 
 
 def volatility_surface(s, d):
-    return rounded(pf.volatility_surface(s, [0.005, 0.02, 0.05], 0.5, 0.04, 0.15, 0.01), 6)
+    swept = pf.sweep(p.scored(s, d), list(ALPHAS), p.LEAST)
+    return rounded(pf.volatility_surface(swept), 6)
 
 
 def before_after(s, d):
@@ -83,10 +85,12 @@ def before_after(s, d):
 
 
 def tilt_adaptation(s, d):
-    """Tilts that grow with the months' volatility, against what they bring."""
-    vol = p.panel(s, d).groupBy("month").agg(F.round(F.avg("vol_20d"), 6).alias("v"))
-    used = _bt(s, d).join(vol, "month").filter("v > 0").withColumn("alpha_used", F.round(0.001 + 0.001 * F.col("v"), 9))
-    return rounded(pf.tilt_adaptation(used), 5)
+    """Books whose tilt grows with the month's volatility, against what each brings for a unit of its tilt."""
+    vol = p.panel(s, d).groupBy("month").agg(F.round(F.avg("vol_20d"), 6).alias("v")).filter("v > 0").select("month", F.round(0.001 + 0.001 * F.col("v"), 9).alias("alpha_used"))
+    # one row a month
+    book = pf.tilt_by_score(p.scored(s, d).join(F.broadcast(vol), "month"), F.col("alpha_used"), p.LEAST)
+    bt = pf.backtest(book).select("month", F.round("active_ret", 9).alias("active_ret"))
+    return rounded(pf.tilt_adaptation(bt.join(vol, "month")), 5)
 
 
 def linear_bridge(s, d):
@@ -128,7 +132,6 @@ _MEAN_IR = "avg(x) * 12 / (stddev_pop(x) * sqrt(12) + 1e-8)"
 _CI = "count(*) as sims, avg(ir) as mean, quantile_cont(ir, 0.025) as ci_lo, quantile_cont(ir, 0.975) as ci_hi"
 _RB = f"{p._BACK}, rb as (select month, round(active_ret, 9) as active_ret, round(port_ret, 9) as port_ret, round(bench_ret, 9) as bench_ret from bt)"
 _RX = f"{_RB}, rx as (select month, active_ret as x from rb)"
-_NORMAL = lambda u, v: f"sqrt(-2 * ln(least(({u} + 1)::double / {P}::double, 1.0))) * cos(2 * 3.141592653589793::double * ({v}::double / {P}::double))"
 _SWEEP = f"with {p._S}" + "".join(f", bk{i} as {p._tilt(str(a))}, {p._bt(f'bt{i}', f'bk{i}')}" for i, a in enumerate(ALPHAS))
 _EACH = " union all ".join(f"select {a}::double as alpha, * from {p._perf(f'bt{i}')}" for i, a in enumerate(ALPHAS))
 _LATELY = lambda c: f"coalesce(case when count({c}) over w3 >= 2 then stddev_samp({c}) over w3 end, stddev_samp({c}) over wr, 0) * sqrt(12)"
@@ -160,16 +163,16 @@ pa as (select 'named' as split, regime, month, active_ret as x from v join rg on
 {_draws('dr', 'pa', 6, True, 1000, 'split, regime')}, ci as (select split, regime, {_CI} from (select split, regime, sim, {_IR} as ir from dr group by all) where ir is not null group by all),
 w as (select split, regime, count(*) as n, avg(x) * 12 as ann_alpha, avg((x > 0)::int) as hit, {_IR} as ir from pa group by all having count(*) >= 6)
 select split, regime, n, {q.rounded(['ann_alpha', 'hit', 'ir'], 5)}, case when n >= 12 then round(ci_lo, 5) + 0 end as ci_lo, case when n >= 12 then round(ci_hi, 5) + 0 end as ci_hi from w left join ci using (split, regime)""",
-    "return_fan": f"""with g as (select sim, month, sim * 1000 + month as s from (select unnest(range(1000)) as sim) cross join (select unnest(range(1, 37))::int as month)), {mix('u', 'g', 's * 2', 'u')}, {mix('v', 'u', 's * 2 + 1', 'v')},
-x as (select sim, month, product(1 + 0.5 * 0.04 / 12 + 0.04 / sqrt(12) * {_NORMAL('u', 'v')}) over (partition by sim order by month) as p from v), y as (select month, (p - 1) * 100 as p from x)
-select month, {', '.join(f'round(quantile_cont(p, {k / 100}), 5) + 0 as p{k}' for k in (5, 25, 50, 75, 95))} from y group by month""",
-    "volatility_surface": f"""with g as (select sim, horizon, sim * 1000 + horizon as s from (select unnest(range(500)) as sim) cross join (select unnest(range(1, 25))::int as horizon)), {mix('t', 'g', 'sim * 5000 + horizon', 't')}, {mix('u', 't', 's * 2', 'u')}, {mix('v', 'u', 's * 2 + 1', 'v')},
-h as (select sim, horizon, case when sum((t::double / {P}::double < 0.1)::int) over (partition by sim order by horizon) % 2 = 1 then 2.0 else 1.0 end as scale, {_NORMAL('u', 'v')} as z from v),
-r as (select alpha, sim, horizon, 0.5 * (0.04 * alpha / 0.01) / 12 + sqrt(pow(0.15 / sqrt(12) * scale, 2) + pow(0.04 * alpha / 0.01 / sqrt(12) * scale, 2)) * z as ret from h cross join (select unnest([0.005, 0.02, 0.05])::double as alpha)),
-c as (select alpha, horizon, sum(ret) over (partition by alpha, sim order by horizon) as path from r) select alpha, horizon, round(stddev_pop(path) * sqrt(12 / horizon), 6) + 0 as vol from c group by alpha, horizon""",
+    "return_fan": f"""with {_RB}, nu as (select active_ret as x, row_number() over (order by month) - 1 as pos, count(*) over () as n from rb), g as (select sim, step, n from (select unnest(range(1000)) as sim) cross join (select unnest(range(36)) as step) cross join (select distinct n from nu)),
+{mix('u', 'g', 'sim', 'sm')}, {mix('v', 'u', 'sm + step', 'f')}, x as (select (step + 1)::int as month, (product(1 + x) over (partition by sim order by step) - 1) * 100 as p from v join nu on pos = f % v.n)
+select month, {', '.join(f'round(quantile_cont(p, {k / 100}), 5) + 0 as p{k}' for k in (5, 25, 50, 75, 95))} from x group by month""",
+    "volatility_surface": f"""{_SWEEP}, r as ({' union all '.join(f"select {a}::double as alpha, row_number() over (order by month) as t, port_ret from bt{i}" for i, a in enumerate(ALPHAS))}),
+w as (select a.alpha, h, sum(b.port_ret) as ret from r a cross join (select unnest(range(1, 25))::int as h) join r b on a.alpha = b.alpha and b.t between a.t - h + 1 and a.t where a.t >= h group by a.alpha, h, a.t)
+select alpha, h as horizon, count(*) as n, round(stddev_samp(ret) * sqrt(12 / h), 6) + 0 as vol from w group by alpha, h""",
     "before_after": f"""with {p._BACK}, {x._BLOCKS}, {p._bt('c2', 'b2')}, a as (select ann_alpha as alpha_before, info_ratio as ir_before, hit_rate as hit_before from {p._perf('c2')}), b as (select ann_alpha as alpha_after, info_ratio as ir_after, hit_rate as hit_after from {p._perf('bt')})
 select {q.rounded(['alpha_before', 'ir_before', 'hit_before', 'alpha_after', 'ir_after', 'hit_after'], 5)}, round(alpha_after - alpha_before, 5) + 0 as d_alpha, round(ir_after - ir_before, 5) + 0 as d_ir, round(hit_after - hit_before, 5) + 0 as d_hit, coalesce(round(alpha_after - alpha_before, 12) < -0.005, false) as regression from a cross join b""",
-    "tilt_adaptation": f"""with {_RB}, vm as (select month, round(avg(vol_20d), 6) as v from panel group by month), u as (select round(0.001 + 0.001 * v, 9) * 100 as x, active_ret / round(0.001 + 0.001 * v, 9) as y from rb join vm using (month) where v > 0),
+    "tilt_adaptation": f"""with {p._S}, vm as (select month, round(0.001 + 0.001 * v, 9) as alpha_used from (select month, round(avg(vol_20d), 6) as v from panel group by month) where v > 0), sv as (select sc.*, alpha_used from sc join vm using (month)),
+bv as {p._tilt('alpha_used').replace('from sc where', 'from sv where')}, {p._bt('tv', 'bv')}, u as (select alpha_used * 100 as x, round(active_ret, 9) / alpha_used as y from tv join vm using (month)),
 c as (select *, (select quantile_cont(x, 0.5) from u) as cut from u)
 select count(*) as n, round(corr(x, y), 5) + 0 as r, round(regr_slope(y, x), 5) + 0 as slope, round(regr_intercept(y, x), 5) + 0 as intercept,
   round((avg(y) filter (where x > cut) - avg(y) filter (where x <= cut)) / sqrt(var_samp(y) filter (where x > cut) / count(*) filter (where x > cut) + var_samp(y) filter (where x <= cut) / count(*) filter (where x <= cut)), 5) + 0 as welch_t from c""",
