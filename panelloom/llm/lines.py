@@ -142,13 +142,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, least: int = 1, batches: in
     gone = materialize(gone.groupBy("doc_id", "d1", "d2").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "dropped-lines")
     runs.drop()
     told = rows.join(gone.withColumnRenamed("doc_id", "_id"), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["d1"] == gone["d1"]) & (rows["d2"] == gone["d2"]), "left")
-    told = told.select("doc_id", F.split("text", "\n").alias("lines"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"))
     # a run of kept lines before each dropped one; what comes after the last has no mark
     gaps = F.zip_with("gone", F.concat(F.array(F.lit(-1)), F.slice("gone", F.lit(1), F.greatest(F.size("gone") - 1, F.lit(0)))), lambda x, y: x - y - 1)
     marks = F.flatten(F.transform(gaps, lambda g: F.concat(F.array_repeat(F.lit(True), g), F.array(F.lit(False)))))
-    told = told.select("doc_id", "lines", F.size("gone").alias("n_dropped"), F.when(F.size("gone") > 0, marks).otherwise(F.expr("cast(array() as array<boolean>)")).alias("marks"))
-    kept = F.transform(F.filter(F.arrays_zip("lines", "marks"), lambda x: F.coalesce(x["marks"], F.lit(True))), lambda x: x["lines"])
-    told = told.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept"))
+    lines = F.filter(F.arrays_zip(F.split("text", "\n").alias("line"), marks.alias("kept")), lambda x: F.coalesce(x["kept"], F.lit(True)))
+    # only texts that lose a line are taken apart
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))
+    n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    told = told.select("doc_id", n_lines.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"), kept.alias("kept"))
     return told.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if keep_text else []))
 
 
