@@ -1,43 +1,28 @@
-"""Recursions and path statistics that frames can't express, one instrument's rows at a time; and long runs."""
+"""Recursions and path statistics that frames can't express, and long runs."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.functions.frames import last_rows
+from panelloom.functions.frames import lag, last_rows, running
+from panelloom.functions.scan import exponential_means
 
 EPS = 1e-9
 
 
-def _ewm(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
-    """Exponential mean started at the first value; a missing value keeps the mean and lets the weights decay."""
-    return pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=least).mean().to_numpy()
-
-
 def oscillators(daily: DataFrame) -> DataFrame:
-    """instrument, date, rsi_14, macd_signal, macd_hist, atr_21d_norm: exponential means are recursions over all rows before.
-
-    An instrument's series is the unit of work: its rows, a few numbers each, are sorted and handled in one task.
-    """
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("date", ignore_index=True)
-        c, h, low = x["close"].to_numpy(), x["high"].to_numpy(), x["low"].to_numpy()
-        d = np.diff(c, prepend=np.nan)
-        gain, loss = _ewm(np.clip(d, 0, None), 1 / 14, 14), _ewm(np.clip(-d, 0, None), 1 / 14, 14)
-        macd = (_ewm(c, 2 / 13) - _ewm(c, 2 / 27)) / (c + EPS)
-        before = np.concatenate(([np.nan], c[:-1]))
-        true_range = np.fmax(h - low, np.fmax(np.abs(h - before), np.abs(low - before)))
-        return pd.DataFrame({
-            "instrument": x["instrument"], "date": x["date"], "rsi_14": 100 - 100 / (1 + gain / (loss + EPS)), "macd_signal": macd, "macd_hist": macd - _ewm(macd, 2 / 10), "atr_21d_norm": _ewm(true_range, 2 / 15) / (c + EPS),
-        })
-
-    columns = daily.select("instrument", "date", "close", "high", "low")
-    out = columns.groupBy("instrument").applyInPandas(run, f"instrument {dict(daily.dtypes)['instrument']}, date date, rsi_14 double, macd_signal double, macd_hist double, atr_21d_norm double")
-    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in ("rsi_14", "macd_signal", "macd_hist", "atr_21d_norm")})
+    """instrument, date, rsi_14, macd_signal, macd_hist, atr_21d_norm, from exponential means over all rows before (see scan)."""
+    c = F.col("close")
+    rows = daily.select("instrument", "date", "close", "high", "low", lag("close").alias("_b"))
+    rows = rows.withColumns({"_d": c - F.col("_b"), "_up": F.greatest(c - F.col("_b"), F.lit(0.0)), "_down": F.greatest(F.col("_b") - c, F.lit(0.0))})
+    rows = rows.withColumns({"_up": F.when(F.col("_d").isNotNull(), F.col("_up")), "_down": F.when(F.col("_d").isNotNull(), F.col("_down")), "_n": F.count("_d").over(running())})
+    true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_b")), F.abs(F.col("low") - F.col("_b")))
+    rows = exponential_means(rows, {"_gain": (F.col("_up"), 1 / 14), "_loss": (F.col("_down"), 1 / 14), "_fast": (c, 2 / 13), "_slow": (c, 2 / 27), "_range": (true_range, 2 / 15)})
+    rows = rows.withColumn("macd_signal", (F.col("_fast") - F.col("_slow")) / (c + EPS))
+    rows = exponential_means(rows, {"_smooth": (F.col("macd_signal"), 2 / 10)})
+    rsi = F.when(F.col("_n") >= 14, 100 - 100 / (1 + F.col("_gain") / (F.col("_loss") + EPS)))
+    return rows.select("instrument", "date", rsi.alias("rsi_14"), "macd_signal", (F.col("macd_signal") - F.col("_smooth")).alias("macd_hist"), (F.col("_range") / (c + EPS)).alias("atr_21d_norm"))
 
 
 def _windowed(daily: DataFrame, n: int) -> DataFrame:
