@@ -41,3 +41,14 @@ def keep_last(snapshots: DataFrame, keys: list[str], order: list[str]) -> DataFr
     """One row for each key, the last in order: a snapshot appended to an older one replaces it."""
     at = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
     return snapshots.withColumn("_at", at).filter("_at = 1").drop("_at")
+
+
+def interval_join(points: DataFrame, spans: DataFrame, by: str, on: str, first: str, last: str, width: int) -> DataFrame:
+    """Every point with every span of the same `by` that holds its date, both ends included; other columns must have names of their own.
+
+    Dates are cut into buckets of `width` days. A point is in one bucket and a span in all that it touches, so a pair meets once, and
+    a point meets the spans of its bucket instead of all of its `by`: choose a width about as long as the spans.
+    """
+    bucket = lambda d: F.floor(F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) / width)
+    held = spans.filter(F.col(first) <= F.col(last)).withColumn("_bucket", F.explode(F.sequence(bucket(first), bucket(last))))
+    return points.withColumn("_bucket", bucket(on)).join(held, [by, "_bucket"]).filter(F.col(on).between(F.col(first), F.col(last))).drop("_bucket")

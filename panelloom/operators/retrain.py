@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.linear import purged_folds
 from panelloom.operators.panel import cs_rank, percent_rank
 from panelloom.operators.statistics import monthly_ic
 
@@ -115,3 +118,36 @@ def expanding_scores(panel: DataFrame, columns: list[str], target: str, after, f
 
     plan = retrain_plan(months, after, every)
     return resumed(spark, folder, [(f"{held[-1]:%Y%m%d}", one(train, held, now)) for train, held, now in plan])
+
+
+def sweep(panel: DataFrame, columns: list[str], target: str, variants: list[tuple[int, float, int]], folds: int = 5, purge: int = 1, parallel: int = 4, seed: int = 7, least: int = 5) -> DataFrame:
+    """variant, folds, ic, worst, place: boosted rankers of several depths, rates and rounds by their mean rank IC over purged folds.
+
+    Every variant is fitted on every fold's training months and ranked on its held ones, `parallel` fits at a time on the same
+    cached rows: a stage of small tasks leaves cores to the others, and no more fits than that hold memory at once. The
+    figures don't depend on `parallel`. Columns are ranks in the month. Months are a short list on the driver.
+    """
+    spark = panel.sparkSession
+    rows = cs_rank(panel.filter(F.col(target).isNotNull()).select("month", "instrument", target, *columns), columns)
+    rows = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.withColumn("_rank", percent_rank(F.col(target), "month") - 0.5))
+    rows = rows.select("month", "instrument", F.col(target).alias("fwd_ret_1m"), "_rank", "features").persist()
+    try:
+        months = sorted(r["month"] for r in rows.select("month").distinct().collect())
+        parts = [(k, train, held) for k, (train, held) in enumerate(purged_folds(months, folds, purge)) if train]
+
+        def one(job):
+            (depth, rate, rounds), (k, train, held) = job
+            model = GBTRegressor(labelCol="_rank", maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, seed=seed).fit(rows.filter(F.col("month").isin(train)))
+            scored = model.transform(rows.filter(F.col("month").isin(held))).select("month", "instrument", "fwd_ret_1m", F.lit("score").alias("factor"), F.round("prediction", 12).alias("value"))
+            ic = monthly_ic(scored, least).agg(F.avg("ic")).first()[0]
+            return f"depth {depth}, rate {rate:g}, rounds {rounds}", k, ic
+
+        jobs = [(v, part) for v in variants for part in parts]
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            found = list(pool.map(inheritable_thread_target(spark)(one), jobs))
+    finally:
+        rows.unpersist()
+    table = spark.createDataFrame(found, "variant string, fold int, ic double")
+    out = table.groupBy("variant").agg(F.count("ic").cast("int").alias("folds"), F.avg("ic").alias("ic"), F.min("ic").alias("worst"))
+    # one row a variant
+    return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.round("ic", 12)), "variant")))

@@ -8,13 +8,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.operators import linear, regimes, retrain, statistics as st, wide
+from panelloom.operators import autoencoder, linear, portfolio as pf, regimes, retrain, riskparity, statistics as st, wide
 from panelloom.plans import evaluation_queries as e, oracle as q, panel_queries as p
-from panelloom.plans.factor_queries import rounded
+from panelloom.plans.factor_queries import prepared, rounded
 from panelloom.plans.more_queries import shared_folder
+from panelloom.sources import bars as src
 
 UNTIL, AFTER = "1998-12-31", "1997-12-31"
 LAGS = [0, 1, 3]
+#: Variants of boosted rankers: depth, rate, rounds.
+SWEEP = [(2, 0.1, 6), (3, 0.1, 6), (3, 0.3, 3)]
 #: A column of ranks whose spread is smaller is constant.
 FLAT = 1e-6
 
@@ -72,10 +75,46 @@ def expanding_boosted(s: SparkSession, d: str) -> DataFrame:
     if told["before"] < 24 or not told["after"]:
         return s.createDataFrame([], schema)
     folder = f"{shared_folder(s)}/rankers-{s.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    return rounded(retrain.expanding_scores(rows, p.TAILS, "fwd_ret_1m", told["last"], folder, rounds=20, patience=8).withColumn("fold", F.col("fold").cast("string")))
+    return rounded(retrain.expanding_scores(rows, p.TAILS, "fwd_ret_1m", told["last"], folder, rounds=12, patience=5).withColumn("fold", F.col("fold").cast("string")))
 
 
-QUERIES = {f.__name__: f for f in (feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted)}
+def boosted_sweep(s: SparkSession, d: str) -> DataFrame:
+    """Depths, rates and rounds of boosted rankers on purged folds, best first, fitted side by side."""
+    rows = p.panel(s, d).dropna(subset=["fwd_ret_1m"]).select("month", "instrument", "fwd_ret_1m", *p.FACTORS)
+    if rows.isEmpty():
+        return s.createDataFrame([], "variant string, folds int, ic double, worst double, place int")
+    return rounded(retrain.sweep(rows, p.FACTORS, "fwd_ret_1m", SWEEP, folds=3, purge=1, parallel=3))
+
+
+def latent_windows(s: SparkSession, d: str) -> DataFrame:
+    """Four latent numbers of each month end's last 20 returns and volumes, learned on the months up to a date."""
+    base = prepared(s, d)
+    rows = base.withColumn("_v", F.log1p("volume"))
+    ends = src.month_ends(autoencoder.windows(rows, ["r", "_v"], 20).filter("x is not null").select("instrument", "date", "x"))
+    coder = autoencoder.fit_autoencoder(ends.filter(F.col("month") <= F.lit(UNTIL).cast("date")), "x", latent=4, hidden=32, rounds=60)
+    if coder is None:
+        return s.createDataFrame([], "instrument int, month date, " + "".join(f"cand_ae_latent_{i} double, " for i in range(4)) + "error double")
+    return rounded(autoencoder.encode(ends, "x", coder, ["instrument", "month"]))
+
+
+def book_nav(s: SparkSession, d: str) -> DataFrame:
+    """The tilted book day by day, its weights drifting within each month."""
+    book = pf.tilt_by_score(p.scored(s, d), 0.004, p.LEAST).select("month", "instrument", F.col("port_w").alias("weight"))
+    return rounded(riskparity.daily_nav(book, prepared(s, d)).drop("nav"), 6)
+
+
+def risk_parity_nav(s: SparkSession, d: str) -> DataFrame:
+    base = prepared(s, d)
+    return rounded(riskparity.daily_nav(riskparity.risk_parity(p.scored(s, d), base, 20), base, drift=False).drop("nav"), 6)
+
+
+def covariance_checks(s: SparkSession, d: str) -> DataFrame:
+    return rounded(riskparity.covariance_diagnostics(p.scored(s, d), prepared(s, d), 20), 4)
+
+
+QUERIES = {f.__name__: f for f in (
+    boosted_sweep, latent_windows, book_nav, risk_parity_nav, covariance_checks, feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted,
+)}
 
 ORACLES = {
     "feature_correlations": f"""with {p._P}, {e._families()}, rk as materialized (select factor, month, instrument, {p._rank('value', 'factor, month')} / count(*) over (partition by factor, month) as x from fe where value is not null),
@@ -83,6 +122,10 @@ c as (select a.factor as a, b.factor as b, count(*) as n, stddev_pop(a.x) as sa,
 select a, b, n, round(rho, 5) + 0 as rho, case when round(abs(rho), 9) >= 0.9 then 'same' when round(abs(rho), 9) >= 0.7 then 'redundant' else 'alike' end as kind from c where sa > {FLAT} and sb > {FLAT} and round(abs(rho), 9) >= 0.5""",
     "feature_decay": f"""with {p._P}, {e._families()}, {e._decay('fe', LAGS)}, cn as (select factor, lag, count(*) as n_months from (select factor, lag, month, {p._c('a', 'b')} as ic from de_r group by all) where ic is not null group by all)
 select factor, lag, round(ic_mean, 5) + 0 as ic_mean, n_months from de join cn using (factor, lag)""",
+    "book_nav": f"""with {p._S}, bk as {p._tilt('0.004')}, dy as (select distinct date, date_trunc('month', date)::date as m from base), gr as (select dy.date, dy.m, bk.instrument, port_w as w, coalesce(r, 0) as r from dy join bk on bk.month = dy.m - interval 1 month left join base on base.instrument = bk.instrument and base.date = dy.date),
+g2 as (select *, product(1 + r) over (partition by m, instrument order by date) as g from gr), lv as (select m, date, sum(w * g) as level, sum(w) as whole from g2 group by m, date),
+rt as (select date, level / coalesce(lag(level) over (partition by m order by date), whole) - 1 as port_ret from lv)
+select date, round(port_ret, 6) + 0 as port_ret, round(sum(ln(1 + port_ret)) over (order by date), 6) + 0 as log_nav from rt""",
     "stress_score": f"""with {p._P}, m0 as (select month, round(avg(ret_1m), 12) as bench_ret, round(stddev_samp(ret_1m), 12) as cs_dispersion from panel group by month),
 m1 as (select *, case when count(bench_ret) over w6 >= 3 then round(stddev_samp(bench_ret) over w6, 12) end as bench_vol, round(sum(bench_ret) over (order by month rows 2 preceding), 12) as bench_momentum from m0 window w6 as (order by month rows 5 preceding)),
 m2 as (select *, round(bench_vol - avg(bench_vol) over (order by month rows 5 preceding), 12) as vol_trend, month <= date '{UNTIL}' as train from m1),

@@ -68,3 +68,10 @@ def test_a_stopped_run_repeats_no_fold(spark, tmp_path):
     assert made == ["a", "b", "c", "c", "d"]
     assert sorted((r.x, str(r.fold)) for r in out.collect()) == [(x, x) for x in "abcd"]
     assert retrain.resumed(spark, folder, [fold("a")]).count() == 1 and made[-1] == "d"
+
+
+def test_sweep_chooses_as_one_by_one(spark):
+    rows = panel(spark, months=15)
+    variants = [(1, 0.1, 2), (3, 0.3, 4)]
+    both = [[tuple(r) for r in retrain.sweep(rows, ["a", "b", "c"], "y", variants, folds=3, parallel=n).orderBy("place").collect()] for n in (1, 4)]
+    assert both[0] == both[1] and [r[1] for r in both[0]] == [3, 3] and both[0][0][0].startswith("depth 3") and both[0][0][2] > both[0][1][2] >= both[0][1][3]
