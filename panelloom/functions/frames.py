@@ -159,3 +159,36 @@ class Sums:
     def std(self, xx: str, x: str, n: int, least: int) -> Column:
         k = self.count(x, n)
         return F.when(k >= F.greatest(F.lit(least), F.lit(2)), F.sqrt(F.greatest(self.cross(xx, x, x, n), F.lit(0.0)) / (k - 1)))
+
+
+class Extremes:
+    """Largest and smallest values of one frame length by blocks, so a row costs the same for any window.
+
+    A history is cut into blocks of n rows (by t, the row number). The last n rows of a row are the end of one block and the
+    start of the next, so their extreme is that of a running extreme from the block's end, n - 1 rows before, and of one from the
+    block's start. `add` gives those columns, which have to be there before anything else is used.
+    """
+
+    def __init__(self, n: int, **values: Column):
+        self.n, self.values = n, values
+
+    def add(self, df: DataFrame) -> DataFrame:
+        df = df.withColumn("_e_block", F.floor((F.col("t") - 1) / self.n))
+        within = Window.partitionBy("instrument", "_e_block")
+        up, down = within.orderBy("date").rowsBetween(Window.unboundedPreceding, 0), within.orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+        sides = {f"_e_{k}_{name}_{f.__name__}": f(v).over(w) for k, v in self.values.items() for name, w in (("from", up), ("to", down)) for f in (F.max, F.min)}
+        return df.withColumns(sides | {f"_e_{k}_n": F.count(v).over(running()) for k, v in self.values.items()})
+
+    def names(self) -> list[str]:
+        return ["_e_block", *[f"_e_{k}_{side}_{f}" for k in self.values for side in ("from", "to") for f in ("max", "min")], *[f"_e_{k}_n" for k in self.values]]
+
+    def _of(self, k: str, f: str, join, least: int) -> Column:
+        enough = F.col(f"_e_{k}_n") - F.coalesce(lag(f"_e_{k}_n", self.n), F.lit(0)) >= max(least, 1)
+        # null sides are passed over
+        return F.when(enough, join(F.col(f"_e_{k}_from_{f}"), lag(f"_e_{k}_to_{f}", self.n - 1)))
+
+    def high(self, k: str, least: int) -> Column:
+        return self._of(k, "max", F.greatest, least)
+
+    def low(self, k: str, least: int) -> Column:
+        return self._of(k, "min", F.least, least)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import (
-    Sums, change, corr, flag, high, kurt, lag, last_rows, low, mean, quantile, running, safe_div, skew, std, total,
+    Extremes, Sums, change, corr, flag, high, kurt, lag, last_rows, low, mean, quantile, running, safe_div, skew, std, total,
 )
 from panelloom.operators import series
 
@@ -77,7 +77,8 @@ def trend(df: DataFrame) -> DataFrame:
         tc, tt, cc = line(n)
         return F.when(cc <= 1e-13 * sums.sum("cc", n), 1.0).otherwise(F.try_divide(tc * tc, tt * cc))
 
-    df = sums.add(df).withColumns({f"_ma{n}": sums.mean("c", n, max(5, n // 2)) for n in (10, 20, 50, 100, 200)} | {"_hi": high(C, 252, 126), "_lo": low(C, 252, 120), "_sd20": sums.std("cc", "c", 20, 20), "_mu20": sums.mean("c", 20, 20)})
+    year = Extremes(252, c=C)
+    df = sums.add(year.add(df)).withColumns({f"_ma{n}": sums.mean("c", n, max(5, n // 2)) for n in (10, 20, 50, 100, 200)} | {"_hi": year.high("c", 126), "_lo": year.low("c", 120), "_sd20": sums.std("cc", "c", 20, 20), "_mu20": sums.mean("c", 20, 20)})
     ma = {n: F.col(f"_ma{n}") for n in (10, 20, 50, 100, 200)}
     df = df.withColumns(
         {f"price_to_ma{n}": C / (ma[n] + EPS) - 1 for n in ma}
@@ -89,7 +90,7 @@ def trend(df: DataFrame) -> DataFrame:
             "new_52w_high": flag(C >= 0.98 * F.col("_hi")), "new_52w_low": flag(C <= 1.02 * F.col("_lo")),
         }
     )
-    return df.withColumn("cand_trend_acceleration", F.col("trend_slope_21d") - lag("trend_slope_21d", 21)).drop(*[f"_ma{n}" for n in ma], "_hi", "_lo", "_sd20", "_mu20", *sums.names())
+    return df.withColumn("cand_trend_acceleration", F.col("trend_slope_21d") - lag("trend_slope_21d", 21)).drop(*[f"_ma{n}" for n in ma], "_hi", "_lo", "_sd20", "_mu20", *sums.names(), *year.names())
 
 
 def liquidity(df: DataFrame) -> DataFrame:
@@ -218,9 +219,10 @@ def directions(df: DataFrame) -> DataFrame:
     C, R, _, V = _columns()
     h, lo, before = F.col("high"), F.col("low"), lag("close")
     up, down = h - lag("high"), lag("low") - lo
-    df = df.withColumns({
+    year = Extremes(252, c=C)
+    df = year.add(df).withColumns({
         "_tr": F.greatest(h - lo, F.abs(h - before), F.abs(lo - before)), "_up": F.when((up > down) & (up > 0), up).otherwise(0.0), "_down": F.when((down > up) & (down > 0), down).otherwise(0.0),
-        "_side": F.signum(mean(C, 10, 5) - mean(C, 50, 25)), "_ma": mean(C, 200, 100), "_lv": F.log(F.greatest(V, F.lit(1.0))), "_hi": high(C, 252, 126), "_dd": C / F.max(C).over(running()) - 1, "_k": kurt(R, 63, 21),
+        "_side": F.signum(mean(C, 10, 5) - mean(C, 50, 25)), "_ma": mean(C, 200, 100), "_lv": F.log(F.greatest(V, F.lit(1.0))), "_hi": year.high("c", 126), "_dd": C / F.max(C).over(running()) - 1, "_k": kurt(R, 63, 21),
     })
     plus, minus = mean("_up", 14, 7) / (mean("_tr", 14, 7) + EPS), mean("_down", 14, 7) / (mean("_tr", 14, 7) + EPS)
     spread = high(h, 14, 7) - low(lo, 14, 7)
@@ -235,7 +237,7 @@ def directions(df: DataFrame) -> DataFrame:
         "cand_time_since_high_252d": F.when(F.col("_fresh") > 0, (F.row_number().over(island("_fresh")) - 1).cast("double")), "_dur": F.sum(F.when(F.col("_dd") < -0.005, 1.0).otherwise(0.0)).over(island("_isle")),
     })
     df = df.withColumn("cand_drawdown_depth_speed", low("_dd", 21, 10) / F.greatest(high("_dur", 21, 10), F.lit(1.0)))
-    return df.drop("_tr", "_up", "_down", "_side", "_ma", "_lv", "_hi", "_dd", "_k", "_dx", "_turn", "_ma_t", "_lvd", "_fresh", "_isle", "_dur")
+    return df.drop("_tr", "_up", "_down", "_side", "_ma", "_lv", "_hi", "_dd", "_k", "_dx", "_turn", "_ma_t", "_lvd", "_fresh", "_isle", "_dur", *year.names())
 
 
 def shapes(df: DataFrame) -> DataFrame:
