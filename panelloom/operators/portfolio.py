@@ -261,7 +261,7 @@ def volatility_surface(bt: DataFrame, x: str = "port_ret", horizon: int = 24) ->
     return out.withColumn("vol", F.col("vol") * F.sqrt(12 / F.col("horizon")))
 
 
-def regime_attribution(bt: DataFrame, ranges: list[tuple[str, str, str]], sims: int = 1000, block: int = 6) -> DataFrame:
+def regime_attribution(bt: DataFrame, ranges: list[tuple[str, str, str]], sims: int = 10_000, block: int = 6) -> DataFrame:
     """split, regime, n, ir, ann_alpha, hit, ci_lo, ci_hi of active returns in named ranges, and where volatility is under or over its median."""
     last = Window.orderBy("month").rowsBetween(-5, 0)
     rows = bt.withColumn("_v", F.when(F.count("bench_ret").over(last) >= 3, F.round(F.stddev_samp("bench_ret").over(last), 12)))

@@ -88,7 +88,7 @@ def ic_persistence(s, d):
 def screening_funnel(s, d):
     long = _before(p.long(s, d))
     near = ev.closest(ev.factor_pairs(long, p.LEAST), 0.5)
-    return rounded(ev.screening(st.ic_summary(st.monthly_ic(long, p.LEAST)), st.ic_decay(long, [1, 3], p.LEAST), near, ev.shuffle_tests(long, 50, p.LEAST)))
+    return rounded(ev.screening(st.ic_summary(st.monthly_ic(long, p.LEAST)), st.ic_decay(long, [1, 3], p.LEAST), near, ev.shuffle_tests(long, 200, p.LEAST)))
 
 
 def score_loadings(s, d):
@@ -258,7 +258,7 @@ select weight_floor, factor, case when count(ic) >= 12 then round(avg(ic), 6) +
     "factor_duplicates": f"with {p._L}, {_pairs('lf')}, {_NEAR} select factor, closest, round(max_corr, 6) + 0 as max_corr, is_duplicate from nr",
     "ic_persistence": f"""with {p._L}, {_decay('lf', [0, 1, 3])}, x as (select factor, {', '.join(f'max(round(ic_mean, 12)) filter (where lag = {k}) as ic_lag{k}' for k in (0, 1, 3))} from de group by factor),
 y as (select *, case when abs(ic_lag0) > 1e-10 then abs(ic_lag1) / abs(ic_lag0) end as ratio from x) select factor, {q.rounded(['ic_lag0', 'ic_lag1', 'ic_lag3', 'ratio'])}, coalesce(ratio > 0.3, false) as persists from y""",
-    "screening_funnel": f"""with {p._L}, le as (select * from lf where month < date '{CUT}'), {_shuffled('le', 50)}, {_decay('le', [1, 3])}, {_pairs('le')}, {_NEAR},
+    "screening_funnel": f"""with {p._L}, le as (select * from lf where month < date '{CUT}'), {_shuffled('le', 200)}, {_decay('le', [1, 3])}, {_pairs('le')}, {_NEAR},
 rk as (select factor, month, {p._rank('value', 'factor, month')} as a, {p._rank('fwd_ret_1m', 'factor, month')} as b from le where value is not null and fwd_ret_1m is not null),
 su as (select factor, avg(ic) as ic_mean, stddev_samp(ic) as ic_std, case when stddev_samp(ic) > 1e-8 then avg(ic) / stddev_samp(ic) end as icir from (select factor, month, {p._c('a', 'b')} as ic from rk group by all) where ic is not null group by factor having count(*) >= 3),
 lg as (select factor, max(ic_mean) filter (where lag = 1) as l1, max(ic_mean) filter (where lag = 3) as l3 from de group by factor),

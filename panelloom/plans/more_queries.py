@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.operators import linear, panel as pan, portfolio as pf, quality, series
+from panelloom.operators import linear, panel as pan, portfolio as pf, quality, series, tones
 from panelloom.plans import oracle as q
 from panelloom.plans import panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
@@ -60,6 +60,13 @@ def lexicon_sentiment(s, d):
     return rounded(hits.groupBy("source").agg(F.count("*").alias("n"), F.avg(F.col("tone").cast("decimal(9,4)")).cast("double").alias("tone")), 5)
 
 
+def learned_sentiment(s, d):
+    """Mean tone of each source's words, by a lexicon learned from the labelled documents: tones.learned_lexicon."""
+    docs, labels = src.table(s, d, "documents"), src.table(s, d, "labels")
+    lexicon = tones.learned_lexicon(docs.join(labels.select("doc_id", F.col("quality").alias("good")), "doc_id"), 5)
+    return rounded(tones.mean_tones(docs, lexicon, "source"), 5)
+
+
 def json_props(s, d):
     """A number out of each event's JSON, by type."""
     k = F.from_json("props", "k long")["k"]
@@ -69,8 +76,7 @@ def json_props(s, d):
 def event_windows(s, d):
     """Daily counts and sums, by running the file stream over what is there."""
     stream = events.windowed_counts(events.read_stream(s, f"{d}/events.parquet*"))
-    name = f"event_windows_{uuid.uuid4().hex}"
-    return rounded(events.run_available(stream, name, f"{shared_folder(s)}/{name}"), 3).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return rounded(events.run_available(stream, f"{shared_folder(s)}/event_windows-{uuid.uuid4().hex}"), 3).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def event_sessions(s, d):
@@ -147,7 +153,7 @@ def residual_noise(s, d):
     return s.createDataFrame([(a, b, float(round(m[i, j], 6))) for i, a in enumerate(FACTORS) for j, b in enumerate(FACTORS) if i < j], "a string, b string, rho double")
 
 
-QUERIES = {f.__name__: f for f in (purged_search, permutation_importance, panel_components, residual_noise, oscillators, audit_report, refetch_gate, survivorship, lexicon_sentiment, json_props, event_windows, event_sessions, factor_noise, pca_residuals, walk_forward_backtest)} | {
+QUERIES = {f.__name__: f for f in (purged_search, permutation_importance, panel_components, residual_noise, oscillators, audit_report, refetch_gate, survivorship, lexicon_sentiment, learned_sentiment, json_props, event_windows, event_sessions, factor_noise, pca_residuals, walk_forward_backtest)} | {
     "factor_runs": _series(series.longest_runs, ["cand_max_consec_up_63d", "cand_max_consec_down_63d"]),
     "factor_entropy": _series(series.entropy, "cand_return_entropy_21d"),
     "factor_hurst": _series(series.hurst, "hurst_63d"),
@@ -215,6 +221,10 @@ r as (select *, max(month) over (partition by instrument) as e, max(month) over
 select count(distinct instrument) filter (where e < final - interval 1 month) as leavers, count(distinct instrument) filter (where e >= final - interval 1 month) as stayers, round(avg(ret_1m) filter (where e < final - interval 1 month), 6) + 0 as leaver_ret, round(avg(ret_1m) filter (where e >= final - interval 1 month), 6) + 0 as stayer_ret from r where back between 2 and 7""",
     "lexicon_sentiment": f"""with w as (select source, unnest(regexp_split_to_array(lower(text), '\\s+')) as word from documents), l as (select * from (values {', '.join(f"('{k}', {v}::decimal(9,4))" for k, v in LEXICON.items())}) t(word, tone))
 select source, count(*) as n, round(sum(tone)::double / count(*), 5) + 0 as tone from w join l using (word) group by source""",
+    "learned_sentiment": f"""with w as (select doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]+')) as word from documents), u as (select distinct w.doc_id, word, quality from w join labels l on l.doc_id = w.doc_id where quality is not null),
+t as (select count(*) filter (where quality = 1) as g, count(*) filter (where quality <> 1) as b from labels where quality is not null and doc_id in (select doc_id from documents)),
+x as (select word, round(ln((count(*) filter (where quality = 1) + 1.0) / (any_value(g) + 2.0)) - ln((count(*) filter (where quality <> 1) + 1.0) / (any_value(b) + 2.0)), 9) as tone from u cross join t group by word having count(*) >= 5)
+select source, count(*) as n, round(avg(tone), 5) + 0 as tone from w join x using (word) group by source""",
     "json_props": "select event_type, count(k) as n, sum(k)::bigint as k_sum, max(k) as k_max from (select event_type, (props->>'k')::bigint as k from events) group by event_type",
     "event_windows": "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value::decimal(18,6))::double, 3) + 0 as total from events group by all",
     "event_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over w < interval 12 hours then 0 else 1 end as new from events window w as (partition by user_id order by ts)),

@@ -160,7 +160,7 @@ select month, {', '.join(f'round({_SCALED(c)}, 4) + 0 as {c}' for c in pf.STATE)
     "regime_attribution": f"""with {_RB}, v as (select *, case when count(bench_ret) over w >= 3 then round(stddev_samp(bench_ret) over w, 12) end as v from rb window w as (order by month rows between 5 preceding and current row)),
 rg as (select regime, f::date as first, l::date as final from (values {', '.join(str(r) for r in p.REGIMES)}) t(regime, f, l)),
 pa as (select 'named' as split, regime, month, active_ret as x from v join rg on month between first and final union all select 'vol', case when v <= (select quantile_cont(v, 0.5) from v) then 'low' else 'high' end, month, active_ret from v where v is not null),
-{_draws('dr', 'pa', 6, True, 1000, 'split, regime')}, ci as (select split, regime, {_CI} from (select split, regime, sim, {_IR} as ir from dr group by all) where ir is not null group by all),
+{_draws('dr', 'pa', 6, True, SIMS, 'split, regime')}, ci as (select split, regime, {_CI} from (select split, regime, sim, {_IR} as ir from dr group by all) where ir is not null group by all),
 w as (select split, regime, count(*) as n, avg(x) * 12 as ann_alpha, avg((x > 0)::int) as hit, {_IR} as ir from pa group by all having count(*) >= 6)
 select split, regime, n, {q.rounded(['ann_alpha', 'hit', 'ir'], 5)}, case when n >= 12 then round(ci_lo, 5) + 0 end as ci_lo, case when n >= 12 then round(ci_hi, 5) + 0 end as ci_hi from w left join ci using (split, regime)""",
     "return_fan": f"""with {_RB}, nu as (select active_ret as x, row_number() over (order by month) - 1 as pos, count(*) over () as n from rb), g as (select sim, step, n from (select unnest(range(1000)) as sim) cross join (select unnest(range(36)) as step) cross join (select distinct n from nu)),

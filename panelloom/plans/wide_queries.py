@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelloom.functions.frames import flag
 from panelloom.operators import autoencoder, linear, portfolio as pf, regimes, retrain, riskparity, statistics as st, wide
 from panelloom.plans import evaluation_queries as e, oracle as q, panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
@@ -16,6 +17,8 @@ from panelloom.sources import bars as src
 
 UNTIL, AFTER = "1998-12-31", "1997-12-31"
 LAGS = [0, 1, 3]
+#: The columns that get tail flags.
+TAIL_BASES = ["ret_1m", "ret_2w", "ret_1w", "ret_6m", "ret_9m", "ret_12m", "ret_18m", "ret_24m", "vol_momentum_21d", "vol_21d", "vol_252d", "idio_vol_252d", "beta_252d", "maxdd_126d", "size_proxy", "amihud_illiq_21d", "log_mktcap"]
 #: Variants of boosted rankers: depth, rate, rounds.
 SWEEP = [(2, 0.1, 6), (3, 0.1, 6), (3, 0.3, 3)]
 #: A column of ranks whose spread is smaller is constant.
@@ -51,6 +54,17 @@ def feature_noise(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(table, "factor string, vif double, cluster int, signals int, noise_high double")
 
 
+def feature_tails(s: SparkSession, d: str) -> DataFrame:
+    """Whether each of 17 columns is in the month's top or bottom tenth, and the difference; missing values are in neither."""
+    rows = e.month_end_features(s, d).select("month", "instrument", *[c for c in TAIL_BASES if c not in ("vol_252d", "log_mktcap")])
+    rows = rows.join(p.panel(s, d).select("month", "instrument", "vol_252d"), ["month", "instrument"]).join(p.weights(s, d).select("month", "instrument", F.log("value").alias("log_mktcap")), ["month", "instrument"], "left")
+    ranks = wide.ranks_in_month(rows, TAIL_BASES)
+    both = rows.select("month", "instrument").join(ranks, ["month", "instrument"], "left")
+    flags = {f"{c}_{k}": f for c in TAIL_BASES for k, f in (("top", flag(F.col(c) >= 0.9)), ("bot", flag(F.col(c) <= 0.1)))}
+    both = both.withColumns(flags).withColumns({f"{c}_tail": F.col(f"{c}_top") - F.col(f"{c}_bot") for c in TAIL_BASES})
+    return both.select("month", "instrument", *[f"{c}_{k}" for c in TAIL_BASES for k in ("top", "bot", "tail")])
+
+
 def feature_decay(s: SparkSession, d: str) -> DataFrame:
     """The IC of every column of the daily families with the returns of this month, the next and the third after."""
     return rounded(st.ic_decay(e._features(s, d), LAGS, p.LEAST), 5)
@@ -113,13 +127,18 @@ def covariance_checks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    boosted_sweep, latent_windows, book_nav, risk_parity_nav, covariance_checks, feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted,
+    feature_tails, boosted_sweep, latent_windows, book_nav, risk_parity_nav, covariance_checks, feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted,
 )}
 
 ORACLES = {
     "feature_correlations": f"""with {p._P}, {e._families()}, rk as materialized (select factor, month, instrument, {p._rank('value', 'factor, month')} / count(*) over (partition by factor, month) as x from fe where value is not null),
 c as (select a.factor as a, b.factor as b, count(*) as n, stddev_pop(a.x) as sa, stddev_pop(b.x) as sb, corr(a.x, b.x) as rho from rk a join rk b on a.month = b.month and a.instrument = b.instrument and a.factor < b.factor group by all having count(*) >= 20)
 select a, b, n, round(rho, 5) + 0 as rho, case when round(abs(rho), 9) >= 0.9 then 'same' when round(abs(rho), 9) >= 0.7 then 'redundant' else 'alike' end as kind from c where sa > {FLAT} and sb > {FLAT} and round(abs(rho), 9) >= 0.5""",
+    "feature_tails": f"""with {p._P}, {p._W}, {e._families()}, tb as (select month, instrument, factor, value from fe where value is not null and factor in ({', '.join(f"'{c}'" for c in TAIL_BASES)})
+  union all select month, instrument, 'vol_252d', vol_252d from panel where vol_252d is not null union all select panel.month, panel.instrument, 'log_mktcap', ln(value) from panel join wt on wt.month = panel.month and wt.instrument = panel.instrument),
+tr as (select month, instrument, factor, {p._rank('value', 'factor, month')} / count(*) over (partition by factor, month) as x from tb)
+select panel.month, panel.instrument, {', '.join(f"coalesce(max(case when x >= 0.9 then 1.0 else 0.0 end) filter (where factor = '{c}'), 0.0)::double as {c}_top, coalesce(max(case when x <= 0.1 then 1.0 else 0.0 end) filter (where factor = '{c}'), 0.0)::double as {c}_bot, (coalesce(max(case when x >= 0.9 then 1.0 else 0.0 end) filter (where factor = '{c}'), 0.0) - coalesce(max(case when x <= 0.1 then 1.0 else 0.0 end) filter (where factor = '{c}'), 0.0))::double as {c}_tail" for c in TAIL_BASES)}
+from panel left join tr on tr.month = panel.month and tr.instrument = panel.instrument group by panel.month, panel.instrument""",
     "feature_decay": f"""with {p._P}, {e._families()}, {e._decay('fe', LAGS)}, cn as (select factor, lag, count(*) as n_months from (select factor, lag, month, {p._c('a', 'b')} as ic from de_r group by all) where ic is not null group by all)
 select factor, lag, round(ic_mean, 5) + 0 as ic_mean, n_months from de join cn using (factor, lag)""",
     "book_nav": f"""with {p._S}, bk as {p._tilt('0.004')}, dy as (select distinct date, date_trunc('month', date)::date as m from base), gr as (select dy.date, dy.m, bk.instrument, port_w as w, coalesce(r, 0) as r from dy join bk on bk.month = dy.m - interval 1 month left join base on base.instrument = bk.instrument and base.date = dy.date),

@@ -36,8 +36,21 @@ def once_each(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now, to a memory table of small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now and read its result from files in the folder, which keeps the stream's state too.
+
+    Each batch writes its rows from the executors to a table of its own, so nothing gathers on the driver, and a batch that is run
+    again after a failure writes the same table again. In complete mode the last batch's table is the result, else all of them are.
+    """
+    tables = f"{folder}/rows"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{tables}/batch={batch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    last = query.lastProgress
+    if last is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{tables}/batch={last['batchId']}" if mode == "complete" else tables)
