@@ -200,3 +200,17 @@ def components(panel: DataFrame, columns: list[str], k: int) -> DataFrame:
     signs = [1.0 if x >= 0 else -1.0 for x in model.pc.toArray().sum(axis=0)]
     out = model.transform(_vectors(cs_rank(panel, columns), columns)).withColumn("_a", vector_to_array("pcs"))
     return out.select("month", "instrument", *[(F.col("_a")[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
+
+
+def split_importance(panel: DataFrame, columns: list[str], target: str, until: str, seed: int = 7) -> DataFrame:
+    """factor, forest, boosted: how much each column's splits lower the squared error of a forest and of boosted trees up to a date, as shares."""
+    rows = _vectors(cs_rank(panel.dropna(subset=[target]).filter(F.col("month") <= F.lit(until).cast("date")).select("month", "instrument", target, *columns), columns), columns)
+    rows = rows.withColumn("_rank", percent_rank(F.col(target), "month")).select("_rank", "features").persist()
+    try:
+        if rows.isEmpty():
+            return panel.sparkSession.createDataFrame([], "factor string, forest double, boosted double")
+        forest = RandomForestRegressor(labelCol="_rank", numTrees=20, maxDepth=5, seed=seed).fit(rows).featureImportances.toArray()
+        boosted = GBTRegressor(labelCol="_rank", maxIter=10, maxDepth=3, stepSize=0.1, subsamplingRate=0.8, seed=seed).fit(rows).featureImportances.toArray()
+    finally:
+        rows.unpersist()
+    return panel.sparkSession.createDataFrame([(c, float(a), float(b)) for c, a, b in zip(columns, forest, boosted)], "factor string, forest double, boosted double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from panelloom.functions import frames
 from panelloom.operators import evaluation as ev, factors, statistics as st
 from panelloom.plans import factor_queries, oracle as q, panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
+from panelloom.plans.more_queries import shared_folder
 from panelloom.sources import bars as src
 
 HORIZONS = [1, 2, 3, 5, 7, 10, 15, 21, 30, 42, 63, 90]
@@ -144,12 +147,15 @@ def student_p(s, d):
 KEYS = ["month", "instrument", "fwd_ret_1m"]
 
 
-def month_end_features(s, d) -> DataFrame:
+def _made_features(s, d) -> DataFrame:
     """month, instrument, fwd_ret_1m and the columns of all daily families, rounded as their queries do, at month ends.
 
     The families are made side by side on the daily rows, whose last row of each month stays: no family is joined to another.
+    Rows are few bytes and much work, so they are dealt to as many tasks as there are cores or shuffle partitions, which
+    adaptive execution would merge by their size.
     """
-    base = prepared(s, d)
+    parts = max(s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+    base = prepared(s, d).repartition(parts, "instrument")
     wide = factors.all_families(base)
     names = [c for c in wide.columns if c not in base.columns]
     after = F.lead("date").over(frames.by_date())
@@ -157,6 +163,30 @@ def month_end_features(s, d) -> DataFrame:
     return p.panel(s, d).select(*KEYS, "date").join(rounded(wide.select("instrument", "date", *names)), ["instrument", "date"]).select(*KEYS, *names)
 
 
+#: Where an application has written the month-end columns of a state of the lines.
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _state(s, d) -> tuple:
+    """The lines' files with their times and lengths."""
+    path, conf = s._jvm.org.apache.hadoop.fs.Path, s._jsc.hadoopConfiguration()
+    told = [(f, path(f).getFileSystem(conf).getFileStatus(path(f))) for f in sorted(src.table(s, d, "lineitem").inputFiles())]
+    return tuple((f, x.getModificationTime(), x.getLen()) for f, x in told)
+
+
+def month_end_features(s, d) -> DataFrame:
+    """The table of `_made_features`, written once by an application for a state of the lines, and read by all queries over it.
+
+    It is much work for few rows (one an instrument and month), so queries share it, as a written table that outlives lost executors.
+    """
+    key = (s.sparkContext.applicationId, d, _state(s, d))
+    if key not in _WRITTEN:
+        folder = f"{shared_folder(s)}/month-end-features-{s.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        _made_features(s, d).write.parquet(folder)
+        _WRITTEN[key] = folder
+    return s.read.parquet(_WRITTEN[key])
+
+
 def _features(s, d) -> DataFrame:
     """month, instrument, factor, value, fwd_ret_1m of all columns of the families at month ends."""
     wide = month_end_features(s, d)

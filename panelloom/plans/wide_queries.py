@@ -17,6 +17,7 @@ from panelloom.sources import bars as src
 
 UNTIL, AFTER = "1998-12-31", "1997-12-31"
 LAGS = [0, 1, 3]
+FOLDS = [(f"{y}-01-01", f"{y}-12-31") for y in range(1996, 2002)]
 #: The columns that get tail flags.
 TAIL_BASES = ["ret_1m", "ret_2w", "ret_1w", "ret_6m", "ret_9m", "ret_12m", "ret_18m", "ret_24m", "vol_momentum_21d", "vol_21d", "vol_252d", "idio_vol_252d", "beta_252d", "maxdd_126d", "size_proxy", "amihud_illiq_21d", "log_mktcap"]
 #: Variants of boosted rankers: depth, rate, rounds.
@@ -92,6 +93,21 @@ def expanding_boosted(s: SparkSession, d: str) -> DataFrame:
     return rounded(retrain.expanding_scores(rows, p.TAILS, "fwd_ret_1m", told["last"], folder, rounds=12, patience=5).withColumn("fold", F.col("fold").cast("string")))
 
 
+def fold_weights(s: SparkSession, d: str) -> DataFrame:
+    """Each year's weights of all columns of the daily families, by the months before it."""
+    return rounded(st.fold_weights(st.monthly_ic(e._features(s, d), p.LEAST, rank=False), FOLDS).select("first", "factor", "weight"))
+
+
+def fold_scores(s: SparkSession, d: str) -> DataFrame:
+    """Each year's scores by its fold's weights."""
+    long = e._features(s, d)
+    return rounded(st.weighted_scores(long.drop("fwd_ret_1m"), st.fold_weights(st.monthly_ic(long, p.LEAST, rank=False), FOLDS)), 5)
+
+
+def split_importance(s: SparkSession, d: str) -> DataFrame:
+    return rounded(linear.split_importance(p.panel(s, d), p.TAILS, "fwd_ret_1m", UNTIL))
+
+
 def boosted_sweep(s: SparkSession, d: str) -> DataFrame:
     """Depths, rates and rounds of boosted rankers on purged folds, best first, fitted side by side."""
     rows = p.panel(s, d).dropna(subset=["fwd_ret_1m"]).select("month", "instrument", "fwd_ret_1m", *p.FACTORS)
@@ -127,13 +143,19 @@ def covariance_checks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    feature_tails, boosted_sweep, latent_windows, book_nav, risk_parity_nav, covariance_checks, feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted,
+    feature_tails, fold_weights, fold_scores, split_importance, boosted_sweep, latent_windows, book_nav, risk_parity_nav, covariance_checks, feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted,
 )}
 
+_FOLDED = f"""fi as (select * from (select factor, month, {p._c('value', 'fwd_ret_1m')} as ic from fe where value is not null and fwd_ret_1m is not null group by all) where ic is not null), fo as (select f::date as first, l::date as final from (values {', '.join(str(x) for x in FOLDS)}) t(f, l)),
+fm as (select first, final, factor, avg(abs(ic)) as m, sign(round(avg(ic), 12)) as s from fi join fo on month < first group by all having count(*) >= 12), fw as (select first, final, factor, s * m / sum(m) over (partition by first) as weight from fm)"""
+
 ORACLES = {
     "feature_correlations": f"""with {p._P}, {e._families()}, rk as materialized (select factor, month, instrument, {p._rank('value', 'factor, month')} / count(*) over (partition by factor, month) as x from fe where value is not null),
 c as (select a.factor as a, b.factor as b, count(*) as n, stddev_pop(a.x) as sa, stddev_pop(b.x) as sb, corr(a.x, b.x) as rho from rk a join rk b on a.month = b.month and a.instrument = b.instrument and a.factor < b.factor group by all having count(*) >= 20)
 select a, b, n, round(rho, 5) + 0 as rho, case when round(abs(rho), 9) >= 0.9 then 'same' when round(abs(rho), 9) >= 0.7 then 'redundant' else 'alike' end as kind from c where sa > {FLAT} and sb > {FLAT} and round(abs(rho), 9) >= 0.5""",
+    "fold_weights": f"""with {p._P}, {e._families()}, {_FOLDED} select first, factor, round(weight, 6) + 0 as weight from fw""",
+    "fold_scores": f"""with {p._P}, {e._families()}, {_FOLDED}, z as (select month, instrument, factor, case when stddev_pop(value) over w > 1e-12 then (value - avg(value) over w) / stddev_pop(value) over w end as z from fe window w as (partition by factor, month))
+select month, instrument, round(sum(coalesce(z, 0) * weight), 5) + 0 as score from z join fw on fw.factor = z.factor and month between first and final group by month, instrument""",
     "feature_tails": f"""with {p._P}, {p._W}, {e._families()}, tb as (select month, instrument, factor, value from fe where value is not null and factor in ({', '.join(f"'{c}'" for c in TAIL_BASES)})
   union all select month, instrument, 'vol_252d', vol_252d from panel where vol_252d is not null union all select panel.month, panel.instrument, 'log_mktcap', ln(value) from panel join wt on wt.month = panel.month and wt.instrument = panel.instrument),
 tr as (select month, instrument, factor, {p._rank('value', 'factor, month')} / count(*) over (partition by factor, month) as x from tb)

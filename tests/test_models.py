@@ -162,3 +162,9 @@ def test_reports_and_folds(spark, tmp_path):
     for fold, n in (("x", 3), ("y", 2), ("x", 4)):
         landing.write_fold(spark.range(n), f"{tmp_path}/f", fold)
     assert {r.fold: r["count"] for r in spark.read.parquet(f"{tmp_path}/f").groupBy("fold").count().collect()} == {"x": 4, "y": 2}
+
+
+def test_split_importance_finds_the_columns_that_count(panel):
+    found = {r.factor: (r.forest, r.boosted) for r in linear.split_importance(panel, COLUMNS, "fwd_ret_1m", "2001-06-01").collect()}
+    for k in (0, 1):
+        assert max(found, key=lambda c: found[c][k]) == "a" and abs(sum(v[k] for v in found.values()) - 1) < 1e-9
