@@ -83,6 +83,7 @@ _UPPER = "".join(map(chr, range(65, 91)))
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
 ORACLES: dict[str, str] = {
+    "op6_nearest": neighbours.oracle(),
     "op8_licenses": licenses.oracle(),
     "op11_spelling": spelling.oracle(),
     "op12_line_dedup": lines.oracle(),

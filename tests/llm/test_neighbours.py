@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from panelloom.llm import neighbours
-from panelloom.llm.neighbours import Query, encode, nearest, rotation
+from panelloom.llm.neighbours import Query, _unit, encode, fit_cells, nearest, reach, rotation
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double"
 
@@ -23,6 +23,7 @@ def table(spark, rows):
 def test_recall(spark, monkeypatch, dim):
     monkeypatch.setattr(neighbours, "CANDIDATES", 300)
     monkeypatch.setattr(neighbours, "QUERIES", 30)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
     rng = np.random.default_rng(dim)
     centres = rng.normal(size=(20, dim))
     rows = [(i, (centres[i % 20] + rng.normal(size=dim) * 0.7).astype(np.float32).tolist()) for i in range(1500)]
@@ -52,6 +53,33 @@ def test_bounds_hold():
     assert np.allclose(rotation(64) @ rotation(64).T, np.eye(64))
 
 
+def test_cells_bound_their_rows_and_clusters_are_skipped():
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(16, 64))
+    x = (middle[rng.integers(0, 16, 4000)] + rng.normal(size=(4000, 64)) * 0.1) * rng.uniform(0.5, 2, (4000, 1))
+    centres = fit_cells(x[:1000], 16)
+    unit, norm = _unit(x)
+    cosine = unit @ centres.T
+    own = cosine.argmax(axis=1)
+    held = [np.flatnonzero(own == c) for c in range(len(centres))]
+    held = [h if len(h) else np.array([0]) for h in held]
+    cells = np.array([[cosine[h, c].min(), norm[h].min(), norm[h].max(), len(h)] for c, h in enumerate(held)])
+    q = x[::40]
+    bound, exact = reach(q, centres, cells), q @ x.T
+    for c in np.unique(own):
+        assert (exact[:, own == c] <= bound[:, [c]]).all()
+    floor = np.sort(exact, axis=1)[:, -21]
+    assert (bound >= floor[:, None]).mean() < 0.5  # most cells can't hold a neighbour
+
+
+def test_repeated_rows_count_once(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 8)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(60)]
+    got = lambda rows: sorted(map(tuple, nearest(table(spark, rows), k=5).collect()))
+    assert got(rows + rows[:30] * 4) == got(rows)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (20, [3.0, -1.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (40, [1.0, 2.0, 3.0]), (8, [5.0, 5.0])]
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(table(spark, rows)).collect())
@@ -59,7 +87,8 @@ def test_odd_vectors(spark):
     assert nearest(table(spark, rows).limit(0)).count() == 0
 
 
-def test_sizes_out_of_range_lose_nothing(spark):
+def test_sizes_out_of_range_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=64).tolist()) for i in range(300)]
     rows += [(1001 + i, (rng.normal(size=64) * 10.0 ** rng.choice([-200, 200, 300])).tolist()) for i in range(25)]
