@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.functions.frames import flag
-from panelloom.operators import autoencoder, linear, portfolio as pf, regimes, retrain, riskparity, statistics as st, wide
+from panelloom.operators import autoencoder, evaluation as ev, linear, portfolio as pf, regimes, retrain, riskparity, shuffles, statistics as st, wide
 from panelloom.plans import evaluation_queries as e, oracle as q, panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
 from panelloom.plans.more_queries import shared_folder
@@ -71,6 +71,39 @@ def feature_decay(s: SparkSession, d: str) -> DataFrame:
     return rounded(st.ic_decay(e._features(s, d), LAGS, p.LEAST), 5)
 
 
+def feature_screening(s: SparkSession, d: str) -> DataFrame:
+    """The catalogue of every column of the daily families before a date: IC, persistence, closest other column, shuffles and the step-up test over all."""
+    before = lambda rows: rows.filter(F.col("month") < F.lit(e.CUT).cast("date"))
+    rows, long = before(e.month_end_features(s, d)), before(e._features(s, d))
+    names = [c for c in rows.columns if c not in e.KEYS]
+    ranks = wide.ranks_in_month(rows.drop("fwd_ret_1m"), names)
+    near = ev.closest(wide.pairwise_correlations(ranks, names, 20, FLAT).filter("rho is not null"))
+    aimed = rows.select("month", "instrument", "fwd_ret_1m").join(ranks, ["month", "instrument"])
+    return rounded(ev.screening(st.ic_summary(st.monthly_ic(long, p.LEAST)), st.ic_decay(long, [1, 3], p.LEAST), near, shuffles.shuffled_ic(aimed, names, sims=200, least=p.LEAST)), 5)
+
+
+def feature_shape(s: SparkSession, d: str) -> DataFrame:
+    """The spread of fifths of every column of the daily families, whether returns rise or fall with them, and whether spread and IC agree."""
+    long = e._features(s, d)
+    shape = ev.monotonic(long, st.quantile_buckets(long, 5, 20))
+    audit = ev.direction_audit(st.ic_summary(st.monthly_ic(long, p.LEAST)), shape)
+    return rounded(shape.join(audit.drop("ann_spread"), "factor"), 4)
+
+
+def feature_regimes(s: SparkSession, d: str) -> DataFrame:
+    """The IC of every column of the daily families in calm and in rough months."""
+    state = p.panel(s, d).groupBy("month").agg(F.round(F.percentile("vol_20d", 0.5), 9).alias("vol"))
+    return rounded(ev.ic_by_regime(st.monthly_ic(e._features(s, d), p.LEAST), state, "vol"), 5)
+
+
+def feature_loadings(s: SparkSession, d: str) -> DataFrame:
+    """How the panel's score goes together with every column of the daily families, month by month."""
+    rows = e.month_end_features(s, d)
+    names = [c for c in rows.columns if c not in e.KEYS]
+    scored = p.panel(s, d).select("month", "instrument", F.col("mom_accel").alias("_score")).join(rows.drop("fwd_ret_1m"), ["month", "instrument"])
+    return rounded(ev.score_loadings(scored, "_score", names, p.LEAST), 5)
+
+
 def stress_score(s: SparkSession, d: str) -> DataFrame:
     return rounded(regimes.stress_scores(regimes.market_features(p.panel(s, d)), regimes.STRESS, UNTIL))
 
@@ -143,7 +176,7 @@ def covariance_checks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    feature_tails, fold_weights, fold_scores, split_importance, boosted_sweep, latent_windows, book_nav, risk_parity_nav, covariance_checks, feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted,
+    feature_screening, feature_shape, feature_regimes, feature_loadings, feature_tails, fold_weights, fold_scores, split_importance, boosted_sweep, latent_windows, book_nav, risk_parity_nav, covariance_checks, feature_correlations, feature_noise, feature_decay, stress_score, hidden_regimes, expanding_boosted,
 )}
 
 _FOLDED = f"""fi as (select * from (select factor, month, {p._c('value', 'fwd_ret_1m')} as ic from fe where value is not null and fwd_ret_1m is not null group by all) where ic is not null), fo as (select f::date as first, l::date as final from (values {', '.join(str(x) for x in FOLDS)}) t(f, l)),
@@ -163,6 +196,16 @@ select panel.month, panel.instrument, {', '.join(f"coalesce(max(case when x >= 0
 from panel left join tr on tr.month = panel.month and tr.instrument = panel.instrument group by panel.month, panel.instrument""",
     "feature_decay": f"""with {p._P}, {e._families()}, {e._decay('fe', LAGS)}, cn as (select factor, lag, count(*) as n_months from (select factor, lag, month, {p._c('a', 'b')} as ic from de_r group by all) where ic is not null group by all)
 select factor, lag, round(ic_mean, 5) + 0 as ic_mean, n_months from de join cn using (factor, lag)""",
+    "feature_shape": f"""with {p._P}, {e._families()}, lf as materialized (select factor, month, instrument, value, fwd_ret_1m from fe){e._SHAPE}, rk as (select factor, month, {p._rank('value', 'factor, month')} as a, {p._rank('fwd_ret_1m', 'factor, month')} as b from fe where value is not null and fwd_ret_1m is not null),
+im as (select factor, avg(ic) as ic_mean from (select factor, month, {p._c('a', 'b')} as ic from rk group by all) where ic is not null group by factor having count(*) >= 3),
+au as (select factor, ann_spread as spread, monotonic, round(ic_mean, 12) as ic_mean, sign(round(ic_mean, 12)) = sign(round(ann_spread, 12)) as direction_ok from im join sx using (factor))
+select factor, round(spread, 4) + 0 as ann_spread, monotonic, round(ic_mean, 4) + 0 as ic_mean, direction_ok, case when not direction_ok and abs(ic_mean) > 0.01 then 'WRONG_DIR' else 'OK' end as issue from au""",
+    "feature_regimes": f"""with {p._P}, {e._families()}, sm as (select month, round(quantile_cont(vol_20d, 0.5), 9) as vol from panel group by month), sr as (select month, case when vol <= (select quantile_cont(vol, 0.5) from sm) then 'risk_on' else 'risk_off' end as regime from sm where vol is not null),
+rk as (select factor, month, {p._rank('value', 'factor, month')} as a, {p._rank('fwd_ret_1m', 'factor, month')} as b from fe where value is not null and fwd_ret_1m is not null),
+ic as (select * from (select factor, month, {p._c('a', 'b')} as ic from rk group by all) where ic is not null)
+select factor, regime, count(*) as n, round(avg(ic), 5) + 0 as ic, case when stddev_samp(ic) > 0 then round(avg(ic) / stddev_samp(ic), 5) + 0 end as icir from ic join sr using (month) group by all""",
+    "feature_loadings": f"""with {p._P}, {e._families()}, r as (select factor, fe.month, {p._rank('mom_accel', 'factor, fe.month')} as a, {p._rank('value', 'factor, fe.month')} as b from fe join panel on panel.month = fe.month and panel.instrument = fe.instrument where mom_accel is not null and value is not null)
+select factor, round(avg(rho), 5) + 0 as mean_corr, round(stddev_samp(rho), 5) + 0 as std_corr, count(*) as n_months from (select factor, month, {p._c('a', 'b')} as rho from r group by all) where rho is not null group by factor""",
     "book_nav": f"""with {p._S}, bk as {p._tilt('0.004')}, dy as (select distinct date, date_trunc('month', date)::date as m from base), gr as (select dy.date, dy.m, bk.instrument, port_w as w, coalesce(r, 0) as r from dy join bk on bk.month = dy.m - interval 1 month left join base on base.instrument = bk.instrument and base.date = dy.date),
 g2 as (select *, product(1 + r) over (partition by m, instrument order by date) as g from gr), lv as (select m, date, sum(w * g) as level, sum(w) as whole from g2 group by m, date),
 rt as (select date, level / coalesce(lag(level) over (partition by m order by date), whole) - 1 as port_ret from lv)
