@@ -100,3 +100,18 @@ def test_sizes_out_of_range_lose_nothing(spark, monkeypatch):
         want = brute(rows, 20, 20)
     assert set(got) == set(want) and all(len(x) == 20 for x in got.values())
     assert sum(len(got[q] & {j for _, j in best}) for q, best in want.items()) / (20 * len(want)) >= 0.99
+
+
+def test_oracle_is_the_exact_search(spark, monkeypatch):
+    import duckdb
+    import pyarrow as pa
+
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 30)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(200)]
+    rows += [(300, rows[40][1]), (301, rows[40][1]), (40, rows[40][1]), (320, None), (340, [0.0] * 16), (360, [float("nan")] * 16), (380, [1.0, None]), (None, rows[1][1])]
+    con = duckdb.connect()
+    con.register("embeddings", pa.table({"vec_id": pa.array([i for i, _ in rows], pa.int64()), "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}))
+    want = sorted(con.execute(neighbours.oracle()).fetchall())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(table(spark, rows)).collect())
+    assert got == want  # scores to the last bit: both add component after component
