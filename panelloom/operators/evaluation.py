@@ -8,11 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators import crosssection
+from panelloom.operators.crosssection import MIXERS, PRIME  # noqa: F401
 from panelloom.operators.panel import average_rank
-from panelloom.operators.statistics import _complete, _corr, month_number
-
-#: The modulus of the arithmetic draws, a prime, and the multipliers of simulation, month and instrument.
-PRIME, MIXERS = 2_147_483_647, (15_485_863, 32_452_843, 49_979_687)
+from panelloom.operators.statistics import _corr
 
 
 def student_p(t: Column, freedom: Column) -> Column:
@@ -76,28 +75,19 @@ def ic_decay_daily(long: DataFrame, bars: DataFrame, horizons: list[int], least:
     return ic.groupBy("factor", "horizon").agg(F.avg("ic").alias("ic_mean"), F.count("*").alias("n_months"))
 
 
-def shuffle_tests(long: DataFrame, sims: int = 100, least: int = 20) -> DataFrame:
+def shuffle_tests(rows: DataFrame, columns: list[str], sims: int = 100, least: int = 20) -> DataFrame:
     """factor, ic_mean, icir, p, p_icir: two-sided shares of shuffles within months whose mean IC, or its ratio to their spread, is as large.
 
     A shuffle gives each row the return of the row at its place in an order of drawn numbers, a cube modulo a prime that SQL
-    can compute too. Ranks are made once; a shuffle is one window over (factor, month, simulation), so all run at once in
-    tasks of a month's rows each.
+    can compute too. All shuffles of a month are made where its rows are, and one number of each comes back.
     """
-    rows = _complete(long).withColumns({"a": average_rank(F.col("value"), "factor", "month"), "b": average_rank(F.col("fwd_ret_1m"), "factor", "month")})
-    by_month = Window.partitionBy("factor", "month")
-    rows = rows.withColumns({"place": F.row_number().over(by_month.orderBy("instrument")), "n": F.count("*").over(by_month)}).filter(F.col("n") >= least)
-    rows = month_number(rows.select("factor", "month", "instrument", "a", "b", "place"))
-    drawn = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims))))
-    seed = (F.col("sim").cast("long") * MIXERS[0] + F.col("k").cast("long") * MIXERS[1] + F.col("instrument").cast("long") * MIXERS[2]) % PRIME
-    drawn = drawn.withColumn("draw", seed * seed % PRIME * seed % PRIME)
-    order = Window.partitionBy("factor", "month", "sim").orderBy("draw", "instrument")
-    moved = drawn.withColumn("to", F.when(F.col("sim") == 0, F.col("place")).otherwise(F.row_number().over(order)))
-    pairs = moved.select("factor", "month", "sim", "a", F.col("to").alias("place")).join(rows.select("factor", "month", "place", "b"), ["factor", "month", "place"])
-    ic = pairs.groupBy("factor", "month", "sim").agg(_corr("a", "b", least).alias("ic")).filter("ic is not null")
+    ic = crosssection.shuffled_ics(rows, columns, sims, least)
     means = ic.groupBy("factor", "sim").agg(F.avg("ic").alias("m"), (F.avg("ic") / (F.stddev_pop("ic") + 1e-9)).alias("ir"))
-    real = means.filter("sim = 0").select("factor", F.col("m").alias("ic_mean"), F.col("ir").alias("icir"))
+    # one number a factor and shuffle: a window of all shuffles of a factor is a small one
+    real = Window.partitionBy("factor")
+    means = means.withColumns({"ic_mean": F.max(F.when(F.col("sim") == 0, F.col("m"))).over(real), "icir": F.max(F.when(F.col("sim") == 0, F.col("ir"))).over(real)})
     large = lambda x, y: F.avg((F.round(F.abs(x), 12) >= F.round(F.abs(y), 12)).cast("double"))
-    return means.filter("sim > 0").join(real, "factor").groupBy("factor", "ic_mean", "icir").agg(large("m", "ic_mean").alias("p"), large("ir", "icir").alias("p_icir"))
+    return means.filter("sim > 0 and ic_mean is not null").groupBy("factor", "ic_mean", "icir").agg(large("m", "ic_mean").alias("p"), large("ir", "icir").alias("p_icir"))
 
 
 def oos_diagnostic(inside: DataFrame, outside: DataFrame) -> DataFrame:
@@ -184,15 +174,6 @@ def weight_floors(long: DataFrame, weights: DataFrame, floors: list[float], leas
     return out.select("weight_floor", "factor", F.when(enough, F.col("ic")).alias("ic"), F.when(enough & (F.col("s") > 1e-12), F.col("ic") / (F.col("s") / F.sqrt("months"))).alias("t"), "n_obs")
 
 
-def factor_pairs(long: DataFrame, least: int = 20) -> DataFrame:
-    """a, b, rho: mean over months of the rank correlation of two factors among the instruments that have both; a < b."""
-    one = long.filter("value is not null").select("month", "instrument", "factor", "value")
-    both = one.withColumnsRenamed({"factor": "a", "value": "x"}).join(one.withColumnsRenamed({"factor": "b", "value": "y"}), ["month", "instrument"]).filter("a < b")
-    ranked = both.withColumns({"x": average_rank(F.col("x"), "a", "b", "month"), "y": average_rank(F.col("y"), "a", "b", "month")})
-    rho = ranked.groupBy("a", "b", "month").agg(_corr("x", "y", least).alias("rho")).filter("rho is not null")
-    return rho.groupBy("a", "b").agg(F.avg("rho").alias("rho"))
-
-
 def closest(pairs: DataFrame, limit: float = 0.85) -> DataFrame:
     """factor, closest, max_corr, is_duplicate: the other factor with the largest mean correlation in size; ties to the smaller name."""
     both = pairs.select(F.col("a").alias("factor"), F.col("b").alias("other"), "rho").union(pairs.select(F.col("b").alias("factor"), F.col("a").alias("other"), "rho"))

@@ -39,17 +39,6 @@ def month_number(df: DataFrame) -> DataFrame:
     return df.withColumn("k", F.year("month") * 12 + F.month("month"))
 
 
-def ic_decay(long: DataFrame, lags: list[int], least: int = 20) -> DataFrame:
-    """factor, lag, ic_mean, n_months: values of a month against returns `lag` months later, joined by the month's number."""
-    numbered = month_number(long)
-    returns = numbered.select("instrument", "k", F.col("fwd_ret_1m").alias("later")).distinct()
-    shifted = numbered.drop("fwd_ret_1m").withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("k", F.col("k") + F.col("lag"))
-    rows = shifted.join(returns, ["instrument", "k"]).filter("value is not null and later is not null")
-    ranked = rows.withColumns({"value": average_rank(F.col("value"), "factor", "lag", "month"), "later": average_rank(F.col("later"), "factor", "lag", "month")})
-    ic = ranked.groupBy("factor", "lag", "month").agg(_corr("value", "later", least).alias("ic")).filter("ic is not null")
-    return ic.groupBy("factor", "lag").agg(F.avg("ic").alias("ic_mean"), F.count("*").alias("n_months"))
-
-
 def pooled_rank(df: DataFrame, x: str, key: str, parts: int = 64) -> DataFrame:
     """df with column x replaced by its average-tie rank among the key's rows, however many: no window sees them all.
 

@@ -93,7 +93,7 @@ def rank_persistence(s, d):
 
 
 def permutation_test(s, d):
-    return rounded(ev.shuffle_tests(p.long(s, d), 100, p.LEAST).select("factor", "ic_mean", "p"))
+    return rounded(ev.shuffle_tests(p.panel(s, d), p.FACTORS, 100, p.LEAST).select("factor", "ic_mean", "p"))
 
 
 QUERIES = {f.__name__: f for f in (market_months, residual_features, beta_interactions, ttm_sums, log_size, ensemble_score, pitch_overlay, benchmark_regression, strategy_difference, stress_regimes, rank_persistence, permutation_test)}
