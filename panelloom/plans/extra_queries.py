@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelloom.functions.frames import beta, safe_div, std
-from panelloom.operators import evaluation as ev, factors, panel as pan, portfolio as pf, statistics as st
+from panelloom.functions.frames import safe_div
+from panelloom.operators import daily, evaluation as ev, factors, panel as pan, portfolio as pf, statistics as st
 from panelloom.plans import oracle as q
 from panelloom.plans import panel_queries as p
 from panelloom.plans.factor_queries import prepared, rounded
@@ -15,7 +15,7 @@ from panelloom.sources import bars as src
 
 def _market_months(s, d):
     """month, spx_ret_k, spx_vol_63d at each month's last market day."""
-    m = src.market(src.daily_bars(src.table(s, d, "lineitem")))
+    m = src.market_of(src.table(s, d, "lineitem"))
     last = Window.orderBy("date").rowsBetween(-62, 0)
     m = m.withColumn("spx_vol_63d", F.when(F.count("m").over(last) >= 21, F.stddev_samp("m").over(last) * F.sqrt(F.lit(252.0))))
     ends = m.groupBy(F.trunc("date", "month").alias("month")).agg(F.max_by("level", "date").alias("level"), F.max_by("spx_vol_63d", "date").alias("spx_vol_63d"))
@@ -29,9 +29,8 @@ def market_months(s, d):
 
 def residual_features(s, d):
     """Month-end returns without the market's part, and risk against what beta implies."""
-    daily = prepared(s, d).withColumns({"beta_252d": beta("r", "m", 252, 126), "vol_21d": std("r", 21, 7)})
-    ends = src.month_ends(daily.select("instrument", "date", "close", "beta_252d", "vol_21d"))
-    rows = p.panel(s, d).select("instrument", "month", "ret_1m", "ret_12m").join(ends.select("instrument", "month", "beta_252d", "vol_21d"), ["instrument", "month"]).join(F.broadcast(_market_months(s, d)), "month")
+    ends = factors.months(prepared(s, d), ["ret_1m", "ret_12m"], (daily.market_beta, daily.volatility), ["beta_252d", "vol_21d"])
+    rows = ends.join(F.broadcast(_market_months(s, d)), "month")
     b = F.coalesce("beta_252d", F.lit(1.0))
     implied = F.abs("beta_252d") * F.col("spx_vol_63d")
     return rounded(rows.select("instrument", "month", (F.col("ret_1m") - b * F.col("spx_ret_1m")).alias("residual_ret_1m"), (F.col("ret_12m") - b * F.col("spx_ret_12m")).alias("residual_ret_12m"), (F.col("vol_21d") / (implied + 1e-9) - 1).alias("vol_excess")), 4)
