@@ -104,7 +104,12 @@ def oos_diagnostic(inside: DataFrame, outside: DataFrame) -> DataFrame:
 
 def monotonic(long: DataFrame, buckets: DataFrame, count: int = 5) -> DataFrame:
     """factor, ann_spread, monotonic, from rows with buckets: mean returns of the buckets only rise or only fall."""
-    means = buckets.groupBy("factor", "bucket").agg(F.round(F.avg("fwd_ret_1m"), 12).alias("ret"))
+    return monotonic_of(buckets.groupBy("factor", "bucket").agg(F.avg("fwd_ret_1m").alias("ret")), count)
+
+
+def monotonic_of(means: DataFrame, count: int = 5) -> DataFrame:
+    """The same from factor, bucket, ret."""
+    means = means.withColumn("ret", F.round("ret", 12))
     out = means.groupBy("factor").agg(F.sort_array(F.collect_list(F.struct("bucket", "ret"))).alias("x"))
     steps = F.transform(F.sequence(F.lit(1), F.lit(count - 1)), lambda i: F.element_at("x", i + 1)["ret"] - F.element_at("x", i)["ret"])
     whole = F.size("x") == count
