@@ -81,7 +81,11 @@ def shuffle_tests(rows: DataFrame, columns: list[str], sims: int = 100, least: i
     A shuffle gives each row the return of the row at its place in an order of drawn numbers, a cube modulo a prime that SQL
     can compute too. All shuffles of a month are made where its rows are, and one number of each comes back.
     """
-    ic = crosssection.shuffled_ics(rows, columns, sims, least)
+    return shuffle_shares(crosssection.shuffled_ics(rows, columns, sims, least))
+
+
+def shuffle_shares(ic: DataFrame) -> DataFrame:
+    """The same from factor, sim, ic of each month."""
     means = ic.groupBy("factor", "sim").agg(F.avg("ic").alias("m"), (F.avg("ic") / (F.stddev_pop("ic") + 1e-9)).alias("ir"))
     # one number a factor and shuffle: a window of all shuffles of a factor is a small one
     real = Window.partitionBy("factor")
