@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.crosssection import _tasks
+
 # ---------------------------------------------------------------- stress
 
 
@@ -129,28 +131,31 @@ def baum_welch(x: np.ndarray, has: np.ndarray, states: int = 2, rounds: int = 20
     g = (own[:, :, None] == np.arange(states)) * has[:, :, None] + 1e-3 * has[:, :, None]
     start, turn = np.full((n, states), -np.log(states)), np.log(np.full((n, states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1)))
 
-    def shapes(g):
+    def shapes(x, g):
         total = g.sum(1)
         mean = np.einsum("ntk,ntd->nkd", g, x) / np.maximum(total, 1e-300)[..., None]
         off = x[:, :, None, :] - mean[:, None]
         cov = np.einsum("ntk,ntkd,ntke->nkde", g, off, off) + 2 * ridge * np.eye(d)
         return mean, cov / np.maximum(total, 1e-12)[..., None, None]
 
-    mean, cov = shapes(g)
-    going, trail = np.ones(n, bool), []
-    for _ in range(rounds + 1):
-        dens = _densities(x, mean, cov)
-        whole, state, pairs = forward_backward(start, turn, dens, has)
-        now = whole - ridge * np.trace(np.linalg.inv(cov), axis1=-2, axis2=-1).sum(1)
-        going &= (now - trail[-1] >= tol) if trail else True
-        trail.append(np.where(going | (not trail), now, trail[-1] if trail else now))
-        if not going.any() or len(trail) > rounds:
+    mean, cov = shapes(x, g)
+    # only series that still gain are worked on
+    active, trail = np.arange(n), []
+    while len(active):
+        whole, state, pairs = forward_backward(start[active], turn[active], _densities(x[active], mean[active], cov[active]), has[active])
+        now = whole - ridge * np.trace(np.linalg.inv(cov[active]), axis1=-2, axis2=-1).sum(1)
+        gains = now - trail[-1][active] >= tol if trail else np.ones(n, bool)
+        trail.append(trail[-1].copy() if trail else np.empty(n))
+        active = active[gains]
+        trail[-1][active] = now[gains]
+        if len(trail) > rounds:
             break
-        g = np.exp(state) * has[:, :, None]
-        new = (state[:, 0], pairs - _log_sum(pairs, 2)[..., None], *shapes(g))
+        state, pairs = state[gains], pairs[gains]
+        turned = pairs - _log_sum(pairs, 2)[..., None]
         # a series of one row has no pairs
-        new = (new[0], np.where(np.isfinite(new[1]), np.maximum(new[1], -700), -np.log(states)), new[2], new[3])
-        start, turn, mean, cov = (np.where(going.reshape(-1, *[1] * (a.ndim - 1)), a, b) for a, b in zip(new, (start, turn, mean, cov)))
+        start[active], turn[active] = state[:, 0], np.where(np.isfinite(turned), np.maximum(turned, -700), -np.log(states))
+        mean[active], cov[active] = shapes(x[active], np.exp(state) * has[active][:, :, None])
+    dens = _densities(x, mean, cov)
     return (start, turn, mean, cov), dens, np.array(trail)
 
 
@@ -184,16 +189,17 @@ def _states(variables: list[str], key: str, order: str, least: int, states: int,
     return run
 
 
-def hidden_regimes(series: DataFrame, variables: list[str], key: str = "instrument", order: str = "month", least: int = 12, states: int = 2, rounds: int = 200, together: int = 128) -> DataFrame:
+def hidden_regimes(series: DataFrame, variables: list[str], key: str = "instrument", order: str = "month", least: int = 12, states: int = 2, rounds: int = 200, together: int = 512, series_count: int | None = None) -> DataFrame:
     """key, order, state (by the most likely path; numbered by the first variable's mean), p_high (of the highest state) and log_likelihood.
 
     Each series with `least` rows has a hidden Markov model of its own, with normal states of full covariance over the
     variables, in units of the series' own spread; missing values are 0. About `together` series are one group, whose rounds
-    run side by side, so a task holds that many histories whatever the number of series; a history is as long as the calendar.
+    run side by side, so a task holds that many histories whatever the number of series; a history is as long as the calendar. `series_count` (about how
+    many there are) saves counting them. Adaptive execution doesn't merge the groups' tasks by their few bytes.
     """
-    n = series.agg(F.approx_count_distinct(key)).first()[0]
+    n = series_count if series_count is not None else series.agg(F.approx_count_distinct(key)).first()[0]
     group: Column = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // together))))
     kinds = dict(series.dtypes)
     rows = series.filter(F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, order, *[F.col(c).cast("double").alias(c) for c in variables], group.alias("_group"))
     schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, state int, p_high double, log_likelihood double"
-    return rows.groupBy("_group").applyInPandas(lambda x: _states(variables, key, order, least, states, rounds)(x.drop(columns="_group")), schema)
+    return rows.repartition(_tasks(rows), "_group").groupBy("_group").applyInPandas(lambda x: _states(variables, key, order, least, states, rounds)(x.drop(columns="_group")), schema)
