@@ -47,9 +47,32 @@ def known_at(rows: DataFrame, found: DataFrame, fields: list[str], days: int, fi
     return asof_join(rows, one.select("instrument", F.col(filed).alias("date"), *fields), columns=tuple(fields), days=days)
 
 
+def quantile_pair(df: DataFrame, columns: list[str], low: float, high: float, small: int = 100_000, around: float = 5e-4) -> DataFrame:
+    """One row: _<column>_lo and _<column>_hi, the exact interpolated quantiles of a column's values.
+
+    Approximate quantiles on either side of the wanted ones tell which values matter: only these (`around` either side; all of up to
+    `small` values) are told apart, the others are counted. No task holds a column's values.
+    """
+    shares = [max(low - around, 0.0), low + around, high - around, min(high + around, 1.0)]
+    told = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 20_000).alias(f"_cut_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v"), F.col(f"_cut_{c}").alias("cut"), F.col(f"_n_{c}").alias("n")) for c in columns]))
+    v, cut = F.col("x.v"), F.col("x.cut")
+    # below, within and above the neighbourhoods of both quantiles; the values of a small table are all within
+    place = F.when(F.col("x.n") <= small, 1).when(v < cut[0], 0).when(v <= cut[1], 1).when(v < cut[2], 2).when(v <= cut[3], 3).otherwise(4)
+    rows = df.join(F.broadcast(told)).select(each.alias("x")).filter("x.v is not null").select("x.variable", "x.n", v.alias("v"), place.alias("place"))
+    counted = rows.groupBy("variable", "n", "place", F.when(F.col("place").isin(1, 3), F.col("v")).alias("v")).agg(F.count("*").alias("k"))
+    counted = counted.withColumn("upto", F.sum("k").over(Window.partitionBy("variable").orderBy("place", "v").rowsBetween(Window.unboundedPreceding, 0)))
+    at = {"lo": F.lit(low) * (F.col("n") - 1), "hi": F.lit(high) * (F.col("n") - 1)}
+    value = lambda place: F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("k") <= place), F.coalesce("v", F.raise_error(F.lit("a quantile lies outside its neighbourhood")).cast("double"))))
+    ends = counted.groupBy("variable", "n").agg(*[value(f(x)).alias(f"{name}{i}") for name, x in at.items() for i, f in enumerate((F.floor, F.ceil))])
+    between = lambda name: F.when(F.col(f"{name}0") == F.col(f"{name}1"), F.col(f"{name}0")).otherwise((F.ceil(at[name]) - at[name]) * F.col(f"{name}0") + (at[name] - F.floor(at[name])) * F.col(f"{name}1"))
+    ends = ends.select("variable", *[between(name).alias(name) for name in at])
+    return ends.agg(*[F.max(F.when(F.col("variable") == c, F.col(name))).alias(f"_{c}_{name}") for c in columns for name in at])
+
+
 def clipped(df: DataFrame, columns: list[str], low: float = 0.005, high: float = 0.995) -> DataFrame:
-    """Columns cut at quantiles of all their values: one aggregation, whose row is broadcast."""
-    bounds = df.agg(*[F.percentile(c, p).alias(f"_{c}_{n}") for c in columns for n, p in (("lo", low), ("hi", high))])
+    """Columns cut at quantiles of all their values, a row that is broadcast."""
+    bounds = quantile_pair(df, columns, low, high)
     cut = {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_{c}_hi")), F.col(f"_{c}_lo"))) for c in columns}
     return df.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one").withColumns(cut).drop(*bounds.columns, "_one")
 
