@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.operators.crosssection import _tasks, average_ranks, percent_ranks
 from panelloom.operators.panel import cs_rank, percent_rank
 from panelloom.operators.statistics import _corr
 
@@ -18,9 +20,69 @@ def _vectors(panel: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="skip").transform(panel)
 
 
-def correlation_matrix(panel: DataFrame, columns: list[str], method: str = "spearman") -> np.ndarray:
-    """Columns by columns, over rows that have all."""
-    return Correlation.corr(_vectors(panel.select(columns), columns), "features", method).first()[0].toArray()
+def _as_they_are(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def _placed(x: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each value (how many cuts are smaller), and whether it is a value that repeated cuts show to be frequent."""
+    part = np.searchsorted(cuts, x, side="left")
+    return part, np.append((cuts[1:] == cuts[:-1]), [False, False])[part] & (np.append(cuts, np.nan)[part] == x)
+
+
+def rank_correlations(panel: DataFrame, columns: list[str], keys: tuple[str, ...] = ("month", "instrument"), parts: int = 256, keep: Callable[[DataFrame], DataFrame] = _as_they_are) -> tuple[np.ndarray, int]:
+    """Columns by columns, Spearman's correlations of pooled average ranks over the rows that have all, and how many rows these are.
+
+    Values are cut into ranges at sampled quantiles, counted (columns times ranges come to the driver), and ranked range by range. A
+    frequent value has its rank from the counts alone, so that no range grows with it. The rows, unique by `keys`, are read three times:
+    `keep` may write them.
+    """
+    rows = keep(panel.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=columns))
+    found = rows.agg(*[F.percentile_approx(c, [i / parts for i in range(1, parts)], 10_000).alias(c) for c in columns]).first()
+    if found[columns[0]] is None:
+        return np.eye(len(columns)), 0
+    cuts = {c: np.array(found[c], float) for c in columns}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(columns), parts, 2), np.int64)
+        for batch in batches:
+            for i, c in enumerate(columns):
+                part, often = _placed(batch.column(c).to_numpy(zero_copy_only=False), cuts[c])
+                np.add.at(sums[i], (part, often.astype(int)), 1)
+        i, part, often = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i, part, often, sums[i, part, often])], ["i", "part", "often", "n"])
+
+    totals = np.zeros((len(columns), parts, 2), np.int64)
+    for r in rows.select(columns).mapInArrow(count, "i long, part long, often long, n long").groupBy("i", "part", "often").agg(F.sum("n").alias("n")).collect():
+        totals[r["i"], r["part"], r["often"]] = r["n"]
+    # a frequent value is the last of its range
+    before = np.cumsum(totals.reshape(len(columns), -1), axis=1).reshape(totals.shape) - totals
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, c in enumerate(columns):
+                x = batch.column(c).to_numpy(zero_copy_only=False)
+                part, often = _placed(x, cuts[c])
+                rank = before[i, part, 1] + (totals[i, part, 1] + 1) / 2
+                spread = np.where(often, parts + np.arange(len(x)) % parts, part)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(np.full(len(x), i, np.int32)), pa.array(spread.astype(np.int32)), pa.array(np.where(often, rank, x)), pa.array(often)], [*keys, "i", "part", "x", "often"])
+
+    def rank(table: pa.Table) -> pa.Table:
+        x, i, part = table.column("x").to_numpy(), int(table.column("i")[0].as_py()), int(table.column("part")[0].as_py())
+        ranks = x if part >= parts else average_ranks(x) + before[i, part, 0]
+        return pa.table({**{k: table.column(k) for k in keys}, "i": table.column("i"), "x": pa.array(ranks)})
+
+    names = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    long = rows.mapInArrow(deal, f"{names}, i int, part int, x double, often boolean").repartition(_tasks(rows), "i", "part").groupBy("i", "part").applyInArrow(rank, f"{names}, i int, x double")
+    wide = long.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(f"r{i}") for i in range(len(columns))])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    moments = wide.agg(*[F.covar_pop(f"r{i}", f"r{j}").alias(f"m{i}_{j}") for i, j in pairs]).first()
+    out = np.eye(len(columns))
+    for i, j in pairs:
+        spread = (moments[f"m{i}_{i}"] * moments[f"m{j}_{j}"]) ** 0.5
+        if i != j:
+            out[i, j] = out[j, i] = moments[f"m{i}_{j}"] / spread if spread > 1e-12 else 0.0
+    return out, int(totals[0].sum())
 
 
 def marchenko_pastur(matrix: np.ndarray, rows: int) -> dict:
@@ -182,9 +244,12 @@ def permuted(panel: DataFrame, column: str) -> DataFrame:
     return panel.withColumn(column, F.when(F.lead(F.lit(True)).over(order), F.lead(column).over(order)).otherwise(F.first(column).over(whole)))
 
 
-def permutation_importance(panel: DataFrame, columns: list[str], target: str, until: str, seed: int = 7) -> DataFrame:
-    """factor, base_ic, ic, importance: how much a forest's mean IC after a date falls if a column's values are passed around."""
-    spark, rows = panel.sparkSession, panel.dropna(subset=[*columns, target]).select("month", "instrument", target, *columns)
+def permutation_importance(panel: DataFrame, columns: list[str], target: str, until: str, seed: int = 7, keep: Callable[[DataFrame], DataFrame] = _as_they_are) -> DataFrame:
+    """factor, base_ic, ic, importance: how much a forest's mean IC after a date falls if a column's values are passed around.
+
+    The rows are read for the fit and for each column: `keep` may write them.
+    """
+    spark, rows = panel.sparkSession, keep(panel.dropna(subset=[*columns, target]).select("month", "instrument", target, *columns))
     cut = F.lit(until).cast("date")
     model = RandomForestRegressor(labelCol=target, numTrees=20, maxDepth=5, seed=seed).fit(_vectors(rows.filter(F.col("month") <= cut), columns))
     test = rows.filter(F.col("month") > cut)
@@ -194,12 +259,23 @@ def permutation_importance(panel: DataFrame, columns: list[str], target: str, un
     return spark.createDataFrame([(c, b, x, None if b is None or x is None else b - x) for c, b, x in found], "factor string, base_ic double, ic double, importance double")
 
 
-def components(panel: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """month, instrument and pc1 .. pck: the leading components of the columns' ranks in the month; signs so that loadings sum above zero."""
-    model = PCA(k=k, inputCol="features", outputCol="pcs").fit(_vectors(cs_rank(panel, columns), columns))
-    signs = [1.0 if x >= 0 else -1.0 for x in model.pc.toArray().sum(axis=0)]
-    out = model.transform(_vectors(cs_rank(panel, columns), columns)).withColumn("_a", vector_to_array("pcs"))
-    return out.select("month", "instrument", *[(F.col("_a")[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
+def components(panel: DataFrame, columns: list[str], k: int, keep: Callable[[DataFrame], DataFrame] = _as_they_are) -> DataFrame:
+    """month, instrument and pc1 .. pck: the leading components of the columns' ranks in the month; signs so that loadings sum above zero.
+
+    Ranks are made once a month for all columns, missing ones neutral. They are read twice, for their moments and their scores: `keep` may write them.
+    """
+    ranked = percent_ranks(panel, columns)
+    ranked = keep(ranked.select("month", "instrument", *[F.coalesce(F.col(c) - 0.5, F.lit(0.0)).alias(c) for c in columns]))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    moments = ranked.agg(*[F.covar_samp(columns[i], columns[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+    if moments["m0_0"] is None:
+        return ranked.select("month", "instrument", *[F.lit(0.0).alias(f"pc{i + 1}") for i in range(k)])
+    cov = np.zeros((len(columns), len(columns)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = moments[f"m{i}_{j}"]
+    vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
+    vectors = vectors * np.where(vectors.sum(axis=0) >= 0, 1.0, -1.0)
+    return ranked.select("month", "instrument", *[sum((F.col(c) * float(w) for c, w in zip(columns, vectors[:, i])), F.lit(0.0)).alias(f"pc{i + 1}") for i in range(k)])
 
 
 def split_importance(panel: DataFrame, columns: list[str], target: str, until: str, seed: int = 7) -> DataFrame:
