@@ -57,19 +57,26 @@ def _tested(sims: int, least: int):
     return run
 
 
-def shuffled_ic(ranks: DataFrame, names: list[str], target: str = "fwd_ret_1m", sims: int = 200, least: int = 20, seed: int = 27) -> DataFrame:
+def largest_month(rows: DataFrame) -> int:
+    return rows.groupBy("month").count().agg(F.max("count").alias("n")).first()["n"] or 0
+
+
+def shuffled_ic(ranks: DataFrame, names: list[str], target: str = "fwd_ret_1m", sims: int = 200, least: int = 20, seed: int = 27, largest: int | None = None) -> DataFrame:
     """factor, n_months, ic_mean, icir, p, p_icir of every column: two-sided shares of shuffles whose mean IC, or its ratio to their spread, is as large.
 
     ranks: month, instrument, target and the columns, as shares of their ranks in the month. The target's ranks in a month are dealt anew among its rows, `sims` times, the same
     way for all columns, so a month's correlations with all columns and shuffles are one product of matrices over the rows that
     have both. A month of more than BLOCK_ROWS rows is dealt within blocks of its rows, whose sums are added. Rows without a
     target go; a month with fewer than `least` values of a column, or constant ones, doesn't count for it. What a shuffle is depends on the
-    seed, the month and the instruments, not on partitions.
+    seed, the month and the instruments, not on partitions. Ranks may bring the target's as `_y`, and `largest`, the most rows
+    with a target that a month has, saves making them to be counted.
     """
     rows = ranks.filter(F.col(target).isNotNull())
-    largest = rows.groupBy("month").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if largest is None:
+        largest = largest_month(rows)
     blocks = max(1, -(-largest // BLOCK_ROWS))
-    rows = rows.withColumn("_y", average_rank(F.col(target), "month") / F.count("*").over(Window.partitionBy("month")))
+    if "_y" not in rows.columns:
+        rows = rows.withColumn("_y", average_rank(F.col(target), "month") / F.count("*").over(Window.partitionBy("month")))
     rows = rows.withColumns({"_block": F.pmod(F.xxhash64("instrument"), F.lit(blocks)).cast("int"), "_k": F.year("month") * 12 + F.month("month")})
     sums = rows.groupBy("month", "_block").applyInPandas(_sums(names, sims, seed), "factor string, k long, n double, x double, xx double, y binary, yy binary, xy binary")
     return sums.groupBy("factor").applyInPandas(_tested(sims, least), "factor string, n_months long, ic_mean double, icir double, p double, p_icir double")
