@@ -4,11 +4,12 @@ import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from panelloom.functions import rolling as ro
 from panelloom.operators import daily, factors
-from panelloom.plans import factor_queries, panel_queries
+from panelloom.plans import evaluation_queries, factor_queries, panel_queries
 
 
 def values(seed: int, n: int = 400) -> np.ndarray:
@@ -100,3 +101,38 @@ def test_rounding_agrees_with_spark(spark):
     got = ro.half_up(x, 6)
     np.testing.assert_array_equal(got, theirs)
     assert not np.signbit(got[got == 0]).any()
+
+
+def test_instruments_side_by_side_are_as_alone():
+    rng, tables = np.random.default_rng(7), []
+    for k, n in enumerate((1, 300, 40, 700)):
+        days = [datetime.date(2000, 1, 1) + datetime.timedelta(days=3 * i) for i in range(n)]
+        price = 50 + np.cumsum(rng.normal(size=n))
+        price[rng.random(n) < 0.05 * k] = np.nan
+        r = np.append(np.nan, price[1:] / price[:-1] - 1)
+        volume = rng.integers(1, 9, n).astype(float)
+        tables.append(pa.table({"date": days, "open": price + 1, "high": price + 2, "low": price - 2, "close": price, "volume": volume, "r": r, "m": rng.normal(size=n) * 0.01, "t": np.arange(1.0, n + 1)}))
+    starts = np.cumsum([0] + [t.num_rows for t in tables[:-1]])
+    ends = np.concatenate([daily.month_ends(daily.Bars(t))[0] + a for t, a in zip(tables, starts)])
+    with np.errstate(all="ignore"), ro.remembering():
+        x = daily.SideBySide(pa.concat_tables(tables), starts, ends)
+        together = {c: v[x.at] for c, v in daily.all_families(x).items()}
+    with np.errstate(all="ignore"):
+        alone = [daily.all_families(daily.Bars(t)) for t in tables]
+    for c in together:
+        plain = np.concatenate([v[c][daily.month_ends(daily.Bars(t))[0]] for v, t in zip(alone, tables)])
+        np.testing.assert_allclose(np.where(np.isfinite(together[c]), together[c], np.nan), np.where(np.isfinite(plain), plain, np.nan), rtol=1e-11, atol=1e-14, err_msg=c)
+
+
+def test_instruments_that_lie_in_several_batches_stay_whole(spark, tmp_path):
+    d = lines(spark, tmp_path)
+    plan = evaluation_queries._made_features(spark, d)
+    assert "MapInArrow" in (shown := plan._jdf.queryExecution().executedPlan().toString()) and shown.count("Exchange hashpartitioning(instrument") == 1
+    whole, size = plan.orderBy("instrument", "month").toPandas(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        few = evaluation_queries._made_features(spark, d).orderBy("instrument", "month").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert len(whole) and not whole.duplicated(["instrument", "month"]).any()
+    pd.testing.assert_frame_equal(whole, few)
