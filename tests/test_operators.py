@@ -211,3 +211,21 @@ def test_sums_agree_with_frames(spark):
     roll = pd.Series(values, dtype=float).rolling(63, min_periods=21)
     assert [r.s if r.s is not None else np.nan for r in got] == pytest.approx(roll.std().tolist(), nan_ok=True, abs=1e-12)
     assert [r.m if r.m is not None else np.nan for r in got] == pytest.approx(roll.mean().tolist(), nan_ok=True, abs=1e-12)
+
+
+def test_seasonality_is_of_the_same_month_of_earlier_years(spark):
+    months = [dt.date(2000 + k // 12, k % 12 + 1, 1) for k in range(40)]
+    close = {m: 100.0 + 7 * i % 23 for i, m in enumerate(months) if i not in (14, 27)}
+    close[months[5]] = 0.0
+    rows = [(1, m + dt.timedelta(days=2 if m.month == 3 else 14), m, c) for m, c in close.items()] + [(2, DAY, DAY, 1.0)]
+    got = {(r.instrument, r.month): r for r in factors.seasonality(spark.createDataFrame(rows, "instrument long, date date, month date, close double")).collect()}
+    known = list(close)
+    # a return over a price of zero is not known
+    ret = {m: close[m] / close[a] - 1 if close[a] else None for a, m in zip(known, known[1:])} | {known[0]: None}
+    back = lambda m, k: ret.get(m.replace(year=m.year - k))
+    assert len(got) == len(rows) and got[2, DAY].ret_1m is None and got[2, DAY].january_dummy == 1
+    for m in known:
+        r, before = got[1, m], [v for a in known if a.month == m.month and a < m and (v := ret[a]) is not None]
+        assert (r.ret_1m, r.ret_same_month_1y, r.ret_same_month_2y) == pytest.approx((ret[m], back(m, 1), back(m, 2)))
+        assert r.ret_same_month_avg == (pytest.approx(np.mean(before)) if len(before) >= 2 else None)
+        assert r.turn_of_month == (m.month == 3) and r.january_dummy == (m.month == 1)
