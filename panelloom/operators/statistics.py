@@ -157,13 +157,3 @@ def fold_weights(ic: DataFrame, folds: list[tuple[str, str]], least_months: int
     past = ic.join(F.broadcast(table), F.col("month") < F.col("first"))
     means = past.groupBy("first", "final", "factor").agg(F.avg(F.abs("ic")).alias("_m"), F.signum(F.round(F.avg("ic"), 12)).alias("_s"), F.count("*").alias("_n")).filter(F.col("_n") >= least_months)
     return means.select("first", "final", "factor", (F.col("_s") * F.col("_m") / F.sum("_m").over(Window.partitionBy("first"))).alias("weight"))
-
-
-def weighted_scores(long: DataFrame, weights: DataFrame) -> DataFrame:
-    """month, instrument, score: sums of the factors' z-scores in the month by their fold's weights; missing values count as 0."""
-    own = Window.partitionBy("factor", "month")
-    spread = F.stddev_pop("value").over(own)
-    z = long.withColumn("z", F.when(spread > 1e-12, (F.col("value") - F.avg("value").over(own)) / spread)).select("month", "instrument", "factor", F.coalesce("z", F.lit(0.0)).alias("z"))
-    # a row for each fold and factor
-    rows = z.join(F.broadcast(weights), (z["factor"] == weights["factor"]) & F.col("month").between(F.col("first"), F.col("final")))
-    return rows.groupBy("month", "instrument").agg(F.sum(F.col("z") * F.col("weight")).alias("score"))
