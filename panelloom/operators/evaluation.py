@@ -213,11 +213,9 @@ def screening(summary: DataFrame, decay: DataFrame, near: DataFrame, shuffled: D
 
 
 def score_loadings(panel: DataFrame, score: str, columns: list[str], least: int = 20) -> DataFrame:
-    """factor, mean_corr, std_corr, n_months: the monthly rank correlations of a score with each column."""
-    long = panel.unpivot(["month", "instrument", score], columns, "factor", "value").filter(F.col("value").isNotNull() & F.col(score).isNotNull())
-    ranked = long.withColumns({"a": average_rank(F.col(score), "factor", "month"), "b": average_rank(F.col("value"), "factor", "month")})
-    rho = ranked.groupBy("factor", "month").agg(_corr("a", "b", least).alias("rho")).filter("rho is not null")
-    return rho.groupBy("factor").agg(F.avg("rho").alias("mean_corr"), F.stddev_samp("rho").alias("std_corr"), F.count("*").alias("n_months"))
+    """factor, mean_corr, std_corr, n_months: the monthly rank correlations of a score with each column, by one visit to a month's rows."""
+    rho = crosssection.monthly_ic(panel, columns, score, least)
+    return rho.groupBy("factor").agg(F.avg("ic").alias("mean_corr"), F.stddev_samp("ic").alias("std_corr"), F.count("*").alias("n_months"))
 
 
 def rolling_ic(ic: DataFrame, months: int = 6, least: int = 3) -> DataFrame:
