@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.operators.panel import average_rank
@@ -13,6 +13,8 @@ from panelloom.operators.panel import average_rank
 BLOCK_ROWS = 20_000
 #: A column of ranks, or of dealt returns, whose spread is smaller is constant.
 FLAT = 1e-6
+#: Sums of a column over a month's rows, and of each deal.
+SUMS = "factor string, k long, n double, x double, xx double, y binary, yy binary, xy binary"
 
 
 def dealt(y: np.ndarray, sims: int, seed: list[int]) -> np.ndarray:
@@ -21,16 +23,30 @@ def dealt(y: np.ndarray, sims: int, seed: list[int]) -> np.ndarray:
     return np.column_stack((y, y[orders.T])) if sims else y[:, None]
 
 
+def block_sums(x: np.ndarray, y: np.ndarray, sims: int, seed: list[int]) -> dict[str, np.ndarray]:
+    """Of each column: n, x, xx over the rows that have it; of each column and deal of y: y, yy, xy over the same rows."""
+    y, has = dealt(y, sims, seed), ~np.isnan(x)
+    m, z = has.astype(float), np.where(has, x, 0)
+    return {"n": m.sum(axis=0), "x": z.sum(axis=0), "xx": (z * z).sum(axis=0), "y": m.T @ y, "yy": m.T @ (y * y), "xy": z.T @ y}
+
+
+def month_sums(ranks: list[np.ndarray], y: np.ndarray, instrument: np.ndarray, block: np.ndarray, month: int, sims: int, seed: int = 27) -> dict[str, np.ndarray]:
+    """`block_sums` of a whole month: columns of ranks, and the target's, which is NaN where there is none; blocks are dealt one after the other."""
+    whole, there = None, ~np.isnan(y)
+    for b in np.unique(block[there]).tolist():
+        at = np.flatnonzero(there & (block == b))
+        at = at[np.argsort(instrument[at], kind="stable")]
+        now = block_sums(np.column_stack([r[at] for r in ranks]), y[at], sims, [seed, month, b])
+        whole = now if whole is None else {c: whole[c] + now[c] for c in now}
+    return whole
+
+
 def _sums(names: list[str], sims: int, seed: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("instrument", ignore_index=True)
         month, block = int(g["_k"].iat[0]), int(g["_block"].iat[0])
-        x, y = g[names].to_numpy(float), dealt(g["_y"].to_numpy(float), sims, [seed, month, block])
-        has = ~np.isnan(x)
-        m, z = has.astype(float), np.where(has, x, 0)
-        whole = {"n": m.sum(axis=0), "x": z.sum(axis=0), "xx": (z * z).sum(axis=0)}
-        each = {"y": m.T @ y, "yy": m.T @ (y * y), "xy": z.T @ y}
-        return pd.DataFrame({"factor": names, "k": month, **whole, **{c: [v.tobytes() for v in t] for c, t in each.items()}})
+        made = block_sums(g[names].to_numpy(float), g["_y"].to_numpy(float), sims, [seed, month, block])
+        return pd.DataFrame({"factor": names, "k": month, **{c: list(v) if v.ndim == 1 else [b.tobytes() for b in v] for c, v in made.items()}})
 
     return run
 
@@ -57,6 +73,11 @@ def _tested(sims: int, least: int):
     return run
 
 
+def block_of(largest: int) -> Column:
+    """A row's block, by its instrument, where the largest month has so many rows."""
+    return F.pmod(F.xxhash64("instrument"), F.lit(max(1, -(-largest // BLOCK_ROWS)))).cast("int")
+
+
 def largest_month(rows: DataFrame) -> int:
     return rows.groupBy("month").count().agg(F.max("count").alias("n")).first()["n"] or 0
 
@@ -74,9 +95,12 @@ def shuffled_ic(ranks: DataFrame, names: list[str], target: str = "fwd_ret_1m",
     rows = ranks.filter(F.col(target).isNotNull())
     if largest is None:
         largest = largest_month(rows)
-    blocks = max(1, -(-largest // BLOCK_ROWS))
     if "_y" not in rows.columns:
         rows = rows.withColumn("_y", average_rank(F.col(target), "month") / F.count("*").over(Window.partitionBy("month")))
-    rows = rows.withColumns({"_block": F.pmod(F.xxhash64("instrument"), F.lit(blocks)).cast("int"), "_k": F.year("month") * 12 + F.month("month")})
-    sums = rows.groupBy("month", "_block").applyInPandas(_sums(names, sims, seed), "factor string, k long, n double, x double, xx double, y binary, yy binary, xy binary")
+    rows = rows.withColumns({"_block": block_of(largest), "_k": F.year("month") * 12 + F.month("month")})
+    return tested(rows.groupBy("month", "_block").applyInPandas(_sums(names, sims, seed), SUMS), sims, least)
+
+
+def tested(sums: DataFrame, sims: int, least: int) -> DataFrame:
+    """factor, n_months, ic_mean, icir, p, p_icir from the sums (SUMS) of months, or of blocks of months."""
     return sums.groupBy("factor").applyInPandas(_tested(sims, least), "factor string, n_months long, ic_mean double, icir double, p double, p_icir double")
